@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from memspark.llm import quality
+from memspark.llm.decontam import op6_decontaminate
 from memspark.llm.packing import op1_harmonic_packing
+from memspark.llm.quality import op3_adaptive_quality
+from memspark.llm.simhash import op5_simhash_trie
 from memspark.llm.wavelet import op10_wavelet_tokens
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op3_adaptive_quality": op3_adaptive_quality,
+    "op5_simhash_trie": op5_simhash_trie,
+    "op6_decontaminate": op6_decontaminate,
     "op10_wavelet_tokens": op10_wavelet_tokens,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_adaptive_quality": quality.SQL}
