@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from memspark.llm import quality
+from memspark.llm import chat, quality
+from memspark.llm.chat import op2_perspective_rotation
 from memspark.llm.decontam import op6_decontaminate
+from memspark.llm.lengths import op9_length_histogram
 from memspark.llm.packing import op1_harmonic_packing
+from memspark.llm.pii import op8_boosted_pii
 from memspark.llm.quality import op3_adaptive_quality
+from memspark.llm.secret_scan import op7_guess_cost_secrets
 from memspark.llm.simhash import op5_simhash_trie
 from memspark.llm.wavelet import op10_wavelet_tokens
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_perspective_rotation": op2_perspective_rotation,
     "op3_adaptive_quality": op3_adaptive_quality,
     "op5_simhash_trie": op5_simhash_trie,
     "op6_decontaminate": op6_decontaminate,
+    "op7_guess_cost_secrets": op7_guess_cost_secrets,
+    "op8_boosted_pii": op8_boosted_pii,
+    "op9_length_histogram": op9_length_histogram,
     "op10_wavelet_tokens": op10_wavelet_tokens,
 }
 
-ORACLES: dict[str, str] = {"op3_adaptive_quality": quality.SQL}
+ORACLES: dict[str, str] = {"op2_perspective_rotation": chat.SQL, "op3_adaptive_quality": quality.SQL}
