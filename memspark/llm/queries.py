@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from memspark.llm import chat, quality
 from memspark.llm.chat import op2_perspective_rotation
 from memspark.llm.decontam import op6_decontaminate
+from memspark.llm.html_text import op4_tree_model_text
 from memspark.llm.lengths import op9_length_histogram
 from memspark.llm.packing import op1_harmonic_packing
 from memspark.llm.pii import op8_boosted_pii
@@ -17,12 +19,14 @@ QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_perspective_rotation": op2_perspective_rotation,
     "op3_adaptive_quality": op3_adaptive_quality,
+    "op4_tree_model_text": op4_tree_model_text,
     "op5_simhash_trie": op5_simhash_trie,
     "op6_decontaminate": op6_decontaminate,
     "op7_guess_cost_secrets": op7_guess_cost_secrets,
     "op8_boosted_pii": op8_boosted_pii,
     "op9_length_histogram": op9_length_histogram,
     "op10_wavelet_tokens": op10_wavelet_tokens,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op2_perspective_rotation": chat.SQL, "op3_adaptive_quality": quality.SQL}
