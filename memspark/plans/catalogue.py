@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from memspark.plans import filters
 from memspark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "filters"]
