@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.plans import filters
+from memspark.plans import filters, retrieval
 from memspark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "filters"]
+__all__ = ["ORACLES", "QUERIES", "filters", "retrieval"]
