@@ -34,7 +34,7 @@ BROADCAST_KEYS = 100_000
 #: Node pairs that are taken down a level at once, and fingerprints of one array.
 PAIRS, ROWS = 1 << 20, 1 << 16
 #: Shingles whose bits are summed at once.
-SHINGLES = 1 << 17
+SHINGLES = 1 << 15
 
 
 def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarray:
@@ -247,7 +247,9 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
     found = written(near_duplicates(docs), "near-duplicates")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"), F.countDistinct("fp").alias("fps"))
     kept = written(kept, "kept-documents")
-    out = docs.join(kept.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    # ids are never few enough to broadcast at scale: at every size texts are shuffled once and met by a hash of ids, unsorted
+    ids = kept.select(F.col("doc_id").alias("kept_id")).hint("shuffle_hash")
+    out = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
     if kept.where("rows > 1").limit(1).count():
         # doc_ids that occur in several rows: few, and the only ones dealt out again
         many = kept.where("rows > 1").select(F.col("doc_id").alias("kept_id"))
