@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import text as t
 from memspark.operators.govern import top_by
+from memspark.sources.scratch import written
 
 #: Defaults of retrieval.
 WIDTH_FACTOR, WIDTH_LEAST, WIDTH_MOST, RERANK_BUDGET, RRF_K = 4, 60, 100, 60, 60
@@ -154,17 +155,30 @@ def expand_entities(seeds: DataFrame, links: DataFrame, seen: DataFrame, anchors
     return cut.crossJoin(F.broadcast(a)).select("unit_id", scaled.alias("score"), F.lit("entity").alias("channel"))  # one row of anchors
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """node, hop: nodes within some hops over undirected edges (a, b). Nodes reached before are not taken again."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = seeds.select("node").distinct().withColumn("hop", F.lit(0))
-    front = seen
+def reached(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """node, hop: all that links (src, dst) lead to from the seeds in at most so many hops, with the fewest hops.
+
+    Each hop is written to the shared folder, so plans stay small and a lost
+    executor costs one hop; the walk ends when a hop finds nothing new.
+    """
+    pairs = links.select("src", "dst").distinct()
+    front = written(seeds.select("node").distinct().withColumn("hop", F.lit(0)), "hop")
+    seen = front
     for hop in range(1, depth + 1):
-        front = front.select(F.col("node").alias("a")).join(both, "a").select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        new = front.select(F.col("node").alias("src")).join(pairs, "src").select(F.col("dst").alias("node")).distinct()
+        front = written(new.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)), "hop")
+        if not front.limit(1).count():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """node, hop: nodes within some hops over undirected edges (a, b). Nodes reached before are not taken again."""
+    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return reached(both, seeds, depth)
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, decay: float) -> DataFrame:
     """node, score: seeds keep their scores, others get the best seed's score times decay to the hops."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -163,16 +163,6 @@ def expanded(roots: DataFrame, children: DataFrame, depth: int, limit: int) -> D
     return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r", "path")
 
 
-def closure(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """node, hop: all that is reached along links (src, dst) in so many hops."""
-    seen = seeds.select("node").distinct().withColumn("hop", F.lit(0))
-    front = seen
-    for hop in range(1, depth + 1):
-        front = front.select(F.col("node").alias("src")).join(links.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(front)
-    return seen
-
-
 def tree_faults(tree: DataFrame) -> DataFrame:
     """unit_id, fault: self references, missing or one-sided parents, several parents, children outside their parent's span. tree: unit_id, parent_id, child_ids, span_start, span_end."""
     down = tree.select(F.col("unit_id").alias("p"), F.col("span_start").alias("ps"), F.col("span_end").alias("pe"), F.explode("child_ids").alias("unit_id"))

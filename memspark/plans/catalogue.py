@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.plans import filters, retrieval, timelines
+from memspark.plans import filters, jobs, retrieval, summaries, timelines
 from memspark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "filters", "retrieval", "timelines"]
+__all__ = ["ORACLES", "QUERIES", "filters", "jobs", "retrieval", "summaries", "timelines"]

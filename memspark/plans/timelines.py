@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import text as t
 from memspark.operators import lifecycle as life
+from memspark.operators import recall
 from memspark.operators import temporal as tm
 from memspark.operators.govern import broken_links
 from memspark.plans.registry import query
@@ -158,7 +159,7 @@ def j24(spark, sf_dir):
     tag = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     li, o, c = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer"))
     links = li.where("l_quantity > 45").select(tag("o", "l_orderkey").alias("src"), tag("p", "l_partkey").alias("dst")).unionByName(o.select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst"))).distinct()
-    return tm.closure(links, c.where("c_acctbal > 9500").select(tag("c", "c_custkey").alias("node")), 2)
+    return recall.reached(links, c.where("c_acctbal > 9500").select(tag("c", "c_custkey").alias("node")), 2)
 
 
 @query("J32_audit_chain", "WITH e AS (SELECT event_id AS seq, md5(event_type || event_id) AS digest, CASE WHEN value > 95 THEN 'x' ELSE lag(md5(event_type || event_id)) OVER (ORDER BY event_id) END AS prev FROM events) SELECT a.seq FROM e a LEFT JOIN e b ON b.seq = a.seq - 1 WHERE NOT coalesce(a.prev = b.digest, a.prev IS NULL AND b.digest IS NULL)")
