@@ -102,9 +102,9 @@ def a11(spark, sf_dir):
     return f.select("unit_id", F.round("score", 9).alias("score"), F.array_join(F.array_sort(F.transform("evidence", lambda e: e["channel"])), ",").alias("channels"))
 
 
-@query("A07_W02_comb_max", f"WITH {RANKED_SQL} SELECT unit_id, round(max(score / top), 6) AS score FROM r GROUP BY unit_id")
+@query("A07_W02_comb_max", f"WITH {RANKED_SQL} SELECT unit_id, round(max(score / top), 9) AS score FROM r GROUP BY unit_id")
 def a07(spark, sf_dir):
-    return _r(fuse.comb_max(channels(spark, sf_dir)), "unit_id", "score")
+    return _r(fuse.comb_max(channels(spark, sf_dir)), "unit_id", "score", digits=9)
 
 
 @query("A10_comb_max_bm25", f"WITH {RANKED_SQL}, c AS (SELECT unit_id, max(score / top * CASE channel WHEN 'keyword' THEN 0.6 ELSE 0.1 END) AS s FROM r GROUP BY unit_id), x AS (SELECT c.unit_id, s, bm.score AS b, max(bm.score) OVER () AS m FROM c LEFT JOIN bm ON c.unit_id = bm.unit_id AND bm.score > 0) SELECT unit_id, round(greatest(s, coalesce(b / m, 0)), 6) AS score FROM x")

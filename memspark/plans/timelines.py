@@ -230,13 +230,13 @@ def a28(spark, sf_dir):
     return life.newest_of_equal(units(spark, sf_dir), ["user_id"], "content", [F.desc("t_ingest"), F.desc("unit_id")]).select("unit_id")
 
 
-@query("J12_coreference", "WITH m AS (SELECT o_custkey AS unit_id, o_orderpriority || o_orderstatus || year(o_orderdate) AS entity, avg(o_totalprice) AS conf FROM orders WHERE o_totalprice > 400000 GROUP BY ALL) SELECT a.unit_id AS a, b.unit_id AS b, round(avg((a.conf + b.conf) / 2), 4) AS score FROM m a JOIN m b USING (entity) WHERE a.unit_id < b.unit_id GROUP BY 1, 2")
+@query("J12_coreference", "WITH m AS (SELECT o_custkey AS unit_id, o_orderpriority || o_orderstatus || year(o_orderdate) AS entity, avg(o_totalprice) AS conf FROM orders WHERE o_totalprice > 400000 GROUP BY ALL) SELECT a.unit_id AS a, b.unit_id AS b, round(avg((a.conf + b.conf) / 2), 7) AS score FROM m a JOIN m b USING (entity) WHERE a.unit_id < b.unit_id GROUP BY 1, 2")
 def j12(spark, sf_dir):
     from memspark.operators.link import coreferences
 
     o = table(spark, sf_dir, "orders").where("o_totalprice > 400000")
     m = o.select(F.col("o_custkey").alias("unit_id"), F.concat("o_orderpriority", "o_orderstatus", F.year("o_orderdate").cast("string")).alias("entity"), F.col("o_totalprice").alias("confidence"))
-    return coreferences(m).select("a", "b", F.round("score", 4).alias("score"))
+    return coreferences(m).select("a", "b", F.round("score", 7).alias("score"))
 
 
 @query("J13_similarity_pairs", "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.5")

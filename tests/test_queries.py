@@ -21,7 +21,7 @@ def oracle():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return None if math.isnan(v) else round(v, 9)
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
     return v
