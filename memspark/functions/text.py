@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def occurrences(low: Column, words: list[str]) -> Column:
+    """How many tokens of a lower-case text are among the words. A Latin token is a whole run, so one pattern counts them without building the list of tokens."""
+    latin = [w for w in words if re.fullmatch("[0-9a-z]+", w)]
+    single = [w for w in words if re.fullmatch("[\u4e00-\u9fff]", w)]
+    parts = ([f"(?<![0-9a-z])(?:{'|'.join(latin)})(?![0-9a-z])"] if latin else []) + single
+    return F.regexp_count(low, F.lit("|".join(parts))) if parts else F.lit(0)
+
+
 def terms(text: Column) -> Column:
     """Distinct tokens that are no stop words, in order."""
     return F.array_distinct(F.array_except(tokens(text), F.array(*map(F.lit, STOP))))

@@ -29,7 +29,10 @@ def best(hits: DataFrame, k: int | None) -> DataFrame:
 
 def keyword(units: DataFrame, query: list[str], k: int | None = None) -> DataFrame:
     """Share of a unit's tokens that are in the query; nothing is shuffled before the top k."""
-    scored = units.select("unit_id", t.overlap(t.tokens(F.col("content")), query).alias("score")).where("score > 0")
+    low = F.lower("content")
+    share = t.occurrences(low, sorted(set(query))) / F.nullif(F.regexp_count(low, F.lit(t.TOKEN)), F.lit(0))
+    # the filter inside the generator keeps the score from being computed once more for a filter below it
+    scored = units.select("unit_id", F.explode(F.filter(F.array(share), lambda x: x > 0)).alias("score"))
     return best(scored.withColumn("channel", F.lit("keyword")), k)
 
 
@@ -107,8 +110,8 @@ def bm25(docs: DataFrame, query: list[str], k1: float = K1, b: float = B) -> Dat
     q = sorted(set(query))
     if not q:
         return docs.select("unit_id", F.lit(0.0).alias("score")).limit(0)
-    toks = docs.select("unit_id", t.tokens(F.col("content")).alias("toks"))
-    tf = toks.select("unit_id", F.size("toks").alias("dl"), *(F.size(F.filter("toks", _is(w))).alias(f"tf{i}") for i, w in enumerate(q)))
+    counts = t.let(t.tokens(F.col("content")), lambda ts: F.struct(F.size(ts).alias("dl"), *(F.size(F.filter(ts, _is(w))).alias(f"tf{i}") for i, w in enumerate(q))))
+    tf = docs.select("unit_id", F.explode(F.array(counts)).alias("c")).select("unit_id", "c.*")  # the generator keeps counts from being computed for each use
     stats = tf.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(q))))
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     score: Column = F.lit(0.0)

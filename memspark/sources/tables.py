@@ -15,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*(F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few splits dealt out to all cores; one that has splits enough is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flat view of memory units: documents, with what their labels say as lifecycle and importance."""
-    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    d, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     both = d.join(labels, "doc_id", "left")
     return both.select(
         F.concat(F.lit("d"), "doc_id").alias("unit_id"),
