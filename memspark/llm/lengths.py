@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.llm.shared import written
 from memspark.llm.tokens import default_vocabulary, encoded
 
 STRETCH = 4096
@@ -93,4 +94,5 @@ def quantiles(summed: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op9_length_histogram(spark, sf_dir: str) -> DataFrame:
-    return sums(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    # texts are encoded once; sums read the pairs twice
+    return sums(written(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "lengths"))
