@@ -264,3 +264,110 @@ def seconds(clock: Column) -> Column:
     """HH:MM:SS or MM:SS as seconds."""
     parts = F.split(clock, ":")
     return F.aggregate(F.transform(parts, lambda p: p.cast("long")), F.lit(0).cast("long"), lambda s, p: s * 60 + p)
+
+
+#: How much each kind of memory matters by default.
+IMPORTANCE = {"decision": 0.9, "preference": 0.8, "fact": 0.6, "event": 0.5, "chat": 0.2}
+#: Keys whose values never reach a log.
+SECRET_KEYS = ("password", "passwd", "secret", "token", "api_key", "authorization")
+
+
+def category_importance(category: Column, default: float = 0.5) -> Column:
+    known = F.create_map(*(x for k, v in IMPORTANCE.items() for x in (F.lit(k), F.lit(v))))
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(category))), F.lit(default))
+
+
+def redacted(details: Column) -> Column:
+    """A map of details for a log: values of secret keys are hidden, personal data in the others is masked."""
+    return F.transform_values(details, lambda k, v: F.when(F.lower(k).isin(*SECRET_KEYS), "***").otherwise(masked(v)))
+
+
+def fingerprint(values: Column) -> Column:
+    """SHA-256 of a map of strings as compact JSON with its keys in order; the order of insertion does not count."""
+    entries = F.array_sort(F.map_entries(values))
+    return F.sha2(F.to_json(F.map_from_entries(entries)), 256)
+
+
+def guarded(text: Column, most: int, note: str = "…[cut]") -> Column:
+    """A prompt of at most so many characters, with a note where it was cut."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - len(note)), F.lit(note)))
+
+
+def sentences(text: Column) -> Column:
+    """Trimmed sentences, each with its end mark; empty ones are left out."""
+    parts = F.regexp_extract_all(text, F.lit(r"[^。！？.!?\n]+[。！？.!?]*"), F.lit(0))
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def with_context(parts: Column, before: int, most: int) -> Column:
+    """struct(context, text) for each part: the last `most` characters of up to `before` parts ahead of it."""
+
+    def one(p: Column, i: Column) -> Column:
+        head = F.array_join(F.slice(parts, F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before))), " ")
+        return F.struct(F.when(i == 0, "").otherwise(F.right(head, F.lit(most))).alias("context"), p.alias("text"))
+
+    return F.transform(parts, one)
+
+
+def humanised(at: Column, precision: Column) -> Column:
+    """A date in words, as far as it is known."""
+    year, month, day = F.date_format(at, "yyyy"), F.date_format(at, "MMMM yyyy"), F.date_format(at, "d MMMM yyyy")
+    return F.when(precision == "year", year).when(precision == "month", month).when(precision == "day", day).otherwise(F.concat(day, F.date_format(at, " HH:mm")))
+
+
+def scalar_metadata(values: Column) -> Column:
+    """Whether all values of a JSON object are scalars; null for a text that is no object."""
+    kinds = F.map_values(F.from_json(values, "map<string,string>"))
+    return F.when(F.try_parse_json(values).isNull() | ~values.rlike(r"^\s*\{"), None).otherwise(~F.exists(kinds, lambda v: F.coalesce(v.rlike(r"^\s*[\[{]"), F.lit(False))))
+
+
+#: Relative phrases with the days from the anchor's day to the window's first day, and its length.
+RELATIVE_DAYS = (("the day before yesterday", -2, 1), ("yesterday", -1, 1), ("today", 0, 1), ("tomorrow", 1, 1), ("last week", -7, 7), ("前天", -2, 1), ("昨天", -1, 1), ("今天", 0, 1), ("明天", 1, 1))
+RELATIVE_MONTHS = (("last month", -1, 1), ("this month", 0, 1), ("last year", -12, 12), ("上个月", -1, 1), ("这个月", 0, 1), ("去年", -12, 12))
+
+
+def time_window(text: Column, anchor: Column) -> Column:
+    """struct(start, end) that a question asks about, as half-open times; null if it names none.
+
+    An absolute date comes before relative phrases, a longer phrase before one
+    that it contains. Months and years are whole ones of the calendar.
+    """
+    low, day = F.lower(text), F.date_trunc("day", anchor)
+    window = lambda a, b: F.struct(a.cast("timestamp").alias("start"), b.cast("timestamp").alias("end"))
+    found = first_date(text)
+    out = F.when(found.isNotNull(), window(found, found + F.expr("interval 1 day")))
+    for phrase, first, n in RELATIVE_DAYS:
+        start = F.date_add(day, first)
+        out = out.when(low.contains(phrase), window(start, F.date_add(start, n)))
+    for phrase, first, n in RELATIVE_MONTHS:
+        start = F.add_months(F.trunc(anchor, "year" if n == 12 else "month"), first)
+        out = out.when(low.contains(phrase), window(start, F.add_months(start, n)))
+    return out
+
+
+def widened(window: Column, least_seconds: int) -> Column:
+    """A window made long enough, evenly on both sides."""
+    a, b = F.unix_micros(window["start"]), F.unix_micros(window["end"])
+    pad = F.greatest(F.lit(0).cast("long"), (F.lit(least_seconds * 1_000_000) - (b - a)) / 2).cast("long")
+    return F.struct(F.timestamp_micros(a - pad).alias("start"), F.timestamp_micros(b + pad).alias("end"))
+
+
+def overlapping_chunks(text: Column, size: int, overlap: int) -> Column:
+    """Array of (start, text): windows of `size` that look back `overlap` characters; an empty text has one empty chunk."""
+    step = size - overlap
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - overlap, F.lit(1)) - 1, F.lit(step))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(text, s + 1, F.lit(size)).alias("text")))
+
+
+def merged_segments(parts: Column, least: float) -> Column:
+    """Segments (start, end, text) in order; one shorter than the least joins the one before it, the first one the next."""
+    empty = F.array().cast("array<struct<start:double,end:double,text:string>>")
+
+    def add(done: Column, p: Column) -> Column:
+        last = F.element_at(done, -1)
+        short = ((p["end"] - p["start"]) < least) | ((last["end"] - last["start"]) < least)
+        both = F.struct(last["start"].alias("start"), p["end"].alias("end"), F.concat_ws(" ", last["text"], p["text"]).alias("text"))
+        own = F.struct(p["start"].cast("double").alias("start"), p["end"].cast("double").alias("end"), p["text"].alias("text"))
+        return F.when(F.size(done) == 0, F.array(own)).when(short, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(own)))
+
+    return F.aggregate(parts, empty, add)

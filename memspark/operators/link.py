@@ -80,3 +80,47 @@ def role_step(frontier: DataFrame, edges: DataFrame, rules: DataFrame, depth: in
     better = (F.size(F.array_except("duties", "d2")) == 0) & (F.col("h2") <= F.col("hops")) & ((F.size("d2") > F.size("duties")) | (F.col("h2") < F.col("hops")))
     worse = s.join(o, ["root", "node"]).where(better).select("root", "node", "duties", "hops").distinct()
     return s.join(worse, ["root", "node", "duties", "hops"], "left_anti")
+
+
+def hydrated(properties: DataFrame, units: DataFrame) -> DataFrame:
+    """property_id with each source unit that is still there, in the order of its provenance. properties: property_id, provenance."""
+    p = properties.select("property_id", F.posexplode("provenance").alias("pos", "unit_id"))
+    return p.join(units, "unit_id")
+
+
+def property_index(properties: DataFrame, entities: DataFrame) -> DataFrame:
+    """The property units of the entities asked for. properties: entity, property_id; each name is folded to its key."""
+    key = lambda d: d.withColumn("entity", t.entity_key(F.col("entity")))
+    return key(properties).join(key(entities).select("entity").distinct(), "entity").select("entity", "property_id").distinct()
+
+
+def supported(relations: DataFrame, supports: DataFrame, on: list[str]) -> DataFrame:
+    """Relations with the number of confirmed supports that hold under the same conditions."""
+    n = supports.where("confirmed").groupBy(*on).agg(F.count("*").alias("supports"))
+    return relations.join(n, on, "left").withColumn("supports", F.coalesce("supports", F.lit(0).cast("long")))
+
+
+def duty_budget(steps: DataFrame, rules: DataFrame) -> DataFrame:
+    """Steps (root, edge_type, direction, hops) that some duty's rule allows, with the least depth any of those duties leaves. rules: duty, edge_type, direction, max_depth."""
+    r = rules.groupBy("edge_type", "direction").agg(F.min("max_depth").alias("budget"))
+    return steps.join(r, ["edge_type", "direction"]).where("hops <= budget")
+
+
+def permitted(requests: DataFrame, members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Requests (request_id, user_id, resource, action) that a fact grants to the user or one of the user's groups."""
+    direct = requests.select("request_id", "user_id", F.col("user_id").alias("subject"), "resource", "action")
+    by_group = requests.join(members, "user_id").select("request_id", "user_id", F.col("group_id").alias("subject"), "resource", "action")
+    hit = direct.unionByName(by_group).join(facts.where("revoked_at IS NULL"), ["subject", "resource", "action"], "left_semi")
+    return requests.join(hit.select("request_id").distinct(), "request_id", "left_semi")
+
+
+def combined_paths(a: DataFrame, b: DataFrame, key: str = "unit_id") -> DataFrame:
+    """Scores of two recall paths added; a hit of one path alone keeps its score."""
+    j = a.withColumnRenamed("score", "_a").join(b.withColumnRenamed("score", "_b"), key, "full")
+    return j.select(key, (F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))).alias("score"))
+
+
+def hierarchy_candidates(home: DataFrame, tree: DataFrame) -> DataFrame:
+    """Units without a parent that may get one: no tree claims them as a child either. home: unit_id, parent_id; tree: unit_id, child_ids."""
+    claimed = tree.select(F.explode("child_ids").alias("unit_id")).distinct()
+    return home.where("parent_id IS NULL").join(claimed, "unit_id", "left_anti")

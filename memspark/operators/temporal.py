@@ -173,3 +173,24 @@ def tree_faults(tree: DataFrame) -> DataFrame:
     many = down.groupBy("unit_id").agg(F.countDistinct("p").alias("n")).where("n > 1").select("unit_id", F.lit("many_parents").alias("fault"))
     outside = tree.join(down, "unit_id").where("span_start < ps OR span_end > pe").select("unit_id", F.lit("outside").alias("fault"))
     return own.unionByName(one_sided).unionByName(stray).unionByName(many).unionByName(outside)
+
+
+def scene_groups(rows: DataFrame, user: str, seconds: float, least_cosine: float) -> DataFrame:
+    """user, unit_id, start: a scene ends at a change of meta, after an end signal, where adjacent vectors differ, or where a row lies too long after the scene's start.
+
+    The first three cuts are told from the row before, so windows make them;
+    only the time since the start is carried, by the fold of span_groups within
+    the runs between those cuts. rows: unit_id, at, meta, ends, vector.
+    """
+    w = Window.partitionBy(user).orderBy("at", "unit_id")
+    before = lambda c: F.lag(c).over(w)
+    cut = before("at").isNull() | ~F.col("meta").eqNullSafe(before("meta")) | F.coalesce(before("ends"), F.lit(False)) | (t.cosine(F.col("vector"), before("vector")) < least_cosine)
+    runs = rows.withColumn("_cut", cut).withColumn("session", F.sum(F.col("_cut").cast("int")).over(w))
+    return span_groups(runs.select(user, "unit_id", "session", "at"), user, seconds)
+
+
+def batches(rows: DataFrame, by: list[str], order: list[Column], cut: Column, size: int) -> DataFrame:
+    """group, batch: continuous runs in batches of at most so many rows. A batch is full by its place in the run, so nothing has to be carried."""
+    g = gap_groups(rows, by, order, cut)
+    place = F.row_number().over(Window.partitionBy(*by, "group").orderBy(*order)) - 1
+    return g.withColumn("batch", F.floor(place / size))
