@@ -10,7 +10,7 @@ from memspark.functions import text as t
 from memspark.operators import fuse, govern, link, plugins, recall
 from memspark.operators import temporal as tm
 from memspark.plans.registry import query
-from memspark.plans.retrieval import KEYWORD_SQL, TOKENS_SQL
+from memspark.plans.retrieval import KEYWORD_SQL, TOKENS_SQL, WORDS
 from memspark.sources import connectors as c
 from memspark.sources.tables import EPOCH, STEP, UNITS_SQL, table, units
 
@@ -176,7 +176,7 @@ def w28(spark, sf_dir):
 
 @query("L02_L03_budget_cut", f"WITH {KEYWORD_SQL}, r AS (SELECT unit_id, score FROM kw WHERE score > 0 ORDER BY round(score, 12) DESC, unit_id LIMIT 20) SELECT unit_id, round(score, 9) AS score FROM r ORDER BY round(score, 12) DESC, unit_id LIMIT 5")
 def l02(spark, sf_dir):
-    hits = recall.keyword(units(spark, sf_dir), ["the", "ing"], 20)
+    hits = recall.keyword(units(spark, sf_dir), WORDS, 20)
     return recall.best(hits, 5).select("unit_id", F.round("score", 9).alias("score"))
 
 
