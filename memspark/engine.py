@@ -14,6 +14,22 @@ from memspark.operators import fuse, govern, lifecycle, recall
 from memspark.sources.connectors import inserted, paged
 
 
+#: Pipelines by name: the options of a search. A search's own options come before them.
+PIPELINES: dict[str, dict] = {
+    "keyword": {"channels": ("keyword",), "fuser": "comb_max"},
+    "hybrid": {"channels": ("keyword", "bm25"), "fuser": "rrf"},
+    "vector": {"channels": ("vector",), "fuser": "comb_max"},
+}
+
+
+def channels_of(asked: tuple[str, ...] | None, pipeline: tuple[str, ...] | None, default: tuple[str, ...]) -> tuple[str, ...]:
+    """The query's channels, else the pipeline's, else the default ones; a given empty list is an error."""
+    chosen = next(c for c in (asked, pipeline, default) if c is not None)
+    if not chosen:
+        raise ValueError("no channel")
+    return tuple(dict.fromkeys(chosen))
+
+
 @dataclass(frozen=True)
 class Engine:
     """units has unit_id, content, lifecycle, tier, tags, t_event, t_ingest, t_valid, t_invalid, t_message (epoch milliseconds), importance, provenance, supersedes and the scope's columns; vectors: unit_id, vector."""
@@ -56,6 +72,14 @@ class Engine:
         body = {"l0": t.first_sentence(F.col("content")), "l1": F.substring("content", 1, 200), "l2": F.col("content")}[level]
         return cut.join(seen.select("unit_id", body.alias("text")), "unit_id").orderBy(F.desc("score"), "unit_id")
 
+    def named(self, pipeline: str, query: str | list[str], scope: dict[str, str], **options) -> DataFrame:
+        """A search by a named pipeline."""
+        if pipeline not in PIPELINES:
+            raise ValueError(f"no pipeline named {pipeline}; there are {sorted(PIPELINES)}")
+        preset = PIPELINES[pipeline]
+        channels = channels_of(options.pop("channels", None), preset.get("channels"), ("keyword", "bm25"))
+        return self.search(query, scope, **{**preset, **options, "channels": channels})
+
     def list(self, scope: dict[str, str], offset: int = 0, limit: int = 50, filters: dict | None = None) -> DataFrame:
         rows = self.units.where(s.exact(scope, self.scope_dims) & self._filter(filters))
         return paged(rows, [F.coalesce("t_ingest", F.lit(-(2**63))).desc(), F.desc("unit_id")], offset, limit)

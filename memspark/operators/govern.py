@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +74,28 @@ def latest_label(rows: DataFrame, by: str, label: str, order: list[str]) -> Data
 def top_by(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def chained(rows: DataFrame, chain: str, seq: str, body: str, heads: dict[str, str] | None = None) -> DataFrame:
+    """chain, seq, previous_digest, digest: new rows of append-only logs, each bound to the row before; heads are the digests that the chains ended with.
+
+    A chain is in order by nature: its rows stream by sorted, and the state is
+    one digest. Checking needs no order (broken_links).
+    """
+    known = dict(heads or {})
+
+    def run(batches):
+        last, digest = None, ""
+        for pdf in batches:
+            before, after = [], []
+            for c, n, x in zip(pdf[chain], pdf[seq], pdf[body], strict=True):
+                if c != last:
+                    last, digest = c, known.get(c, "")
+                before.append(digest)
+                digest = hashlib.sha256(f"{digest}\n{c}\n{n}\n{x or ''}".encode()).hexdigest()
+                after.append(digest)
+            yield pdf[[chain, seq]].assign(previous_digest=before, digest=after)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(F.col(chain).cast("string").alias(chain), F.col(seq).cast("long").alias(seq), body).repartition(n, chain).sortWithinPartitions(chain, seq)
+    return dealt.mapInPandas(run, f"{chain} string, {seq} long, previous_digest string, digest string")

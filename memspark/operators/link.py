@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as t
+from memspark.sources.scratch import written
 
 
 def coreferences(mentions: DataFrame) -> DataFrame:
@@ -124,3 +125,21 @@ def hierarchy_candidates(home: DataFrame, tree: DataFrame) -> DataFrame:
     """Units without a parent that may get one: no tree claims them as a child either. home: unit_id, parent_id; tree: unit_id, child_ids."""
     claimed = tree.select(F.explode("child_ids").alias("unit_id")).distinct()
     return home.where("parent_id IS NULL").join(claimed, "unit_id", "left_anti")
+
+
+def role_view(seeds: DataFrame, edges: DataFrame, rules: DataFrame, depth: int) -> DataFrame:
+    """root, node, duties, hops: all states that the seeds (root, node, duties) lead to. A state goes when one reached before has all of its duties.
+
+    Each hop is written to the shared folder, so a lost executor costs one hop.
+    """
+    front = written(seeds.select("root", "node", F.array_sort("duties").alias("duties"), F.lit(0).alias("hops")).distinct(), "role")
+    seen = front
+    for _ in range(depth):
+        new = role_step(front, edges, rules, depth)
+        known = seen.select("root", "node", F.col("duties").alias("had")).distinct()
+        old = new.join(known, ["root", "node"]).where(F.size(F.array_except("duties", "had")) == 0).select(*new.columns).distinct()
+        front = written(new.join(old, new.columns, "left_anti"), "role")
+        if not front.limit(1).count():
+            break
+        seen = seen.unionByName(front)
+    return seen

@@ -223,3 +223,15 @@ def token_pairs(units: DataFrame, token: Column, least: int, block: list[str] |
 def expected_lift(n: int, df: int) -> float:
     """The idf that bm25() gives a term, for tests and explanations."""
     return math.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def oversampled(hits: DataFrame, k: int, keep: Column, factor: int = 4) -> DataFrame:
+    """For an index that filters after its search: the best factor * k hits, then the filter, then k; what the filter takes is not filled up."""
+    return best(best(hits, factor * k).where(keep), k)
+
+
+def filled_up(first: DataFrame, rest: DataFrame, k: int) -> DataFrame:
+    """The first batch's best k; only if there are fewer, the rest's best after them. Both are cut to k before they meet."""
+    a = best(first, k).withColumn("batch", F.lit(1))
+    b = best(rest.join(a.select("unit_id"), "unit_id", "left_anti"), k).withColumn("batch", F.lit(2))
+    return a.unionByName(b).orderBy("batch", F.desc("score"), "unit_id").limit(k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as t
+from memspark.sources.scratch import written
 
 #: Defaults of time groups.
 SPAN_SECONDS, SCENE_SECONDS, EVENT_COSINE = 7200, 14 * 86_400, 0.65
@@ -194,3 +195,23 @@ def batches(rows: DataFrame, by: list[str], order: list[Column], cut: Column, si
     g = gap_groups(rows, by, order, cut)
     place = F.row_number().over(Window.partitionBy(*by, "group").orderBy(*order)) - 1
     return g.withColumn("batch", F.floor(place / size))
+
+
+def families(versions: DataFrame, most: int = 64) -> DataFrame:
+    """unit_id, family: the oldest version that a chain of supersedes leads to; a version that is not there ends the chain before it.
+
+    Pointers are doubled, so a chain of n versions takes log2(n) joins; each
+    step is written to the shared folder. A ring of versions fails.
+    """
+    own = versions.select("unit_id", F.col("supersedes").alias("up"))
+    there = own.select(F.col("unit_id").alias("up"), F.lit(True).alias("_there"))
+    jump = written(own.join(there, "up", "left").select("unit_id", F.when(F.col("_there"), F.col("up")).otherwise(F.col("unit_id")).alias("up")), "family")
+    for _ in range(most):
+        far = jump.select(F.col("unit_id").alias("up"), F.col("up").alias("_far"))
+        nxt = written(jump.join(far, "up").select("unit_id", F.col("_far").alias("up"), (F.col("_far") != F.col("up")).alias("moved")), "family")
+        jump = nxt.select("unit_id", "up")
+        if not nxt.where("moved").limit(1).count():
+            break
+    roots = own.join(there, "up", "left").where("_there IS NULL").select(F.col("unit_id").alias("up"), F.lit(True).alias("_root"))
+    ring = F.raise_error(F.lit("versions supersede each other in a ring")).cast("boolean")
+    return jump.join(roots, "up", "left").where(F.coalesce("_root", ring)).select("unit_id", F.col("up").alias("family"))

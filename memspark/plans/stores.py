@@ -224,3 +224,57 @@ def v16(spark, sf_dir):
 @query("P17_G09_trace_counts", f"{U} SELECT tier, lifecycle, count(*) AS n FROM units GROUP BY ALL")
 def p17(spark, sf_dir):
     return units(spark, sf_dir).groupBy("tier", "lifecycle").agg(F.count("*").alias("n"))
+
+
+_FAMILY = "WITH g AS (SELECT event_id, user_id, ts, sum((event_type = 'error')::int) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events)"
+
+
+@query("J22_version_families", f"{_FAMILY} SELECT event_id AS unit_id, first_value(event_id) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS family FROM g")
+def j22(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    v = table(spark, sf_dir, "events").select(F.col("event_id").alias("unit_id"), F.when(F.col("event_type") != "error", F.lag("event_id").over(w)).alias("supersedes"))
+    return tm.families(v)
+
+
+@query("J31_role_view", "WITH s AS (SELECT conv_id, turn, bool_and(turn = 0 OR role = 'user' OR role = 'assistant') OVER w AS own, bool_and(turn = 0 OR role = 'user' OR role = 'system') OVER w AS see FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) SELECT conv_id || '/' || turn AS node, concat_ws(',', CASE WHEN own THEN 'own' END, CASE WHEN see THEN 'see' END) AS duties, turn::int AS hops FROM s WHERE turn <= 3 AND (own OR see)")
+def j31(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    node = lambda k: F.concat_ws("/", F.col("conv_id").cast("string"), k.cast("string"))
+    turn = F.col("turn")
+    seeds = conv.where("turn = 0").select(node(turn).alias("root"), node(turn).alias("node"), F.array(F.lit("see"), F.lit("own")).alias("duties"))
+    edges = conv.where("turn > 0").select(node(turn - 1).alias("src"), node(turn).alias("dst"), F.col("role").alias("edge_type"), F.lit(True).alias("confirmed"))
+    rules = spark.sql("SELECT * FROM VALUES ('own', 'user'), ('own', 'assistant'), ('see', 'user'), ('see', 'system') AS r(duty, edge_type)")
+    return link.role_view(seeds, edges, rules, 3).select("node", F.array_join("duties", ",").alias("duties"), "hops")
+
+
+@query("J03_J05_oversampled", f"WITH {KEYWORD_SQL}, r AS (SELECT unit_id, score FROM kw WHERE score > 0 ORDER BY score DESC, unit_id LIMIT 40) SELECT unit_id, round(score, 9) AS score FROM r JOIN units USING (unit_id) WHERE lifecycle = 'active' ORDER BY r.score DESC, unit_id LIMIT 10")
+def j03(spark, sf_dir):
+    x = units(spark, sf_dir)
+    hits = recall.keyword(x, WORDS, 40).join(x.select("unit_id", "lifecycle"), "unit_id")
+    return recall.oversampled(hits, 10, F.col("lifecycle") == "active").select("unit_id", F.round("score", 9).alias("score"))
+
+
+@query("P20_filled_up", f"WITH {KEYWORD_SQL}, a AS (SELECT unit_id, score FROM kw JOIN units USING (unit_id) WHERE score > 0 AND tier = 'core' ORDER BY score DESC, unit_id LIMIT 30), b AS (SELECT unit_id, score FROM kw WHERE score > 0 AND unit_id NOT IN (SELECT unit_id FROM a) ORDER BY score DESC, unit_id LIMIT 30) SELECT unit_id, round(score, 9) AS score, batch FROM (SELECT *, 1 AS batch FROM a UNION ALL SELECT *, 2 AS batch FROM b) AS u ORDER BY batch, u.score DESC, unit_id LIMIT 30")
+def p20(spark, sf_dir):
+    x = units(spark, sf_dir)
+    core = recall.keyword(x.where("tier = 'core'"), WORDS)
+    return recall.filled_up(core, recall.keyword(x, WORDS), 30).select("unit_id", F.round("score", 9).alias("score"), "batch")
+
+
+@query("T15_hash_chain")
+def t15(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return govern.chained(e.select(F.col("user_id").cast("string").alias("org"), F.col("event_id").alias("seq"), F.col("props").alias("body")), "org", "seq", "body")
+
+
+@query("T23_index_maintenance", "SELECT o_orderkey AS unit_id, CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS version, o_orderstatus = 'F' AS removed FROM orders")
+def t23(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "unit_id")
+    old, fresh = o.select("unit_id", F.lit(1).alias("version")), o.where("o_orderstatus = 'P'").select("unit_id", F.lit(2).alias("version"))
+    return c.maintained(old, fresh, o.where("o_orderstatus = 'F'"), "unit_id", hard=False)
+
+
+@query("F34_F47_shards_without_continuity", "SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND value <= 90")
+def f34(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("shard", F.col("event_type")).withColumn("shard_next", F.lit(None).cast("string"))
+    return e.where(s.in_shards(s.shard_labels(" click, view", ("click", "view", "error")))).where("value <= 90").select("event_id")

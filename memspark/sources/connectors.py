@@ -130,3 +130,12 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("multiLine", True).json(path)
     s = raw.select(F.col("id").alias("case_id"), F.posexplode("sessions").alias("session", "turns"))
     return s.select("case_id", "session", F.posexplode("turns").alias("turn", "t")).select("case_id", "session", "turn", "t.*")
+
+
+def maintained(index: DataFrame, fresh: DataFrame, gone: DataFrame, on: str, hard: bool = True) -> DataFrame:
+    """An index table after changes: fresh entries replace those of their units; entries of gone units are dropped, or only marked (removed)."""
+    kept = index.join(fresh.select(on).distinct(), on, "left_anti").unionByName(fresh)
+    if hard:
+        return kept.join(gone.select(on).distinct(), on, "left_anti")
+    marked = kept.join(gone.select(on).distinct().withColumn("removed", F.lit(True)), on, "left")
+    return marked.withColumn("removed", F.coalesce("removed", F.lit(False)))
