@@ -99,3 +99,17 @@ def chained(rows: DataFrame, chain: str, seq: str, body: str, heads: dict[str, s
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(F.col(chain).cast("string").alias(chain), F.col(seq).cast("long").alias(seq), body).repartition(n, chain).sortWithinPartitions(chain, seq)
     return dealt.mapInPandas(run, f"{chain} string, {seq} long, previous_digest string, digest string")
+
+
+def revoked(grants: DataFrame, named: DataFrame, on: list[str], now: Column) -> DataFrame:
+    """Grants with those named closed at a moment; one that was closed before keeps its time."""
+    hit = named.select(*on).distinct().withColumn("_hit", F.lit(True))
+    return grants.join(hit, on, "left").withColumn("revoked_at", F.coalesce("revoked_at", F.when(F.col("_hit"), now))).drop("_hit")
+
+
+def write_targets(items: DataFrame, targets: DataFrame, on: list[str], item: str, most: int = 8) -> DataFrame:
+    """The spaces that each item goes to, by order of priority; more of them than the limit is an error, none are left out. targets: on, target, priority, writable."""
+    j = items.join(targets.where("writable"), on)
+    n = F.count("*").over(Window.partitionBy(item))
+    over = F.raise_error(F.lit("too many write targets")).cast("boolean")
+    return j.withColumn("_n", n).where(F.when(F.col("_n") <= most, True).otherwise(over)).withColumn("place", F.row_number().over(Window.partitionBy(item).orderBy("priority", "target"))).drop("_n")

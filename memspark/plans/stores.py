@@ -278,3 +278,29 @@ def t23(spark, sf_dir):
 def f34(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("shard", F.col("event_type")).withColumn("shard_next", F.lit(None).cast("string"))
     return e.where(s.in_shards(s.shard_labels(" click, view", ("click", "view", "error")))).where("value <= 90").select("event_id")
+
+
+@query("G10_revoke", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 5 WHEN o_custkey % 3 = 0 THEN 9 END::bigint AS revoked_at FROM orders")
+def g10(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("revoked_at", F.when(F.col("o_orderstatus") == "F", 5).cast("long"))
+    return govern.revoked(o, o.where("o_custkey % 3 = 0"), ["o_orderkey"], F.lit(9).cast("long")).select("o_orderkey", "revoked_at")
+
+
+@query("G17_write_targets", "SELECT c_custkey, 'org' || (c_nationkey % 3) AS target, CASE WHEN c_nationkey % 2 = 0 THEN 2 ELSE 1 END AS place FROM customer UNION ALL SELECT c_custkey, 'nation' || c_nationkey, 1 FROM customer WHERE c_nationkey % 2 = 0")
+def g17(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    own = n.select(key.alias("c_nationkey"), F.concat(F.lit("nation"), key.cast("string")).alias("target"), F.lit(1).alias("priority"), (key % 2 == 0).alias("writable"))
+    org = n.select(key.alias("c_nationkey"), F.concat(F.lit("org"), (key % 3).cast("string")).alias("target"), F.lit(2).alias("priority"), F.lit(True).alias("writable"))
+    return govern.write_targets(table(spark, sf_dir, "customer"), own.unionByName(org), ["c_nationkey"], "c_custkey").select("c_custkey", "target", "place")
+
+
+@query("V06_abstract", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) SELECT conv_id, string_agg(left(text, 50), '；' ORDER BY turn) AS abstract FROM r WHERE r <= 8 GROUP BY conv_id")
+def v06(spark, sf_dir):
+    return plugins.get("abstractor", "concat")(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
+
+
+@query("P13_entities_to_units", "SELECT l_orderkey AS unit_id, max(p_size) AS score FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 40 GROUP BY l_orderkey")
+def p13(spark, sf_dir):
+    entities = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    return table(spark, sf_dir, "lineitem").join(entities, "l_partkey").groupBy(F.col("l_orderkey").alias("unit_id")).agg(F.max("p_size").alias("score"))
