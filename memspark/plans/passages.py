@@ -62,7 +62,7 @@ def x37(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", t.fingerprint(values).alias("fingerprint"))
 
 
-@query("X39_X40_X47_dates_in_words", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%B %Y') ELSE strftime(o_orderdate, '%-d %B %Y') END AS said FROM orders")
+@query("X47_dates_in_words", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%B %Y') ELSE strftime(o_orderdate, '%-d %B %Y') END AS said FROM orders")
 def x47(spark, sf_dir):
     k = F.col("o_orderkey") % 3
     return table(spark, sf_dir, "orders").select("o_orderkey", t.humanised(F.col("o_orderdate"), F.when(k == 0, "year").when(k == 1, "month").otherwise("day")).alias("said"))
@@ -97,6 +97,6 @@ def w27(spark, sf_dir):
     return d.select("doc_id", "c.start", F.col("c.text").alias("piece"))
 
 
-@query("X07_P01_sanitised", rf"""SELECT conv_id, turn, {_CLEAN.format(x="'[2024-01-01 10:00 UTC] ' || text")} AS text FROM conversations""")
+@query("X07_sanitised", rf"""SELECT conv_id, turn, {_CLEAN.format(x="'[2024-01-01 10:00 UTC] ' || text")} AS text FROM conversations""")
 def x07(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.sanitised(F.concat(F.lit("[2024-01-01 10:00 UTC] "), "text")).alias("text"))

@@ -17,7 +17,7 @@ from memspark.sources.tables import EPOCH, STEP, UNITS_SQL, table, units
 U = f"WITH {UNITS_SQL}"
 
 
-@query("S02_S03_ingest", "WITH p AS (SELECT conv_id, turn, text, unnest(range(0, greatest(length(text), 1), 120)) AS pos FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, (pos // 120)::int AS part, (greatest(length(text) - 1, 0) // 120 + 1)::int AS parts, substring(text, pos::int + 1, 120) AS content FROM p")
+@query("S02_ingest_pieces", "WITH p AS (SELECT conv_id, turn, text, unnest(range(0, greatest(length(text), 1), 120)) AS pos FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, (pos // 120)::int AS part, (greatest(length(text) - 1, 0) // 120 + 1)::int AS parts, substring(text, pos::int + 1, 120) AS content FROM p")
 def s02(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").where("text IS NOT NULL").withColumn("pieces", t.chunks(F.col("text"), 120))
     return d.select("conv_id", "turn", F.size("pieces").alias("parts"), F.posexplode("pieces").alias("part", "p")).select("conv_id", "turn", "part", "parts", F.col("p.text").alias("content"))
@@ -36,7 +36,7 @@ def s12(spark, sf_dir):
     return c.compare_and_swap(o.select("o_orderkey", F.col("o_orderstatus").alias("value")), changes, ["o_orderkey"])[0]
 
 
-@query("S14_S31_sealed_round_trip", "SELECT doc_id, text, true AS moved_fails FROM documents WHERE text IS NOT NULL")
+@query("S14_sealed_round_trip", "SELECT doc_id, text, true AS moved_fails FROM documents WHERE text IS NOT NULL")
 def s14(spark, sf_dir):
     key, aad = F.lit("0123456789abcdef"), F.concat_ws("/", "source", F.col("doc_id").cast("string"))
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
@@ -45,14 +45,14 @@ def s14(spark, sf_dir):
     return sealed.select("doc_id", c.decrypted(F.col("v"), key, F.col("aad")).cast("string").alias("text"), moved.isNull().alias("moved_fails"))
 
 
-@query("S25_G13_markdown", "SELECT conv_id, '# ' || conv_id || chr(10) || string_agg('**' || role || '**: ' || coalesce(text, ''), chr(10) ORDER BY turn) AS page FROM conversations GROUP BY conv_id")
+@query("S25_markdown", "SELECT conv_id, '# ' || conv_id || chr(10) || string_agg('**' || role || '**: ' || coalesce(text, ''), chr(10) ORDER BY turn) AS page FROM conversations GROUP BY conv_id")
 def s25(spark, sf_dir):
     line = F.concat(F.lit("**"), "role", F.lit("**: "), F.coalesce("text", F.lit("")))
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))).alias("xs"))
     return g.select("conv_id", F.concat(F.lit("# "), F.col("conv_id").cast("string"), F.lit("\n"), F.array_join(F.transform("xs", lambda e: e["x"]), "\n")).alias("page"))
 
 
-@query("S28_V15_index_tables", f"WITH {TOKENS_SQL} SELECT unit_id, len(toks)::int AS dl, len(list_distinct(toks))::int AS terms FROM tk WHERE len(toks) > 0")
+@query("S28_index_tables", f"WITH {TOKENS_SQL} SELECT unit_id, len(toks)::int AS dl, len(list_distinct(toks))::int AS terms FROM tk WHERE len(toks) > 0")
 def s28(spark, sf_dir):
     p = recall.postings(units(spark, sf_dir))
     return p.groupBy("unit_id").agg(F.max("dl").alias("dl"), F.count("*").cast("int").alias("terms"))
@@ -93,7 +93,7 @@ def j27(spark, sf_dir):
     return link.hydrated(props, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"), "p_name")).select("property_id", "unit_id", "p_name")
 
 
-@query("J30_G10_permissions", "SELECT c_custkey AS request_id FROM customer WHERE c_nationkey % 3 = 0 OR c_custkey % 5 = 0")
+@query("J30_permissions", "SELECT c_custkey AS request_id FROM customer WHERE c_nationkey % 3 = 0 OR c_custkey % 5 = 0")
 def j30(spark, sf_dir):
     cu = table(spark, sf_dir, "customer")
     user = F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
@@ -119,7 +119,7 @@ def j34(spark, sf_dir):
     return link.hierarchy_candidates(home, tree).select("unit_id")
 
 
-@query("J35_G16_personal_records", f"{U} SELECT DISTINCT unit_id FROM units WHERE (user_id = 'en' AND tier = 'working') OR (space = 'src0' AND lifecycle = 'active')")
+@query("J35_personal_records", f"{U} SELECT DISTINCT unit_id FROM units WHERE (user_id = 'en' AND tier = 'working') OR (space = 'src0' AND lifecycle = 'active')")
 def j35(spark, sf_dir):
     x = units(spark, sf_dir)
     own, shared = x.where("user_id = 'en' AND tier = 'working'"), x.where("space = 'src0' AND lifecycle = 'active'")
@@ -144,7 +144,7 @@ def a15(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(F.max("l_quantity").alias("score"), F.countDistinct("l_partkey").alias("units"))
 
 
-@query("A30_P08_clusters", "WITH o AS (SELECT o_custkey AS query_id, o_orderkey AS unit_id, o_totalprice AS score, o_orderpriority AS k FROM orders) SELECT query_id, unit_id::varchar AS unit_id, (first_value(unit_id) OVER (PARTITION BY query_id, k ORDER BY score DESC, unit_id))::varchar AS representative FROM o")
+@query("A30_clusters", "WITH o AS (SELECT o_custkey AS query_id, o_orderkey AS unit_id, o_totalprice AS score, o_orderpriority AS k FROM orders) SELECT query_id, unit_id::varchar AS unit_id, (first_value(unit_id) OVER (PARTITION BY query_id, k ORDER BY score DESC, unit_id))::varchar AS representative FROM o")
 def a30(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("query_id"), F.col("o_orderkey").alias("n"), F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("k"))
     w = Window.partitionBy("query_id", "k").orderBy("n")
@@ -185,7 +185,7 @@ def l10(spark, sf_dir):
     return fuse.must_not_exceed(units(spark, sf_dir).where("tier = 'core'").select("unit_id"), 10_000_000)
 
 
-@query("L11_G11_space_list", f"{U} SELECT space, count(*) AS members FROM units GROUP BY space ORDER BY space LIMIT 5 OFFSET 1")
+@query("L11_space_list", f"{U} SELECT space, count(*) AS members FROM units GROUP BY space ORDER BY space LIMIT 5 OFFSET 1")
 def l11(spark, sf_dir):
     g = units(spark, sf_dir).groupBy("space").agg(F.count("*").alias("members"))
     return g.orderBy("space").offset(1).limit(5)
@@ -215,20 +215,12 @@ def g04(spark, sf_dir):
     return tm.as_of(v, asked, "family", "at").select(F.col("family").alias("user_id"), "unit_id")
 
 
-@query("V07_V16_routed", f"{U} SELECT unit_id, CASE WHEN contains(lower(content), 'password') THEN 'private' WHEN contains(lower(content), 'the') THEN 'team' ELSE 'personal' END AS space FROM units")
+@query("V07_keyword_class", f"{U} SELECT unit_id, CASE WHEN contains(lower(content), 'password') THEN 'private' WHEN contains(lower(content), 'the') THEN 'team' ELSE 'personal' END AS space FROM units")
 def v16(spark, sf_dir):
     label = t.classified(F.col("content"), [(("password",), "private"), (("the",), "team")], "personal")
     return units(spark, sf_dir).select("unit_id", label.alias("space"))
 
 
-@query("P17_G09_trace_counts", f"{U} SELECT tier, lifecycle, count(*) AS n FROM units GROUP BY ALL")
-def p17(spark, sf_dir):
-    return units(spark, sf_dir).groupBy("tier", "lifecycle").agg(F.count("*").alias("n"))
-
-
-_FAMILY = "WITH g AS (SELECT event_id, user_id, ts, sum((event_type = 'error')::int) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events)"
-
-
 @query("J22_version_families", f"{_FAMILY} SELECT event_id AS unit_id, first_value(event_id) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS family FROM g")
 def j22(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -247,7 +239,7 @@ def j31(spark, sf_dir):
     return link.role_view(seeds, edges, rules, 3).select("node", F.array_join("duties", ",").alias("duties"), "hops")
 
 
-@query("J03_J05_oversampled", f"WITH {KEYWORD_SQL}, r AS (SELECT unit_id, score FROM kw WHERE score > 0 ORDER BY score DESC, unit_id LIMIT 40) SELECT unit_id, round(score, 9) AS score FROM r JOIN units USING (unit_id) WHERE lifecycle = 'active' ORDER BY r.score DESC, unit_id LIMIT 10")
+@query("J03_oversampled", f"WITH {KEYWORD_SQL}, r AS (SELECT unit_id, score FROM kw WHERE score > 0 ORDER BY score DESC, unit_id LIMIT 40) SELECT unit_id, round(score, 9) AS score FROM r JOIN units USING (unit_id) WHERE lifecycle = 'active' ORDER BY r.score DESC, unit_id LIMIT 10")
 def j03(spark, sf_dir):
     x = units(spark, sf_dir)
     hits = recall.keyword(x, WORDS, 40).join(x.select("unit_id", "lifecycle"), "unit_id")
