@@ -11,7 +11,7 @@ spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -80,6 +80,10 @@ def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarra
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+    return _fingerprinted(docs.select(F.col("doc_id").cast("long"), "text"), "long")
+
+
+def _fingerprinted(docs: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -91,7 +95,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
                 fp = fingerprints(texts.slice(k, 256).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 256), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def trie_pairs(x: np.ndarray, roots: np.ndarray, budget: int = BUDGET, top: int = TOP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -239,23 +243,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup_stage(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with its smallest doc_id, in its own columns; one of repeated rows.
+def rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text) and root (a fingerprint, the same throughout a component) of every row."""
+    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key")).alias("doc_id"), "text")
+    fps = written(_fingerprinted(keyed, "struct<doc_id:long,key:long>").select("doc_id.*", "fp"), "fingerprints")
+    tied = components(links(fps.select("fp").distinct()))
+    return fps.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "key", F.coalesce("root", "fp").alias("root"))
+
+
+def dedup_stage(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = rooted) -> DataFrame:
+    """One document of each component that ``find`` gives, the one with its smallest doc_id, in its own columns; one of repeated rows.
 
-    A component without any doc_id keeps one row.
+    A component without any doc_id keeps one row. A row that is not its
+    component's choice goes, whatever other rows its doc_id has. A doc_id that
+    several components choose keeps one row, a null one each of them.
     """
-    found = written(near_duplicates(docs), "near-duplicates")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"), F.countDistinct("fp").alias("fps"))
-    kept = written(kept, "kept-documents")
+    found = find(docs).groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")).alias("r")).select("r.*")
+    named = chosen.where("not none").groupBy("doc_id").agg(F.min(F.struct("key", "rows")).alias("r")).select("doc_id", "r.*")
+    kept = written(named.unionByName(chosen.where("none").select("doc_id", "key", "rows")), "kept-documents")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key"))
+    ids = lambda of: of.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     # ids are never few enough to broadcast at scale: at every size texts are shuffled once and met by a hash of ids, unsorted
-    ids = kept.select(F.col("doc_id").alias("kept_id")).hint("shuffle_hash")
-    out = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    out = docs.join(ids(kept).hint("shuffle_hash"), same, "left_semi")
     if kept.where("rows > 1").limit(1).count():
-        # doc_ids that occur in several rows: few, and the only ones dealt out again
-        many = kept.where("rows > 1").select(F.col("doc_id").alias("kept_id"))
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
+        # rows that repeat: few, and the only ones dealt out again
+        many = ids(kept.where("rows > 1"))
         names = docs.columns
-        one = out.join(many, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64("text"), F.coalesce("text", F.lit("")))).alias("row")).select(*(F.col("row")[c].alias(c) for c in names))
+        one = out.join(many, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("row")).select(*(F.col("row")[c].alias(c) for c in names))
         out = out.join(many, same, "left_anti").unionByName(one)
     return out
 

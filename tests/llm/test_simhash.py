@@ -116,3 +116,17 @@ def test_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.dedup_stage(empty).count() == 0
+
+
+def rows_and_choice():
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(rng.choice("abcdefghijklmnopqrst") * rng.randint(1, 4) for _ in range(120)) for _ in range(5))
+    # two null ids in different components; 9 is the choice for d only, its other row is a near-duplicate of 4
+    rows = [(None, a), (None, b), (None, b), (4, c), (9, c), (9, d), (7, e), (None, e), (7, e)]
+    return rows, sorted([(None, a), (None, b), (4, c), (9, d), (7, e)], key=str)
+
+
+def test_the_stage_chooses_rows_not_ids(spark):
+    rows, want = rows_and_choice()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.text) for r in simhash.dedup_stage(docs).collect()), key=str) == want
