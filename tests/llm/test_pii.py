@@ -99,3 +99,28 @@ def test_query_and_stage(spark, judge):
 
 def test_overlapping_spans_are_redacted_once():
     assert pii.redacted("ab1234cd", [("ip", 2, 5), ("card", 3, 6)]) == "ab[IP]cd"
+
+
+def test_numbers_next_to_each_other(judge):
+    texts = {
+        "call 555-123-4567 555-987-6543 now": ["555-123-4567", "555-987-6543"],
+        "ssn 123-45-6789. 987-65-4321.": ["123-45-6789", "987-65-4321"],
+        "phone 5551234567 5559876543": ["5551234567", "5559876543"],
+        "phone 555-123-4567 24 hours": ["555-123-4567"],
+        "order 555-123-4567 555-987-6543": [],
+    }
+    for text, want in texts.items():
+        assert [text[a:b] for k, a, b in pii.spans(text, judge)] == want, text
+
+
+def test_every_stretch_of_groups_is_a_candidate():
+    texts = {
+        "555-123-4567 24": {"555-123", "555-123-4567", "555-123-4567 24", "123-4567", "123-4567 24", "4567 24"},
+        "(555) 987-6543, 12": {"(555) 987", "(555) 987-6543", "987-6543"},
+        "5551234567 5559876543": {"5551234567", "5559876543"},
+        "12345678 12345678 1": {"12345678", "12345678 12345678"},
+        "12345678901234567 3.141592 a123456 +4930123 123456b 1234567é": {"1234567"},
+    }
+    for text, want in texts.items():
+        got = [*pii.numbers(text)]
+        assert len(got) == len(set(got)) and {text[a:b] for a, b in got} == want, text
