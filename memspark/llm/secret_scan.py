@@ -24,8 +24,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The runs of 32 and more are the matches of [0-9a-f]+ that are long enough.
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: A credential's name, what may stand between, and its value.
-CONTEXT = re.compile(r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret|auth)[ _-]?key|bearer|authorization)["']?(?:\x20{0,4}(?:[:=]>?|->)\x20{0,4}|\x20is:?\x20|\x20)(?:bearer\x20|basic\x20)?["'`]?([^\s"'`<>]+)""", re.A | re.I)
+#: A credential's name, longest first; within a word it begins at a capital after a small letter.
+NAME = r"""(?:(?i:api|access|private|secret|auth)[ _-]?(?i:key)|(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|pass|bearer|authorization))"""
+CONTEXT = re.compile(rf"""(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])){NAME}""", re.A)
+#: What may stand between a name and its value, and the value. A name right after a name is read as its own context.
+VALUE = re.compile(r"""["']?(\x20{0,4}(?:[:=]>?|->)\x20{0,4}|\x20is:?\x20|\x20)(?:(?i:bearer|basic)\x20)?["'`]?([^\s"'`<>]+)""", re.A)
+NAMED = re.compile(rf"""{NAME}(?:["']?(?:[:=]+>?|->)?[.,;!?)\]}}]*)""", re.A)
 HINTS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"key", b"bearer", b"authorization")
 ASSIGN_HINTS = (b"passw", b"secret", b"token", b"api")
 SHORTEST = 8
@@ -152,13 +156,24 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     if b"x" * 32 in raw.translate(_hex_table()):
         out += [("hex", *m.span()) for m in HEX.finditer(text)]
     if any(h in low for h in HINTS):
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,;:!?)]}")
-            start, end = m.start(1), m.start(1) + len(value)
-            known = any(a <= start and end <= b for _, a, b in out)
-            assigned = any(c in ":=>" for c in text[m.start() : start])
+        done = 0
+        for name in CONTEXT.finditer(text):
+            # the search goes on right after each name, and beyond values that have been weighed
+            if name.start() < done or not (m := VALUE.match(text, name.end())):
+                continue
+            value = m[2].rstrip(".,;:!?)]}")
+            assigned = any(c in ":=>" for c in m[1])
+            # an assigned value may end in = as base64 does; a word in prose that does is a name
+            if NAMED.fullmatch(m[2]) or (not assigned and m[2][-1] in ":="):
+                continue
             mixed = any(c.isdigit() for c in value) or (assigned and any(not c.isalnum() for c in value))
-            if len(value) >= SHORTEST and mixed and not known and guess_cost(value) >= STRONG:
+            if len(value) < SHORTEST or not mixed:
+                continue
+            # parts of a value are no stronger than the whole, so each is weighed once
+            start = m.start(2)
+            done = end = start + len(value)
+            known = any(a <= start and end <= b for _, a, b in out)
+            if not known and guess_cost(value) >= STRONG:
                 out.append(("guess", start, end))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -80,3 +80,20 @@ def test_query_columns(spark):
         assert r.base_sha256 == s.sha(found, s.KINDS[:3]) and r.spans == s.joined(found)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, _, _ in found) for x in s.KINDS[:3])
     assert s.secrets(docs.limit(0)).count() == 0
+
+
+def added(text):
+    return [text[a:b] for k, a, b in s.spans(text) if k == "guess"]
+
+
+def test_names_beside_names_and_within_words():
+    value = "Zx9#kL2m!Qw8"
+    for lead in ("secret key: ", "the secret token is ", "dbPassword: ", "DBPassword=", "myApiKey -> ", "password: token: ", "secret api key = '", "pwd "):
+        assert added(f"x {lead}{value}, y") == [value], lead
+    for lead in ("compass: ", "Compass: ", "keypass: ", "token type: "):
+        assert not added(f"x {lead}{value}, y"), lead
+    assert added("pwd: Zx81kQpL02vWaGk3== y") == ["Zx81kQpL02vWaGk3=="]
+
+
+def test_many_names_take_linear_time():
+    assert len(added("pwd=" * 20_000)) == 1 and not added("secret key: " * 5_000)
