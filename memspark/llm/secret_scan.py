@@ -4,7 +4,8 @@ A value in a credential context is cut into the cheapest sequence of words,
 dates, repeats, runs, keyboard walks and brute-force spans. The decimal
 logarithms of their guesses add up; a value that takes more than STRONG is a
 secret even where no fixed pattern knows its form, and an easy one
-("password: changeme") is not added.
+("password: changeme") is not added. After a bare space, where prose goes on
+("the token bucket"), only values with a digit are weighed.
 """
 
 from __future__ import annotations
@@ -162,12 +163,11 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             if name.start() < done or not (m := VALUE.match(text, name.end())):
                 continue
             value = m[2].rstrip(".,;:!?)]}")
-            assigned = any(c in ":=>" for c in m[1])
-            # an assigned value may end in = as base64 does; a word in prose that does is a name
+            assigned = m[1] != " "
+            # an assigned value may end in = as base64 does; after a bare space a word that does is a name
             if NAMED.fullmatch(m[2]) or (not assigned and m[2][-1] in ":="):
                 continue
-            mixed = any(c.isdigit() for c in value) or (assigned and any(not c.isalnum() for c in value))
-            if len(value) < SHORTEST or not mixed:
+            if len(value) < SHORTEST or not (assigned or any(c.isdigit() for c in value)):
                 continue
             # parts of a value are no stronger than the whole, so each is weighed once
             start = m.start(2)

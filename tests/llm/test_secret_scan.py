@@ -97,3 +97,10 @@ def test_names_beside_names_and_within_words():
 
 def test_many_names_take_linear_time():
     assert len(added("pwd=" * 20_000)) == 1 and not added("secret key: " * 5_000)
+
+
+def test_values_of_letters_only():
+    assert added("pwd: qzXkJvBnWmTy") == ["qzXkJvBnWmTy"]
+    assert added("passphrase = kQzXwJvPnLmRtB, and") == ["kQzXwJvPnLmRtB"]
+    assert added("the password is qzXkJvBnWmTy") == ["qzXkJvBnWmTy"]
+    assert not added("pwd: administration") and not added("the password is qwertyuiop") and not added("pass qzXkJvBnWmTy")
