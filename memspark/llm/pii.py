@@ -44,17 +44,20 @@ GENERATORS = ("number", "account", "spelt")
 
 #: Words that stand near each kind of data, or near numbers that are none.
 CUES = (
-    "phone tel telephone call mobile cell fax whatsapp sms dial contact reach",
-    "ssn social security sin passport license tax id",
-    "iban account bank bic swift transfer",
-    "email mail write e-mail mailto",
-    "born birth birthday dob",
-    "order invoice version isbn price total page pages chapter figure table row rows line lines year years item sku part ticket case build release score room",
-    "my his her your our their me him",
+    "phone phones tel telephone call mobile cell fax whatsapp sms dial contact reach "
+    "telefon telefonnummer handy rufnummer mobil anrufen teléfono teléfonos tfno móvil llamar llame celular téléphone portable appeler appelez",
+    "ssn ssns social security sin passport license tax id steuernummer steuer-id ausweis reisepass sozialversicherungsnummer dni nif nie pasaporte seguridad passeport fiscal sécurité siret",
+    "iban account bank bic swift transfer konto kontonummer überweisung cuenta banco transferencia compte banque virement",
+    "email mail write e-mail mailto schreiben correo escribir escriba courriel écrire écrivez",
+    "born birth birthday dob geboren geburtstag geburtsdatum nacido nacida nacimiento né née naissance",
+    "order invoice version isbn price total page pages chapter figure table row rows line lines year years item sku part ticket case build release score room "
+    "bestellung rechnung preis seite seiten kapitel zeile zeilen jahr jahre pedido factura precio página páginas capítulo fila año años commande facture prix chapitre ligne lignes année années",
+    "my his her your our their me him mein meine sein ihr ihre unser mi su tu nuestro mon ma son sa votre notre",
 )
 CUE_SETS = tuple(frozenset(c.split()) for c in CUES)
 AROUND = 60
-WORD = re.compile(r"[A-Za-z-]+")
+WORD = re.compile(r"(?:[^\W\d_]|-)+")
+LOOSE_AT = re.compile(r"[\x20(\[]at[\x20)\]]", re.I)
 BREAK = re.compile(r"(?<=[0-9)])[\x20./-]*(?=[0-9(])")
 BEFORE_GROUP = re.compile(r"([0-9]+)\)?([\x20./-]{0,2})$")
 AFTER_GROUP = re.compile(r"()([\x20./-]{0,2})\(?([0-9]+)")
@@ -136,6 +139,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         before.rstrip()[-1:] == ":",
         after[:1] == "%",
         *(bool(c & w) for w in words for c in CUE_SETS),
+        bool(LOOSE_AT.search(body)) if kind == "spelt" else 0,
+        body.count("-") + body.count("_") + body.count(".") if kind == "spelt" else 0,
+        before[-1:] in (".", "_", "-"),
         len(inner),
         *(v for m in (left, right) for v in ((1 + "-./ ".find(m[2][:1]) if m[2] else 5, m[2] in inner, len(m[1] if m is left else m[3])) if m else (-1, 0, 0))),
         len(groups[-1]) if groups else 0,
@@ -163,14 +169,30 @@ def numbers(text: str) -> Iterator[tuple[int, int]]:
             yield from ((a, end) for a, n, free in held if free and n >= FEWEST)
 
 
+def _overlapping(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """The longest match from each place where one begins."""
+    m = pattern.search(text)
+    while m:
+        yield m
+        m = pattern.search(text, m.start() + 1)
+
+
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers from each place where one begins, to each end of a group that makes one."""
+    for m in _overlapping(ACCOUNT, text):
+        yield m.span()
+        for end in range(m.start() + 12, m.end()):
+            if text[end] == " " and ACCOUNT.fullmatch(text, m.start(), end):
+                yield m.start(), end
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     found = []
     if re.search("[0-9]", text):
         found += [("number", a, b) for a, b in numbers(text)]
-        found += [("account", *m.span()) for m in ACCOUNT.finditer(text)]
-    low = text.lower()
-    if " dot " in low or "(at)" in low or "[at]" in low or "(dot)" in low or "[dot]" in low:
-        found += [("spelt", *m.span()) for m in SPELT.finditer(text)]
+        found += [("account", a, b) for a, b in accounts(text)]
+    if "at" in text.lower():
+        found += [("spelt", *m.span()) for m in _overlapping(SPELT, text)]
     return found
 
 
@@ -189,10 +211,10 @@ def labelled(n: int = TRAIN, seed: int = 11) -> Iterator[tuple[str, str, int, in
     name = lambda: rng.choice(["anna", "j.smith", "marc_l", "info", "li.wei", "k-berg", "tom77"])
     syllables = ["th", "er", "an", "on", "re", "in", "at", "es", "le", "eau", "ung", "sch", "ción", "os"]
     filler = lambda: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 9)))
-    phone = lambda: rng.choice(["{}-{}-{}", "({}) {}-{}", "{}.{}.{}", "{} {} {}"]).format(digit(3), digit(3), digit(4))
+    phone = lambda: rng.choice(["{}-{}-{}", "({}) {}-{}", "{}.{}.{}", "{} {} {}", "{}{}{}"]).format(digit(3), digit(3), digit(4))
     long_phone = lambda: rng.choice(["0{} {}", "0{}/{}", "0{} {} {}"]).format(digit(3), digit(4), digit(3))
     cue = lambda k: rng.choice([w for w in CUES[k].split()])
-    lead = lambda k: rng.choice(["{}: ", "{} ", "my {} is ", "{} number ", "the {} no. "]).format(cue(k))
+    lead = lambda k: rng.choice(["{}: ", "{} ", "my {} is ", "{} number ", "the {} no. ", "meine {} ist ", "{} Nr. ", "mi {} es ", "{} número ", "ma {} est ", "{} numéro "]).format(cue(k))
     positive = [
         lambda: (lead(0), phone()),
         lambda: (lead(0), long_phone()),
@@ -202,11 +224,12 @@ def labelled(n: int = TRAIN, seed: int = 11) -> Iterator[tuple[str, str, int, in
         lambda: (lead(4), f"{rng.randint(1, 28):02d}.{rng.randint(1, 12):02d}.19{digit(2)}"),
         lambda: (rng.choice([lead(2), "", "to "]), _iban(rng)),
         lambda: (rng.choice([lead(3), "", "via "]), f"{name()} {rng.choice(['(at)', '[at]', 'at'])} {rng.choice(['example', 'mail', 'post'])} {rng.choice(['dot', '(dot)'])} com"),
-        lambda: (rng.choice([lead(3), ""]), f"{name()}(at)example.org"),
+        lambda: (rng.choice([lead(3), ""]), f"{name()}{rng.choice(['(at)', ' (at) ', ' ( at ) ', '[at]', ' [ at ] '])}{rng.choice(['example', 'mail', 'post', 'web-haus'])}.{rng.choice(['org', 'de', 'es', 'fr', 'com'])}"),
     ]
     negative = [
         lambda: ("", digit(rng.choice([4, 5])) + digit(rng.choice([0, 2, 5])) + " " + digit(4)),
         lambda: ("", f"{digit(4)} {digit(4)} {digit(4)} {digit(4)}"),
+        lambda: ("", digit(rng.randint(8, 16))),
         lambda: ("", f"{digit(3)}-{digit(3)}-{digit(4)}"),
         lambda: ("", f"{digit(3)}-{digit(2)}-{digit(4)}"),
         lambda: (lead(5), rng.choice([phone, long_phone])()),
@@ -217,9 +240,11 @@ def labelled(n: int = TRAIN, seed: int = 11) -> Iterator[tuple[str, str, int, in
         lambda: (rng.choice(["$", "€", "costs "]), f"{digit(3)}.{digit(3)}.{digit(3)}"),
         lambda: (rng.choice(["part ", ""]), "".join(rng.choice("ABCXYZ") for _ in range(2)) + digit(2) + " " + digit(4) + " " + digit(4)),
         lambda: (rng.choice(["we met ", "stay "]), f"{rng.choice(['them', 'here', 'us'])} at {rng.choice(['noon', 'home', 'night'])} . {rng.choice(['then', 'and', 'when'])}"),
+        lambda: (rng.choice(["visit us ", "read ", "más ", ""]), f"{rng.choice(['them', 'here', 'more', 'look'])} at {rng.choice(['example', 'host', 'home', 'the'])}{rng.choice(['.', '. '])}{rng.choice(['org', 'com', 'then', 'and'])}"),
+        lambda: ("", f"{rng.choice(syllables)}{rng.choice(syllables)}at{rng.choice(syllables)}{rng.choice(['.', '. ', ' . '])}{rng.choice(syllables)}{rng.choice(syllables)}"),
         lambda: ("", f"{rng.choice(['looking', 'the'])} at the dot {rng.choice(['matrix', 'on', 'that'])}"),
     ]
-    more = [*positive[:5], positive[5]]
+    more = positive[:6]
     gap = lambda: rng.choice([" ", " ", "  ", ", ", ". ", "/", " / ", "; ", " or ", " and "])
     beside = lambda: f"{digit(2)} {rng.choice(['hours', 'days', 'months', 'times', 'and', 'er', 'on'])}"
     for _ in range(n):
@@ -243,7 +268,7 @@ def labelled(n: int = TRAIN, seed: int = 11) -> Iterator[tuple[str, str, int, in
             if kind == "number":
                 hit = any(abs(start - a) <= 1 and abs(end - b) <= 1 for a, b in true)
             else:
-                hit = any(start <= a and end >= b - 1 for a, b in true)
+                hit = any(start <= a and end >= b - 1 and end <= b + 1 for a, b in true)
             yield text, kind, start, end, int(hit)
 
 

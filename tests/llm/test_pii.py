@@ -124,3 +124,18 @@ def test_every_stretch_of_groups_is_a_candidate():
     for text, want in texts.items():
         got = [*pii.numbers(text)]
         assert len(got) == len(set(got)) and {text[a:b] for a, b in got} == want, text
+
+
+def test_cues_and_addresses_of_the_tables_languages(judge):
+    texts = {
+        "Telefon: 415-555-0132 heute": ["415-555-0132"],
+        "mi teléfono es 415-555-0132": ["415-555-0132"],
+        "Steuernummer 123-45-6789": ["123-45-6789"],
+        "Rechnung 415-555-0132": [],
+        "write to anna ( at ) host.org": ["anna ( at ) host.org"],
+        "after creation. anna (at) host.org": ["anna (at) host.org"],
+        "we saw the creation. Then it ended": [],
+        "bank account ES91 2100 0418 4502 0005 1332 DE89 3704 0044 0532 0130 00": ["ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"],
+    }
+    for text, want in texts.items():
+        assert [text[a:b] for k, a, b in pii.spans(text, judge)] == want, text
