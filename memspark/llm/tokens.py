@@ -21,7 +21,8 @@ MEMORY = 350_000
 BLOCK = 1 << 21
 
 _SPECIAL = (b"<|",)
-_WORD_AND_MARKS = re.compile(rb"([a-z\xc3\x80-\xbf]+)([!-&(-/:-@\[-`{-~]+)\Z")
+#: Small and Latin-1 letters (not the signs for times and divided by), then ASCII marks but for the apostrophe.
+_WORD_AND_MARKS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)\Z")
 
 
 def default_vocabulary() -> str:
@@ -70,7 +71,9 @@ class Encoder:
             if ids is None:
                 ids = self._plain(chunk)
                 if ids is None:
-                    if (m := _WORD_AND_MARKS.match(chunk)) and (head := now.get(m[1]) or self._plain(m[1])) is not None:
+                    m = _WORD_AND_MARKS.match(chunk)
+                    head = self._plain(m[1]) if m else None
+                    if head is not None:
                         joined.append((chunk, head, m[2]))
                         if m[2] not in now:
                             marks[m[2]] = None

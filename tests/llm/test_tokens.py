@@ -1,5 +1,6 @@
 """Ids, packing and token files against the library itself and brute force."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -20,6 +21,7 @@ ODD = [
     "a\x1cb\x85c\xa0d　e​f",
     "the " * 5000,
     "x" * 3000,
+    "3 × 4 ÷ 2 ×) ÷< a×b÷c× ÷÷. é×! ÷",
 ]
 
 
@@ -43,6 +45,25 @@ def test_chunk_memory_gives_the_ids_of_the_library():
             assert np.frombuffer(ids, "<u4").tolist() == plain_ids(text), text
 
 
+def test_ids_do_not_depend_on_what_was_seen_before(monkeypatch):
+    """50,000 odd strings through one memory that turns over, then again in another order."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MEMORY", 20_000)
+    rng = random.Random(7)
+    signs = "×÷×÷éÉßÿÀæµªº" + "abcxyzABC" + "'.,;:!<>|()[]{}_*%$&-=/" + "019½²" + "東한Σςİ\u0301"
+    make = lambda: "".join(rng.choice(signs) for _ in range(rng.randint(1, 6)))
+    texts = [" ".join(make() for _ in range(rng.randint(1, 3))) for _ in range(50_000)]
+    library = Tokenizer.from_file(tokens.default_vocabulary())
+    want = {t: e.ids for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True)}
+    own = tokens.Encoder(tokens.default_vocabulary())
+    for again in (texts, rng.sample(texts, len(texts))):
+        for k in range(0, len(again), 1000):
+            part = again[k : k + 1000]
+            for text, ids in zip(part, own.encode([t.encode() for t in part]), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == want[text], text
+
+
 def test_memory_turns_over(monkeypatch):
     monkeypatch.setattr(tokens, "MEMORY", 3)
     own = tokens.Encoder(tokens.default_vocabulary())
