@@ -16,16 +16,19 @@ import html as entities
 import math
 import random
 import re
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN = 300
-STEPS = 120
+TRAIN = 600
+STEPS = 200
 RATE, DECAY = 0.5, 1e-3
 
 #: Fixed values of HTML: elements without an end tag, with raw text, and that lie inside a line.
@@ -37,8 +40,12 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 ENDS_OWN = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 NEVER = frozenset("script style noscript template head title textarea iframe noframes xmp svg math select option button object".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+#: The rest of a tag: a quote counts right after an equals sign, and where it ends.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+ATTRIBUTE = re.compile(r"""([^\s=/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(\S*+)))?+""")
+READ = re.compile(r"class|id|role|itemprop|hidden|style", re.I | re.A)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I | re.A)
 NAMES = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -55,13 +62,26 @@ HINTS = (
     "article content main post entry story body text prose page articlebody",
 )
 HINT_SETS = tuple(frozenset(h.split()) for h in HINTS)
-TAGS = ("body", "nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "ol", "td", "table", "blockquote", "pre", "figure", "figcaption", "dl", "fieldset", "address", "menu", "dialog", "details")
+TAGS = ("body", "nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "ol", "td", "table", "blockquote", "pre", "figure", "figcaption", "dl", "fieldset", "address", "menu", "dialog", "details", "dt", "dd", "tr", "th")
 TAG_AT = {t: k for k, t in enumerate(TAGS)}
 #: Potentials of edges are shared by children of the same kind.
-EDGES = {"nav": 1, "header": 1, "footer": 1, "aside": 1, "form": 1, "menu": 1, "dialog": 1, "article": 2, "main": 2, "section": 3, "div": 3, "table": 3, "p": 4, "h1": 4, "h2": 4, "h3": 4, "h4": 4, "h5": 4, "h6": 4, "li": 4, "ul": 4, "ol": 4, "blockquote": 4, "pre": 4}
-N_EDGES = 6
-LINKS, DENSE, LENGTHS = 5, 4, 5
-N_FEATURES = len(TAGS) + 2 + len(HINTS) + LINKS + LENGTHS + DENSE + 2
+EDGES = {"nav": 1, "header": 1, "footer": 1, "aside": 1, "form": 1, "menu": 1, "dialog": 1, "article": 2, "main": 2, "section": 3, "div": 3, "table": 3, "p": 4, "h1": 4, "h2": 4, "h3": 4, "h4": 4, "h5": 4, "h6": 4, "li": 4, "ul": 4, "ol": 4, "dt": 4, "dd": 4, "blockquote": 4, "pre": 4}
+INLINE_EDGE = 6
+N_EDGES = 7
+LINKS, DENSE, LENGTHS, SHARES, AROUND = 5, 4, 5, 4, 5
+#: Where each group of features begins: tag (any other, inline), constant, hints, share of links, length, links,
+#: the parent's share of the page's prose and how much that is, place towards a container of content, place in the page's frame.
+HINT_AT = len(TAGS) + 3
+LINK_AT = HINT_AT + len(HINTS)
+LENGTH_AT = LINK_AT + LINKS
+DENSE_AT = LENGTH_AT + LENGTHS
+SHARE_AT = DENSE_AT + DENSE
+AROUND_AT = SHARE_AT + SHARES
+PLACE_AT = AROUND_AT + AROUND
+FRAME_AT = PLACE_AT + 3
+N_FEATURES = FRAME_AT + 1
+#: A page has a container of content if such ones hold this share of its prose.
+HOLDS = 0.3
 FRAME = frozenset("nav header footer aside form menu dialog".split())
 
 
@@ -71,24 +91,34 @@ class Node:
     parent: int
     names: frozenset = frozenset()
     hidden: bool = False
-    #: Text directly inside, with inline elements' text, as (place among all pieces, text); "" where a block stood between.
-    parts: list = field(default_factory=list)
+    #: An element inside a line, a node of its own because it is hidden or named like a part that is no content.
+    inline: bool = False
+    attributes: str = ""
     linked: int = 0
     links: int = 0
 
 
+@lru_cache(maxsize=100)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A)
+
+
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The block elements (a parent before its children) and the pieces of text in page order, each with its node.
+    """The elements that are nodes (a parent before its children) and the pieces of text in page order, each with its node.
 
     A broken page gives what its tags allow: unclosed elements end with their
-    parent, stray end tags are ignored. Time is linear in the page for nests of
-    bounded depth.
+    parent, stray end tags are ignored, what opens without any > after it is
+    text. If quotes swallow the rest of a page from some tag on, quotes count
+    no more from that tag on. Time is linear in the page but for a logarithm of
+    the depth.
     """
     nodes, pieces = [Node("body", -1)], []
-    stack: list[tuple[str, int]] = [("body", 0)]  # open elements with their block
-    open_links = 0
+    stack: list[tuple[str, int]] = [("body", 0)]  # open elements with their node
+    places: dict[str, list[int]] = defaultdict(list)  # the depths at which a tag is open
+    blocks = [0]  # the depths of open blocks
     at, page = 0, page or ""
-    low = None
+    last = page.rfind(">")
+    quotes = True
 
     def text(raw: str) -> None:
         if not raw:
@@ -96,130 +126,185 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         block = stack[-1][1]
         value = entities.unescape(raw) if "&" in raw else raw
         pieces.append((block, value))
-        if open_links:
+        if places["a"]:
             nodes[block].linked += len(value.strip())
 
+    def open_(tag: str, node: int) -> None:
+        places[tag].append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, node))
+
     def close(depth: int) -> None:
-        nonlocal open_links
         while len(stack) > depth:
-            open_links -= stack.pop()[0] == "a"
+            places[stack.pop()[0]].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
+
+    def deepest(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     while at < len(page):
-        m = TOKEN.search(page, at)
-        if not m:
+        start = page.find("<", at)
+        if start < 0 or start > last:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
+        after = page[start + 1 : start + 2]
+        closing = after == "/"
+        m = NAME.match(page, start + 1 + closing)
+        if not m:
+            if after not in ("!", "?", "/"):
+                text(page[at : start + 1])
+                at = start + 1
+                continue
+            text(page[at:start])
+            if page.startswith("<!--", start):
+                short = page.startswith((">", "->"), start + 4)
+                end = start + 3 if short else page.find("-->", start + 4) + 2
+                if end < start:
                     break
+                at = page.find(">", end) + 1
+            else:
+                at = page.find(">", start) + 1
+            continue
+        text(page[at:start])
+        rest = REST.match(page, m.end()) if quotes else None
+        if rest is None:
+            quotes = False
+        at = rest.end() if rest else page.find(">", m.end()) + 1
+        attributes = page[m.end() : at - 1]
+        tag = m[0].lower()
+        if closing:
+            if places[tag] and (tag not in INLINE or places[tag][-1] > blocks[-1]):
+                close(places[tag][-1])
             if tag not in INLINE:
                 pieces.append((stack[-1][1], "\n"))
             continue
         if tag in ("html", "head", "body"):
             if tag == "head":
-                stack.append((tag, len(nodes)))
+                open_(tag, len(nodes))
                 nodes.append(Node("head", 0, hidden=True))
             elif tag == "body":
                 close(1)
-                nodes[0].names = _names(m[3])[0]
+                nodes[0].names = _names(attributes)[0]
             continue
         if tag in VOID:
-            pieces.append((stack[-1][1], "\n"))
+            if tag != "wbr":
+                pieces.append((stack[-1][1], "\n"))
             continue
         if stack[-1][0] == "head" and tag not in RAW and tag not in ("meta", "link", "base"):
             close(1)
         if tag in INLINE:
-            open_links += tag == "a"
+            own = stack[-1][1]
+            if READ.search(attributes) and not nodes[own].hidden:
+                names, hidden = _names(attributes)
+                # names inside code are those of its colours
+                if hidden or not (places["pre"] or places["code"]) and any(k < len(HINTS) - 1 for k in _hints(names)):
+                    nodes.append(Node(tag, own, names, hidden, True, attributes))
+                    own = len(nodes) - 1
             if tag == "a":
-                nodes[stack[-1][1]].links += 1
-            stack.append((tag, stack[-1][1]))
+                nodes[own].links += 1
+            open_(tag, own)
             continue
-        if tag in ENDS_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close(depth)
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
+        if tag in ENDS_P and places["p"] and places["p"][-1] == blocks[-1]:
+            close(blocks[-1])
         if tag in ENDS_OWN:
             own, until = ENDS_OWN[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in own.split():
-                    close(depth)
-                    if tag != "tr":
-                        break
-                elif stack[depth][0] in until:
-                    break
-        names, hidden = _names(m[3])
+            limit = deepest(until)
+            found = [d[bisect(d, limit) if tag == "tr" else -1] for t in own.split() if (d := places[t]) and d[-1] > limit]
+            if found:
+                close(min(found) if tag == "tr" else max(found))
+        names, hidden = _names(attributes) if READ.search(attributes) else (frozenset(), False)
         parent = stack[-1][1]
         pieces.append((parent, "\n"))
-        nodes.append(Node(tag, parent, names, hidden or tag in NEVER or nodes[parent].hidden))
-        if m[3].endswith("/") and tag in ("svg", "math", "path"):
+        nodes.append(Node(tag, parent, names, hidden or tag in NEVER or nodes[parent].hidden, False, attributes))
+        if attributes.endswith("/") and tag in ("svg", "math", "path"):
             continue
         if tag in RAW:
-            low = low or page.lower()
-            end = low.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
-            gap = page.find(">", at)
-            at = len(page) if end < 0 or gap < 0 else gap + 1
+            end = _end_of(tag).search(page, at)
+            gap = page.find(">", end.end()) if end else -1
+            at = len(page) if gap < 0 else gap + 1
             continue
-        stack.append((tag, len(nodes) - 1))
+        open_(tag, len(nodes) - 1)
     return nodes, pieces
 
 
 def _names(attributes: str) -> tuple[frozenset, bool]:
     names, hidden = set(), False
-    if attributes.strip(" /"):
-        for key, *values in ATTRIBUTE.findall(attributes):
-            value, key = "".join(values), key.lower()
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                hidden = True
-            elif key == "style":
-                hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-            else:
-                names |= {w.lower() for w in NAMES.findall(CAMEL.sub(" ", value))}
+    for key, *values in ATTRIBUTE.findall(attributes):
+        value, key = "".join(values), key.lower()
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            hidden = True
+        elif key == "style":
+            hidden |= bool(UNSEEN.search(value))
+        elif key in ("class", "id", "role", "itemprop"):
+            names |= {w.lower() for w in NAMES.findall(CAMEL.sub(" ", value))}
     return frozenset(names), hidden
 
 
-def features(nodes: list[Node], pieces: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A row of 0 and 1 for each node; the kind of the edge above it; its parent."""
-    own = np.zeros(len(nodes))
+@lru_cache(maxsize=20_000)
+def _hints(names: frozenset) -> tuple[int, ...]:
+    return tuple(k for k, words in enumerate(HINT_SETS) if names & words)
+
+
+def _step(value: float, bounds: tuple) -> int:
+    return bisect(bounds, value)
+
+
+def active(nodes: list[Node], pieces: list[tuple[int, str]]) -> tuple[list[list[int]], list[int], list[int]]:
+    """For each node the features that it has; the kind of the edge above it; its parent."""
+    n = len(nodes)
+    own = [0] * n
     for k, value in pieces:
         own[k] += len(value.strip())
-    below, linked, links = own.copy(), np.array([float(n.linked) for n in nodes]), np.array([float(n.links) for n in nodes])
-    for k in range(len(nodes) - 1, 0, -1):
+    below, linked, links = own[:], [x.linked for x in nodes], [x.links for x in nodes]
+    for k in range(n - 1, 0, -1):
         p = nodes[k].parent
         if not nodes[k].hidden:
             below[p] += below[k]
             linked[p] += linked[k]
             links[p] += links[k]
-    x = np.zeros((len(nodes), N_FEATURES))
-    share = linked / np.maximum(below, 1)
-    base = len(TAGS) + 2 + len(HINTS)
-    for k, n in enumerate(nodes):
-        x[k, TAG_AT.get(n.tag, len(TAGS))] = 1
-        x[k, len(TAGS) + 1] = 1
-        for h, words in enumerate(HINT_SETS):
-            if n.names & words:
-                x[k, len(TAGS) + 2 + h] = 1
-        x[k, base + min(LINKS - 1, int(share[k] * LINKS))] = 1
-        x[k, base + LINKS + min(LENGTHS - 1, int(np.log1p(own[k]) / 1.6))] = 1
-        x[k, base + LINKS + LENGTHS + min(DENSE - 1, int(links[k]))] = 1
-        # what stands above: a container of content, a part of the page's frame
-        x[k, -2] = k > 0 and (x[n.parent, -2] or nodes[n.parent].tag in ("article", "main") or bool(nodes[n.parent].names & HINT_SETS[-1]))
-        x[k, -1] = k > 0 and (x[n.parent, -1] or nodes[n.parent].tag in FRAME or any(nodes[n.parent].names & words for words in HINT_SETS[:-1]))
-    kinds = np.array([EDGES.get(n.tag, 5) for n in nodes])
+    holder, frame = [False] * n, [False] * n
+    held = 0
+    for k, x in enumerate(nodes):
+        if k:
+            p, up = x.parent, nodes[x.parent]
+            up_hints = _hints(up.names)
+            holder[k] = holder[p] or up.tag in ("article", "main") or len(HINTS) - 1 in up_hints
+            frame[k] = frame[p] or up.tag in FRAME or any(h < len(HINTS) - 1 for h in up_hints)
+        if holder[k] and not frame[k] and not x.hidden:
+            held += max(0, own[k] - x.linked)
+    prose = max(1, below[0] - linked[0])
+    has_holder = held >= HOLDS * prose
+    out = []
+    for k, x in enumerate(nodes):
+        beside = max(0, below[x.parent] - linked[x.parent]) if k else prose
+        length = min(LENGTHS - 1, int(math.log1p(own[k]) / 1.6))
+        ids = [len(TAGS) + 1 if x.inline else TAG_AT.get(x.tag, len(TAGS)), len(TAGS) + 2]
+        ids += [HINT_AT + h for h in _hints(x.names)]
+        ids += [
+            LINK_AT + min(LINKS - 1, int(linked[k] / max(1, below[k]) * LINKS)),
+            LENGTH_AT + length,
+            DENSE_AT + min(DENSE - 1, links[k]),
+            SHARE_AT + _step(beside / prose, (0.1, 0.3, 0.6)),
+            AROUND_AT + _step(beside, (60, 200, 600, 2000)),
+            PLACE_AT + (2 if not has_holder else 0 if holder[k] else 1),
+        ]
+        if frame[k]:
+            ids.append(FRAME_AT)
+        out.append(ids)
+    kinds = [INLINE_EDGE if x.inline else EDGES.get(x.tag, 5) for x in nodes]
     kinds[0] = 0
-    return x, kinds, np.array([n.parent for n in nodes])
+    return out, kinds, [x.parent for x in nodes]
+
+
+def features(nodes: list[Node], pieces: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """active() as a row of 0 and 1 for each node."""
+    each, kinds, parents = active(nodes, pieces)
+    x = np.zeros((len(nodes), N_FEATURES))
+    for row, ids in zip(x, each, strict=True):
+        row[ids] = 1
+    return x, np.array(kinds), np.array(parents)
 
 
 def _add(a: float, b: float) -> float:
@@ -259,8 +344,9 @@ class Model:
 
     def content(self, nodes: list[Node], pieces: list[tuple[int, str]]) -> np.ndarray:
         """Each node's probability of being content."""
-        x, kinds, parents = features(nodes, pieces)
-        return np.array(marginals((x @ self.weights).tolist(), kinds.tolist(), parents.tolist(), self.pair.tolist()))
+        each, kinds, parents = active(nodes, pieces)
+        weights = self.weights.tolist()
+        return np.array(marginals([sum([weights[f] for f in ids]) for ids in each], kinds, parents, self.pair.tolist()))
 
 
 _WORDS = "th er an on re in at es le eau ung sch ción os ion ent ar ment".split()
@@ -273,7 +359,9 @@ class _Layouts:
         self.r = random.Random(seed)
 
     def words(self, low: int, high: int) -> str:
-        return " ".join("".join(self.r.choice(_WORDS) for _ in range(self.r.randint(1, 4))) for _ in range(self.r.randint(low, high)))
+        sizes = self.r.choices((1, 2, 3, 4), k=self.r.randint(low, high))
+        parts = iter(self.r.choices(_WORDS, k=sum(sizes)))
+        return " ".join("".join(islice(parts, n)) for n in sizes)
 
     def tag(self, name: str, body: str, y: int, attributes: str = "") -> str:
         return f"<{name} {attributes} data-y={y}>{body}</{name}>"
@@ -289,6 +377,14 @@ class _Layouts:
         other = self.r.choice(["", "", "wrap-", "site-", "js-"])
         return f'{self.r.choice(["class", "class", "id"])}="{other}{word}"'
 
+    #: The element of a paragraph.
+    par = "p"
+
+    def inline(self) -> str:
+        """A part within a line that is no content."""
+        shown = self.r.choice(["hidden", 'style="display: none"', *[self.name(self.r.choice([0, 0, 6, 7]))] * 3])
+        return self.tag(self.r.choice(["span", "small", "a", "em"]), self.words(1, 8), 0, shown)
+
     def prose(self, y: int, low: int = 1, high: int = 7) -> str:
         out = []
         many, short = self.r.random() < 0.12, self.r.random() < 0.15
@@ -303,7 +399,9 @@ class _Layouts:
                     body += f" {self.link()} {self.words(2, 20)}"
                 if self.r.random() < 0.15:
                     body = f"<b>{body}</b>"
-                out.append(self.tag("p", body, y))
+                if self.r.random() < 0.08:
+                    body = f"{body} {self.inline()} {self.words(0, 20)}"
+                out.append(self.tag(self.par, body, y))
             elif kind < 0.8:
                 out.append(self.tag(self.r.choice(["h2", "h3"]), self.words(1, 6), y))
             elif kind < 0.87:
@@ -314,8 +412,10 @@ class _Layouts:
                 out.append(self.tag("pre", self.words(2, 12), y))
             elif kind < 0.97:
                 out.append(self.tag("figure", f'<img src="x.png">{self.tag("figcaption", self.words(2, 8), y)}', y))
-            else:
+            elif self.r.random() < 0.5:
                 out.append(self.tag("table", self.tag("tr", "".join(self.tag("td", self.words(1, 4), y) for _ in range(3)), y), y))
+            else:
+                out.append(self.tag("dl", "".join(self.tag("dt", self.words(1, 3), y) + self.tag("dd", self.words(1, 12), y) for _ in range(self.r.randint(1, 3))), y))
         return "".join(out)
 
     def noise(self) -> str:
@@ -324,9 +424,11 @@ class _Layouts:
             [
                 lambda: self.tag("nav", r.choice([self.list_(2, 8), " ".join(self.link() for _ in range(4))]), 0, r.choice(["", self.name(1)])),
                 lambda: self.tag("div", r.choice([self.list_(2, 8), " ".join(self.link() for _ in range(4))]), 0, self.name(1)),
-                lambda: self.tag("div", r.choice([self.words(2, 25), self.tag("p", self.words(2, 25), 0), self.link()]), 0, self.name(0)),
+                *[lambda: self.tag("div", r.choice([self.words(2, 25), self.tag("p", self.words(2, 25), 0), self.link()]), 0, self.name(0))] * 2,
                 lambda: self.tag(r.choice(["aside", "aside", "div"]), self.tag("h3", self.words(1, 3), 0) + r.choice([self.list_(2, 6), self.prose(0, 1, 3)]), 0, self.name(4)),
                 lambda: self.tag("aside", self.prose(0, 1, 3), 0),
+                lambda: self.tag(r.choice(["div", "ul", "p"]), " ".join(self.link() for _ in range(r.randint(3, 9))), 0),
+                lambda: self.list_(3, 9),
                 lambda: self.tag(r.choice(["div", "section", "dialog"]), self.tag("p", self.words(3, 25), 0) + "<button>OK</button>", 0, self.name(6)),
                 lambda: self.tag("form", self.tag("p", self.words(2, 12), 0) + f'<label>{self.words(1, 2)}</label><input name="q">', 0, r.choice(["", self.name(7)])),
                 lambda: self.tag("div", self.tag("p", self.words(2, 12), 0) + self.link(), 0, self.name(7)),
@@ -334,14 +436,33 @@ class _Layouts:
             ]
         )()
 
+    def unmarked(self, inside: str) -> str:
+        """An article that no element and no name tells from the rest."""
+        r = self.r
+        any_name = r.choice(["", "", f'class="{self.words(1, 2)}"', f'id="{r.choice("abcdwxyz")}{r.randint(1, 99)}"', 'align="center"'])
+        cell = lambda body, y: self.tag("td", body, y, 'valign="top"')
+        beside = lambda: cell(r.choice([self.list_(2, 8), "<br>".join(self.link() for _ in range(r.randint(2, 6)))]), 0)
+        return r.choice(
+            [
+                lambda: inside,
+                lambda: inside,
+                lambda: self.tag(r.choice(["div", "section", "center"]), inside, 1, any_name),
+                lambda: self.tag("div", self.tag("div", inside, 1, any_name), 1),
+                lambda: self.tag("table", self.tag("tr", r.choice([beside() + cell(inside, 1), cell(inside, 1) + beside(), cell(inside, 1)]), 1), 1),
+                lambda: self.tag("div", "<br><br>".join(self.words(20, 60) for _ in range(r.randint(2, 5))), 1, any_name) if r.random() < 0.4 else self.tag("div", inside, 1, any_name),
+            ]
+        )()
+
     def page(self) -> str:
         r = self.r
         title = self.tag("h1", self.words(2, 9), 1)
         some = lambda most: "".join(self.noise() for _ in range(r.randint(0, most)))
-        inside = self.prose(1)
-        if r.random() < 0.3:
-            cut = self.prose(1, 1, 4)
-            inside = cut + self.noise() + inside
+        plain = r.random() < 0.35
+        self.par = "div" if plain and r.random() < 0.15 else "p"
+        inside = self.prose(1, 2 if plain else 1)
+        self.par = "p"
+        while r.random() < 0.4:
+            inside = self.prose(1, 1, 4) + self.noise() + inside
         if r.random() < 0.25:
             inside += self.noise()
         if r.random() < 0.3:
@@ -349,7 +470,9 @@ class _Layouts:
         holder = r.choice(["article", "article", "article", "main", "div", "section"])
         attributes = self.name(8) if holder in ("div", "section") or r.random() < 0.3 else ""
         core = self.tag(holder, title + inside, 1, attributes)
-        if r.random() < 0.3:
+        if plain:
+            core = self.unmarked(r.choice([title, title, ""]) + inside)
+        elif r.random() < 0.3:
             core = self.tag(r.choice(["main", "div"]), some(1) + core + some(2), 1, r.choice(["", self.name(8)]))
         head = r.choice(["", self.tag("header", r.choice([self.tag("h1", self.words(1, 3), 0), self.tag("p", self.words(1, 6), 0), self.link()]) + r.choice(["", self.list_(2, 6)]), 0), self.tag("div", self.tag("p", self.words(1, 6), 0), 0, self.name(2))])
         foot = r.choice([self.tag("footer", f"&copy; {self.words(1, 14)}", 0), self.tag("footer", self.tag("p", self.words(1, 14), 0) + self.list_(1, 4), 0), self.tag("div", self.tag("p", self.words(1, 14), 0), 0, self.name(3)), ""])
@@ -366,12 +489,8 @@ def labelled(n: int = TRAIN, seed: int = 5) -> Iterator[tuple[list[Node], list[t
     """Parsed pages with each node's label; the body, which holds both, counts as content."""
     layouts = _Layouts(seed)
     for _ in range(n):
-        page = layouts.page()
-        nodes, pieces = parse(page)
-        labels = np.ones(len(nodes), np.int64)
-        shown = [m for m in TOKEN.finditer(page) if m[2] and not m[1] and m[2].lower() not in INLINE | VOID | {"html", "body"}]
-        for k, m in enumerate(shown, 1):
-            labels[k] = int(y[1]) if (y := LABEL.search(m[3])) else 0
+        nodes, pieces = parse(layouts.page())
+        labels = np.array([1, *(int(y[1]) if (y := LABEL.search(x.attributes)) else 0 for x in nodes[1:])])
         yield nodes, pieces, labels
 
 
@@ -407,6 +526,12 @@ class _Forest:
         self.x, self.kinds, self.parents, self.y, depth = (np.concatenate(v) for v in (xs, kinds, parents, labels, depths))
         self.levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
         self.pages = len(pages)
+        self.inner = np.concatenate(self.levels[1:])
+        self.seen = self._by_kind(np.eye(4)[2 * self.y[self.parents[self.inner]] + self.y[self.inner]])
+
+    def _by_kind(self, edges: np.ndarray) -> np.ndarray:
+        """Sums of rows of four, for the inner nodes, by their kinds of edge."""
+        return np.stack([np.bincount(self.kinds[self.inner], e, N_EDGES) for e in edges.T], 1).reshape(N_EDGES, 2, 2)
 
     def gradient(self, weights: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.x)
@@ -414,7 +539,7 @@ class _Forest:
         message, down = np.zeros((n, 2)), np.zeros((n, 2))
         for at in self.levels[:0:-1]:
             message[at] = np.logaddexp(pair[self.kinds[at], :, 0] + up[at, :1], pair[self.kinds[at], :, 1] + up[at, 1:])
-            np.add.at(up, self.parents[at], message[at])
+            up += np.stack([np.bincount(self.parents[at], message[at, y], n) for y in (0, 1)], 1)
         edges = np.zeros((n, 2, 2))
         for at in self.levels[1:]:
             p = self.parents[at]
@@ -426,10 +551,7 @@ class _Forest:
         belief = up + down
         one = 1 / (1 + np.exp(belief[:, 0] - belief[:, 1]))
         grad_w = self.x.T @ (self.y - one) / self.pages
-        grad_p = np.zeros_like(pair)
-        inner = np.concatenate(self.levels[1:])
-        np.add.at(grad_p, (self.kinds[inner], self.y[self.parents[inner]], self.y[inner]), 1.0)
-        np.add.at(grad_p, self.kinds[inner], -edges[inner])
+        grad_p = self.seen - self._by_kind(edges[self.inner].reshape(-1, 4))
         return grad_w / 20, grad_p / self.pages / 20
 
 
@@ -439,8 +561,12 @@ def main_text(page: str | None, judge: Model) -> str:
     if not any(v.strip() for _, v in pieces):
         return ""
     chance = judge.content(nodes, pieces)
-    kept = [c > 0.5 and not n.hidden for c, n in zip(chance, nodes, strict=True)]
-    return " ".join("".join(v if kept[k] else "\n" for k, v in pieces).split())
+    # what is left out of a line leaves no gap there
+    instead = ["" if x.inline else "\n" for x in nodes]
+    kept = []
+    for c, x in zip(chance, nodes, strict=True):
+        kept.append(c > 0.5 and not x.hidden and (not x.inline or kept[x.parent]))
+    return " ".join("".join(v if kept[k] else instead[k] for k, v in pieces).split())
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -448,7 +574,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty page, or one without content, has an empty text. Repeated
     rows each give a row; other columns are not read; an empty table gives no
-    rows. Long pages are read whole.
+    rows. Long and deeply nested pages are read whole, in time that grows with
+    the page; equal pages have equal texts.
     """
     judge = model()
 
