@@ -28,9 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark itself would resolve it: the same place for tasks that open files on their own."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; nothing is there yet."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, with its scheme; nothing is there yet."""
+    path = qualified(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     _made.append(path)
     return path
 
@@ -43,12 +49,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this process has written; results that still read it become unusable."""
-    jvm = spark.sparkContext._jvm
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete what this process has written but for the first ``keep`` of made(); results that still read it become unusable."""
+    while len(_made) > keep:
+        _delete(spark, _made.pop())
+
+
+def made() -> int:
+    """How many folders have been made and not deleted."""
+    return len(_made)
+
+
+def drop(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the folders that were made from the first to before the last count of made()."""
+    old = _made[first:last]
+    _made[first:last] = []
+    for folder in old:
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @atexit.register

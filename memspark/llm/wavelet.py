@@ -13,6 +13,7 @@ import json
 import struct
 import uuid
 import zlib
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memspark.llm.shared import new_folder, written
+from memspark.llm.shared import new_folder, qualified, written
 from memspark.llm.tokens import END_ID, default_vocabulary, encoded
 
 MAGIC = b"WMX1"
@@ -29,6 +30,8 @@ BLOCK = 1 << 15
 #: Ids of a shard, after which the next document starts another.
 SHARD = 1 << 21
 LEVEL = 3
+#: Buckets that ids are dealt to at most, and ids sampled for each bound between two: 1,000,000 on the driver at most.
+BUCKETS, SAMPLED = 50_000, 20
 
 
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -172,9 +175,15 @@ class Shard:
 
 
 def _store(folder: str):
+    """The file system of a qualified folder, and the path there."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    scheme, colon, rest = folder.partition(":/")
+    if not colon:
+        raise ValueError(f"{folder} names no file system")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
 
 
 def save(folder: str, name: str, data: bytes) -> str:
@@ -195,30 +204,62 @@ def load(file: str) -> Shard:
         return Shard(f.read())
 
 
+def _bounds(docs: DataFrame) -> tuple[int, np.ndarray, list[int]]:
+    """Buckets for null doc_ids; bounds between the others as (doc_id, tie), from a bounded sample.
+
+    A doc_id of many rows stands in several bounds, parted by ties.
+    """
+    n = min(BUCKETS, max(2, docs.rdd.getNumPartitions()))
+    ids = docs.select("doc_id")
+    share = min(1.0, SAMPLED * n / max(1, ids.count()))
+    sample = ids.sample(share, 42).select("doc_id", F.rand(7).alias("tie")).toPandas()
+    nulls = sample["doc_id"].isna().to_numpy()
+    known = sample["doc_id"][~nulls].to_numpy(np.int64)
+    ties = (sample["tie"].to_numpy()[~nulls] * (1 << 62)).astype(np.int64)
+    order = np.lexsort((ties, known))[SAMPLED::SAMPLED]
+    return max(1, int(nulls.sum()) // SAMPLED), known[order], ties[order].tolist()
+
+
 def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, shard: int = SHARD) -> DataFrame:
     """Write all documents' ids below folder; returns a row for each shard: bucket, part, file, n_docs, n_tokens.
 
     Texts are encoded where they are read; only ids travel, compressed, to the
-    bucket of their doc_id. Bounds between buckets are quantiles of doc_id.
-    Null doc_ids come first; rows with the same doc_id lie side by side,
-    ordered by their ids; a null or empty text has the end id alone. An empty
-    table writes no file. Other columns are not read.
+    bucket of their doc_id. Bounds between buckets are those of a sample of
+    doc_ids; they set only how much each task gets. Null doc_ids come first;
+    rows with the same doc_id lie side by side; a null or empty text has the
+    end id alone; very long texts are one document of one shard. An empty table
+    writes no file. Other columns are not read. The folder has a scheme, or is
+    resolved as Spark does.
     """
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     vocabulary = vocabulary or default_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = max(2, docs.rdd.getNumPartitions())
-    bounds = sorted(set(docs.select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)))
+    n_null, bounds, between = _bounds(docs)
+
+    def bucket_of(keys, first_tie: int) -> np.ndarray:
+        import pyarrow.compute as pc
+
+        missing = keys.is_null().to_numpy(zero_copy_only=False)
+        known = pc.fill_null(keys, 0).to_numpy().astype(np.int64)
+        # a tie is spread evenly by the row's place in its partition, and the same whenever the partition is read again
+        ties = (np.arange(first_tie, first_tie + len(known), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(2)).astype(np.int64)
+        low, high = np.searchsorted(bounds, known, "left"), np.searchsorted(bounds, known, "right")
+        for k in np.flatnonzero(high > low):
+            low[k] = bisect(between, ties[k], low[k], high[k])
+        return np.where(missing, ties % n_null, n_null + low).astype(np.int32)
 
     def encode(batches: Iterable) -> Iterator:
         import pyarrow as pa
         import zstandard
+        from pyspark import TaskContext
 
         z = zstandard.ZstdCompressor(level=1)
+        row = TaskContext.get().partitionId() << 32
         for batch, first, ids in encoded(batches, vocabulary):
             keys = batch.column(0).slice(first, len(ids))
-            known = np.nan_to_num(keys.to_numpy(zero_copy_only=False), nan=-np.inf)
-            bucket = np.searchsorted(np.array(bounds), known, "left").astype(np.int32)
+            bucket = bucket_of(keys, row)
+            row += len(ids)
             small = [z.compress(x) for x in ids]
             yield pa.RecordBatch.from_arrays([keys, pa.array(bucket), pa.array(small, pa.binary())], ["doc_id", "bucket", "ids"])
 
@@ -249,14 +290,18 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, sh
         if parts:
             yield flush()
 
-    dealt = docs.mapInArrow(encode, "doc_id long, bucket int, ids binary").repartitionById(len(bounds) + 1, F.col("bucket"))
+    dealt = docs.mapInArrow(encode, "doc_id long, bucket int, ids binary").repartitionById(n_null + len(bounds) + 1, F.col("bucket"))
     made = dealt.sortWithinPartitions(F.col("bucket"), F.asc_nulls_first("doc_id"), F.col("ids")).mapInArrow(shards, "bucket int, part int, file string, n_docs long, n_tokens long")
     return written(made, "wavelet-manifest")
 
 
 def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Every document from the files: doc_id, start, n_tokens, ids_crc32; with_ids adds its ids."""
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = lambda window: F.coalesce(F.sum("n_tokens").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # two steps: over at most as many buckets as were dealt, then within each
+    buckets = manifest.groupBy("bucket").agg(F.sum("n_tokens").alias("n_tokens"))
+    buckets = buckets.select("bucket", before(Window.orderBy("bucket")).alias("bucket_start"))
+    placed = manifest.select("bucket", "file", before(Window.partitionBy("bucket").orderBy("part")).alias("in_bucket")).join(F.broadcast(buckets), "bucket")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterable) -> Iterator:
@@ -276,7 +321,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    files = manifest.select("file", before.alias("start"))
+    files = placed.select("file", (F.col("bucket_start") + F.col("in_bucket")).alias("start"))
     return files.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), "file").mapInArrow(run, schema)
 
 

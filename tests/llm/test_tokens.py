@@ -3,11 +3,12 @@
 import random
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
 
-from memspark.llm import packing, tokens, wavelet
+from memspark.llm import packing, shared, tokens, wavelet
 from memspark.llm.shared import new_folder
 
 ODD = [
@@ -25,11 +26,15 @@ ODD = [
 ]
 
 
-def plain_ids(text):
+@lru_cache(maxsize=1)
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_vocabulary())
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokens.default_vocabulary())
+
+
+def plain_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def some_docs(spark, n=60):
@@ -160,3 +165,34 @@ def test_token_files_round_trip(spark, size):
 def test_token_files_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert wavelet.read_shards(wavelet.write_shards(empty, new_folder(spark, "test"))).count() == 0
+
+
+def test_one_doc_id_of_many_rows_is_shared_out(spark):
+    rows = [(7, f"text {i % 3}") for i in range(3000)] + [(None, "none")] * 500 + [(i, f"text {i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    manifest = wavelet.write_shards(docs, new_folder(spark, "test"))
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 1000
+    out = sorted(wavelet.read_shards(manifest, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    want = {(i, tuple(plain_ids(t) + [1])) for i, t in rows}
+    assert {(r.doc_id, tuple(r.ids)) for r in out} == want
+    ends = [0, *(r.start + r.n_tokens for r in out)]
+    assert [r.start for r in out] == ends[:-1]
+
+
+def test_a_folder_without_a_scheme_is_where_spark_has_it(spark, tmp_path):
+    """Under another default file system a bare path is not the machine's own disk."""
+    assert shared.qualified(spark, str(tmp_path)).startswith("file:/")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    before = hadoop.get("fs.defaultFS")
+    try:
+        hadoop.set("fs.defaultFS", "viewfs://cluster/")
+        hadoop.set("fs.viewfs.mounttable.cluster.link./shared", f"file://{tmp_path}")
+        assert shared.qualified(spark, "/shared/x") == "viewfs://cluster/shared/x"
+    finally:
+        hadoop.set("fs.defaultFS", before) if before else hadoop.unset("fs.defaultFS")
+    with pytest.raises(ValueError):
+        wavelet.save("/bare/path", "x", b"")
+    path = wavelet.save(f"file:{tmp_path}", "x", wavelet.build(np.array([3, 1, 3]), [1], [3]))
+    assert wavelet.load(path).ids.tolist() == [3, 1, 3]
