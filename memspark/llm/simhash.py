@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.graph import components
+from memspark.llm.graph import components, met
 from memspark.llm.shared import written
 
 SEED = 42
@@ -232,15 +232,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A null text is an empty one: fingerprint zero, linked like any other.
     component_id is the smallest non-null doc_id reachable; rows that repeat a
-    doc_id each get a result. Columns beyond doc_id and text are not read.
+    doc_id each get a result, very long texts are read whole, an empty table
+    gives no rows. Columns beyond doc_id and text are not read.
     """
     fps = written(fingerprinted(docs), "fingerprints")
-    first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-fingerprints")
+    n_distinct, n_rows = first.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     tied = components(links(first))
-    rooted = first.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = written(first.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    named = written(met(rooted, least, "root", n_distinct).select("fp", "component_id", F.col("rows").alias("n")), "fingerprint-components")
+    return met(fps, named, "fp", n_rows).select("doc_id", "fp", "component_id")
 
 
 def rooted(docs: DataFrame) -> DataFrame:

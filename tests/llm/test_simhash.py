@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from memspark.llm import graph, simhash
@@ -130,3 +131,22 @@ def test_the_stage_chooses_rows_not_ids(spark):
     rows, want = rows_and_choice()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(((r.doc_id, r.text) for r in simhash.dedup_stage(docs).collect()), key=str) == want
+
+
+def test_a_hot_key_is_shared_out(spark):
+    """Without Spark's own mending of skew: a third of all rows and more on one key, and a hub of a million leaves."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        rows = spark.range(1_200_000, numPartitions=40).selectExpr("if(id < 1000000, 0, id) AS u", "id AS v")
+        table = rows.groupBy("u").count().selectExpr("u", "count AS n", "u + 1 AS m")
+        each = graph.met(rows, table, "u", 1_200_000).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("m").alias("m")).collect()
+        assert sum(r.n for r in each) == 1_200_000 and max(r.n for r in each) < 60_000
+        assert sum(r.m for r in each) == sum(range(1_000_000, 1_200_000)) + 1_200_000
+        star = spark.range(1_000_000, numPartitions=40).selectExpr("id AS a", "5000000 AS b")
+        found = graph.components(star)
+        assert found.count() == 1_000_000 and found.where("root <> 0").count() == 0
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
