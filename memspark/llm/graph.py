@@ -17,8 +17,11 @@ def met(rows: DataFrame, table: DataFrame, key: str, n_rows: int, how: str = "in
 
     Keys of many rows, at most MOST by their least number of rows, are broadcast
     and their rows stay where they are; the others meet by a shuffle. No task
-    gets more rows of one key than HOT, or a share of 1 / MOST of all.
+    gets more rows of one key than HOT, or a share of 1 / MOST of all. Where
+    there are no more than HOT rows, no key can have so many.
     """
+    if n_rows <= HOT:
+        return rows.join(table.drop("n"), key, how)
     limit = max(HOT, n_rows // MOST)
     values = [c for c in table.columns if c not in (key, "n")]
     hot = table.where(F.col("n") > limit).select(key, F.struct(*values).alias("_hot"))
