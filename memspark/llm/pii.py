@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -286,23 +287,35 @@ def model() -> tuple[Boosted, dict[str, float]]:
 
 
 def spans(text: str | None, judge: tuple[Boosted, dict[str, float]]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by start, then kind: all fixed ones, and the candidates selected that lie outside them and each other."""
+    """(kind, start, end) by start, then kind, then end: all fixed ones, and the candidates selected that lie outside them and each other.
+
+    The higher score goes first; of equal ones the earlier kind in the alphabet,
+    then the earlier start, then the earlier end.
+    """
     if not text:
         return []
     out = base_spans(text)
     if found := candidates(text):
         trees, cuts = judge
         scores = trees.score(np.array([features(text, *c) for c in found], float))
-        taken = sorted((a, b) for _, a, b in out)
+        starts, ends = [], []  # of disjoint stretches taken, in order
+        for a, b in sorted((a, b) for _, a, b in out):
+            if starts and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
         for _, (kind, a, b) in sorted((-s, c) for s, c in zip(scores.tolist(), found, strict=True) if s >= cuts[c[0]]):
-            if not any(a < y and x < b for x, y in taken):
+            k = bisect(ends, a)  # the first stretch that ends after the candidate begins
+            if k == len(starts) or starts[k] >= b:
                 out.append((kind, a, b))
-                taken.append((a, b))
+                starts.insert(k, a)
+                ends.insert(k, b)
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id and an array of spans (kind, start, end; code points) for every row.
+    """doc_id and an array of spans (kind, start, end; code points) for every row, by start, ties by kind, then end.
 
     Null and empty texts have none; long texts are scanned whole. Repeated rows
     each give a row; columns beyond doc_id and text are not read; an empty
@@ -332,7 +345,12 @@ def redacted(text: str, found: list[tuple[str, int, int]]) -> str:
 
 
 def redact_stage(docs: DataFrame) -> DataFrame:
-    """All documents, with personal data replaced in their texts and n_chars set anew where a text has changed."""
+    """All documents, with personal data replaced in their texts and n_chars set anew where a text has changed.
+
+    Null and empty texts stay as they are, and so does a null n_chars unless the
+    text changes; long texts are read whole; rows that repeat stay; an empty
+    table gives no rows. All columns stay; a table without n_chars gets none.
+    """
     judge = model()
 
     def run(batches: Iterable) -> Iterator:

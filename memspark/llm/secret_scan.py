@@ -4,13 +4,17 @@ A value in a credential context is cut into the cheapest sequence of words,
 dates, repeats, runs, keyboard walks and brute-force spans. The decimal
 logarithms of their guesses add up; a value that takes more than STRONG is a
 secret even where no fixed pattern knows its form, and an easy one
-("password: changeme") is not added. After a bare space, where prose goes on
+("password: changeme") is not added. Words are a short list of passwords, then
+the whole words of a tokenizer's vocabulary file, which stand by frequency.
+Repeats of a unit over SPAN characters are counted as brute force: such a unit
+is over STRONG by itself unless it is made of words. After a bare space, where prose goes on
 ("the token bucket"), only values with a digit are weighed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections import defaultdict
@@ -20,6 +24,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memspark.llm.tokens import default_vocabulary
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -36,7 +42,7 @@ ASSIGN_HINTS = (b"passw", b"secret", b"token", b"api")
 SHORTEST = 8
 #: Decimal logarithm of guesses from which a value counts as a secret.
 STRONG = 9.0
-#: Longest word, date, run or repeated unit that is looked for.
+#: Longest repeated unit that is looked for.
 SPAN = 24
 
 #: Common words of passwords, most common first.
@@ -54,6 +60,8 @@ LEET = str.maketrans("4@831!0$57", "aabeiiosst")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 #: Guesses, as logarithms: a word of no list, a date, a start in a run or walk.
 UNKNOWN_WORD, DATE, START = 5.0, 4.6, 1.5
+#: A word of no list costs so much more for each letter beyond 6, and beyond 12.
+LONGER, MUCH_LONGER = 0.1, 0.7
 DATES = re.compile(r"(?:19|20)\d\d|\d{1,2}[-/.]?\d{1,2}[-/.]?(?:19|20)?\d\d|(?:19|20)\d\d[-/.]?\d{1,2}[-/.]?\d{1,2}", re.A)
 LETTERS = re.compile(r"[A-Za-z]{3,}")
 
@@ -69,27 +77,32 @@ def _neighbours() -> dict[str, str]:
     return {a: "".join(sorted(b)) for a, b in near.items()}
 
 
-@lru_cache(maxsize=1)
-def _ranks() -> dict[str, float]:
-    return {w: math.log10(k + 2) for k, w in reversed([*enumerate(WORDS)])}
+@lru_cache(maxsize=2)
+def _ranks(vocabulary: str) -> tuple[dict[str, float], int]:
+    """The logarithm of each word's rank, and the longest word's length."""
+    with open(vocabulary, encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    known = [t.removesuffix("</w>") for t in sorted(tokens, key=tokens.get) if t.endswith("</w>")]
+    words = [*WORDS, *(w for w in known if len(w) >= 3 and w.isascii() and w.isalpha())]
+    return {w: math.log10(k + 2) for k, w in reversed([*enumerate(words)])}, max(map(len, words))
 
 
-def _spans(value: str) -> Iterator[tuple[int, int, float]]:
+def _spans(value: str, vocabulary: str | None = None) -> Iterator[tuple[int, int, float]]:
     """(start, end, guesses) of what is easier than brute force. Linear in the value's length."""
     low = value.lower()
-    ranks, near = _ranks(), _neighbours()
+    (ranks, longest), near = _ranks(vocabulary or default_vocabulary()), _neighbours()
     plain = low.translate(LEET)
     for text, extra in ((low, 0.0), (plain, 0.5)) if plain != low else ((low, 0.0),):
         for i in range(len(text)):
-            for j in range(i + 3, min(len(text), i + SPAN) + 1):
+            for j in range(i + 3, min(len(text), i + longest) + 1):
                 for word, more in ((text[i:j], 0.0), (text[i:j][::-1], 0.3)):
                     if word in ranks:
                         yield i, j, ranks[word] + extra + more + (0.0 if value[i:j].islower() or not value[i:j].isalpha() else 0.5)
     for m in LETTERS.finditer(value):
         word = m[0]
         vowels = sum(c in "aeiouyAEIOUY" for c in word)
-        if len(word) <= 16 and (word[1:].islower() or word.isupper()) and 0.2 <= vowels / len(word) <= 0.7:
-            yield m.start(), m.end(), UNKNOWN_WORD + 0.1 * max(0, len(word) - 6)
+        if (word[1:].islower() or word.isupper()) and 0.2 <= vowels / len(word) <= 0.7:
+            yield m.start(), m.end(), UNKNOWN_WORD + LONGER * max(0, len(word) - 6) + MUCH_LONGER * max(0, len(word) - 12)
     for i in range(len(value)):
         if (m := DATES.match(value, i)) and m.end() - i >= 4:
             yield i, m.end(), DATE if m.end() - i > 4 else 2.0
@@ -126,13 +139,13 @@ def _alphabet(text: str) -> int:
     return sum(n for n, has in ((10, any(c.isdigit() for c in text)), (26, any(c.islower() for c in text)), (26, any(c.isupper() for c in text)), (33, any(not c.isalnum() for c in text))) if has)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, vocabulary: str | None = None) -> float:
     """Decimal logarithm of the guesses that the cheapest segmentation of the value takes; 0 for an empty one."""
     if not value:
         return 0.0
     each = math.log10(max(2, _alphabet(value)))
     ends: dict[int, list[tuple[int, float]]] = defaultdict(list)
-    for start, end, cost in _spans(value):
+    for start, end, cost in _spans(value, vocabulary):
         ends[end].append((start, cost))
     joint = 0.3  # each further part could be any of two kinds at least
     best = [0.0]
@@ -143,8 +156,8 @@ def guess_cost(value: str) -> float:
     return max(0.0, best[-1] - joint)
 
 
-def spans(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by start, then kind; code points."""
+def spans(text: str | None, vocabulary: str | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) by start, then kind, then end; code points."""
     if not text:
         return []
     raw = text.encode()
@@ -173,7 +186,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             start = m.start(2)
             done = end = start + len(value)
             known = any(a <= start and end <= b for _, a, b in out)
-            if not known and guess_cost(value) >= STRONG:
+            if not known and guess_cost(value, vocabulary) >= STRONG:
                 out.append(("guess", start, end))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -187,20 +200,22 @@ def joined(found: Iterable[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-def secrets(docs: DataFrame) -> DataFrame:
-    """doc_id and an array of spans (kind, start, end) for every row.
+def secrets(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id and an array of spans (kind, start, end) for every row, by start, ties by kind, then end.
 
+    vocabulary is the tokenizer's file with ranked words, on every machine.
     Null and empty texts have none. Long texts are scanned whole, in time
     linear in their length. Rows that repeat each give a row; columns beyond
     doc_id and text are not read; an empty table gives no rows.
     """
+    vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(text.as_py())] for text in batch.column(1)]
+            found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(text.as_py(), vocabulary)] for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
