@@ -4,8 +4,9 @@ For every participant of a conversation the turns are laid out once more: that
 speaker's as the assistant, which training scores (mask 1), all others as users
 with their names. A rendering is a sequence of segments with their places in
 the whole; segments joined by place are the rendered dialogue. Places are summed
-in two steps, over blocks of turns and within them, so a conversation that
-holds a third of all rows is shared out.
+in two steps, over blocks of turns and within them: blocks are stretches of all
+turns in their order, so a conversation that holds a third of all rows is
+shared out, even if none of its turns has a number.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.llm.shared import written
+
 #: Turns of a block.
 BLOCK = 512
 NOBODY = "unknown"
@@ -40,7 +43,10 @@ def perspectives(turns: DataFrame) -> DataFrame:
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), speaker.alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
     # equal rows become one with a number of copies before anything is ordered
     rows = rows.groupBy("conv_id", "turn", "speaker", "body").agg(F.count("*").alias("copies"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(None)))
+    # ranges come from a sample, so the blocks are settled once, in a table
+    order = ("conv_id", "turn", "speaker", "body")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}"))
+    rows = written(rows, "turn-blocks")
     who = rows.select("conv_id", F.col("speaker").alias("perspective")).distinct()
 
     size = lambda head: F.length("body") + head + len(OPEN) + len(BODY) + len(CLOSE)

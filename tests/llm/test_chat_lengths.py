@@ -66,3 +66,14 @@ def test_length_sums(spark, monkeypatch, stretch):
         assert r.length == min(x for x in sizes if sum(s <= x for s in sizes) >= r.share * len(sizes))
     summed.unpersist()
     assert lengths.sums(lengths.histogram(docs.limit(0))).count() == 0
+
+
+def test_turns_without_numbers_are_shared_out(spark):
+    """One conversation whose turns are all null: places are gapless, and the sums within blocks see no more than a block."""
+    rows = [(1, None, "ab"[i % 2], f"text {i}") for i in range(3000)] + [(2, 1 << 60, "a", "x"), (2, (1 << 60) + 1, "b", "y")]
+    out = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for conv, me in {(r.conv_id, r.perspective) for r in out}:
+        segments = sorted((r.seg_start, r.seg_end, r.segment) for r in out if (r.conv_id, r.perspective) == (conv, me))
+        assert [s for s, *_ in segments] == [0, *(e for _, e, _ in segments[:-1])]
+        want, _ = render([(t, w, x) for c, t, w, x in rows if c == conv], me)
+        assert "".join(s for *_, s in segments) == want
