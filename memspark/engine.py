@@ -90,7 +90,7 @@ class Engine:
         if as_of is None:
             return own
         links = self.units.where("supersedes IS NOT NULL").select(F.col("unit_id").alias("a"), F.col("supersedes").alias("b"))
-        family = recall.bfs(links, own.select(F.col("unit_id").alias("node")), 32).select(F.col("node").alias("unit_id"))
+        family = recall.bfs(links, own.select(F.col("unit_id").alias("node"))).select(F.col("node").alias("unit_id"))
         valid = self.units.join(family, "unit_id", "left_semi").where(s.engine_valid_at(F.lit(as_of)))
         return valid.orderBy(F.desc_nulls_last("t_valid"), "unit_id").limit(1)
 
@@ -106,7 +106,7 @@ class Engine:
         chosen = s.selected(**selector)
         if mode == "purge":
             links = self.units.select(F.explode("provenance").alias("src"), F.col("unit_id").alias("dst"))
-            gone = recall.reached(links, self.units.where(chosen).select(F.col("unit_id").alias("node")), 16)
+            gone = recall.reached(links, self.units.where(chosen).select(F.col("unit_id").alias("node")))
             return replace(self, units=self.units.join(gone.select(F.col("node").alias("unit_id")), "unit_id", "left_anti"))
         chosen = chosen & (F.col("lifecycle") != "superseded")
         if mode == "downweight":
@@ -115,13 +115,13 @@ class Engine:
         return replace(self, units=self.units.withColumn("lifecycle", F.when(chosen, lifecycle.transitioned(F.col("lifecycle"), target)).otherwise(F.col("lifecycle"))))
 
     def evolve(self, mode: str, **options) -> DataFrame:
-        """associate: pairs that share tokens; dedup: newest of equal contents; sweep: ended validity is archived."""
+        """associate: pairs that share tokens; dedup: newest of equal contents; sweep: superseded and expired units go where the policy says."""
         if mode == "associate":
             return recall.token_pairs(self.units.where("lifecycle = 'active'"), t.terms(F.col("content")), options.get("least", 3), [*self.scope_dims])
         if mode == "dedup":
             return lifecycle.newest_of_equal(self.units, [*self.scope_dims], "content", [F.desc("t_ingest"), F.desc("unit_id")])
         if mode == "sweep":
-            return lifecycle.sweep(self.units, F.lit(options["now"]))
+            return lifecycle.sweep(self.units, F.lit(options["now"]), options.get("superseded", "forgotten"), options.get("expired", "forgotten"))
         raise ValueError(mode)
 
     def candidates(self, kind: str, **options) -> DataFrame:
@@ -136,8 +136,8 @@ class Engine:
             return govern.top_by(self.units, [*self.scope_dims], [F.asc("t_ingest"), F.asc("unit_id")], options["cap"])
         raise ValueError(kind)
 
-    def trace(self, unit_id: str, depth: int = 16) -> DataFrame:
-        """What a unit was derived from, with the number of steps."""
+    def trace(self, unit_id: str, depth: int | None = None) -> DataFrame:
+        """What a unit was derived from, with the number of steps; all of it unless a depth is asked for."""
         links = self.units.select(F.col("unit_id").alias("src"), F.explode("provenance").alias("dst"))
         return recall.reached(links, self.units.where(F.col("unit_id") == unit_id).select(F.col("unit_id").alias("node")), depth)
 

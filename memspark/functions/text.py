@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[0-9a-z]+|[\x{4e00}-\x{9fff}]"
-#: Words that carry no meaning in a query.
-STOP = ("a", "an", "and", "are", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+#: Words that carry no meaning in a query; negations and question words are kept.
+STOP = ("的", "了", "在", "是", "这", "也", "和", "就", "都", "而", "及", "与", "着", "或")
 SENTENCE_END = "[。！？.!?\n]"
 DIM = 64
 
@@ -116,7 +116,8 @@ def importance(value: Column) -> Column:
 
 
 def recency(age_days: Column, tau: float = 30.0) -> Column:
-    return 1 / (1 + F.greatest(F.lit(0.0), age_days) / tau)
+    """1 for now and the future, falling softly with age; 0 for an unknown time."""
+    return F.when(age_days.isNull(), 0.0).otherwise(1 / (1 + F.greatest(F.lit(0.0), age_days) / tau))
 
 
 def secondary(importance_: Column, age_days: Column, w_i: float = 0.5, w_r: float = 0.5, tau: float = 30.0) -> Column:
@@ -266,10 +267,19 @@ def seconds(clock: Column) -> Column:
     return F.aggregate(F.transform(parts, lambda p: p.cast("long")), F.lit(0).cast("long"), lambda s, p: s * 60 + p)
 
 
-#: How much each kind of memory matters by default.
-IMPORTANCE = {"decision": 0.9, "preference": 0.8, "fact": 0.6, "event": 0.5, "chat": 0.2}
-#: Keys whose values never reach a log.
-SECRET_KEYS = ("password", "passwd", "secret", "token", "api_key", "authorization")
+#: How much each category of memory matters by default.
+IMPORTANCE = {"identity": 0.95, "rule": 0.90, "preference": 0.85, "knowledge": 0.80, "relation": 0.75, "default": 0.50, "transient": 0.30}
+#: Fields that hold ids of units, the only values that a log may show.
+UNIT_ID_FIELDS = (
+    "candidate_id candidate_ids child_clm_source_ids created_id created_ids dedup_merged_from dedup_superseded existing_unit_id existing_unit_ids "
+    "forgotten_id forgotten_ids memory_unit_id memory_unit_ids new_id new_ids old_id old_ids provenance source_id source_ids source_unit_id "
+    "source_unit_ids superseded_id superseded_ids target_id target_ids target_unit_id target_unit_ids unit_id unit_ids updated_id updated_ids"
+).split()
+#: Words that tell a unit's tier, category and topic.
+SEMANTIC_WORDS = ("喜欢", "偏好", "讨厌", "习惯", "总是", "喜爱")
+PROCEDURAL_WORDS = ("步骤", "流程", "先", "然后", "如何", "怎么", "方法")
+RULE_WORDS = ("永远不要", "必须", "禁止", "一律")
+TOPIC_WORDS = {"coffee": ("咖啡", "拿铁", "美式", "燕麦奶"), "meeting": ("评审", "会议", "团队"), "project": ("项目", "系统", "agent")}
 
 
 def category_importance(category: Column, default: float = 0.5) -> Column:
@@ -277,9 +287,32 @@ def category_importance(category: Column, default: float = 0.5) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(F.trim(category))), F.lit(default))
 
 
-def redacted(details: Column) -> Column:
-    """A map of details for a log: values of secret keys are hidden, personal data in the others is masked."""
-    return F.transform_values(details, lambda k, v: F.when(F.lower(k).isin(*SECRET_KEYS), "***").otherwise(masked(v)))
+def redacted(details: Column, visible: list[str] | None = None) -> Column:
+    """A map of details for a log: keys stay, values become *, but for ids of units that are named as visible and stand in a field for such ids."""
+    leaf = lambda k: F.lower(F.trim(F.element_at(F.split(k, r"\."), -1)))
+    return F.transform_values(details, lambda k, v: F.when(leaf(k).isin(*UNIT_ID_FIELDS) & v.isin(*(visible or [])), v).otherwise("*"))
+
+
+def any_word(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(re.escape(w) for w in words))
+
+
+def keyword_tier(text: Column) -> Column:
+    """semantic, procedural or episodic, by the words that a unit has."""
+    return F.when(any_word(text, SEMANTIC_WORDS), "semantic").when(any_word(text, PROCEDURAL_WORDS), "procedural").otherwise("episodic")
+
+
+def keyword_category(text: Column) -> Column:
+    """rule, preference or default: the category that sets a unit's importance."""
+    return F.when(any_word(text, RULE_WORDS), "rule").when(any_word(text, SEMANTIC_WORDS), "preference").otherwise("default")
+
+
+def keyword_topic(text: Column) -> Column:
+    """The first topic any of whose words the unit has; empty without one."""
+    out = None
+    for topic, words in TOPIC_WORDS.items():
+        out = F.when(any_word(text, words), topic) if out is None else out.when(any_word(text, words), topic)
+    return out.otherwise("")
 
 
 def fingerprint(values: Column) -> Column:

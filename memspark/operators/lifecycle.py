@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Transitions of a unit's state that are allowed.
-TRANSITIONS = frozenset(
-    {
-        ("active", "archived"),
-        ("active", "superseded"),
-        ("active", "forgotten"),
-        ("archived", "active"),
-        ("archived", "forgotten"),
-        ("superseded", "archived"),
-        ("superseded", "forgotten"),
-    }
-)
+#: What a unit's state may become; it may always stay.
+TRANSITIONS = {
+    "active": ("archived", "forgotten", "superseded"),
+    "archived": ("forgotten",),
+    "superseded": ("forgotten",),
+    "forgotten": (),
+}
+#: Where a sweep may send units.
+SWEPT = ("forgotten", "archived")
 
 
 def overlay(old: DataFrame, patch: DataFrame, key: str) -> DataFrame:
@@ -36,16 +33,24 @@ def overlay(old: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     return j.select(*(field(c) for c in old.columns))
 
 
+def may_become(state: Column, target: Column) -> Column:
+    """Whether the state may become the target; staying is allowed, an unknown state may become nothing else."""
+    pair = F.concat_ws(">", state, target)
+    return (state == target) | pair.isin(*(f"{a}>{b}" for a, after in TRANSITIONS.items() for b in after))
+
+
 def transitioned(state: Column, target: str) -> Column:
     """The target state; a transition that is not allowed fails, staying is no transition."""
-    allowed = [a for a, b in sorted(TRANSITIONS) if b == target]
-    return F.when(state.isin(*allowed, target), F.lit(target)).otherwise(F.raise_error(F.concat(F.lit(f"no transition to {target} from "), state)).cast("string"))
+    return F.when(may_become(state, F.lit(target)), F.lit(target)).otherwise(F.raise_error(F.concat(F.lit(f"no transition to {target} from "), state)).cast("string"))
 
 
-def sweep(units: DataFrame, now: Column, target: str = "archived") -> DataFrame:
-    """Superseded units, and active ones whose validity has ended, go to the target state."""
-    due = (F.col("lifecycle") == "superseded") | ((F.col("lifecycle") == "active") & F.coalesce(F.col("t_invalid") <= now, F.lit(False)))
-    return units.withColumn("swept", due).withColumn("lifecycle", F.when(due, target).otherwise(F.col("lifecycle")))
+def sweep(units: DataFrame, now: Column, superseded: str = "forgotten", expired: str = "forgotten") -> DataFrame:
+    """Superseded units, and active ones whose validity ended before now, each go to the state that the policy names for them."""
+    if superseded not in SWEPT or expired not in SWEPT:
+        raise ValueError(f"a sweep leads to one of {SWEPT}")
+    old = F.col("lifecycle") == "superseded"
+    ended = (F.col("lifecycle") == "active") & F.coalesce(F.col("t_invalid") < now, F.lit(False))
+    return units.withColumn("swept", old | ended).withColumn("lifecycle", F.when(old, superseded).when(ended, expired).otherwise(F.col("lifecycle")))
 
 
 def supersede(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,25 +159,27 @@ def expand_entities(seeds: DataFrame, links: DataFrame, seen: DataFrame, anchors
     return cut.crossJoin(F.broadcast(a)).select("unit_id", scaled.alias("score"), F.lit("entity").alias("channel"))  # one row of anchors
 
 
-def reached(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """node, hop: all that links (src, dst) lead to from the seeds in at most so many hops, with the fewest hops.
+def reached(links: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """node, hop: all that links (src, dst) lead to from the seeds, with the fewest hops; depth is the feature of a bounded walk, without it the closure is whole.
 
     Each hop is written to the shared folder, so plans stay small and a lost
     executor costs one hop; the walk ends when a hop finds nothing new.
     """
-    pairs = links.select("src", "dst").distinct()
+    pairs = written(links.select("src", "dst").distinct(), "links")
     front = written(seeds.select("node").distinct().withColumn("hop", F.lit(0)), "hop")
     seen = front
-    for hop in range(1, depth + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         new = front.select(F.col("node").alias("src")).join(pairs, "src").select(F.col("dst").alias("node")).distinct()
         front = written(new.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)), "hop")
         if not front.limit(1).count():
             break
         seen = seen.unionByName(front)
+        if hop % 16 == 0:
+            seen = written(seen, "reached")  # a long walk's plan stays short
     return seen
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """node, hop: nodes within some hops over undirected edges (a, b). Nodes reached before are not taken again."""
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     return reached(both, seeds, depth)

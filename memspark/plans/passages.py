@@ -37,13 +37,17 @@ def x17(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(t.cosine(v, F.reverse(v)), 6).alias("cosine"), t.cosine(v, F.slice(v, 1, 3)).alias("other_length"))
 
 
-@query("X24_category_importance", "SELECT event_id, CASE event_type WHEN 'chat' THEN 0.2 ELSE 0.5 END::double AS importance, CASE event_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 ELSE 0.5 END::double AS given FROM events")
+@query("X24_category_importance", "SELECT event_id, 0.5::double AS importance, CASE event_id % 9 WHEN 0 THEN 0.95 WHEN 1 THEN 0.90 WHEN 2 THEN 0.85 WHEN 3 THEN 0.80 WHEN 4 THEN 0.75 WHEN 5 THEN 0.50 WHEN 6 THEN 0.30 ELSE 0.5 END::double AS given FROM events")
 def x24(spark, sf_dir):
-    given = F.when(F.col("event_id") % 3 == 0, " Decision").when(F.col("event_id") % 3 == 1, "preference")
+    names = F.array(*map(F.lit, (" Identity", "rule", "preference", "KNOWLEDGE", "relation", "default", "transient", "other")))
+    given = F.try_element_at(names, (F.col("event_id") % 9 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", t.category_importance(F.col("event_type")).alias("importance"), t.category_importance(given).alias("given"))
 
 
-@query("X34_merged_segments")
+@query("X34_merged_segments", """WITH RECURSIVE p AS (SELECT conv_id, role AS text, turn * 10.0::double AS s, turn * 10.0::double + CASE WHEN length(text) % 3 = 0 THEN 2.0 ELSE 10.0 END::double AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn, turn * 10.0 + CASE WHEN length(text) % 3 = 0 THEN 2.0 ELSE 10.0 END, role) AS i FROM conversations),
+f AS (SELECT conv_id, i, 0 AS seq, s, e, text FROM p WHERE i = 1
+  UNION ALL SELECT p.conv_id, p.i, f.seq + CASE WHEN p.e - p.s < 5 OR f.e - f.s < 5 THEN 0 ELSE 1 END, CASE WHEN p.e - p.s < 5 OR f.e - f.s < 5 THEN f.s ELSE p.s END, p.e, CASE WHEN p.e - p.s < 5 OR f.e - f.s < 5 THEN f.text || ' ' || p.text ELSE p.text END FROM f JOIN p ON p.conv_id = f.conv_id AND p.i = f.i + 1)
+SELECT conv_id, seq::int AS seq, max_by(s, i) AS start, max_by(e, i) AS end, max_by(text, i) AS text FROM f GROUP BY conv_id, seq""")
 def x34(spark, sf_dir):
     at = F.col("turn").cast("double")
     part = F.struct((at * 10).alias("start"), (at * 10 + F.when(F.length("text") % 3 == 0, 2.0).otherwise(10.0)).alias("end"), F.col("role").alias("text"))
@@ -68,11 +72,12 @@ def x47(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", t.humanised(F.col("o_orderdate"), F.when(k == 0, "year").when(k == 1, "month").otherwise("day")).alias("said"))
 
 
-@query("X43_log_redaction", "SELECT event_id, '***' AS token, event_type AS kind, 'mail [email] now' AS note FROM events")
+@query("X43_log_redaction", "SELECT event_id, '*' AS token, '*' AS kind, CASE WHEN event_id % 3 = 0 THEN 'u1' ELSE '*' END AS unit, '*' AS other FROM events")
 def x43(spark, sf_dir):
-    note = F.concat(F.lit("mail u"), F.col("user_id"), F.lit("@example.org now"))
-    d = table(spark, sf_dir, "events").select("event_id", t.redacted(F.create_map(F.lit("Token"), "props", F.lit("kind"), "event_type", F.lit("note"), note)).alias("d"))
-    return d.select("event_id", F.col("d")["Token"].alias("token"), F.col("d")["kind"].alias("kind"), F.col("d")["note"].alias("note"))
+    own = F.concat(F.lit("u"), (F.col("event_id") % 3 + 1).cast("string"))
+    details = F.create_map(F.lit("Token"), "props", F.lit("kind"), "event_type", F.lit("system_metadata.Unit_Id"), own, F.lit("user_id"), F.lit("u1"))
+    d = table(spark, sf_dir, "events").select("event_id", t.redacted(details, ["u1"]).alias("d"))
+    return d.select("event_id", F.col("d")["Token"].alias("token"), F.col("d")["kind"].alias("kind"), F.col("d")["system_metadata.Unit_Id"].alias("unit"), F.col("d")["user_id"].alias("other"))
 
 
 _SENTENCES = r"list_filter(list_transform(regexp_extract_all(text, '[^。！？.!?\n]+[。！？.!?]*'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"

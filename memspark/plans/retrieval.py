@@ -173,9 +173,9 @@ def l07(spark, sf_dir):
     return units(spark, sf_dir).where("tier = 'working'").orderBy("t_ingest", "unit_id").limit(40).select("unit_id")
 
 
-@query("L09_secondary_score", f"WITH {UNITS_SQL} SELECT unit_id, round(0.5 * coalesce(importance, 0.5) + 0.5 / (1 + greatest(0, (({EPOCH} + 100000 * {STEP}::bigint) - t_ingest) / 86400000.0) / 30), 6) AS score FROM units")
+@query("L09_secondary_score", f"WITH {UNITS_SQL} SELECT unit_id, round(0.5 * coalesce(importance, 0.5) + CASE WHEN t_event IS NULL THEN 0 ELSE 0.5 / (1 + greatest(0, (({EPOCH} + 3000 * {STEP}::bigint) - t_event) / 86400000.0) / 30) END, 6) AS score FROM units")
 def l09(spark, sf_dir):
-    age = (F.lit(EPOCH + 100_000 * STEP) - F.col("t_ingest")) / 86_400_000.0
+    age = (F.lit(EPOCH + 3_000 * STEP) - F.col("t_event")) / 86_400_000.0
     return units(spark, sf_dir).select("unit_id", F.round(t.secondary(F.coalesce("importance", F.lit(0.5)), age), 6).alias("score"))
 
 

@@ -216,7 +216,7 @@ def x01(spark, sf_dir):
     return u(spark, sf_dir).select("unit_id", t.tokens(F.col("content")).alias("t")).select("unit_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-@query("X03_X05_terms", f"WITH {TOKENS_SQL} SELECT unit_id, len(list_filter(list_distinct(toks), lambda x: NOT list_contains({list(t.STOP)}, x)))::int AS terms, len(list_filter(list_distinct(toks), lambda x: length(x) >= 3))::int AS entities FROM tk")
+@query("X03_X05_terms", f"WITH {TOKENS_SQL} SELECT unit_id, len(list_filter(list_distinct(toks), lambda x: NOT list_contains(['的', '了', '在', '是', '这', '也', '和', '就', '都', '而', '及', '与', '着', '或'], x)))::int AS terms, len(list_filter(list_distinct(toks), lambda x: length(x) >= 3))::int AS entities FROM tk")
 def x03(spark, sf_dir):
     return u(spark, sf_dir).select("unit_id", F.size(t.terms(F.col("content"))).alias("terms"), F.size(t.entities(F.col("content"))).alias("entities"))
 
@@ -261,9 +261,20 @@ def x22(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", t.importance(raw).alias("importance"))
 
 
-@query("X23_recency", "SELECT o_orderkey, round(1 / (1 + greatest(0, (date_diff('day', o_orderdate, TIMESTAMP '1998-08-02'))) / 30), 9) AS decay FROM orders")
+@query("X23_recency", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE round(1 / (1 + greatest(0, (date_diff('day', o_orderdate, TIMESTAMP '1997-08-02'))) / 30), 9) END::double AS decay FROM orders")
 def x23(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(t.recency(F.date_diff(F.lit("1998-08-02").cast("date"), F.col("o_orderdate").cast("date")).cast("double")), 9).alias("decay"))
+    age = F.when(F.col("o_orderstatus") != "P", F.date_diff(F.lit("1997-08-02").cast("date"), F.col("o_orderdate").cast("date")).cast("double"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(t.recency(age), 9).alias("decay"))
+
+
+_SAID = "CASE event_id % 6 WHEN 0 THEN '我喜欢拿铁' WHEN 1 THEN '评审的步骤' WHEN 2 THEN '必须更新系统' WHEN 3 THEN 'the agent said' WHEN 4 THEN '然后喝美式' ELSE 'nothing' END"
+
+
+@query("X25_keyword_classes", f"WITH e AS (SELECT event_id, {_SAID} AS s FROM events) SELECT event_id, CASE WHEN regexp_matches(s, '喜欢|偏好|讨厌|习惯|总是|喜爱') THEN 'semantic' WHEN regexp_matches(s, '步骤|流程|先|然后|如何|怎么|方法') THEN 'procedural' ELSE 'episodic' END AS tier, CASE WHEN regexp_matches(s, '永远不要|必须|禁止|一律') THEN 'rule' WHEN regexp_matches(s, '喜欢|偏好|讨厌|习惯|总是|喜爱') THEN 'preference' ELSE 'default' END AS category, CASE WHEN regexp_matches(s, '咖啡|拿铁|美式|燕麦奶') THEN 'coffee' WHEN regexp_matches(s, '评审|会议|团队') THEN 'meeting' WHEN regexp_matches(s, '项目|系统|agent') THEN 'project' ELSE '' END AS topic FROM e")
+def x25b(spark, sf_dir):
+    said = F.array(*map(F.lit, ("我喜欢拿铁", "评审的步骤", "必须更新系统", "the agent said", "然后喝美式", "nothing")))
+    s = F.element_at(said, (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", t.keyword_tier(s).alias("tier"), t.keyword_category(s).alias("category"), t.keyword_topic(s).alias("topic"))
 
 
 @query("X25_classifier", f"{U} SELECT unit_id, CASE WHEN contains(lower(content), 'license') OR contains(lower(content), 'mit ') THEN 'legal' WHEN contains(lower(content), 'token') THEN 'secret' WHEN contains(lower(content), 'idiot') THEN 'toxic' ELSE 'other' END AS topic FROM units")
@@ -286,7 +297,7 @@ def x27(spark, sf_dir):
     return u(spark, sf_dir).select("unit_id", t.ellipsis(c, 40).alias("short"), t.window_around(c, "license", 80).alias("around"))
 
 
-@query("X28_best_snippet")
+@query("X28_best_snippet", f"{U}, w AS (SELECT unit_id, content, i, substr(lower(content), i, 80) AS win FROM (SELECT unit_id, content, unnest([instr(lower(content), 'license'), instr(lower(content), 'token'), instr(lower(content), 'the')]) AS i FROM units) WHERE i > 0), m AS (SELECT unit_id, content, i, contains(win, 'license')::int + contains(win, 'token')::int + contains(win, 'the')::int AS n FROM w), b AS (SELECT unit_id, substr(content, i, 80) AS snippet, row_number() OVER (PARTITION BY unit_id ORDER BY n DESC, i) AS r FROM m) SELECT u.unit_id, coalesce(b.snippet, left(u.content, 80)) AS snippet FROM units u LEFT JOIN b ON b.unit_id = u.unit_id AND r = 1")
 def x28(spark, sf_dir):
     return u(spark, sf_dir).select("unit_id", t.best_snippet(F.col("content"), ["license", "token", "the"], 80).alias("snippet"))
 
@@ -336,7 +347,7 @@ def x42(spark, sf_dir):
     return u(spark, sf_dir).select("unit_id", F.md5(t.masked(F.col("content"))).alias("digest"))
 
 
-@query("X42_luhn")
+@query("X42_luhn", "WITH d AS (SELECT o_orderkey, reverse(lpad(o_orderkey::varchar, 12, '4')) AS r FROM orders), c AS (SELECT o_orderkey, i, substr(r, i + 1, 1)::int * (1 + i % 2) AS x FROM d, range(12) t(i)) SELECT o_orderkey, sum(CASE WHEN x > 9 THEN x - 9 ELSE x END) % 10 = 0 AS valid FROM c GROUP BY o_orderkey")
 def x42b(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", t.luhn(F.lpad(F.col("o_orderkey").cast("string"), 12, "4")).alias("valid"))
 

@@ -170,16 +170,21 @@ def j32(spark, sf_dir):
     return broken_links(rows).select("seq")
 
 
-@query("T08_lifecycle_sweep", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '1996-01-01') THEN 'archived' WHEN o_orderstatus = 'O' THEN 'active' ELSE 'pending' END AS lifecycle FROM orders")
+@query("T08_lifecycle_sweep", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'forgotten' WHEN o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1996-01-01' THEN 'archived' WHEN o_orderstatus = 'O' THEN 'active' ELSE 'pending' END AS lifecycle FROM orders")
 def t08(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     u = o.select("o_orderkey", F.col("o_orderdate").alias("t_invalid"), F.when(F.col("o_orderstatus") == "F", "superseded").when(F.col("o_orderstatus") == "O", "active").otherwise("pending").alias("lifecycle"))
-    return life.sweep(u, F.lit("1996-01-01").cast("timestamp")).select("o_orderkey", "lifecycle")
+    return life.sweep(u, F.lit("1996-01-01").cast("timestamp"), expired="archived").select("o_orderkey", "lifecycle")
 
 
-@query("T09_transition_table", f"WITH {UNITS_SQL} SELECT unit_id, 'archived' AS lifecycle FROM units WHERE lifecycle IN ('active', 'superseded', 'archived')")
+_MAY = "CASE lifecycle WHEN 'active' THEN true WHEN 'archived' THEN target IN ('archived', 'forgotten') WHEN 'superseded' THEN target IN ('superseded', 'forgotten') ELSE target = lifecycle END"
+
+
+@query("T09_transition_table", f"WITH {UNITS_SQL}, s AS (SELECT unit_id, CASE WHEN n_chars % 7 = 0 THEN 'forgotten' ELSE lifecycle END AS lifecycle FROM units), x AS (SELECT * FROM s, (VALUES ('active'), ('archived'), ('superseded'), ('forgotten')) v(target)) SELECT unit_id, target, {_MAY} AS allowed FROM x")
 def t09(spark, sf_dir):
-    return units(spark, sf_dir).select("unit_id", life.transitioned(F.col("lifecycle"), "archived").alias("lifecycle"))
+    u = units(spark, sf_dir).select("unit_id", F.when(F.col("n_chars") % 7 == 0, "forgotten").otherwise(F.col("lifecycle")).alias("lifecycle"))
+    each = u.select("unit_id", "lifecycle", F.explode(F.array(*map(F.lit, ("active", "archived", "superseded", "forgotten")))).alias("target"))
+    return each.select("unit_id", "target", life.may_become(F.col("lifecycle"), F.col("target")).alias("allowed"))
 
 
 @query("T10_supersede_scd2", "WITH n AS (SELECT o_custkey AS k, min(epoch_ms(o_orderdate)) AS tt FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' AND tt IS NOT NULL THEN 'superseded' ELSE 'active' END AS lifecycle, CASE WHEN o_orderstatus <> 'O' THEN tt END AS t_invalid FROM orders LEFT JOIN n ON k = o_custkey")
@@ -239,12 +244,12 @@ def j12(spark, sf_dir):
     return coreferences(m).select("a", "b", F.round("score", 7).alias("score"))
 
 
-@query("J13_similarity_pairs", "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.5")
+@query("J13_similarity_pairs", "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.2")
 def j13(spark, sf_dir):
     from memspark.operators.link import similar_pairs
 
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit_id"), "label", F.col("embedding").alias("vector"))
-    return similar_pairs(v, 0.5, ["label"]).select("a", "b")
+    return similar_pairs(v, 0.2, ["label"]).select("a", "b")
 
 
 @query("J15_dedup_recall", "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings), c AS (SELECT a.vec_id AS query_id, b.vec_id AS unit_id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)), 9) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS r FROM c) SELECT query_id, unit_id, round(score, 6) AS score FROM k WHERE r <= 3 AND score >= 0.1")

@@ -66,6 +66,16 @@ def test_verbs(engine, spark):
         engine.evolve("unknown")
 
 
+def test_long_chains_are_followed_to_their_end(spark):
+    """36 units, each derived from and superseding the one before: purge, trace and versions know no depth."""
+    n = 36
+    rows = [(f"u{k}", "x", "active", "core", [], None, k, k, k + 1, k, None, [f"u{k - 1}"] if k else [], f"u{k - 1}" if k else None, "s", "u") for k in range(n)] + [("v", "x", "active", "core", [], None, 1, 1, None, 1, None, [], None, "s", "u")]
+    e = Engine(spark.createDataFrame(rows, UNIT).coalesce(1))
+    assert ids(e.delete("purge", ids=["u0"]).units) == ["v"]
+    assert e.trace(f"u{n - 1}").count() == n and e.trace(f"u{n - 1}", 5).count() == 6
+    assert ids(e.get("u0", as_of=n - 1)) == [f"u{n - 1}"]
+
+
 def test_streamed_spans(spark, tmp_path):
     start = datetime(2024, 1, 1)
     rows = [(u, "s" if i % 17 else "t", start + timedelta(minutes=13 * i * (u + 1)), i) for u in range(3) for i in range(100)]

@@ -231,10 +231,22 @@ def test_chunks():
     for _ in range(60):
         text = "".join(RNG.choice(["word ", "sentence. ", "\n", "\n\n", "xyz", "，"]) for _ in range(RNG.randint(0, 300)))
         cuts = chunker.split(text, 100, 10, 5)
-        assert cuts[0][0] == 0 and cuts[-1][1] == len(text)
-        for (a, b), (c, d) in zip(cuts, cuts[1:], strict=False):
-            assert c == max(0, b - 10) and d > b
-        assert all(b - a <= 115 for a, b in cuts)
+        assert bool(cuts) == bool(text.strip())
+        covered = set()
+        for x, a, b in cuts:
+            # blank pieces alone are left out of a chunk
+            assert "".join(x.split()) == "".join(text[a:b].split()) and len(x) <= 230
+            covered |= set(range(a, b))
+        assert all(c.isspace() for k, c in enumerate(text) if k not in covered)
+        assert all(c < b <= d for (_, _, b), (_, c, d) in zip(cuts, cuts[1:], strict=False))
+    # paragraphs first; a piece that fits is cut no further, the next chunk begins with the last piece
+    assert chunker.split("one. two.\n\nthree. four.\n\nfive", 15, 0, 1) == [("one. two.\n\n", 0, 11), ("one. two.\n\nthree. four.\n\n", 0, 25), ("three. four.\n\nfive", 11, 29)]
+    # of a level only the first separator that is there counts: the full stop, not the question mark
+    assert [x for x, *_ in chunker.split("aaaa.bbbb?cccc.dddd", 10, 0, 1)][:2] == ["aaaa.", "aaaa.bbbb?cccc."]
+    # short pieces join the one before, blank ones go, no separator leaves a piece whole
+    assert chunker.split("word  word", 512, 64, 10) == [("word word", 0, 10)]
+    assert chunker.split("x" * 40, 10, 2, 5) == [("x" * 40, 0, 40)] and chunker.split(" \n ", 10) == []
+    assert [x for x, *_ in chunker.split("甲甲甲甲：乙乙乙乙、丙丙丙丙", 8, 0, 1)] == ["甲甲甲甲：", "甲甲甲甲：乙乙乙乙、丙丙丙丙"]
 
 
 def test_clusters_and_resolvers(spark):
