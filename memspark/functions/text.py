@@ -32,6 +32,14 @@ def occurrences(low: Column, words: list[str]) -> Column:
     return F.regexp_count(low, F.lit("|".join(parts))) if parts else F.lit(0)
 
 
+def found(low: Column, words: list[str]) -> Column:
+    """The tokens of a lower-case text that are among the words, in order, without building the list of all tokens."""
+    latin = [w for w in words if re.fullmatch("[0-9a-z]+", w)]
+    single = [w for w in words if re.fullmatch("[\u4e00-\u9fff]", w)]
+    parts = ([f"(?<![0-9a-z])(?:{'|'.join(latin)})(?![0-9a-z])"] if latin else []) + single
+    return F.regexp_extract_all(low, F.lit("|".join(parts)), F.lit(0)) if parts else F.array().cast("array<string>")
+
+
 def terms(text: Column) -> Column:
     """Distinct tokens that are no stop words, in order."""
     return F.array_distinct(F.array_except(tokens(text), F.array(*map(F.lit, STOP))))

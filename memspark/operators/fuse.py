@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from memspark.functions import text as t
 from memspark.operators.recall import RRF_K
 
-
+#: The width of a score band, and by how much rounding may miss its closed edge.
+BAND, BAND_EPSILON = 0.05, 1e-9
 
 def merge_layers(hits: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Within a channel the best hit of each unit across its layers."""
@@ -32,11 +33,11 @@ def _weight(weights: dict[str, float] | None) -> Column:
 
 
 def rrf(hits: DataFrame, k: int = RRF_K, weights: dict[str, float] | None = None, keys: list[str] | None = None, first_rank: int = 0) -> DataFrame:
-    """Sum of weight / (k + rank + 1) over channels, with the evidence. first_rank 1 counts ranks from 1 (k + rank, one more than the rank from 0)."""
+    """Sum of weight / (k + place) over channels, places counted from 1, with the evidence; first_rank says from which number the evidence counts ranks."""
     keys = keys or []
     r = ranked(merge_layers(hits, keys), keys)
-    part = _weight(weights) / (k + F.col("rank") + 1 + first_rank)
-    each = r.withColumn("contribution", part)
+    part = _weight(weights) / (k + F.col("rank") + 1)
+    each = r.withColumn("contribution", part).withColumn("rank", F.col("rank") + first_rank)
     return each.groupBy(*keys, "unit_id").agg(F.sum("contribution").alias("score"), F.array_sort(F.collect_list(F.struct("channel", "rank", F.col("score").alias("raw"), "contribution"))).alias("evidence"))
 
 
@@ -104,13 +105,13 @@ def adaptive_disclosure(rows: DataFrame, budget: int, key: str = "query_id") ->
 
 
 def banded(rows: DataFrame, band: float, key: str = "query_id") -> DataFrame:
-    """Order within score bands by a secondary score. A band begins where a score falls below the band's first by more than its width; a fold over one query's few rows."""
+    """Order within score bands by a secondary score. A band, closed at both edges, begins where a score falls below the band's first by more than its width; a fold over one query's few rows."""
 
     def run(pdf):
         pdf = pdf.sort_values(["score", "unit_id"], ascending=[False, True]).reset_index(drop=True)
         first, number, bands = None, -1, []
         for s in pdf["score"]:
-            if first is None or s < first - band:
+            if first is None or s < first - band - BAND_EPSILON:
                 first, number = s, number + 1
             bands.append(number)
         pdf["band"] = bands
@@ -159,7 +160,7 @@ def scatter_merge(parts: list[DataFrame], key: str, k: int, higher: bool = True)
 
 
 def interleaved(a: DataFrame, b: DataFrame, ratio: float) -> DataFrame:
-    """Two ranked lists in one: a row of b whenever its credit, ratio for each row of a, reaches one."""
+    """Two ranked lists in one: a row of b whenever its credit, ratio for each row of a, reaches one. The lists are those of one query, cut to their recall width before."""
     x = a.withColumn("slot", F.col("rank") * 1.0)
     y = b.withColumn("slot", F.ceil((F.col("rank") + 1) / ratio) - 0.5)
     both = x.unionByName(y)

@@ -71,22 +71,29 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> Da
             import pyarrow as pa
 
             ids, q = held.value
-            top_s, top_u = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), object)
+            # rows are kept by place; only those among some query's best keep their names
+            names, top_s, top_u = np.zeros(0, object), np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
             for batch in batches:
-                vs = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(len(batch), -1) if len(batch) else None
-                if vs is None:
+                if not len(batch):
                     continue
+                vs = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(len(batch), -1)
                 vs = vs / np.maximum(np.linalg.norm(vs, axis=1, keepdims=True), 1e-300)
-                names = np.array(batch.column(0).to_pylist(), object)
-                top_s = np.concatenate([top_s, q @ vs.T], 1)
-                top_u = np.concatenate([top_u, np.broadcast_to(names, (len(ids), len(names)))], 1)
+                top_s = np.concatenate([top_s, (q @ vs.T).round(12)], 1)
+                top_u = np.concatenate([top_u, np.broadcast_to(len(names) + np.arange(len(batch)), (len(ids), len(batch)))], 1)
+                names = np.concatenate([names, np.array(batch.column(0).to_pylist(), object)])
+                # names in order, so that a place tells ties by id, as the final order has them
+                order = np.argsort(names.astype(str), kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                names, top_u = names[order], place[top_u]
                 if top_s.shape[1] > k:
-                    # ties are cut by id, as the final order has them
-                    keep = np.stack([np.lexsort((u.astype(str), -s.round(12)))[:k] for s, u in zip(top_s, top_u, strict=True)])
+                    keep = np.lexsort((top_u, -top_s))[:, :k]
                     top_s, top_u = np.take_along_axis(top_s, keep, 1), np.take_along_axis(top_u, keep, 1)
+                kept, top_u = np.unique(top_u, return_inverse=True)
+                names, top_u = names[kept], top_u.reshape(top_s.shape)
             if top_s.shape[1]:
                 good = top_s > 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, good.sum(1)).tolist(), pa.string()), pa.array(top_u[good].tolist(), pa.string()), pa.array(top_s[good])], ["query_id", "unit_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, good.sum(1)).tolist(), pa.string()), pa.array(names[top_u[good]].tolist(), pa.string()), pa.array(top_s[good])], ["query_id", "unit_id", "score"])
 
         hits = rows.mapInArrow(run, "query_id string, unit_id string, score double")
         found = hits if found is None else found.unionByName(hits)
@@ -108,11 +115,30 @@ def bm25(docs: DataFrame, query: list[str], k1: float = K1, b: float = B) -> Dat
     Lengths and frequencies of the query's terms are taken in one pass, so only
     one row of sums goes to every task.
     """
+    return bm25_of(term_counts(docs, query), query, k1, b)
+
+
+def term_counts(docs: DataFrame, query: list[str]) -> DataFrame:
+    """unit_id, dl (tokens of the text) and tf (how often it has each distinct query term, in their order): what the lexical channels need of a text, in one pass."""
+    q = sorted(set(query))
+    low = F.lower("content")
+    counts = t.let(t.found(low, q), lambda ws: F.array(*(F.size(F.filter(ws, _is(w))) for w in q)).cast("array<int>"))
+    row = F.struct(F.regexp_count(low, F.lit(t.TOKEN)).alias("dl"), counts.alias("tf"))
+    return docs.select("unit_id", F.explode(F.array(row)).alias("c")).select("unit_id", "c.*")  # the generator keeps counts from being computed for each use
+
+
+def keyword_of(counts: DataFrame, query: list[str]) -> DataFrame:
+    """The keyword channel from term_counts(): the share of a unit's tokens that are in the query."""
+    hits = F.aggregate("tf", F.lit(0), lambda s, x: s + x)
+    return counts.where(hits > 0).select("unit_id", (hits / F.col("dl")).alias("score"), F.lit("keyword").alias("channel"))
+
+
+def bm25_of(counts: DataFrame, query: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """bm25() from term_counts() over the pool."""
     q = sorted(set(query))
     if not q:
-        return docs.select("unit_id", F.lit(0.0).alias("score")).limit(0)
-    counts = t.let(t.tokens(F.col("content")), lambda ts: F.struct(F.size(ts).alias("dl"), *(F.size(F.filter(ts, _is(w))).alias(f"tf{i}") for i, w in enumerate(q))))
-    tf = docs.select("unit_id", F.explode(F.array(counts)).alias("c")).select("unit_id", "c.*")  # the generator keeps counts from being computed for each use
+        return counts.select("unit_id", F.lit(0.0).alias("score")).limit(0)
+    tf = counts.select("unit_id", "dl", *(F.col("tf")[i].alias(f"tf{i}") for i in range(len(q))))
     stats = tf.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(q))))
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     score: Column = F.lit(0.0)

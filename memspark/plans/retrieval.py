@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memspark.functions import text as t
 from memspark.operators import fuse, recall
 from memspark.plans.registry import query
+from memspark.sources.scratch import written
 from memspark.sources.tables import EPOCH, STEP, UNITS_SQL, table, units
 
 WORDS = ["the", "heat", "ing", "license", "eau", "the"]
@@ -32,10 +33,12 @@ def _best(hits, k):
     return hits.withColumn("score", F.round("score", 12)).orderBy(F.desc("score"), "unit_id").limit(k)
 
 
-def channels(spark, sf_dir):
-    u = units(spark, sf_dir)
-    k = _best(recall.keyword(u, WORDS), 100)
-    b = _best(recall.bm25(u, WORDS), 100).withColumn("channel", F.lit("bm25"))
+def channels(spark, sf_dir, words=None):
+    """The best hits of both lexical channels, from one pass over the texts."""
+    words = words or WORDS
+    counts = written(recall.term_counts(units(spark, sf_dir), words), "term-counts")
+    k = _best(recall.keyword_of(counts, words), 100)
+    b = _best(recall.bm25_of(counts, words), 100).withColumn("channel", F.lit("bm25"))
     return k.unionByName(b)
 
 
@@ -96,7 +99,7 @@ def a06(spark, sf_dir):
     return _r(fuse.rrf(channels(spark, sf_dir), weights={"bm25": 2.0, "keyword": 0.5}), "unit_id", "score", digits=9)
 
 
-@query("A11_A12_A13_rrf_from_one", f"WITH {RANKED_SQL} SELECT unit_id, round(sum(1.0 / (62 + rank)), 9) AS score, array_to_string(list_sort(list(DISTINCT channel)), ',') AS channels FROM r GROUP BY unit_id")
+@query("A11_A12_A13_rrf_from_one", f"WITH {RANKED_SQL} SELECT unit_id, round(sum(1.0 / (61 + rank)), 9) AS score, array_to_string(list_sort(list(DISTINCT channel)), ',') AS channels FROM r GROUP BY unit_id")
 def a11(spark, sf_dir):
     f = fuse.rrf(channels(spark, sf_dir), first_rank=1)
     return f.select("unit_id", F.round("score", 9).alias("score"), F.array_join(F.array_sort(F.transform("evidence", lambda e: e["channel"])), ",").alias("channels"))
@@ -251,9 +254,10 @@ def search(spark, sf_dir, words=None, k=10):
     """Recall by keyword and BM25, fuse by RRF, re-check the truth record, cut by threshold and disclose an excerpt."""
     words = words or WORDS
     u = units(spark, sf_dir)
-    hits = _best(recall.keyword(u, words), 100).unionByName(_best(recall.bm25(u, words), 100).withColumn("channel", F.lit("bm25")))
+    hits = channels(spark, sf_dir, words)
     truth = u.where((F.col("lifecycle") == "active") & (F.col("tier") != "working")).select("unit_id", "tier", F.substring("content", 1, 120).alias("snippet"))
-    found = fuse.rrf(hits).select("unit_id", "score").join(truth, "unit_id")
+    # at most two channels' best 100: the texts stay where they are
+    found = truth.join(F.broadcast(fuse.rrf(hits).select("unit_id", "score")), "unit_id")
     cut = fuse.threshold(found, 0.2).withColumn("o", F.round("score", 12))
     return cut.orderBy(F.desc("o"), "unit_id").limit(k).select("unit_id", F.round("score", 9).alias("score"), "tier", "snippet")
 
@@ -285,7 +289,7 @@ def p05(spark, sf_dir):
     return fuse.adaptive_disclosure(rows, 3000)
 
 
-@query("W22_score_bands", f"WITH RECURSIVE {KEYWORD_SQL}, p AS (SELECT k.unit_id, round(score, 12) AS score, coalesce(importance, 0.5) AS secondary, row_number() OVER (ORDER BY round(score, 12) DESC, k.unit_id) AS i FROM kw k JOIN units u ON u.unit_id = k.unit_id WHERE score > 0 ORDER BY i LIMIT 60), f AS (SELECT i, unit_id, secondary, score, score AS first, 0 AS band FROM p WHERE i = 1 UNION ALL SELECT p.i, p.unit_id, p.secondary, p.score, CASE WHEN p.score < f.first - 0.05 THEN p.score ELSE f.first END, CASE WHEN p.score < f.first - 0.05 THEN f.band + 1 ELSE f.band END FROM f JOIN p ON p.i = f.i + 1) SELECT unit_id, band::bigint AS band, row_number() OVER (ORDER BY band, secondary DESC, score DESC, unit_id) - 1 AS position FROM f")
+@query("W22_score_bands", f"WITH RECURSIVE {KEYWORD_SQL}, p AS (SELECT k.unit_id, round(score, 12) AS score, coalesce(importance, 0.5) AS secondary, row_number() OVER (ORDER BY round(score, 12) DESC, k.unit_id) AS i FROM kw k JOIN units u ON u.unit_id = k.unit_id WHERE score > 0 ORDER BY i LIMIT 60), f AS (SELECT i, unit_id, secondary, score, score AS first, 0 AS band FROM p WHERE i = 1 UNION ALL SELECT p.i, p.unit_id, p.secondary, p.score, CASE WHEN p.score < f.first - 0.05 - 1e-9 THEN p.score ELSE f.first END, CASE WHEN p.score < f.first - 0.05 - 1e-9 THEN f.band + 1 ELSE f.band END FROM f JOIN p ON p.i = f.i + 1) SELECT unit_id, band::bigint AS band, row_number() OVER (ORDER BY band, secondary DESC, score DESC, unit_id) - 1 AS position FROM f")
 def w22(spark, sf_dir):
     return fuse.banded(_pool(spark, sf_dir).select("query_id", "unit_id", "score", "secondary"), 0.05).drop("query_id")
 
