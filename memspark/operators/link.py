@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as t
+from memspark.operators.govern import top_by
 from memspark.sources.scratch import written
 
 
@@ -16,29 +17,120 @@ def coreferences(mentions: DataFrame) -> DataFrame:
     return x.join(y, "entity").where("a < b").groupBy("a", "b").agg(F.avg((F.col("ca") + F.col("cb")) / 2).alias("score"))
 
 
+#: Vectors of a block that one task holds, from each side.
+CHUNK = 4096
+#: Blocks over that size which are broadcast, with their numbers of parts, at most.
+HOT_BLOCKS = 50_000
+
+
+def _products(left: DataFrame, right: DataFrame, block: list[str], emit, schema: str) -> DataFrame:
+    """emit(left ids, left vectors, right ids, right vectors) -> Arrow columns, for all of left (id, block, v) against all of right in the same block.
+
+    A block over CHUNK rows is cut on both sides and its parts are dealt out in
+    pairs, so a task holds two parts at most, however large a block is.
+    """
+    n_rows = left.count() + right.count()
+    limit = max(CHUNK, n_rows // HOT_BLOCKS)
+    sizes = left.select(*block, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(*block, F.lit(0).alias("l"), F.lit(1).alias("r"))).groupBy(*block).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    cuts = lambda c: F.ceil(F.col(c) / limit).cast("int")
+    hot = F.broadcast(sizes.where((F.col("l") > limit) | (F.col("r") > limit)).select(*block, F.greatest(F.lit(1), cuts("l")).alias("_l"), F.greatest(F.lit(1), cuts("r")).alias("_r")))
+
+    def placed(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.coalesce(F.col(own), F.lit(1))).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+        rows = rows.join(hot, block, "left").select("id", "v", *block, part.alias(f"{own}p"), each.alias(f"{other}p"))
+        return rows.select(*block, "_lp", "_rp", F.lit(side).alias("side"), "id", "v")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        group, ids, vs = None, ([], []), ([], [])
+
+        def out():
+            if ids[0] and ids[1]:
+                return emit(ids[0], np.array(vs[0]), ids[1], np.array(vs[1]))
+            return None
+
+        width = len(block) + 2
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(width + 3)]
+            for row in zip(*columns, strict=True):
+                if row[:width] != group:
+                    if group is not None and (cols := out()) is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+                    group, ids, vs = row[:width], ([], []), ([], [])
+                side, key, v = row[width:]
+                ids[side].append(key)
+                vs[side].append(v)
+        if group is not None and (cols := out()) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = placed(left, "_l", "_r", 0).unionByName(placed(right, "_r", "_l", 1))
+    return both.repartition(n, *block, "_lp", "_rp").sortWithinPartitions(*block, "_lp", "_rp", "side").mapInArrow(run, schema)
+
+
+def _unit(vectors: DataFrame, key: str, block: list[str]) -> DataFrame:
+    return vectors.select(F.col(key).alias("id"), *block, t.normalised(F.col("vector")).alias("v"))
+
+
 def similar_pairs(vectors: DataFrame, least: float, block: list[str]) -> DataFrame:
     """a, b, score: pairs within a block (scope, tier, label) whose cosine reaches a bound."""
-    v = vectors.select("unit_id", *block, t.normalised(F.col("vector")).alias("v"))
-    x, y = v.withColumnRenamed("unit_id", "a").withColumnRenamed("v", "va"), v.withColumnRenamed("unit_id", "b").withColumnRenamed("v", "vb")
-    return x.join(y, block).where("a < b").withColumn("score", t.dot(F.col("va"), F.col("vb"))).where(F.col("score") >= least).drop("va", "vb")
+
+    def emit(x, vx, y, vy):
+        import numpy as np
+
+        scores = vx @ vy.T
+        i, j = np.nonzero(scores >= least)
+        keep = [k for k, (p, q) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if x[p] < y[q]]
+        i, j = i[keep], j[keep]
+        return [x[k] for k in i], [y[k] for k in j], scores[i, j]
+
+    v, kind = _unit(vectors, "unit_id", block), dict(vectors.dtypes)["unit_id"]
+    return _products(v, v, block, emit, f"a {kind}, b {kind}, score double")
 
 
 def duplicates_of(candidates: DataFrame, vectors: DataFrame, block: list[str], k: int, least: float) -> DataFrame:
-    """The k nearest existing units of each candidate in its block, itself left out, at or over a bound."""
-    c = candidates.select("query_id", *block, t.normalised(F.col("vector")).alias("vq"))
-    v = vectors.select("unit_id", *block, t.normalised(F.col("vector")).alias("v"))
-    s = c.join(v, block).where("query_id <> unit_id").select("query_id", "unit_id", F.round(t.dot(F.col("vq"), F.col("v")), 9).alias("score"))
+    """The k nearest existing units of each candidate in its block, itself left out, at or over a bound. A task passes on k for each of its candidates."""
+
+    def emit(x, vx, y, vy):
+        import numpy as np
+
+        scores = (vx @ vy.T).round(9)
+        names = np.array(y)
+        out = ([], [], [])
+        for p, row in enumerate(scores):
+            ok = (row >= least) & (names != x[p])
+            best = np.flatnonzero(ok)[np.lexsort((names[ok], -row[ok]))[:k]]
+            out[0].extend([x[p]] * len(best))
+            out[1].extend(names[best].tolist())
+            out[2].extend(row[best].tolist())
+        return out
+
+    kinds = dict(candidates.dtypes)["query_id"], dict(vectors.dtypes)["unit_id"]
+    s = _products(_unit(candidates, "query_id", block), _unit(vectors, "unit_id", block), block, emit, f"query_id {kinds[0]}, unit_id {kinds[1]}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
-    return s.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= k) & (F.col("score") >= least)).drop("_r")
+    return s.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def merge_candidates(existing: DataFrame, new: DataFrame, block: list[str], k: int) -> DataFrame:
     """The k existing entries of each block that are nearest to any new one."""
-    c = new.select("query_id", *block, t.normalised(F.col("vector")).alias("vq"))
-    v = existing.select("unit_id", *block, t.normalised(F.col("vector")).alias("v"))
-    s = v.join(c, block).where("query_id <> unit_id").groupBy(*block, "unit_id").agg(F.max(t.dot(F.col("v"), F.col("vq"))).alias("score"))
-    w = Window.partitionBy(*block).orderBy(F.desc(F.round("score", 9)), "unit_id")
-    return s.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+    def emit(x, vx, y, vy):
+        import numpy as np
+
+        scores = vx @ vy.T
+        scores[np.array(x)[:, None] == np.array(y)[None, :]] = -np.inf
+        best = scores.max(1)
+        some = np.flatnonzero(np.isfinite(best))
+        return [x[p] for p in some], best[some]
+
+    kind = dict(existing.dtypes)["unit_id"]
+    near = _products(_unit(existing, "unit_id", block), _unit(new, "query_id", block), block, emit, f"unit_id {kind}, score double")
+    s = near.groupBy("unit_id").agg(F.max("score").alias("score")).join(existing.select("unit_id", *block), "unit_id")
+    return top_by(s, block, [F.desc(F.round("score", 9)), F.asc("unit_id")], k)
 
 
 def linked(links: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -64,11 +156,28 @@ def source_fallback(hits: DataFrame, properties: DataFrame, policy: str) -> Data
 
 
 def fuzzy_names(names: DataFrame, block: list[str], most: int) -> DataFrame:
-    """a, b: for each entity the earliest one of its block whose name is within some edits."""
-    key = t.entity_key(F.col("name"))
-    n = names.select("id", *block, key.alias("k"))
-    x, y = n.withColumnRenamed("id", "a").withColumnRenamed("k", "ka"), n.withColumnRenamed("id", "b").withColumnRenamed("k", "kb")
-    near = x.join(y, block).where("a > b").where(F.levenshtein("ka", "kb") <= most)
+    """a, b: for each entity the earliest one of its block whose name is within some edits.
+
+    A name cut into one piece more than there may be edits keeps one piece
+    whole, at most so many places away. Names meet at pieces, and only those
+    that do are compared.
+    """
+    n = names.select("id", *block, t.entity_key(F.col("name")).alias("k"))
+    count = most + 1
+    at = lambda size, i: F.floor(size * i / count).cast("int")
+    own = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(F.length("k").alias("n"), i.alias("i"), F.substring("k", at(F.length("k"), i) + 1, at(F.length("k"), i + 1) - at(F.length("k"), i)).alias("piece")))
+
+    def places(size, i):
+        start, width = at(size, i), at(size, i + 1) - at(size, i)
+        low, high = F.greatest(F.lit(0), start - most), F.least(F.length("k") - width, start + most)
+        found = F.transform(F.sequence(low, F.greatest(low, high)), lambda p: F.struct(size.alias("n"), i.alias("i"), F.substring("k", p + 1, width).alias("piece")))
+        return F.when(high >= low, found).otherwise(F.slice(found, 1, 0))
+
+    sizes = F.sequence(F.greatest(F.lit(0), F.length("k") - most), F.length("k") + most)
+    met = F.array_distinct(F.flatten(F.transform(sizes, lambda size: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: places(size, i))))))
+    x = n.select(F.col("id").alias("a"), *block, F.col("k").alias("ka"), F.explode(met).alias("m"))
+    y = n.select(F.col("id").alias("b"), *block, F.col("k").alias("kb"), F.explode(own).alias("m"))
+    near = x.join(y, [*block, "m"]).where("a > b").where(F.levenshtein("ka", "kb") <= most)
     return near.groupBy("a").agg(F.min("b").alias("b"))
 
 
