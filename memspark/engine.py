@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import predicates as p
@@ -45,6 +45,44 @@ class Engine:
         """Units appended; an id that is there already fails."""
         return replace(self, units=inserted(self.units, new, ["unit_id"]))
 
+    def batch_add(self, items: DataFrame, spaces: DataFrame | None = None) -> tuple[Engine, DataFrame]:
+        """The engine with the items that can be added, and each item with its outcome: added, conflict (an id that is there, or a second time), empty content or unknown space. No item stops the others."""
+        known = self.units.select("unit_id", F.lit(True).alias("_there"))
+        first = Window.partitionBy("unit_id").orderBy("content")
+        j = items.withColumn("_n", F.row_number().over(first)).join(known, "unit_id", "left")
+        good = F.lit(True)
+        if spaces is not None:
+            j = j.join(spaces.select("space", F.lit(True).alias("_space")).distinct(), "space", "left")
+            good = F.coalesce("_space", F.lit(False))
+        outcome = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty content").when(~good, "unknown space").when(F.coalesce("_there", F.lit(False)) | (F.col("_n") > 1), "conflict").otherwise("added")
+        report = j.withColumn("outcome", outcome).select(*items.columns, "outcome")
+        new = report.where("outcome = 'added'").drop("outcome")
+        if "lifecycle" not in new.columns:
+            new = new.withColumn("lifecycle", F.lit("active"))
+        return replace(self, units=self.units.unionByName(new, allowMissingColumns=True)), report
+
+    def batch_update(self, patch: dict[str, Column], limit: int | None = None, mode: str = "overwrite", at: int | None = None, **selector) -> Engine:
+        """What a selector names (the oldest first, up to a limit) patched: overwrite sets fields in place; supersede closes active units at a moment and adds versions named unit_id + "+"."""
+        chosen = self.units.where(s.selected(**selector))
+        if mode == "supersede":
+            chosen = chosen.where("lifecycle = 'active'")
+        if limit is not None:
+            chosen = chosen.orderBy("t_ingest", "unit_id").limit(limit)
+        marked = self.units.join(chosen.select("unit_id", F.lit(True).alias("_hit")), "unit_id", "left")
+        hit = F.coalesce("_hit", F.lit(False))
+        if mode == "overwrite":
+            return replace(self, units=marked.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in patch.items()}).select(*self.units.columns))
+        if mode != "supersede":
+            raise ValueError(mode)
+        moment = F.lit(at).cast("long")
+        old = marked.withColumn("lifecycle", F.when(hit, "superseded").otherwise(F.col("lifecycle"))).withColumn("t_invalid", F.when(hit, moment).otherwise(F.col("t_invalid"))).select(*self.units.columns)
+        new = chosen.withColumns(patch).withColumn("supersedes", F.col("unit_id")).withColumn("unit_id", F.concat("unit_id", F.lit("+"))).withColumn("t_valid", moment).select(*self.units.columns)
+        return replace(self, units=old.unionByName(new))
+
+    def usage(self, by: str = "space") -> DataFrame:
+        """Memories, characters and active ones of each space."""
+        return self.units.groupBy(by).agg(F.count("*").alias("memories"), F.sum(F.length("content")).alias("chars"), F.count_if(F.col("lifecycle") == "active").alias("active"))
+
     def search(self, query: str | list[str], scope: dict[str, str], top_k: int = 10, filters: dict | None = None, as_of: int | None = None, include_archived: bool = False, channels: tuple[str, ...] = ("keyword", "bm25"), fuser: str = "rrf", vector: list[float] | None = None, ratio: float = 0.0, level: str = "l0") -> DataFrame:
         """Recall by channels, fuse, re-check, cut and disclose: unit_id, score, text. Predicates hold before any channel's top k."""
         words = query if isinstance(query, list) else t_words(query)

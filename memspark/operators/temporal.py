@@ -108,7 +108,8 @@ def span_groups(rows: DataFrame, user: str, seconds: float = SPAN_SECONDS) -> Da
     # sorted runs are folded as they stream by: the state is one start, however long a run is
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut.select(user, "unit_id", "_run", "at").repartition(n, user, "_run").sortWithinPartitions(user, "_run", "at", "unit_id")
-    return dealt.mapInArrow(fold, f"{user} long, unit_id long, start double")
+    kinds = dict(rows.dtypes)
+    return dealt.mapInArrow(fold, f"{user} {kinds[user]}, unit_id {kinds['unit_id']}, start double")
 
 
 def event_groups(rows: DataFrame, by: list[str], order: list[Column], least_overlap: float, least_cosine: float = EVENT_COSINE) -> DataFrame:

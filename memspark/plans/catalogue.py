@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.plans import filters, jobs, passages, retrieval, stores, summaries, timelines
+from memspark.plans import composed, filters, jobs, passages, retrieval, stores, summaries, timelines
 from memspark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "filters", "jobs", "passages", "retrieval", "stores", "summaries", "timelines"]
+__all__ = ["ORACLES", "QUERIES", "composed", "filters", "jobs", "passages", "retrieval", "stores", "summaries", "timelines"]
