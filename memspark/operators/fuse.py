@@ -173,3 +173,18 @@ def must_not_exceed(rows: DataFrame, cap: int) -> DataFrame:
     if n > cap:
         raise ValueError(f"more than {cap} rows")
     return rows
+
+
+def entity_scores(hits: DataFrame, entity: str, member: str = "unit_id") -> DataFrame:
+    """entity, score, units: hits of an entity's properties as one hit of the entity: its best score, and how many different members bring it."""
+    return hits.groupBy(F.col(entity).alias("entity")).agg(F.max("score").alias("score"), F.countDistinct(member).alias("units"))
+
+
+def post_filtered(hits: DataFrame, truth: DataFrame, keep: Column, columns: list[str] | None = None) -> DataFrame:
+    """Hits whose record is there and passes, with the record's columns asked for. What has no record is no hit."""
+    return hits.join(truth.where(keep).select("unit_id", *(columns or [])), "unit_id")
+
+
+def projected(entities: DataFrame, mentions: DataFrame, entity: str, unit: str) -> DataFrame:
+    """unit_id, score: units that mention scored entities, each with the best score of its entities. entities: entity, score."""
+    return mentions.select(entity, unit).join(entities.select(entity, "score"), entity).groupBy(F.col(unit).alias("unit_id")).agg(F.max("score").alias("score"))

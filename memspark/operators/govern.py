@@ -113,3 +113,25 @@ def write_targets(items: DataFrame, targets: DataFrame, on: list[str], item: str
     n = F.count("*").over(Window.partitionBy(item))
     over = F.raise_error(F.lit("too many write targets")).cast("boolean")
     return j.withColumn("_n", n).where(F.when(F.col("_n") <= most, True).otherwise(over)).withColumn("place", F.row_number().over(Window.partitionBy(item).orderBy("priority", "target"))).drop("_n")
+
+
+def personal(units: DataFrame, views: list[tuple[Column, Column]]) -> DataFrame:
+    """Units of several scopes as one list, each once. A view is (its rows, whether the caller may read there): a scope that may not be read adds nothing, and if none may, the list is refused."""
+    seen = F.lit(False)
+    may = F.lit(False)
+    for rows, allowed in views:
+        seen = seen | (F.coalesce(rows, F.lit(False)) & F.coalesce(allowed, F.lit(False)))
+        may = may | F.coalesce(allowed, F.lit(False))
+    refused = F.raise_error(F.lit("no scope may be read")).cast("boolean")
+    return units.where(F.when(may, seen).otherwise(refused)).dropDuplicates(["unit_id"])
+
+
+def unsettled(rows: DataFrame, by: list[str], least: int, done: Column) -> DataFrame:
+    """by, n: groups of at least so many rows that are not all done."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.bool_and(done).alias("_done")).where((F.col("n") >= least) & ~F.coalesce("_done", F.lit(False))).drop("_done")
+
+
+def coverage(rows: DataFrame, by: list[str], covered: Column, seq: str) -> DataFrame:
+    """by, coverage (unknown, partial, covered) and watermark (the greatest seq seen)."""
+    g = rows.groupBy(*by).agg(F.count_if(covered).alias("_c"), F.count("*").alias("_n"), F.max(seq).alias("watermark"))
+    return g.select(*by, F.when(F.col("_c") == 0, "unknown").when(F.col("_c") < F.col("_n"), "partial").otherwise("covered").alias("coverage"), "watermark")

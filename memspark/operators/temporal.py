@@ -216,3 +216,9 @@ def families(versions: DataFrame, most: int = 64) -> DataFrame:
     roots = own.join(there, "up", "left").where("_there IS NULL").select(F.col("unit_id").alias("up"), F.lit(True).alias("_root"))
     ring = F.raise_error(F.lit("versions supersede each other in a ring")).cast("boolean")
     return jump.join(roots, "up", "left").where(F.coalesce("_root", ring)).select("unit_id", F.col("up").alias("family"))
+
+
+def assembled(entries: DataFrame, entity: str, prop: str, at: str, unit: str) -> DataFrame:
+    """entity, properties: a map from each property to its entries' ids in the order of time, then id."""
+    lines = entries.groupBy(entity, prop).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(unit).alias("id")))).alias("tl"))
+    return lines.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct(prop, F.transform("tl", lambda x: x["id"]).alias("v")))).alias("properties"))

@@ -128,9 +128,17 @@ def g08(spark, sf_dir):
     return engine(spark, sf_dir).candidates("fan_out", cap=3).select("unit_id", "space")
 
 
-@query("G02_engine_search")
+_POOL = f"{UNITS_SQL}, tk AS (SELECT unit_id, content, regexp_extract_all(lower(content), '[0-9a-z]+|[\\x{{4e00}}-\\x{{9fff}}]') AS toks FROM units WHERE space = 'src0' AND lifecycle = 'active' AND tier <> 'working')"
+_ASKED = ("a", "heat", "license", "of", "the")
+_TFS = ", ".join(f"len(list_filter(toks, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(_ASKED))
+_PARTS = " + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END" for i in range(len(_ASKED)))
+_FOUND = f"{_POOL}, tf AS (SELECT unit_id, len(toks) AS dl, {_TFS} FROM tk), st AS (SELECT count(*) AS n, coalesce(nullif(avg(dl), 0), 1) AS avgdl, {', '.join(f'count(*) FILTER (tf{i} > 0) AS df{i}' for i in range(len(_ASKED)))} FROM tf), kb AS (SELECT unit_id, CASE WHEN dl = 0 THEN 0 ELSE ({' + '.join(f'tf{i}' for i in range(len(_ASKED)))}) / dl END AS k, {_PARTS} AS b FROM tf, st), hits AS (SELECT unit_id, row_number() OVER (ORDER BY k DESC, unit_id) AS rank FROM kb WHERE k > 0 UNION ALL SELECT unit_id, row_number() OVER (ORDER BY b DESC, unit_id) FROM kb WHERE b > 0), fused AS (SELECT unit_id, sum(1.0::double / (60 + rank)) AS score FROM hits WHERE rank <= 60 GROUP BY unit_id)"
+_SAID = "CASE WHEN regexp_matches(content, '[。！？.!?\\n]') THEN left(content, length(regexp_extract(content, '^[^。！？.!?\\n]*')) + 1) ELSE left(content, 80) END"
+
+
+@query("G02_engine_search", f"WITH {_FOUND}, c AS (SELECT *, max(score) OVER () AS top FROM fused) SELECT c.unit_id, round(score, 9) AS score, {_SAID} AS text FROM c JOIN tk ON tk.unit_id = c.unit_id WHERE score >= 0.1 * top ORDER BY score DESC, c.unit_id LIMIT 10")
 def g02(spark, sf_dir):
-    return engine(spark, sf_dir).search("the heat of a license", {"space": "src0"}, 10, {"tier": {"ne": "working"}}, ratio=0.1)
+    return engine(spark, sf_dir).search("the heat of a license", {"space": "src0"}, 10, {"tier": {"ne": "working"}}, ratio=0.1).select("unit_id", F.round("score", 9).alias("score"), "text")
 
 
 @query("G07_evolve_dedup", f"WITH {UNITS_SQL}, r AS (SELECT unit_id, row_number() OVER (PARTITION BY space, user_id, sha256(content) ORDER BY t_ingest DESC, unit_id DESC) AS r FROM units) SELECT unit_id FROM r WHERE r = 1")

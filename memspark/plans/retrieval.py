@@ -280,7 +280,12 @@ def _pool(spark, sf_dir):
     return pool.withColumn("query_id", F.lit("q")).withColumn("secondary", F.coalesce("importance", F.lit(0.5)))
 
 
-@query("P05_adaptive_disclosure")
+_COST = lambda x: f"greatest(1, (length({x}) + 3) // 4)"
+_FITS = f"CASE WHEN content <> '' AND {_COST('content')} <= left_ THEN 'l2' WHEN content <> '' AND {_COST('left(content, 200)')} <= left_ THEN 'l1' WHEN content <> '' AND {_COST('left(content, 40)')} <= left_ THEN 'l0' END"
+_TAKES = f"CASE WHEN content <> '' AND {_COST('content')} <= left_ THEN {_COST('content')} WHEN content <> '' AND {_COST('left(content, 200)')} <= left_ THEN {_COST('left(content, 200)')} WHEN content <> '' AND {_COST('left(content, 40)')} <= left_ THEN {_COST('left(content, 40)')} END"
+
+
+@query("P05_adaptive_disclosure", f"WITH RECURSIVE {KEYWORD_SQL}, p AS (SELECT k.unit_id, content, row_number() OVER (ORDER BY round(score, 12) DESC, k.unit_id) AS i FROM kw k JOIN units u ON u.unit_id = k.unit_id WHERE score > 0 ORDER BY i LIMIT 60), f AS (SELECT 0::bigint AS i, NULL::varchar AS unit_id, NULL::varchar AS level, NULL::bigint AS cost, 3000::bigint AS left_ UNION ALL SELECT p.i, p.unit_id, {_FITS}, {_TAKES}, left_ - {_TAKES} FROM f JOIN p ON p.i = f.i + 1 WHERE left_ IS NOT NULL) SELECT 'q' AS query_id, unit_id, level, cost FROM f WHERE level IS NOT NULL")
 def p05(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -302,7 +307,7 @@ def w24(spark, sf_dir):
     return fuse.round_robin(p.select("query_id", "unit_id", F.col("space").alias("priority"), "rank", t.content_hash(F.col("content")).alias("digest")), 5, 20).drop("query_id")
 
 
-@query("W25_interleave")
+@query("W25_interleave", f"WITH {RANKED_SQL}, s AS (SELECT unit_id, rank, CASE channel WHEN 'keyword' THEN rank ELSE ceil((rank + 1) / 0.5) - 0.5 END AS slot FROM r) SELECT unit_id, row_number() OVER (ORDER BY slot, rank, unit_id) - 1 AS position FROM s")
 def w25(spark, sf_dir):
     r = fuse.ranked(channels(spark, sf_dir))
     a = r.where("channel = 'keyword'").select("unit_id", "rank")

@@ -72,8 +72,8 @@ def f18(spark, sf_dir):
 
 @query("F28_post_filter", f"{U}, h AS (SELECT unit_id FROM units WHERE n_chars > 500) SELECT unit_id, importance FROM units JOIN h USING (unit_id) WHERE lifecycle = 'active'")
 def f28(spark, sf_dir):
-    hits = units(spark, sf_dir).where("n_chars > 500").select("unit_id")
-    return hits.join(units(spark, sf_dir).where("lifecycle = 'active'").select("unit_id", "importance"), "unit_id")
+    u = units(spark, sf_dir)
+    return fuse.post_filtered(u.where("n_chars > 500").select("unit_id"), u, F.col("lifecycle") == "active", ["importance"])
 
 
 @query("F39_F41_index_row", f"{U} SELECT unit_id, coalesce(t_event, 0) AS t_event, space || '/' || user_id AS scope FROM units WHERE space = 'src1' AND tier <> 'core'")
@@ -121,9 +121,9 @@ def j34(spark, sf_dir):
 
 @query("J35_personal_records", f"{U} SELECT DISTINCT unit_id FROM units WHERE (user_id = 'en' AND tier = 'working') OR (space = 'src0' AND lifecycle = 'active')")
 def j35(spark, sf_dir):
-    x = units(spark, sf_dir)
-    own, shared = x.where("user_id = 'en' AND tier = 'working'"), x.where("space = 'src0' AND lifecycle = 'active'")
-    return own.select("unit_id").unionByName(shared.select("unit_id")).distinct()
+    yes, no = F.lit(True), F.lit(False)
+    views = [(F.expr("user_id = 'en' AND tier = 'working'"), yes), (F.expr("space = 'src0' AND lifecycle = 'active'"), yes), (F.expr("space = 'src1'"), no)]
+    return govern.personal(units(spark, sf_dir), views).select("unit_id")
 
 
 @query("J37_duty_budget", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 2 WHEN 'R' THEN 4 END AS budget FROM lineitem WHERE (l_returnflag = 'A' AND l_linenumber <= 2) OR (l_returnflag = 'R' AND l_linenumber <= 4)")
@@ -141,7 +141,8 @@ def a14(spark, sf_dir):
 
 @query("A15_entity_fusion", "SELECT l_suppkey AS entity, max(l_quantity) AS score, count(DISTINCT l_partkey) AS units FROM lineitem GROUP BY l_suppkey")
 def a15(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(F.max("l_quantity").alias("score"), F.countDistinct("l_partkey").alias("units"))
+    hits = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").alias("score"), F.col("l_partkey").alias("unit_id"))
+    return fuse.entity_scores(hits, "l_suppkey")
 
 
 @query("A30_clusters", "WITH o AS (SELECT o_custkey AS query_id, o_orderkey AS unit_id, o_totalprice AS score, o_orderpriority AS k FROM orders) SELECT query_id, unit_id::varchar AS unit_id, (first_value(unit_id) OVER (PARTITION BY query_id, k ORDER BY score DESC, unit_id))::varchar AS representative FROM o")
@@ -256,7 +257,7 @@ def p20(spark, sf_dir):
     return recall.filled_up(core, recall.keyword(x, WORDS), 30).select("unit_id", F.round("score", 9).alias("score"), "batch")
 
 
-@query("T15_hash_chain")
+@query("T15_hash_chain", "WITH RECURSIVE e AS (SELECT user_id::varchar AS org, event_id AS seq, coalesce(props, '') AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), f AS (SELECT org, seq, i, '' AS previous_digest, sha256(chr(10) || org || chr(10) || seq || chr(10) || body) AS digest FROM e WHERE i = 1 UNION ALL SELECT e.org, e.seq, e.i, f.digest, sha256(f.digest || chr(10) || e.org || chr(10) || e.seq || chr(10) || e.body) FROM f JOIN e ON e.org = f.org AND e.i = f.i + 1) SELECT org, seq, previous_digest, digest FROM f")
 def t15(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return govern.chained(e.select(F.col("user_id").cast("string").alias("org"), F.col("event_id").alias("seq"), F.col("props").alias("body")), "org", "seq", "body")
@@ -297,5 +298,5 @@ def v06(spark, sf_dir):
 
 @query("P13_entities_to_units", "SELECT l_orderkey AS unit_id, max(p_size) AS score FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 40 GROUP BY l_orderkey")
 def p13(spark, sf_dir):
-    entities = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    return table(spark, sf_dir, "lineitem").join(entities, "l_partkey").groupBy(F.col("l_orderkey").alias("unit_id")).agg(F.max("p_size").alias("score"))
+    entities = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("score"))
+    return fuse.projected(entities, table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as t
-from memspark.operators import evaluate, govern
+from memspark.operators import evaluate, govern, temporal
 from memspark.plans.registry import query
 from memspark.plans.retrieval import TOKENS_SQL
 from memspark.sources.tables import UNITS_SQL, table, units
@@ -80,8 +80,7 @@ def a27(spark, sf_dir):
 
 @query("A29_unsettled_clusters", "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) >= 3 AND NOT bool_and(o_orderstatus = 'F')")
 def a29(spark, sf_dir):
-    g = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"), F.bool_and(F.col("o_orderstatus") == "F").alias("done"))
-    return g.where("n >= 3 AND NOT done").drop("done")
+    return govern.unsettled(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], 3, F.col("o_orderstatus") == "F")
 
 
 @query("A32_importance_merge", "SELECT o_custkey, max(o_totalprice) AS best, count(*) AS n FROM orders GROUP BY o_custkey")
@@ -114,8 +113,7 @@ def a36(spark, sf_dir):
 
 @query("A37_property_assembly", "SELECT user_id, event_type, array_to_string(list(event_id ORDER BY ts, event_id), ',') AS timeline FROM events GROUP BY ALL")
 def a37(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("tl"))
-    m = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.transform("tl", lambda x: x["event_id"]).alias("v")))).alias("properties"))
+    m = temporal.assembled(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id")
     return m.select("user_id", F.explode("properties").alias("event_type", "v")).select("user_id", "event_type", F.array_join("v", ",").alias("timeline"))
 
 
@@ -174,8 +172,7 @@ def a48(spark, sf_dir):
 
 @query("A50_relation_coverage", "SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'unknown' WHEN count(*) FILTER (o_orderstatus = 'F') < count(*) THEN 'partial' ELSE 'covered' END AS coverage, max(o_orderkey) AS watermark FROM orders GROUP BY o_custkey")
 def a50(spark, sf_dir):
-    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("c"), F.count("*").alias("n"), F.max("o_orderkey").alias("watermark"))
-    return g.select("o_custkey", F.when(F.col("c") == 0, "unknown").when(F.col("c") < F.col("n"), "partial").otherwise("covered").alias("coverage"), "watermark")
+    return govern.coverage(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F", "o_orderkey")
 
 
 @query("A51_distinct_aggregates", "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_suppkey")
