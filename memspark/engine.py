@@ -12,6 +12,7 @@ from memspark.functions import scopes as s
 from memspark.functions import text as t
 from memspark.operators import fuse, govern, lifecycle, recall
 from memspark.sources.connectors import inserted, paged
+from memspark.sources.scratch import written
 
 
 #: Pipelines by name: the options of a search. A search's own options come before them.
@@ -91,11 +92,15 @@ class Engine:
         seen = self.units.where(s.hierarchical(scope, self.scope_dims) & s.system_predicate(as_of, include_archived) & self._filter(filters))
         k = recall.width(top_k)
         hits = []
+        lexical = {"keyword", "bm25"}.intersection(channels)
+        counts = recall.term_counts(seen, words) if lexical else None
+        if len(lexical) > 1:
+            counts = written(counts, "term-counts")  # the texts are read once for both
         for channel in channels:
             if channel == "keyword":
-                hits.append(recall.keyword(seen, words, k))
+                hits.append(recall.best(recall.keyword_of(counts, words), k))
             elif channel == "bm25":
-                hits.append(recall.best(recall.bm25(seen, words), k).withColumn("channel", F.lit("bm25")))
+                hits.append(recall.best(recall.bm25_of(counts, words), k).withColumn("channel", F.lit("bm25")))
             elif channel == "vector":
                 if vector is None or self.vectors is None:
                     raise ValueError("the vector channel needs a vector")
@@ -108,7 +113,7 @@ class Engine:
         fused = {"rrf": lambda: fuse.rrf(all_hits).drop("evidence"), "comb_max": lambda: fuse.comb_max(all_hits)}[fuser]()
         cut = fuse.threshold(fused, ratio).orderBy(F.desc("score"), "unit_id").limit(top_k)
         body = {"l0": t.first_sentence(F.col("content")), "l1": F.substring("content", 1, 200), "l2": F.col("content")}[level]
-        return cut.join(seen.select("unit_id", body.alias("text")), "unit_id").orderBy(F.desc("score"), "unit_id")
+        return seen.select("unit_id", body.alias("text")).join(F.broadcast(cut), "unit_id").select("unit_id", "score", "text").orderBy(F.desc("score"), "unit_id")
 
     def named(self, pipeline: str, query: str | list[str], scope: dict[str, str], **options) -> DataFrame:
         """A search by a named pipeline."""

@@ -48,9 +48,8 @@ def _products(left: DataFrame, right: DataFrame, block: list[str], emit, schema:
         group, ids, vs = None, ([], []), ([], [])
 
         def out():
-            if ids[0] and ids[1]:
-                return emit(ids[0], np.array(vs[0]), ids[1], np.array(vs[1]))
-            return None
+            cols = emit(ids[0], np.array(vs[0]), ids[1], np.array(vs[1])) if ids[0] and ids[1] else None
+            return cols if cols and len(cols[0]) else None
 
         width = len(block) + 2
         for batch in batches:
