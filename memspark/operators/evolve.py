@@ -252,3 +252,22 @@ def property_time(given: Column, value: Column) -> Column:
         .when(~fits, out(F.lit(""), text("inconsistent time")))
         .otherwise(out(own, none))
     )
+
+
+def dynamic(units: DataFrame, by: list[str], size: int = 120, each: int = 50, most: int = 8) -> DataFrame:
+    """What evolution derives from units (unit_id, user_id, content): kind, unit_id, user_id, content, provenance.
+
+    Three steps with deterministic hooks: extract makes a fact of each chunk;
+    consolidate keeps the first of equal facts of a user by id and retires the
+    others; reflect makes one abstract of each user's first facts.
+    """
+    from memspark.operators import plugins
+
+    facts = plugins.extracted(units, size)
+    first = facts.groupBy(*by, F.sha2("content", 256).alias("_h")).agg(F.min("unit_id").alias("_first"))
+    told = facts.withColumn("_h", F.sha2("content", 256)).join(first, [*by, "_h"])
+    kept = told.where("unit_id = _first").select(F.lit("fact").alias("kind"), "unit_id", "user_id", "content", "provenance")
+    gone = told.where("unit_id <> _first").select(F.lit("retired").alias("kind"), "unit_id", "user_id", "content", "provenance")
+    short = plugins.get("abstractor", "concat")(kept, by, "unit_id", "content", each, most)
+    abstract = short.select(F.lit("abstract").alias("kind"), F.concat(F.lit("abstract:"), F.concat_ws("/", *by)).alias("unit_id"), F.col("user_id"), F.col("abstract").alias("content"), F.array().cast("array<string>").alias("provenance"))
+    return kept.unionByName(gone).unionByName(abstract)

@@ -135,3 +135,10 @@ def coverage(rows: DataFrame, by: list[str], covered: Column, seq: str) -> DataF
     """by, coverage (unknown, partial, covered) and watermark (the greatest seq seen)."""
     g = rows.groupBy(*by).agg(F.count_if(covered).alias("_c"), F.count("*").alias("_n"), F.max(seq).alias("watermark"))
     return g.select(*by, F.when(F.col("_c") == 0, "unknown").when(F.col("_c") < F.col("_n"), "partial").otherwise("covered").alias("coverage"), "watermark")
+
+
+def job_states(log: DataFrame) -> DataFrame:
+    """job_id, state, at of jobs from their log (job_id, seq, state): the first of done, failed and cancelled ends a job, else the last entry counts."""
+    end = F.col("state").isin("done", "failed", "cancelled")
+    g = log.groupBy("job_id").agg(F.min(F.when(end, F.struct("seq", "state"))).alias("_end"), F.max(F.struct("seq", "state")).alias("_last"))
+    return g.select("job_id", F.coalesce("_end.state", "_last.state").alias("state"), F.coalesce("_end.seq", "_last.seq").alias("at"))

@@ -108,3 +108,32 @@ def moved(rows: DataFrame, name: str, key: list[str]) -> tuple[DataFrame, DataFr
     side = lambda d, p: d.agg(F.count("*").alias(f"{p}_rows"), F.coalesce(F.sum(F.xxhash64(*key).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias(f"{p}_sum"))
     both = side(rows, "old").crossJoin(side(copy, "new"))  # one row each
     return copy, both.select("old_rows", "new_rows", ((F.col("old_rows") == F.col("new_rows")) & (F.col("old_sum") == F.col("new_sum"))).alias("whole"))
+
+
+def index_tables(units: DataFrame) -> dict[str, DataFrame]:
+    """The tables that recall reads, from units (unit_id, content): forward (the record), fulltext (postings), vector (of units with any token), entity (hash to unit)."""
+    from memspark.operators import recall
+
+    own = units.select("unit_id", F.coalesce("content", F.lit("")).alias("content"))
+    vectors = own.where(F.lower("content").rlike(t.TOKEN)).select("unit_id", t.embedded(F.col("content")).alias("vector"))
+    return {"forward": units, "fulltext": recall.postings(own), "vector": vectors, "entity": recall.entity_links(own)}
+
+
+def upserted(index: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
+    """An index by unit_id with new rows in place of old ones, and without those gone; a row both new and gone is gone."""
+    touched = new.select("unit_id").unionByName(gone.select("unit_id")).distinct()
+    return index.join(touched, "unit_id", "left_anti").unionByName(new.join(gone.select("unit_id"), "unit_id", "left_anti").select(*index.columns))
+
+
+def line_range(files: DataFrame, key: str, text: str, first: int, last: int) -> DataFrame:
+    """key, line (from 1), text: some lines of text files."""
+    each = files.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("_p", "text"))
+    return each.where((F.col("_p") + 1 >= first) & (F.col("_p") + 1 <= last)).select(key, (F.col("_p") + 1).alias("line"), "text")
+
+
+def edited(text: Column, first: int, last: int, new: Column) -> Column:
+    """A text whose lines from first to last are replaced; beyond its end the new text is appended."""
+    lines = F.split(text, "\n")
+    head = F.slice(lines, 1, first - 1) if first > 1 else F.slice(lines, 1, 0)
+    tail = F.when(F.size(lines) > last, F.slice(lines, F.lit(last + 1), F.greatest(F.size(lines) - last, F.lit(0)))).otherwise(F.slice(lines, 1, 0))
+    return F.array_join(F.concat(head, F.array(new), tail), "\n")

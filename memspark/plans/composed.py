@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from memspark.engine import Engine
 from memspark.functions import text as t
-from memspark.operators import evolve, fuse, ingest, plugins, recall, retrieve
+from memspark.operators import evolve, fuse, govern, ingest, plugins, recall, retrieve
 from memspark.plans.jobs import engine
 from memspark.plans.registry import query
-from memspark.plans.retrieval import _COS, _QV, _VEC, KEYWORD_SQL, RANKED_SQL, WORDS, _best, channels, edges
+from memspark.plans.retrieval import _COS, _QV, _VEC, KEYWORD_SQL, RANKED_SQL, TOKENS_SQL, WORDS, _best, channels, edges
 from memspark.sources import connectors
 from memspark.sources.scratch import folder, written
 from memspark.sources.tables import EPOCH, STEP, UNITS_SQL, table, units
@@ -366,3 +366,49 @@ def a21(spark, sf_dir):
 def p10(spark, sf_dir):
     p = _pipeline(spark, sf_dir, calibrated=True, secondary=F.coalesce("importance", F.lit(0.5)), band=fuse.BAND)
     return p.run()[0].select("unit_id", "position")
+
+
+@query("V15_index_tables", f"WITH {TOKENS_SQL}, p AS (SELECT unit_id, unnest(toks) AS e FROM tk) SELECT 'forward' AS name, count(*) AS n FROM units UNION ALL SELECT 'fulltext', count(*) FROM (SELECT DISTINCT unit_id, e FROM p) UNION ALL SELECT 'vector', count(*) FROM tk WHERE len(toks) > 0 UNION ALL SELECT 'entity', count(*) FROM (SELECT DISTINCT unit_id, e FROM p WHERE length(e) >= 3 AND regexp_full_match(e, '[\\x00-\\x7f]+'))")
+def v15(spark, sf_dir):
+    out = None
+    for name, rows in ingest.index_tables(units(spark, sf_dir)).items():
+        own = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("S18_vector_index", f"WITH {_VEC}, x AS (SELECT vec_id, label, CASE WHEN label = 1 THEN list_reverse(e) ELSE e END AS e FROM v WHERE label <> 0), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), c AS (SELECT b.vec_id AS query_id, a.vec_id AS unit_id, round({_COS}, 12) AS score FROM x a, q b), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id::varchar) - 1 AS rank FROM c WHERE score > 0) SELECT query_id::varchar AS query_id, unit_id::varchar AS unit_id, rank::int AS rank FROM k WHERE rank < 5")
+def s18(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector"), "label")
+    new = v.where("label = 1").withColumn("vector", F.reverse("vector"))
+    index = written(ingest.upserted(v, new, v.where("label = 0")), "vector-index")
+    asked = v.where("unit_id % 50 = 0").select(F.col("unit_id").alias("query_id"), "vector")  # the query set
+    return recall.knn(index, asked, 5).select("query_id", "unit_id", "rank")
+
+
+@query("G13_file_lines", "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents) SELECT doc_id, line::int AS line, md5(t) AS digest FROM l WHERE line BETWEEN 2 AND 4")
+def g13(spark, sf_dir):
+    return ingest.line_range(table(spark, sf_dir, "documents"), "doc_id", "text", 2, 4).select("doc_id", "line", F.md5("text").alias("digest"))
+
+
+@query("G13_file_edit", "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, md5(array_to_string(list_concat(list_concat(list_slice(l, 1, 1), ['new']), list_slice(l, 4, len(l))), chr(10))) AS digest FROM s")
+def g13e(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(ingest.edited(F.col("text"), 2, 3, F.lit("new"))).alias("digest"))
+
+
+@query("V13_V18_dynamic_evolution", f"WITH {UNITS_SQL}, f AS (SELECT unit_id || '#' || (start // 120) AS id, user_id, substr(content, start + 1, 120) AS c FROM (SELECT unit_id, user_id, content, unnest(range(0, greatest(length(content), 1), 120)) AS start FROM units)), k AS (SELECT *, min(id) OVER (PARTITION BY user_id, sha256(c)) AS one FROM f), a AS (SELECT user_id, id, left(c, 50) AS c, row_number() OVER (PARTITION BY user_id ORDER BY id) AS r FROM k WHERE id = one) SELECT CASE WHEN id = one THEN 'fact' ELSE 'retired' END AS kind, id AS unit_id, md5(c) AS digest FROM k UNION ALL SELECT 'abstract', 'abstract:' || user_id, md5(string_agg(c, '；' ORDER BY id)) FROM a WHERE r <= 8 GROUP BY user_id")
+def v18(spark, sf_dir):
+    return evolve.dynamic(units(spark, sf_dir), ["user_id"]).select("kind", "unit_id", F.md5("content").alias("digest"))
+
+
+@query("G12_job_states", "WITH l AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'running' END AS state FROM events) SELECT job_id, coalesce(arg_min(state, seq) FILTER (state <> 'running'), 'running') AS state, coalesce(min(seq) FILTER (state <> 'running'), max(seq)) AS at FROM l GROUP BY job_id")
+def g12(spark, sf_dir):
+    state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").otherwise("running")
+    return govern.job_states(table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), state.alias("state")))
+
+
+@query("G16_personal_page", f"WITH {UNITS_SQL}, p AS (SELECT * FROM units WHERE (user_id = 'en' AND space = 'src0') OR (user_id = 'de' AND tier = 'core')) SELECT unit_id, count(*) OVER () AS total FROM p WHERE lifecycle = 'active' ORDER BY t_ingest DESC, unit_id DESC LIMIT 12 OFFSET 3")
+def g16(spark, sf_dir):
+    yes = F.lit(True)
+    own = govern.personal(units(spark, sf_dir), [(F.expr("user_id = 'en' AND space = 'src0'"), yes), (F.expr("user_id = 'de' AND tier = 'core'"), yes), (F.expr("user_id = 'fr'"), F.lit(False))])
+    return connectors.paged(own.where("lifecycle = 'active'"), [F.desc("t_ingest"), F.desc("unit_id")], 3, 12).select("unit_id", "total")
