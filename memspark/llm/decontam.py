@@ -190,7 +190,10 @@ def item_blocks(items: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int
 def matches(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, start, end, distance for each document and item it has.
 
-    Null texts have none. Repeated documents and items each give their rows.
+    Null and empty texts have none; very long ones are read whole. An item's
+    nearest place counts, of equal ones the first. Repeated documents and items
+    each give their rows. Items are held by the driver and by each worker one
+    block at a time (BLOCK characters); more items take more passes.
     Columns beyond doc_id and text, item_id and text, are not read; an empty
     table on either side gives no rows.
     """
@@ -218,7 +221,12 @@ def matches(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The documents that have no item, in their own columns; nothing is shuffled."""
+    """The documents that have no item, in their own columns; nothing is shuffled.
+
+    Null and empty texts have none and stay, rows that repeat stay or go
+    together, very long texts are read whole; without items all stay. Null
+    doc_ids are values like any other; an empty table gives no rows.
+    """
     spark = docs.sparkSession
 
     def run(held: _Held, key: int):

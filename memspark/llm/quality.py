@@ -159,7 +159,13 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """The documents kept, with their own columns. Texts are measured once and written beside their measures."""
+    """The documents kept, with their own columns. Texts are measured once and written beside their measures.
+
+    Null and empty texts have no words and go; very long ones are measured
+    whole; rows that repeat are judged alike and all stay or go; null languages
+    and sources are groups of their own; columns of any name stay; an empty
+    table gives no rows.
+    """
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")))
     at = docs.columns.index("text")
     rows = written(measured(own.drop(f"c{at}")), "quality-measures")

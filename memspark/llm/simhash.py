@@ -258,7 +258,9 @@ def dedup_stage(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = rooted
 
     A component without any doc_id keeps one row. A row that is not its
     component's choice goes, whatever other rows its doc_id has. A doc_id that
-    several components choose keeps one row, a null one each of them.
+    several components choose keeps one row, a null one each of them. A null
+    text is one without words. Very long texts travel whole; an empty table
+    gives no rows.
     """
     found = find(docs).groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")).alias("r")).select("r.*")
