@@ -53,32 +53,41 @@ class Encoder:
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _spelt(self, spelt: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _plain(self, chunk: bytes) -> bytes | None:
         """A chunk of Latin letters is one word for the vocabulary's splitter, and lower case is all that its normaliser changes."""
+        if chunk.isalpha() and chunk.islower():  # ASCII letters stand for themselves
+            return self._spelt(chunk.decode())
         word = chunk.decode()
         if not word.isalpha() or max(word) > "\xff":
             return None
-        spelt = word.lower().encode().decode("latin-1").translate(self.letters)
-        return self._pack([t.id for t in self.model.tokenize(spelt)])
+        return self._spelt(word.lower().encode().decode("latin-1").translate(self.letters))
 
     def _learn(self, chunks: Iterable[bytes]) -> None:
         hard: dict[bytes, list[bytes] | None] = {}
         now, before = self.now, self.before
         marks: dict[bytes, None] = {}
+        heads: dict[bytes, bytes] = {}
         joined: list[tuple[bytes, bytes, bytes]] = []
         for chunk in chunks:
             ids = before.get(chunk)
             if ids is None:
+                if m := _WORD_AND_MARKS.match(chunk):
+                    # a head has letters alone, so what is remembered for it was made by _plain
+                    word, tail = m.groups()
+                    head = now.get(word) or before.get(word) or heads.get(word)
+                    if head is None:
+                        head = heads[word] = self._plain(word)
+                    joined.append((chunk, head, tail))
+                    if tail not in now:
+                        marks[tail] = None
+                    continue
                 ids = self._plain(chunk)
                 if ids is None:
-                    m = _WORD_AND_MARKS.match(chunk)
-                    head = self._plain(m[1]) if m else None
-                    if head is not None:
-                        joined.append((chunk, head, m[2]))
-                        if m[2] not in now:
-                            marks[m[2]] = None
-                    else:
-                        hard[chunk] = None
+                    hard[chunk] = None
                     continue
             now[chunk] = ids
         ask = [*marks, *hard]
