@@ -72,7 +72,10 @@ def t21(spark, sf_dir):
     return jobs.unmarked(o.select("o_custkey").distinct(), o.where("o_orderstatus = 'P'"), "o_custkey")
 
 
-@query("V02_hashing_embedder")
+_TOKENS = "unnest(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[0-9a-z]+'))"
+
+
+@query("V02_hashing_embedder", f"WITH RECURSIVE w AS (SELECT p_partkey, {_TOKENS} AS tok FROM part), h AS (SELECT DISTINCT tok, 0 AS i, 0::bigint AS h FROM w UNION ALL SELECT tok, i + 1, (h * 31 + ascii(substr(tok, i + 1, 1))) % 4294967296 FROM h WHERE i < length(tok)), c AS (SELECT p_partkey, h % 64 AS place, count(*) AS n FROM w JOIN h USING (tok) WHERE i = length(tok) GROUP BY 1, 2), s AS (SELECT p_partkey, sqrt(sum(n * n)) AS size FROM c GROUP BY 1), v AS (SELECT s.p_partkey, t.i, coalesce(c.n, 0) / size AS x FROM s CROSS JOIN range(64) t(i) LEFT JOIN c ON c.p_partkey = s.p_partkey AND c.place = t.i) SELECT p_partkey, round(sum(x * x), 6) AS norm, string_agg(round(x, 6)::varchar, ',' ORDER BY i) AS vector FROM v GROUP BY p_partkey")
 def v02(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", plugins.get("embedder", "hashing")(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("v"))
     return p.select("p_partkey", F.round(t.dot(F.col("v"), F.col("v")), 6).alias("norm"), F.array_join(F.transform("v", lambda x: F.round(x, 6).cast("string")), ",").alias("vector"))

@@ -46,7 +46,11 @@ def a20(spark, sf_dir):
     return govern.usage(u(spark, sf_dir).withColumn("key", key), ["space"], value="content")
 
 
-@query("A21_snapshot_token")
+_HASHED = """'{"unit_id":"' || unit_id || '","lifecycle":"' || lifecycle || '","t_ingest":' || t_ingest || '}'"""
+_BUCKET = """'{"k":"' || k || '","n":' || n || ',"a":' || a || ',"b":' || b || '}'"""
+
+
+@query("A21_snapshot_token", f"{U}, h AS (SELECT sha256({_HASHED}) AS h FROM units), g AS (SELECT substr(h, 1, 2) AS k, count(*) AS n, sum(('0x' || substr(h, 1, 12))::bigint) AS a, sum(('0x' || substr(h, 13, 12))::bigint) AS b FROM h GROUP BY 1) SELECT sha256('[' || string_agg({_BUCKET}, ',' ORDER BY k) || ']') AS token FROM g")
 def a21(spark, sf_dir):
     return govern.snapshot_token(u(spark, sf_dir), ["unit_id", "lifecycle", "t_ingest"])
 
