@@ -68,5 +68,5 @@ def test_stages_keep_the_columns(spark, folder):
 
 def test_registered():
     assert [n for n in QUERIES if n.startswith("op")] == sorted((n for n in QUERIES if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11)) and QUERIES["pipeline"] is corpus_pipeline.run
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14)) and QUERIES["pipeline"] is corpus_pipeline.run
     assert ORACLES.keys() <= QUERIES.keys()
