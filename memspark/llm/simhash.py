@@ -249,23 +249,24 @@ def rooted(docs: DataFrame) -> DataFrame:
     """doc_id, key (a hash of the text) and root (a fingerprint, the same throughout a component) of every row."""
     keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key")).alias("doc_id"), "text")
     fps = written(_fingerprinted(keyed, "struct<doc_id:long,key:long>").select("doc_id.*", "fp"), "fingerprints")
-    tied = components(links(fps.select("fp").distinct()))
-    return fps.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "key", F.coalesce("root", "fp").alias("root"))
+    first = written(fps.groupBy("fp").agg(F.count("*").alias("n")), "distinct-fingerprints")
+    n_rows = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tied = components(links(first))
+    named = written(first.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    return met(fps, named, "fp", n_rows).select("doc_id", "key", "root")
 
 
 def dedup_stage(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = rooted) -> DataFrame:
     """One document of each component that ``find`` gives, the one with its smallest doc_id, in its own columns; one of repeated rows.
 
     A component without any doc_id keeps one row. A row that is not its
-    component's choice goes, whatever other rows its doc_id has. A doc_id that
-    several components choose keeps one row, a null one each of them. A null
-    text is one without words. Very long texts travel whole; an empty table
-    gives no rows.
+    component's choice goes, whatever other rows its doc_id has; texts that are
+    not linked all stay, also under one doc_id. A null text is one without
+    words. Very long texts travel whole; an empty table gives no rows.
     """
     found = find(docs).groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "rows")).alias("r")).select("r.*")
-    named = chosen.where("not none").groupBy("doc_id").agg(F.min(F.struct("key", "rows")).alias("r")).select("doc_id", "r.*")
-    kept = written(named.unionByName(chosen.where("none").select("doc_id", "key", "rows")), "kept-documents")
+    kept = written(chosen.select("doc_id", "key", "rows"), "kept-documents")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key"))
     ids = lambda of: of.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     # ids are never few enough to broadcast at scale: at every size texts are shuffled once and met by a hash of ids, unsorted
