@@ -11,6 +11,7 @@ from memspark.functions import predicates as p
 from memspark.functions import scopes as s
 from memspark.functions import text as t
 from memspark.operators import fuse, govern, lifecycle, recall
+from memspark.operators.postings import NAMED, TextIndex
 from memspark.sources.connectors import inserted, paged
 from memspark.sources.scratch import written
 
@@ -33,11 +34,12 @@ def channels_of(asked: tuple[str, ...] | None, pipeline: tuple[str, ...] | None,
 
 @dataclass(frozen=True)
 class Engine:
-    """units has unit_id, content, lifecycle, tier, tags, t_event, t_ingest, t_valid, t_invalid, t_message (epoch milliseconds), importance, provenance, supersedes and the scope's columns; vectors: unit_id, vector."""
+    """units has unit_id, content, lifecycle, tier, tags, t_event, t_ingest, t_valid, t_invalid, t_message (epoch milliseconds), importance, provenance, supersedes and the scope's columns; vectors: unit_id, vector; index: a full-text index of these units, from which searches are answered if there is one."""
 
     units: DataFrame
     vectors: DataFrame | None = None
     scope_dims: tuple[str, ...] = ("space", "user_id")
+    index: TextIndex | None = None
 
     def _filter(self, filters: dict | list | None) -> Column:
         return F.lit(True) if filters is None else p.predicate(p.parse(filters), p.resolver(self.units.dtypes))
@@ -85,22 +87,30 @@ class Engine:
         return self.units.groupBy(by).agg(F.count("*").alias("memories"), F.sum(F.length("content")).alias("chars"), F.count_if(F.col("lifecycle") == "active").alias("active"))
 
     def search(self, query: str | list[str], scope: dict[str, str], top_k: int = 10, filters: dict | None = None, as_of: int | None = None, include_archived: bool = False, channels: tuple[str, ...] = ("keyword", "bm25"), fuser: str = "rrf", vector: list[float] | None = None, ratio: float = 0.0, level: str = "l0") -> DataFrame:
-        """Recall by channels, fuse, re-check, cut and disclose: unit_id, score, text. Predicates hold before any channel's top k."""
+        """Recall by channels, fuse, re-check, cut and disclose: unit_id, score, text. Predicates hold before any channel's top k.
+
+        With an index the lexical channels read postings and the narrow columns
+        of the units that the predicates let through, and of the texts only the
+        row groups of the hits; the rows are the same as without.
+        """
         words = query if isinstance(query, list) else t_words(query)
         if not channels:
             raise ValueError("no channel")
-        seen = self.units.where(s.hierarchical(scope, self.scope_dims) & s.system_predicate(as_of, include_archived) & self._filter(filters))
+        seen = (self.units if self.index is None else self.index.texts()).where(s.hierarchical(scope, self.scope_dims) & s.system_predicate(as_of, include_archived) & self._filter(filters))
         k = recall.width(top_k)
         hits = []
         lexical = {"keyword", "bm25"}.intersection(channels)
-        counts = recall.term_counts(seen, words) if lexical else None
+        counts = None
+        if lexical:
+            counts = recall.term_counts(seen, words) if self.index is None else self.index.pool_counts(words, seen)
         if len(lexical) > 1:
             counts = written(counts, "term-counts")  # the texts are read once for both
         for channel in channels:
             if channel == "keyword":
                 hits.append(recall.best(recall.keyword_of(counts, words), k))
             elif channel == "bm25":
-                hits.append(recall.best(recall.bm25_of(counts, words), k).withColumn("channel", F.lit("bm25")))
+                own = recall.bm25_of(counts, words) if self.index is None else self.index.pool_bm25(counts, words, seen)
+                hits.append(recall.best(own, k).withColumn("channel", F.lit("bm25")))
             elif channel == "vector":
                 if vector is None or self.vectors is None:
                     raise ValueError("the vector channel needs a vector")
@@ -113,6 +123,10 @@ class Engine:
         fused = {"rrf": lambda: fuse.rrf(all_hits).drop("evidence"), "comb_max": lambda: fuse.comb_max(all_hits)}[fuser]()
         cut = fuse.threshold(fused, ratio).orderBy(F.desc("score"), "unit_id").limit(top_k)
         body = {"l0": t.first_sentence(F.col("content")), "l1": F.substring("content", 1, 200), "l2": F.col("content")}[level]
+        if self.index is not None and top_k <= NAMED:
+            cut = written(cut, "search-hits")
+            places = [r.place for r in seen.select("unit_id", "place").join(F.broadcast(cut), "unit_id").select("place").collect()]  # top_k rows
+            seen = self.index.contents(places)
         return seen.select("unit_id", body.alias("text")).join(F.broadcast(cut), "unit_id").select("unit_id", "score", "text").orderBy(F.desc("score"), "unit_id")
 
     def named(self, pipeline: str, query: str | list[str], scope: dict[str, str], **options) -> DataFrame:

@@ -138,15 +138,20 @@ def bm25_of(counts: DataFrame, query: list[str], k1: float = K1, b: float = B) -
     q = sorted(set(query))
     if not q:
         return counts.select("unit_id", F.lit(0.0).alias("score")).limit(0)
-    tf = counts.select("unit_id", "dl", *(F.col("tf")[i].alias(f"tf{i}") for i in range(len(q))))
-    stats = tf.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(q))))
-    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    stats = counts.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(q))))
+    own = counts.select("unit_id", "dl", "tf").crossJoin(F.broadcast(stats))  # one row of sums
+    return bm25_scored(own, query, F.col("n"), F.col("avgdl"), [F.col(f"df{i}") for i in range(len(q))], k1, b)
+
+
+def bm25_scored(counts: DataFrame, query: list[str], n: Column, avgdl: Column, df: list[Column], k1: float = K1, b: float = B) -> DataFrame:
+    """unit_id, score from unit_id, dl and tf, where the pool has n units of avgdl tokens, and df of them each distinct query term."""
+    norm = k1 * (1 - b + b * F.col("dl") / avgdl)
     score: Column = F.lit(0.0)
-    for i, w in enumerate(q):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        tfc = F.col(f"tf{i}")
+    for i, w in enumerate(sorted(set(query))):
+        idf = F.log(1 + (n - df[i] + 0.5) / (df[i] + 0.5))
+        tfc = F.col("tf")[i]
         score = score + query.count(w) * F.when(tfc > 0, idf * tfc * (k1 + 1) / (tfc + norm)).otherwise(0.0)
-    return tf.crossJoin(F.broadcast(stats)).select("unit_id", score.alias("score")).where("score > 0")  # one row of sums
+    return counts.select("unit_id", score.alias("score")).where("score > 0")
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -250,7 +255,7 @@ def token_pairs(units: DataFrame, token: Column, least: int, block: list[str] |
 
 
 def expected_lift(n: int, df: int) -> float:
-    """The idf that bm25() gives a term, for tests and explanations."""
+    """The idf that bm25() gives a term."""
     return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from memspark.engine import Engine
 from memspark.functions import text as t
 from memspark.operators import plugins
 from memspark.plans.registry import query
+from memspark.plans.retrieval import indexed
 from memspark.sources.scratch import folder
-from memspark.sources.tables import UNITS_SQL, table, units
+from memspark.sources.tables import UNITS_SQL, engine_units, table, units
 from memspark.streaming import jobs
 
 
@@ -105,9 +108,7 @@ def v17(spark, sf_dir):
 
 
 def engine(spark, sf_dir) -> Engine:
-    none = lambda kind: F.lit(None).cast(kind)
-    u = units(spark, sf_dir).withColumns({"t_valid": F.col("t_ingest"), "t_invalid": none("long"), "t_message": F.col("t_ingest"), "provenance": F.array().cast("array<string>"), "supersedes": none("string")})
-    return Engine(u)
+    return Engine(engine_units(spark, sf_dir))
 
 
 @query("G03_list", f"WITH {UNITS_SQL} SELECT unit_id, count(*) OVER () AS total FROM units WHERE space = 'src0' AND user_id = 'en' AND tier <> 'working' ORDER BY t_ingest DESC, unit_id DESC LIMIT 10 OFFSET 5")
@@ -141,7 +142,8 @@ _SAID = "CASE WHEN regexp_matches(content, '[。！？.!?\\n]') THEN left(conten
 
 @query("G02_engine_search", f"WITH {_FOUND}, c AS (SELECT *, max(score) OVER () AS top FROM fused) SELECT c.unit_id, round(score, 9) AS score, {_SAID} AS text FROM c JOIN tk ON tk.unit_id = c.unit_id WHERE score >= 0.1 * top ORDER BY score DESC, c.unit_id LIMIT 10")
 def g02(spark, sf_dir):
-    return engine(spark, sf_dir).search("the heat of a license", {"space": "src0"}, 10, {"tier": {"ne": "working"}}, ratio=0.1).select("unit_id", F.round("score", 9).alias("score"), "text")
+    own = replace(engine(spark, sf_dir), index=indexed(spark, sf_dir))
+    return own.search("the heat of a license", {"space": "src0"}, 10, {"tier": {"ne": "working"}}, ratio=0.1).select("unit_id", F.round("score", 9).alias("score"), "text")
 
 
 @query("G07_evolve_dedup", f"WITH {UNITS_SQL}, r AS (SELECT unit_id, row_number() OVER (PARTITION BY space, user_id, sha256(content) ORDER BY t_ingest DESC, unit_id DESC) AS r FROM units) SELECT unit_id FROM r WHERE r = 1")

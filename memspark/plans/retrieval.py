@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memspark.functions import text as t
-from memspark.operators import fuse, recall
+from memspark.operators import fuse, postings, recall
 from memspark.plans.registry import query
 from memspark.sources.scratch import written
-from memspark.sources.tables import EPOCH, STEP, UNITS_SQL, table, units
+from memspark.sources.tables import EPOCH, STEP, UNITS_SQL, engine_units, table, units
 
 WORDS = ["the", "heat", "ing", "license", "eau", "the"]
 _SET = "['" + "', '".join(sorted(set(WORDS))) + "']"
@@ -33,13 +33,32 @@ def _best(hits, k):
     return hits.withColumn("score", F.round("score", 12)).orderBy(F.desc("score"), "unit_id").limit(k)
 
 
+_indexes: dict[tuple, postings.TextIndex] = {}
+
+
+def indexed(spark, sf_dir) -> postings.TextIndex:
+    """The full-text index of a folder's units: written once, and again when the files that it was made from change."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = sorted(f for name in ("documents", "labels") for f in spark.read.parquet(f"{sf_dir}/{name}.parquet").inputFiles())
+    seen = []
+    for f in files:
+        path = hadoop.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        seen.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, sf_dir, *seen)
+    if key in _indexes:
+        path = hadoop.Path(f"{_indexes[key].path}/sums")
+        if path.getFileSystem(conf).exists(path):
+            return _indexes[key]
+    _indexes[key] = postings.build(engine_units(spark, sf_dir), ("space", "user_id"))
+    return _indexes[key]
+
+
 def channels(spark, sf_dir, words=None):
-    """The best hits of both lexical channels, from one pass over the texts."""
-    words = words or WORDS
-    counts = written(recall.term_counts(units(spark, sf_dir), words), "term-counts")
-    k = _best(recall.keyword_of(counts, words), 100)
-    b = _best(recall.bm25_of(counts, words), 100).withColumn("channel", F.lit("bm25"))
-    return k.unionByName(b)
+    """The best hits of both lexical channels, from the index."""
+    words, index = words or WORDS, indexed(spark, sf_dir)
+    return index.top(words, 100, "keyword")[0].unionByName(index.top(words, 100, "bm25")[0])
 
 
 def _r(df, *cols, digits=6):
@@ -48,17 +67,25 @@ def _r(df, *cols, digits=6):
 
 @query("A04_keyword_overlap", f"WITH {KEYWORD_SQL} SELECT unit_id, round(score, 9) AS score FROM kw WHERE score > 0")
 def a04(spark, sf_dir):
-    return _r(recall.keyword(units(spark, sf_dir), WORDS), "unit_id", "score", digits=9)
+    return _r(indexed(spark, sf_dir).keyword(WORDS), "unit_id", "score", digits=9)
 
 
 @query("A03_bm25", f"WITH {BM25_SQL} SELECT unit_id, round(score, 6) AS score FROM bm WHERE score > 0")
 def a03(spark, sf_dir):
-    return _r(recall.bm25(units(spark, sf_dir), WORDS), "unit_id", "score")
+    return _r(indexed(spark, sf_dir).bm25(WORDS), "unit_id", "score")
 
 
 @query("S19_J04_postings", f"WITH {TOKENS_SQL} SELECT term, count(*) AS df, sum(tf)::bigint AS tf FROM (SELECT unit_id, term, count(*) AS tf FROM (SELECT unit_id, unnest(toks) AS term FROM tk) GROUP BY ALL) GROUP BY term")
 def s19(spark, sf_dir):
-    return recall.postings(units(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return indexed(spark, sf_dir).terms().select("term", "df", "tf")
+
+
+@query("A03_top_of_blocks", f"WITH {BM25_SQL} SELECT unit_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, unit_id) - 1 AS position FROM bm WHERE score > 0 ORDER BY position LIMIT 20")
+def a03_top(spark, sf_dir):
+    from pyspark.sql import Window
+
+    hits, _ = indexed(spark, sf_dir).top(WORDS, 20)
+    return hits.select("unit_id", F.round("score", 6).alias("score"), (F.row_number().over(Window.orderBy(F.desc("score"), "unit_id")) - 1).cast("long").alias("position"))
 
 
 _VEC = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings)"
@@ -112,7 +139,7 @@ def a07(spark, sf_dir):
 
 @query("A10_comb_max_bm25", f"WITH {RANKED_SQL}, c AS (SELECT unit_id, max(score / top * CASE channel WHEN 'keyword' THEN 0.6 ELSE 0.1 END) AS s FROM r GROUP BY unit_id), x AS (SELECT c.unit_id, s, bm.score AS b, max(bm.score) OVER () AS m FROM c LEFT JOIN bm ON c.unit_id = bm.unit_id AND bm.score > 0) SELECT unit_id, round(greatest(s, coalesce(b / m, 0)), 6) AS score FROM x")
 def a10(spark, sf_dir):
-    lex = recall.bm25(units(spark, sf_dir), WORDS)
+    lex = indexed(spark, sf_dir).bm25(WORDS)
     return _r(fuse.comb_max_bm25(channels(spark, sf_dir), lex, {"keyword": 0.6, "bm25": 0.1}), "unit_id", "score")
 
 
@@ -252,14 +279,14 @@ SEARCH_SQL = f"WITH {RANKED_SQL}, f AS (SELECT unit_id, sum(1.0 / (61 + rank)) A
 
 def search(spark, sf_dir, words=None, k=10):
     """Recall by keyword and BM25, fuse by RRF, re-check the truth record, cut by threshold and disclose an excerpt."""
-    words = words or WORDS
-    u = units(spark, sf_dir)
+    index = indexed(spark, sf_dir)
     hits = channels(spark, sf_dir, words)
-    truth = u.where((F.col("lifecycle") == "active") & (F.col("tier") != "working")).select("unit_id", "tier", F.substring("content", 1, 120).alias("snippet"))
-    # at most two channels' best 100: the texts stay where they are
+    truth = index.texts().where((F.col("lifecycle") == "active") & (F.col("tier") != "working")).select("unit_id", "tier", "place")
+    # at most two channels' best 100: the units stay where they are
     found = truth.join(F.broadcast(fuse.rrf(hits).select("unit_id", "score")), "unit_id")
-    cut = fuse.threshold(found, 0.2).withColumn("o", F.round("score", 12))
-    return cut.orderBy(F.desc("o"), "unit_id").limit(k).select("unit_id", F.round("score", 9).alias("score"), "tier", "snippet")
+    cut = written(fuse.threshold(found, 0.2).orderBy(F.desc(F.round("score", 12)), "unit_id").limit(k), "search-hits")
+    shown = index.contents([r.place for r in cut.select("place").collect()]).select("place", F.substring("content", 1, 120).alias("snippet"))  # k rows
+    return shown.join(F.broadcast(cut), "place").orderBy(F.desc(F.round("score", 12)), "unit_id").select("unit_id", F.round("score", 9).alias("score"), "tier", "snippet")
 
 
 @query("G02_search", SEARCH_SQL)

@@ -34,6 +34,12 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def engine_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same units with the columns that the engine's verbs need beyond these."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return units(spark, sf_dir).withColumns({"t_valid": F.col("t_ingest"), "t_invalid": none("long"), "t_message": F.col("t_ingest"), "provenance": F.array().cast("array<string>"), "supersedes": none("string")})
+
+
 UNITS_SQL = f"""units AS (SELECT 'd' || d.doc_id AS unit_id, coalesce(source, '') AS space, coalesce(lang, '') AS user_id, coalesce(text, '') AS content, n_chars,
   CASE WHEN toxic = 1 THEN 'archived' WHEN quality = 0 THEN 'superseded' ELSE 'active' END AS lifecycle,
   CASE WHEN n_chars < 500 THEN 'working' WHEN n_chars < 2000 THEN 'episodic' WHEN n_chars < 5000 THEN 'semantic' ELSE 'core' END AS tier,
