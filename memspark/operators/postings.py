@@ -17,6 +17,7 @@ their row groups, and by the filter on ranges only blocks that can matter.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -85,7 +86,7 @@ def blocks_of(rows: DataFrame) -> DataFrame:
 
 
 def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
 def build(units: DataFrame, order: tuple[str, ...] = (), path: str | None = None) -> TextIndex:
@@ -144,8 +145,8 @@ class TextIndex:
         asked = sorted(set(words))
         if not asked:
             return rows.where("false")
-        # the buckets of a query's few words, worked out where they are needed: a filter on folders
-        buckets = [r[0] for r in self.spark.range(1).select(F.explode(F.array(*map(F.lit, asked))).alias("w")).select(bucket_of(F.col("w"))).distinct().collect()]
+        # the folders of a query's few words
+        buckets = sorted({zlib.crc32(w.encode()) % BUCKETS for w in asked})
         return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
 
     def counts(self, words: list[str], ranges: list[int] | DataFrame | None = None) -> DataFrame:
@@ -192,13 +193,13 @@ class TextIndex:
         df = self.stats(words)
         return [F.lit(float(df.get(w, 0))) for w in sorted(set(words))]
 
-    def bounds(self, words: list[str], channel: str) -> DataFrame:
+    def bounds(self, words: list[str], channel: str, df: dict[str, int] | None = None) -> DataFrame:
         """range, bound: no unit of the range scores more than its bound. Only the heads of blocks are read."""
         asked = sorted(set(words))
         if channel == "keyword":
             best = F.array_max(F.zip_with("sky_tf", "sky_dl", lambda tf, dl: tf / dl))
         else:
-            df = self.stats(words)
+            df = self.stats(words) if df is None else df
             weight = F.lit(0.0)
             for w in asked:
                 weight = F.when(F.col("term") == w, recall.expected_lift(self.n, df.get(w, 0)) * words.count(w)).otherwise(weight)
@@ -213,32 +214,29 @@ class TextIndex:
         reaches the k-th best score so far. The others cannot have a hit that is
         among the best: the result is that of a full scan, ties included.
         """
-        bounds = recall.written(self.bounds(words, channel), "range-bounds")
-        first = [r.range for r in bounds.orderBy(F.desc("bound"), "range").limit(FIRST).select("range").collect()]
-        hits = recall.written(self._scored(words, channel, first).orderBy(F.desc("score"), "place").limit(k), "first-hits")
-        n, least = hits.agg(F.count("*"), F.min("score")).first()
-        left = bounds.where(~F.col("range").isin(first)) if first else bounds
-        if n == k:
-            left = left.where(F.col("bound") >= least * (1 - 1e-9))
-        more = left.select("range").limit(NAMED + 1).collect()
-        ranges = len(first) + (len(more) if len(more) <= NAMED else left.count())
-        if more:
-            rest = self._scored(words, channel, [r.range for r in more] if len(more) <= NAMED else left)
-            # first-hits keeps ties by place; ties at its end must be able to come back by unit_id
-            hits = self._scored(words, channel, first).unionByName(rest) if first else rest
+        df = self.stats(words)
+        bounds = self.bounds(words, channel, df)
+        best = bounds.orderBy(F.desc("bound"), "range").limit(NAMED + 1).collect()
+        first, least, n = [r.range for r in best[:FIRST]], 0.0, len(best)
+        if len(best) > FIRST:
+            scores = [r.score for r in self._scored(words, channel, first, df).select("score").orderBy(F.desc("score")).limit(k).collect()]
+            least = min(scores) * (1 - 1e-9) if len(scores) == k else 0.0
+        if len(best) <= NAMED:
+            chosen: list[int] | DataFrame = first + [r.range for r in best[FIRST:] if r.bound >= least]
+            n = len(chosen)
         else:
-            hits = self._scored(words, channel, first)
-        if n == k:
-            hits = hits.where(F.col("score") >= least * (1 - 1e-9))
-        out = self.named(hits).select("unit_id", F.round("score", 12).alias("score"), F.lit(channel).alias("channel"))
-        return out.orderBy(F.desc("score"), "unit_id").limit(k), ranges
-
-    def _scored(self, words: list[str], channel: str, ranges: list[int] | DataFrame) -> DataFrame:
-        own = self.counts(words, ranges).withColumn("unit_id", F.col("place"))
+            chosen = recall.written(bounds.where(F.col("bound") >= least).select("range"), "chosen-ranges")
+            n = chosen.count()
+        hits = self.named(self._scored(words, channel, chosen, df).where(F.col("score") >= least))
+        out = hits.select("unit_id", F.round("score", 12).alias("score"), F.lit(channel).alias("channel"))
+        return out.orderBy(F.desc("score"), "unit_id").limit(k), n
+
+    def _scored(self, words: list[str], channel: str, ranges: list[int] | DataFrame, df: dict[str, int]) -> DataFrame:
+        own = self.counts(words, ranges).withColumnRenamed("place", "unit_id")
         if channel == "keyword":
             rows = recall.keyword_of(own, words).select("unit_id", "score")
         else:
-            rows = recall.bm25_scored(own, words, F.lit(float(self.n)), F.lit(self.avgdl), self._dfs(words))
+            rows = recall.bm25_scored(own, words, F.lit(float(self.n)), F.lit(self.avgdl), [F.lit(float(df.get(w, 0))) for w in sorted(set(words))])
         return rows.withColumnRenamed("unit_id", "place")
 
     def contents(self, places: list[int]) -> DataFrame:
