@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 TRAIN = 600
 STEPS = 200
-RATE, DECAY = 0.5, 1e-3
+RATE, DECAY = 0.1, 1e-4
 
 #: Fixed values of HTML: elements without an end tag, with raw text, and that lie inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,7 +61,13 @@ HINTS = (
     "form newsletter subscribe signup login search contact share social sharing follow buttons poll",
     "article content main post entry story body text prose page articlebody",
 )
-HINT_SETS = tuple(frozenset(h.split()) for h in HINTS)
+HINT_OF = {w: k for k, h in reversed([*enumerate(HINTS)]) for w in h.split()}
+CONTENT, HEADER = len(HINTS) - 1, 2
+#: Words that make a name one of a state, at its beginning or end, or of a subject; and words that name no part of their own.
+STATE_FIRST = frozenset("no not has is with without hide show can enable disable".split())
+STATE_LAST = frozenset("open opened closed free enabled disabled active ready loaded off".split())
+SUBJECT = frozenset("tag category cat type format status author term topic section template taxonomy keyword lang language".split())
+GENERIC = frozenset("wrap wrapper container inner outer area box block list item section row col column region zone holder panel group unit slot module content body text icon link bar top left right".split())
 TAGS = ("body", "nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "ol", "td", "table", "blockquote", "pre", "figure", "figcaption", "dl", "fieldset", "address", "menu", "dialog", "details", "dt", "dd", "tr", "th")
 TAG_AT = {t: k for k, t in enumerate(TAGS)}
 #: Potentials of edges are shared by children of the same kind.
@@ -69,10 +75,11 @@ EDGES = {"nav": 1, "header": 1, "footer": 1, "aside": 1, "form": 1, "menu": 1, "
 INLINE_EDGE = 6
 N_EDGES = 7
 LINKS, DENSE, LENGTHS, SHARES, AROUND = 5, 4, 5, 4, 5
-#: Where each group of features begins: tag (any other, inline), constant, hints, share of links, length, links,
+#: Where each group of features begins: tag (any other, inline), constant, what names say, what their other words hint at, share of links, length, links,
 #: the parent's share of the page's prose and how much that is, place towards a container of content, place in the page's frame.
 HINT_AT = len(TAGS) + 3
-LINK_AT = HINT_AT + len(HINTS)
+WEAK_AT = HINT_AT + len(HINTS)
+LINK_AT = WEAK_AT + len(HINTS)
 LENGTH_AT = LINK_AT + LINKS
 DENSE_AT = LENGTH_AT + LENGTHS
 SHARE_AT = DENSE_AT + DENSE
@@ -82,6 +89,10 @@ FRAME_AT = PLACE_AT + 3
 N_FEATURES = FRAME_AT + 1
 #: A page has a container of content if such ones hold this share of its prose.
 HOLDS = 0.3
+#: An element that holds MOST of the page's prose, with less than FREE of it outside, is no part of the page's frame, whatever it is called.
+MOST, FREE = 0.5, 0.1
+#: Characters of prose for which a page does not stay without a text; of a link that is prose where a page has less than that.
+SENTENCE, HEADLINE = 80, 30
 FRAME = frozenset("nav header footer aside form menu dialog".split())
 
 
@@ -185,8 +196,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 open_(tag, len(nodes))
                 nodes.append(Node("head", 0, hidden=True))
             elif tag == "body":
-                close(1)
-                nodes[0].names = _names(attributes)[0]
+                close(1)  # its names tell of the whole page, not of a part
             continue
         if tag in VOID:
             if tag != "wbr":
@@ -199,7 +209,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             if READ.search(attributes) and not nodes[own].hidden:
                 names, hidden = _names(attributes)
                 # names inside code are those of its colours
-                if hidden or not (places["pre"] or places["code"]) and any(k < len(HINTS) - 1 for k in _hints(names)):
+                if hidden or not (places["pre"] or places["code"]) and any(k != CONTENT for k in _hints(names)[0]):
                     nodes.append(Node(tag, own, names, hidden, True, attributes))
                     own = len(nodes) - 1
             if tag == "a":
@@ -238,13 +248,45 @@ def _names(attributes: str) -> tuple[frozenset, bool]:
         elif key == "style":
             hidden |= bool(UNSEEN.search(value))
         elif key in ("class", "id", "role", "itemprop"):
-            names |= {w.lower() for w in NAMES.findall(CAMEL.sub(" ", value))}
+            names.update(value.split())
     return frozenset(names), hidden
 
 
 @lru_cache(maxsize=20_000)
-def _hints(names: frozenset) -> tuple[int, ...]:
-    return tuple(k for k, words in enumerate(HINT_SETS) if names & words)
+def _said(name: str) -> tuple[frozenset, frozenset]:
+    """The parts that one name says its element is, and those that its other words hint at.
+
+    The last word tells, but for words that name no part: a main-menu is a
+    menu, a comment-body belongs to comments. Names of states (has-sidebar,
+    comments-open) and subjects (tag-alert) say nothing. The header of a page's
+    or an article's content only hints at a header.
+    """
+    none: frozenset = frozenset()
+    words = [w.lower() for w in NAMES.findall(CAMEL.sub(" ", name))]
+    if len(words) > 1 and (words[0] in STATE_FIRST | SUBJECT or words[-1] in STATE_LAST):
+        return none, none
+    while len(words) > 1 and (words[-1] in GENERIC or words[-1].removesuffix("s") in GENERIC) and any(w in HINT_OF for w in words[:-1]):
+        words.pop()
+    parts = [HINT_OF.get(w, HINT_OF.get(w.removesuffix("s"))) for w in words]
+    if not parts:
+        return none, none
+    last, others = parts[-1], frozenset(k for k in parts[:-1] if k is not None)
+    if last is None:
+        return none, others
+    foreign = others - {CONTENT}
+    if last == CONTENT and foreign and words[-1] != "page":
+        return foreign, frozenset([CONTENT])
+    if last == HEADER and CONTENT in others:
+        return none, frozenset([HEADER, CONTENT])
+    return frozenset([last]), others - {last}
+
+
+@lru_cache(maxsize=20_000)
+def _hints(names: frozenset) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """What an element's names say, and what else they hint at."""
+    both = [_said(x) for x in names]
+    said = frozenset().union(*(a for a, _ in both))
+    return tuple(sorted(said)), tuple(sorted(frozenset().union(*(b for _, b in both)) - said))
 
 
 def _step(value: float, bounds: tuple) -> int:
@@ -257,31 +299,64 @@ def active(nodes: list[Node], pieces: list[tuple[int, str]]) -> tuple[list[list[
     own = [0] * n
     for k, value in pieces:
         own[k] += len(value.strip())
+    said = [((), ())] + [_hints(x.names) for x in nodes[1:]]
     below, linked, links = own[:], [x.linked for x in nodes], [x.links for x in nodes]
+    within, alone = [False] * n, 0
+    for k, x in enumerate(nodes):
+        within[k] = k > 0 and (within[x.parent] or x.hidden or x.tag in FRAME or any(h != CONTENT for h in said[k][0]))
+        alone += 0 if within[k] else max(0, own[k] - x.linked)
+    if alone < SENTENCE:
+        # a page of links: those as long as a headline are its prose
+        for k, x in enumerate(nodes):
+            if not within[k] and x.linked >= HEADLINE * max(1, x.links):
+                linked[k] = links[k] = 0
+    direct = linked[:]
     for k in range(n - 1, 0, -1):
         p = nodes[k].parent
         if not nodes[k].hidden:
             below[p] += below[k]
             linked[p] += linked[k]
             links[p] += links[k]
-    holder, frame = [False] * n, [False] * n
-    held = 0
+    prose = max(1, below[0] - linked[0])
+    holder = [False] * n
+    for k in range(1, n):
+        up = nodes[p := nodes[k].parent]
+        holder[k] = holder[p] or up.tag in ("article", "main") or CONTENT in said[p][0]
+    # elements that look like a part of the frame: the header of what holds content is none
+    apart = [k > 0 and (x.tag in FRAME and not (x.tag == "header" and holder[k]) or any(h != CONTENT for h in said[k][0]) and CONTENT not in said[k][0]) for k, x in enumerate(nodes)]
+    # those with most of the page's prose lie within each other; free: prose by the number of them around it, if nothing else of the frame is
+    big = [a and not x.hidden and not x.inline and below[k] - linked[k] >= MOST * prose for k, (a, x) in enumerate(zip(apart, nodes, strict=True))]
+    depth, free = [0] * n, defaultdict(int)
+    for k in range(n):
+        up = depth[nodes[k].parent] if k else 0
+        depth[k] = -1 if up < 0 or nodes[k].hidden or apart[k] and not big[k] else up + big[k]
+        if depth[k] >= 0:
+            free[depth[k]] += max(0, own[k] - direct[k])
+    outside = 0
+    for k in range(n):
+        if big[k]:
+            outside += free[depth[k] - 1] if depth[k] > 0 else FREE * prose
+            if outside >= FREE * prose:
+                break  # the article is elsewhere: this is a large part beside it
+            apart[k] = False
+            said[k] = (tuple(h for h in said[k][0] if h == CONTENT), ())
+        else:
+            big[k] = False
+    neutral = [b and not a for a, b in zip(apart, big, strict=True)]
+    frame, held = [False] * n, 0
     for k, x in enumerate(nodes):
         if k:
-            p, up = x.parent, nodes[x.parent]
-            up_hints = _hints(up.names)
-            holder[k] = holder[p] or up.tag in ("article", "main") or len(HINTS) - 1 in up_hints
-            frame[k] = frame[p] or up.tag in FRAME or any(h < len(HINTS) - 1 for h in up_hints)
+            frame[k] = frame[x.parent] or apart[x.parent]
         if holder[k] and not frame[k] and not x.hidden:
-            held += max(0, own[k] - x.linked)
-    prose = max(1, below[0] - linked[0])
+            held += max(0, own[k] - direct[k])
     has_holder = held >= HOLDS * prose
     out = []
     for k, x in enumerate(nodes):
         beside = max(0, below[x.parent] - linked[x.parent]) if k else prose
         length = min(LENGTHS - 1, int(math.log1p(own[k]) / 1.6))
-        ids = [len(TAGS) + 1 if x.inline else TAG_AT.get(x.tag, len(TAGS)), len(TAGS) + 2]
-        ids += [HINT_AT + h for h in _hints(x.names)]
+        ids = [len(TAGS) + 1 if x.inline else len(TAGS) if neutral[k] else TAG_AT.get(x.tag, len(TAGS)), len(TAGS) + 2]
+        ids += [HINT_AT + h for h in said[k][0]]
+        ids += [WEAK_AT + h for h in said[k][1]]
         ids += [
             LINK_AT + min(LINKS - 1, int(linked[k] / max(1, below[k]) * LINKS)),
             LENGTH_AT + length,
@@ -293,7 +368,7 @@ def active(nodes: list[Node], pieces: list[tuple[int, str]]) -> tuple[list[list[
         if frame[k]:
             ids.append(FRAME_AT)
         out.append(ids)
-    kinds = [INLINE_EDGE if x.inline else EDGES.get(x.tag, 5) for x in nodes]
+    kinds = [INLINE_EDGE if x.inline else 3 if bare else EDGES.get(x.tag, 5) for x, bare in zip(nodes, neutral, strict=True)]
     kinds[0] = 0
     return out, kinds, [x.parent for x in nodes]
 
@@ -373,9 +448,32 @@ class _Layouts:
         return self.tag("ul", "".join(self.tag("li", self.link(), 0) for _ in range(self.r.randint(low, high))), 0)
 
     def name(self, part: int) -> str:
-        word = self.r.choice(HINTS[part].split())
-        other = self.r.choice(["", "", "wrap-", "site-", "js-"])
-        return f'{self.r.choice(["class", "class", "id"])}="{other}{word}"'
+        """A list of names, one of which says the part."""
+        r = self.r
+        word = r.choice(HINTS[part].split())
+        own = r.choice([word, word, f"site-{word}", f"js-{word}", f"{word}-{r.choice(['wrap', 'inner', 'box', 'list', 'area', 'container'])}", f"{self.words(1, 1)}__{word}", f"the{word.title()}"])
+        if r.random() < 0.4:
+            return f'{r.choice(["class", "class", "id"])}="{own}"'
+        return f'class="{" ".join([own, *self.decoys(part == CONTENT)])}"'
+
+    def decoys(self, content: bool = True) -> list[str]:
+        """Names that a list may hold beside what the element is: states, subjects, layout."""
+        r = self.r
+        word = lambda: r.choice(HINTS[r.randrange(CONTENT)].split())
+        make = [
+            lambda: f"{r.choice(sorted(STATE_FIRST))}-{word()}",
+            lambda: f"{word()}-{r.choice(sorted(STATE_LAST))}",
+            lambda: f"{r.choice(sorted(SUBJECT))}-{r.choice([word(), self.words(1, 1)])}",
+            lambda: f"{word()}-{self.words(1, 1)}",
+            lambda: f"{word()}-page" if content else "row",
+            lambda: f"{self.words(1, 1)}-{r.randint(1, 999)}",
+            lambda: r.choice(["row", "clearfix", "hentry", "col-md-8", "grid", "is-wide"]),
+        ]
+        return [r.choice(make)() for _ in range(r.randint(0, 3))]
+
+    def outer(self) -> str:
+        """Attributes of the whole page's body."""
+        return r'class="%s"' % " ".join([self.words(1, 1), *self.decoys(), *self.r.sample(["right-sidebar", "home", "single", "header-fixed"], k=1)]) if self.r.random() < 0.4 else ""
 
     #: The element of a paragraph.
     par = "p"
@@ -387,7 +485,7 @@ class _Layouts:
 
     def prose(self, y: int, low: int = 1, high: int = 7) -> str:
         out = []
-        many, short = self.r.random() < 0.12, self.r.random() < 0.15
+        many, short = y and self.r.random() < 0.12, self.r.random() < 0.15
         for _ in range(self.r.randint(20, 70) if many else self.r.randint(low, high)):
             if short and self.r.random() < 0.8:
                 out.append(self.tag("p", self.words(1, 4), y))
@@ -432,6 +530,7 @@ class _Layouts:
                 lambda: self.tag(r.choice(["div", "section", "dialog"]), self.tag("p", self.words(3, 25), 0) + "<button>OK</button>", 0, self.name(6)),
                 lambda: self.tag("form", self.tag("p", self.words(2, 12), 0) + f'<label>{self.words(1, 2)}</label><input name="q">', 0, r.choice(["", self.name(7)])),
                 lambda: self.tag("div", self.tag("p", self.words(2, 12), 0) + self.link(), 0, self.name(7)),
+                *[lambda: self.tag("p", self.words(2, 25), 0, self.name(r.choice([0, 0, 6])))] * 2,
                 lambda: self.tag(r.choice(["section", "div"]), self.tag("h3", self.words(1, 3), 0) + "".join(self.tag(r.choice(["div", "li", "article"]), self.tag("p", self.words(2, 40), 0), 0, r.choice(["", self.name(5)])) for _ in range(r.randint(1, 5))), 0, self.name(5)),
             ]
         )()
@@ -456,7 +555,7 @@ class _Layouts:
     def page(self) -> str:
         r = self.r
         title = self.tag("h1", self.words(2, 9), 1)
-        some = lambda most: "".join(self.noise() for _ in range(r.randint(0, most)))
+        some = lambda most: "" if links else "".join(self.noise() for _ in range(r.randint(0, most)))
         plain = r.random() < 0.35
         self.par = "div" if plain and r.random() < 0.15 else "p"
         inside = self.prose(1, 2 if plain else 1)
@@ -467,9 +566,25 @@ class _Layouts:
             inside += self.noise()
         if r.random() < 0.3:
             inside = self.tag(r.choice(["div", "section"]), inside, 1, r.choice(["", self.name(8)]))
+        links = not plain and r.random() < 0.05
+        if links:
+            # an article of linked items
+            inside = self.tag(r.choice(["ul", "ol"]), "".join(self.tag("li", f'<a href="/x">{self.words(9, 20)}</a>', 1) for _ in range(r.randint(3, 15))), 1)
+        own_header = False
+        if not plain and r.random() < 0.35:
+            # the article's own header
+            own, own_header = r.choice(["article", "content", "entry", "page", "post"]), True
+            title = self.tag(*r.choice([("header", title, 1), ("header", title + self.tag("p", self.words(2, 8), 1), 1), ("div", title, 1, f'class="{own}-header"'), ("header", title, 1, f'class="{own}-header {self.words(1, 1)}"')]))
         holder = r.choice(["article", "article", "article", "main", "div", "section"])
-        attributes = self.name(8) if holder in ("div", "section") or r.random() < 0.3 else ""
-        core = self.tag(holder, title + inside, 1, attributes)
+        attributes = self.name(8) if holder in ("div", "section") or r.random() < 0.5 else ""
+        if not links and r.random() < 0.06:
+            # one post after the other, in something that is called a thread
+            core = self.tag("div", "".join(self.tag("div", self.prose(1, 3, 6), 1, 'class="post"') for _ in range(r.randint(3, 6))), 1, self.name(5))
+            core = title + core
+        elif not own_header and not links and r.random() < 0.1:
+            core = title + self.tag(holder, inside, 1, attributes)  # a title outside what holds the content
+        else:
+            core = self.tag(holder, title + inside, 1, attributes)
         if plain:
             core = self.unmarked(r.choice([title, title, ""]) + inside)
         elif r.random() < 0.3:
@@ -479,7 +594,9 @@ class _Layouts:
         body = head + some(3) + core + some(3) + foot
         if r.random() < 0.25:
             body = self.tag("div", body, 1, r.choice(["", 'id="wrapper"', 'class="container"']))
-        return f"<!DOCTYPE html><html><head><title>x</title></head><body>{body}</body></html>"
+        if r.random() < 0.1:
+            body = self.tag("form", body, 1, 'id="form1" method="post"')
+        return f"<!DOCTYPE html><html><head><title>x</title></head><body {self.outer()}>{body}</body></html>"
 
 
 LABEL = re.compile(r"data-y=([01])")
@@ -496,18 +613,19 @@ def labelled(n: int = TRAIN, seed: int = 5) -> Iterator[tuple[list[Node], list[t
 
 @lru_cache(maxsize=1)
 def model() -> Model:
-    """Weights of the largest penalised log-likelihood found in STEPS steps from zero."""
-    pages = [(*features(nodes, pieces), y) for nodes, pieces, y in labelled()]
+    """Weights of the largest penalised log-likelihood found in STEPS steps from zero, each scaled by how much its gradient varies, shorter towards the end."""
     # all pages as one forest under a root that is fixed: messages run over depths at once
-    weights, pair = np.zeros(N_FEATURES), np.zeros((N_EDGES, 2, 2))
-    forest = _Forest(pages)
-    momentum_w, momentum_p = np.zeros_like(weights), np.zeros_like(pair)
-    for _ in range(STEPS):
-        grad_w, grad_p = forest.gradient(weights, pair)
-        momentum_w = 0.9 * momentum_w + grad_w - DECAY * weights
-        momentum_p = 0.9 * momentum_p + grad_p - DECAY * pair
-        weights, pair = weights + RATE * momentum_w, pair + RATE * momentum_p
-    return Model(weights, pair)
+    forest = _Forest([(*features(nodes, pieces), y) for nodes, pieces, y in labelled()])
+    size = N_FEATURES
+    both = np.zeros(size + N_EDGES * 4)  # node weights, then edge potentials
+    mean, square = np.zeros_like(both), np.zeros_like(both)
+    for k in range(1, STEPS + 1):
+        grad_w, grad_p = forest.gradient(both[:size], both[size:].reshape(N_EDGES, 2, 2))
+        grad = np.concatenate([grad_w, grad_p.ravel()]) - DECAY * both
+        mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
+        step = mean / (1 - 0.9**k) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
+        both = both + RATE * min(1.0, 2 * (1 - k / (STEPS + 1))) * step
+    return Model(both[:size], both[size:].reshape(N_EDGES, 2, 2))
 
 
 class _Forest:
@@ -561,11 +679,18 @@ def main_text(page: str | None, judge: Model) -> str:
     if not any(v.strip() for _, v in pieces):
         return ""
     chance = judge.content(nodes, pieces)
+    limit = 0.5
+    if not (chance[1:] > limit).any() and not any(v.strip() for k, v in pieces if not k):
+        # no block is: then those that are as likely as the likeliest one with a sentence of prose
+        prose = defaultdict(int)
+        for k, v in pieces:
+            prose[k] += len(v.strip())
+        limit = min(limit, max((c for k, (c, x) in enumerate(zip(chance, nodes, strict=True)) if not x.hidden and prose[k] - x.linked >= SENTENCE), default=limit) - 1e-9)
     # what is left out of a line leaves no gap there
     instead = ["" if x.inline else "\n" for x in nodes]
     kept = []
     for c, x in zip(chance, nodes, strict=True):
-        kept.append(c > 0.5 and not x.hidden and (not x.inline or kept[x.parent]))
+        kept.append(c > limit and not x.hidden and (not x.inline or kept[x.parent]))
     return " ".join("".join(v if kept[k] else instead[k] for k, v in pieces).split())
 
 
