@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memspark.functions import text as t
-from memspark.operators import fuse, postings, recall
+from memspark.operators import cells, fuse, postings, recall
 from memspark.plans.registry import query
 from memspark.sources.scratch import written
 from memspark.sources.tables import EPOCH, STEP, UNITS_SQL, engine_units, table, units
@@ -100,6 +100,26 @@ def j02(spark, sf_dir):
     return _r(recall.knn(rows, asked, 10), "query_id", "unit_id", "score", "rank")
 
 
+def vector_index(spark, sf_dir) -> cells.CellIndex:
+    v = table(spark, sf_dir, "embeddings")
+    return cells.build(v.select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector"), "label"))
+
+
+@query("S18_J05_vector_index", f"WITH {_VEC}, q AS (SELECT * FROM v WHERE vec_id % 50 = 0), c AS (SELECT b.vec_id AS query_id, a.vec_id AS unit_id, round({_COS}, 12) AS score FROM v a, q b WHERE a.label < 5), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id::varchar) - 1 AS rank FROM c WHERE score > 0) SELECT query_id::varchar AS query_id, unit_id::varchar AS unit_id, round(score, 6) AS score, rank::int AS rank FROM k WHERE rank < 10")
+def j05(spark, sf_dir):
+    """All cells, the filter within them."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))  # the query set
+    return _r(vector_index(spark, sf_dir).search(asked, 10, keep=F.col("label") < 5), "query_id", "unit_id", "score", "rank")
+
+
+@query("J05_probed_cells")
+def j05_probed(spark, sf_dir):
+    """The nearest two thirds of the cells: hits by query, whose share of the exact ones is measured in the tests."""
+    index = vector_index(spark, sf_dir)
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))  # the query set
+    return _r(index.search(asked, 10, probes=-(-2 * len(index.centres) // 3)), "query_id", "unit_id", "score", "rank")
+
+
 _QV = [((i * 7) % 13 - 6) / 10 for i in range(64)]
 
 
