@@ -26,12 +26,23 @@ def _stream(spark, sf_dir):
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 
 
-@query("T01_T02_stream_spans")
+_SETTLED = """WITH RECURSIVE past AS (SELECT (epoch_ms(max(ts)) - 3600000) // 600000 AS k FROM events),
+e AS (SELECT user_id, event_id, event_type = 'error' AS s, epoch_us(ts) / 1e6 AS t FROM events WHERE epoch_ms(ts) // 600000 < (SELECT k FROM past)),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e),
+f AS (SELECT user_id, s, t, i, t AS start, 0 AS g, '' AS why FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.s, o.t, o.i,
+  CASE WHEN o.t - f.t >= 3600 OR o.s <> f.s OR o.t - f.start > 86400 THEN o.t ELSE f.start END, CASE WHEN o.t - f.t >= 3600 OR o.s <> f.s OR o.t - f.start > 86400 THEN f.g + 1 ELSE f.g END,
+  CASE WHEN o.t - f.t >= 3600 THEN 'settled' WHEN o.s <> f.s OR o.t - f.start > 86400 THEN 'next' ELSE f.why END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1),
+p AS (SELECT user_id, g, min(t) AS start, max(t) AS "end", count(*) AS n FROM f GROUP BY user_id, g),
+c AS (SELECT p.*, (SELECT min(f.why) FROM f WHERE f.user_id = p.user_id AND f.g = p.g + 1 AND f.t = f.start) AS why FROM p)
+SELECT user_id, round(start, 6) AS start, round("end", 6) AS "end", n, coalesce(why, 'settled') AS closed_by FROM c WHERE why IS NOT NULL OR ("end" + 3600) * 1000 <= (SELECT k FROM past) * 600000"""
+
+
+@query("T01_T02_stream_spans", _SETTLED)
 def t01(spark, sf_dir):
     s = _stream(spark, sf_dir).select("user_id", (F.col("event_type") == "error").alias("session"), "ts", F.col("event_id").alias("unit_id"))
     out = folder(spark, "spans")
-    jobs.drained(jobs.time_spans(s, 86_400, 3600), out, folder(spark, "spans-checkpoint"))
-    return spark.read.schema(jobs.SPAN).parquet(out)
+    jobs.drained(jobs.settled_spans(s, 86_400, 3600), out, folder(spark, "spans-checkpoint"))
+    return spark.read.schema(jobs.SETTLED).parquet(out).select("user_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n", "closed_by")
 
 
 @query("T03_session_windows", "WITH w AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS b FROM events), g AS (SELECT user_id, ts, sum(coalesce(b, true)::int) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM w) SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS start FROM g GROUP BY user_id, g")

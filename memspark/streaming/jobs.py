@@ -52,6 +52,91 @@ def time_spans(stream: DataFrame, seconds: float, settle: float, watermark: str
     return rows.groupBy("user_id").applyInPandasWithState(step, SPAN, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+SETTLED = "user_id long, start double, end double, n long, closed_by string"
+#: Length of a slice of event time, and rows of one slice that are kept together, in the state of settled_spans().
+SLICE, PART = 600, 1000
+
+
+def settled_spans(stream: DataFrame, seconds: float, settle: float, watermark: str = "1 hour") -> DataFrame:
+    """Closed spans (SETTLED) of a stream with user_id, session, ts (time) and unit_id, in the order of event time whatever the order of arrival.
+
+    A span closes when the session changes or a row lies more than ``seconds``
+    after its start (closed_by next), or when no row comes within ``settle``
+    seconds of its last one (closed_by settled). Rows wait in slices of event
+    time; a timer for each slice folds it once the watermark has passed it, so
+    rows of a task or batch are never held together: the state of a user has
+    the open span, and a worker reads one slice of one user at a time. Rows
+    older than the watermark are dropped by the engine and told of by
+    late_rows(). What is folded does not depend on how rows fall into batches.
+    Rows without a time wait for ever, so they are left out; the session sets
+    the state store to the one that keeps timers.
+    """
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    size = SLICE * 1000
+
+    class Spans(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.open = handle.getValueState("open", "start double, last double, session string, n long")
+            self.parts = handle.getMapState("parts", "slice long", "n int")
+            self.held = handle.getMapState("held", "slice long, part int", "ats array<double>, ids array<long>, sessions array<string>")
+
+        def handleInputRows(self, key, rows, timerValues):
+            waiting: dict[int, list] = {}
+            for r in rows:
+                own = waiting.setdefault(int(r.at * 1000 // size), [])
+                own.append((r.at, r.unit_id, r.session))
+                if len(own) >= PART:
+                    self.put(waiting, int(r.at * 1000 // size))
+            for k in [*waiting]:
+                self.put(waiting, k)
+            return iter(())
+
+        def put(self, waiting: dict, k: int) -> None:
+            rows = waiting.pop(k)
+            n = self.parts.getValue((k,))[0] if self.parts.containsKey((k,)) else 0
+            if not n:
+                self.handle.registerTimer((k + 1) * size)
+            self.held.updateValue((k, n), tuple(map(list, zip(*rows, strict=True))))
+            self.parts.updateValue((k,), (n + 1,))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            past = timerValues.getCurrentWatermarkInMs() // size  # slices before this one are whole
+            start, last, session, n = self.open.get() if self.open.exists() else (0.0, 0.0, None, 0)
+            for k in sorted(k for (k,) in self.parts.keys() if k < past):
+                rows = []
+                for part in range(self.parts.getValue((k,))[0]):
+                    rows += zip(*self.held.getValue((k, part)), strict=True)
+                    self.held.removeKey((k, part))
+                self.parts.removeKey((k,))
+                for at, _, own in sorted(rows, key=lambda r: r[:2]):
+                    if n and at - last >= settle:
+                        yield Row(user_id=key[0], start=start, end=last, n=n, closed_by="settled")
+                        n = 0
+                    elif n and (own != session or at - start > seconds):
+                        yield Row(user_id=key[0], start=start, end=last, n=n, closed_by="next")
+                        n = 0
+                    start, last, session, n = start if n else at, at, own, n + 1
+            if n and (last + settle) * 1000 <= past * size:
+                yield Row(user_id=key[0], start=start, end=last, n=n, closed_by="settled")
+                n = 0
+            if n:
+                self.open.update((start, last, session, n))
+                self.handle.registerTimer(int(-(-(last + settle) * 1000 // size)) * size)
+            else:
+                self.open.clear()
+
+        def close(self) -> None:
+            pass
+
+    timed = stream.where("ts is not null").withWatermark("ts", watermark)
+    rows = timed.select("user_id", F.col("session").cast("string").alias("session"), "ts", F.col("unit_id").cast("long").alias("unit_id"), (F.unix_micros("ts") / 1e6).alias("at"))
+    return rows.groupBy("user_id").transformWithState(Spans(), SETTLED, "append", "eventTime")
+
+
 def session_windows(stream: DataFrame, gap: str, watermark: str = "1 hour") -> DataFrame:
     """Sessions that end after a gap of inactivity, for jobs that need no more."""
     w = stream.withWatermark("ts", watermark).groupBy("user_id", F.session_window("ts", gap).alias("w"))

@@ -1,5 +1,6 @@
 """The engine's verbs, and streams against the same work in one batch."""
 
+import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
@@ -123,3 +124,41 @@ def test_recorded(spark):
     assert {(r.request_id, r.body, r.conflict) for r in jobs.recorded(df).collect()} == {("r", "x", False), ("s", "x", True)}
     marks = df.where(F.col("request_id") == "r")
     assert {r.request_id for r in jobs.unmarked(df, marks, "request_id").collect()} == {"s"}
+
+
+def plain_settled(rows, seconds, settle, past):
+    """Spans of (user, session, at, unit) rows below the slice ``past``, one after the other."""
+    out, size = [], jobs.SLICE
+    for u in {r[0] for r in rows}:
+        start = last = session = None
+        n = 0
+        for _, own, at, _ in sorted((r for r in rows if r[0] == u and r[2] // size < past), key=lambda r: (r[2], r[3])):
+            if n and (at - last >= settle or own != session or at - start > seconds):
+                out.append((u, start, last, n, "settled" if at - last >= settle else "next"))
+                n = 0
+            start, last, session, n = start if n else at, at, own, n + 1
+        if n and last + settle <= past * size:
+            out.append((u, start, last, n, "settled"))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_settled_spans_do_not_depend_on_batches(spark, tmp_path, files, monkeypatch):
+    rng = random.Random(files)
+    base = 1_704_067_200
+    # user 0 is a hot one: more rows in a slice than a part of it holds
+    rows = [(rng.choice([0, 0, 0, 1, 2]), rng.choice("aab"), base + rng.choice([rng.uniform(0, 9000), rng.uniform(0, 40_000)]), k) for k in range(3000)]
+    rows += [(7, "z", base + 60_000.0, 9001)]
+    rows.sort(key=lambda r: r[2] + rng.uniform(0, 2500))  # out of order, but within the watermark
+    schema = "user_id long, session string, at double, unit_id long"
+    for k in range(files):
+        part = rows[k * len(rows) // files : (k + 1) * len(rows) // files]
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).drop("at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    fields = "user_id long, session string, unit_id long, ts timestamp"
+    stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = folder(spark, "test-settled")
+    jobs.drained(jobs.settled_spans(stream, 1800, 300), out, folder(spark, "test-check"))
+    got = sorted((r.user_id, round(r.start, 4), round(r.end, 4), r.n, r.closed_by) for r in spark.read.schema(jobs.SETTLED).parquet(out).collect())
+    exact = [(u, s, int(at * 1_000_000) / 1e6, k) for u, s, at, k in rows]
+    want = plain_settled(exact, 1800, 300, (int((base + 60_000) * 1000) - 3_600_000) // 1000 // jobs.SLICE)
+    assert got == [(u, round(a, 4), round(b, 4), n, why) for u, a, b, n, why in want] and len(got) > 50
