@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.engine import Engine
 from memspark.functions import text as t
-from memspark.operators import evolve, fuse, govern, ingest, plugins, recall, retrieve
+from memspark.operators import evolve, fuse, govern, ingest, plugins, recall, relations, retrieve
 from memspark.plans.jobs import engine
 from memspark.plans.registry import query
 from memspark.plans.retrieval import _COS, _QV, _VEC, KEYWORD_SQL, RANKED_SQL, TOKENS_SQL, WORDS, _best, channels, edges
@@ -229,6 +229,27 @@ def v11(spark, sf_dir):
     return evolve.consolidated(m, act.unionByName(again), by).select(*by, "op", "unit_id", "content")
 
 
+_PARTS = """SELECT p_brand AS entity, p_type AS property, p_partkey::varchar AS unit_id, p_partkey::bigint AS t0, p_name || CASE p_size % 4 WHEN 0 THEN ' not in stock' WHEN 1 THEN ' in stock' WHEN 2 THEN ' in stock' ELSE '' END AS content FROM part"""
+
+
+@query("V11_detected_plan", f"""WITH m AS ({_PARTS}), d AS (SELECT *, row_number() OVER (PARTITION BY entity, property, content ORDER BY t0 DESC, unit_id DESC) AS dup, count(*) OVER (PARTITION BY entity, property) AS size FROM m),
+o AS (SELECT *, count(*) OVER (PARTITION BY entity, property) AS n FROM d WHERE dup = 1 AND size > 1), k AS (SELECT *, lag(content) OVER w AS pc, lag(t0) OVER w AS pt FROM o WHERE n > 1 WINDOW w AS (PARTITION BY entity, property ORDER BY t0, unit_id)),
+x AS (SELECT *, list_distinct(regexp_extract_all(lower(pc), '[0-9a-z]+')) AS a, list_distinct(regexp_extract_all(lower(content), '[0-9a-z]+')) AS b FROM k),
+y AS (SELECT *, len(list_intersect(a, b)) AS c, regexp_matches(pc, '\\b(not|no|never|none)\\b') <> regexp_matches(content, '\\b(not|no|never|none)\\b') AS neg FROM x),
+r AS (SELECT *, CASE WHEN pc IS NULL THEN NULL WHEN neg AND c >= 0.5 * least(len(a), len(b)) THEN 'contradicts' WHEN c >= 0.8 * (len(a) + len(b) - c) THEN 'same' WHEN c = len(a) AND len(b) > len(a) THEN 'refines' WHEN c = 0 AND t0 - pt <= 200 THEN 'independent' ELSE 'newer' END AS rel FROM y),
+g AS (SELECT *, sum(CASE WHEN rel = 'same' THEN 0 ELSE 1 END) OVER w AS g, lead(rel) OVER w AS nx FROM r WINDOW w AS (PARTITION BY entity, property ORDER BY t0, unit_id)),
+h AS (SELECT entity, property, g, list(unit_id ORDER BY t0, unit_id) AS ids, arg_max(content, t0) AS last, list(nx ORDER BY t0 DESC, unit_id DESC)[1] AS nx, list(rel ORDER BY t0, unit_id)[1] AS rel, list(pc ORDER BY t0, unit_id)[1] AS pc FROM g GROUP BY ALL),
+z AS (SELECT *, CASE WHEN nx IN ('newer', 'refines') THEN 'archive' WHEN len(ids) > 1 THEN 'merge' WHEN rel = 'contradicts' THEN 'update' END AS op FROM h)
+SELECT entity, property, 'retire' AS op, unit_id, NULL AS content FROM d WHERE dup > 1 AND size > 1 UNION ALL SELECT entity, property, 'retire', unnest(ids), NULL FROM z WHERE op IS NOT NULL
+UNION ALL SELECT entity, property, 'addition', NULL, last FROM z WHERE op = 'merge' UNION ALL SELECT entity, property, 'replacement', ids[1], last || ' [against: ' || pc || ']' FROM z WHERE op = 'update'""")
+def v11_detected(spark, sf_dir):
+    """From the units alone: open clusters, typed relations of neighbours in time, actions, plan."""
+    p = table(spark, sf_dir, "part")
+    said = F.when(F.col("p_size") % 4 == 0, " not in stock").when((F.col("p_size") % 4).isin(1, 2), " in stock").otherwise("")
+    m = p.select(F.col("p_brand").alias("entity"), F.col("p_type").alias("property"), F.col("p_partkey").cast("string").alias("unit_id"), F.concat("p_name", said).alias("content"), F.col("p_partkey").cast("long").alias("t_ingest"), F.lit(False).alias("done"))
+    return relations.conflict_plan(m, ["entity", "property"], 200.0).select("entity", "property", "op", "unit_id", "content")
+
+
 @query("V12_property_merge", """WITH RECURSIVE c AS (SELECT DISTINCT o_custkey % 40 AS g, (o_custkey % 40) // 2 AS up FROM orders WHERE (o_custkey % 40) % 3 <> 0),
 f AS (SELECT g, up FROM c UNION ALL SELECT f.g, c.up FROM f JOIN c ON c.g = f.up), e AS (SELECT g, min(up) AS fin FROM f GROUP BY g)
 SELECT o_orderkey, 'p' || lpad(coalesce(fin, o_custkey % 40)::varchar, 2, '0') AS property, CASE WHEN fin IS NOT NULL THEN 'p' || lpad((o_custkey % 40)::varchar, 2, '0') END AS merged_from FROM orders LEFT JOIN e ON g = o_custkey % 40""")
@@ -252,6 +273,22 @@ def v14(spark, sf_dir):
     return up.select("conv_id", "span_start", "span_end", F.array_join(F.transform("child_ids", lambda x: F.element_at(F.split(x, "/"), -1)), ",").alias("children"), "n", "role")
 
 
+@query("V14_incremental_parents", """WITH RECURSIVE e AS (SELECT conv_id, turn, turn * 1000.0::double AS t0, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT conv_id, i, t0, turn, t0 AS start FROM e WHERE i = 1 UNION ALL SELECT e.conv_id, e.i, e.t0, e.turn, CASE WHEN e.t0 - f.start > 2500 THEN e.t0 ELSE f.start END FROM f JOIN e ON e.conv_id = f.conv_id AND e.i = f.i + 1)
+SELECT conv_id, min(t0) AS span_start, max(t0) + 10 AS span_end, string_agg(turn::varchar, ',' ORDER BY t0) AS children, count(*) AS n FROM f GROUP BY conv_id, start""")
+def v14_incremental(spark, sf_dir):
+    """Two late runs of turns merged into stored parents: the parents of a full derivation."""
+    at = F.col("turn") * F.lit(1000.0)
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.format_string("%010d", F.col("turn").cast("long")).alias("unit_id"), F.lit("s").alias("session"), at.alias("at"), (at + 10).alias("end"), "turn")
+    run = lambda k: c.where(F.pmod(F.col("turn") * 7 + F.col("conv_id"), F.lit(3)) == k).drop("turn")
+    held = written(relations.assigned(run(0), "conv_id", 2500), "leaves")
+    up = written(relations.parents_of(held, "conv_id"), "parents")
+    for k in (1, 2):
+        up, held = relations.recomposed(up, held, run(k), "conv_id", 2500)
+        up, held = written(up, "parents"), written(held, "leaves")
+    return up.select("conv_id", "span_start", "span_end", F.array_join(F.transform("child_ids", lambda x: x.cast("int").cast("string")), ",").alias("children"), "n")
+
+
 _ROUTES = [
     {"name": "personal", "owner": "user", "space_template": "u/{user}", "fallback": True},
     {"name": "team", "owner": "team", "space_template": "t/{team}", "cross_user": True, "members": ["*"]},
