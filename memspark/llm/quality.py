@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from memspark.llm.graph import met
 from memspark.llm.shared import written
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -133,13 +134,19 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
 def judged(rows: DataFrame) -> DataFrame:
     """Measured rows, read twice, with base_failed and kept."""
     cuts = written(cutoffs(written(sketches(rows), "quality-sketch")), "quality-cutoffs")
-    if cuts.count() <= BROADCAST_GROUPS:
-        cuts = F.broadcast(cuts)
     m = F.col("measures")
     inside = F.lit(True)
     for rate, value in _rates(m).items():
         inside = inside & (value <= F.col(f"{rate}_high")) & (value >= F.col(f"{rate}_low"))
-    joined = rows.join(cuts, F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    if cuts.count() <= BROADCAST_GROUPS:
+        joined = rows.join(F.broadcast(cuts), F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    else:
+        # rows of large groups stay where they are; the others meet their cutoffs by a shuffle
+        keyed = rows.withColumn("_group", F.to_json(F.struct("lang", "source")))
+        sizes = keyed.groupBy("_group").agg(F.count("*").alias("n"))
+        named = cuts.withColumn("_group", F.to_json(F.struct(F.col("cut_lang").alias("lang"), F.col("cut_source").alias("source")))).drop("cut_lang", "cut_source")
+        table = written(sizes.join(named, "_group", "left"), "quality-groups")
+        joined = met(keyed, table, "_group", table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "left")
     kept = ~_base_failed(m) & F.coalesce(inside, F.lit(False))
     return joined.select(*rows.columns, _base_failed(m).alias("base_failed"), kept.alias("kept"))
 

@@ -59,3 +59,10 @@ def test_sketches_merge(spark):
 def test_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert q.quality(empty).count() == 0 and q.quality_stage(empty).count() == 0
+
+
+def test_many_groups_give_the_same_verdicts(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    few = sorted(map(tuple, q.op3_adaptive_quality(spark, sf).collect()))
+    monkeypatch.setattr(q, "BROADCAST_GROUPS", 0)
+    assert sorted(map(tuple, q.op3_adaptive_quality(spark, sf).collect())) == few
