@@ -19,26 +19,42 @@ def coreferences(mentions: DataFrame) -> DataFrame:
 
 #: Vectors of a block that one task holds, from each side.
 CHUNK = 4096
-#: Blocks over that size which are broadcast, with their numbers of parts, at most.
+#: Of the blocks over that size, the largest ones, with their numbers of parts, are broadcast; no more than these.
 HOT_BLOCKS = 50_000
 
 
-def _products(left: DataFrame, right: DataFrame, block: list[str], emit, schema: str) -> DataFrame:
+def _products(left: DataFrame, right: DataFrame, block: list[str], emit, schema: str, half: bool = False) -> DataFrame:
     """emit(left ids, left vectors, right ids, right vectors) -> Arrow columns, for all of left (id, block, v) against all of right in the same block.
 
     A block over CHUNK rows is cut on both sides and its parts are dealt out in
-    pairs, so a task holds two parts at most, however large a block is.
+    pairs, so a task holds two parts of CHUNK rows, however large a block or
+    the table is. The largest blocks' numbers of parts are broadcast; a block
+    that is not among them has a small share of all rows, and meets its number
+    by a shuffle. With ``half`` (left and right are the same rows) each pair of
+    parts is taken once.
     """
-    n_rows = left.count() + right.count()
-    limit = max(CHUNK, n_rows // HOT_BLOCKS)
+    limit = CHUNK
     sizes = left.select(*block, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(*block, F.lit(0).alias("l"), F.lit(1).alias("r"))).groupBy(*block).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     cuts = lambda c: F.ceil(F.col(c) / limit).cast("int")
-    hot = F.broadcast(sizes.where((F.col("l") > limit) | (F.col("r") > limit)).select(*block, F.greatest(F.lit(1), cuts("l")).alias("_l"), F.greatest(F.lit(1), cuts("r")).alias("_r")))
+    large = written(sizes.where((F.col("l") > limit) | (F.col("r") > limit)).select(*block, "l", "r", F.greatest(F.lit(1), cuts("l")).alias("_l"), F.greatest(F.lit(1), cuts("r")).alias("_r")), "block-parts")
+    bound = None
+    if large.count() > HOT_BLOCKS:
+        bound = large.select((F.col("l") + F.col("r")).alias("n")).orderBy(F.desc("n")).limit(HOT_BLOCKS).agg(F.min("n")).first()[0]
+    drop = lambda rows: rows.select(*block, "_l", "_r")
+    hot = F.broadcast(drop(large if bound is None else large.where(F.col("l") + F.col("r") > bound)))
+    mild = None if bound is None else drop(large.where(F.col("l") + F.col("r") <= bound))
+
+    def parted(rows: DataFrame) -> DataFrame:
+        out = rows.join(hot, block, "left")
+        if mild is None:
+            return out
+        rest = out.where("_l is null").drop("_l", "_r").join(mild, block, "left")
+        return out.where("_l is not null").unionByName(rest)
 
     def placed(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
         part = F.pmod(F.xxhash64("id"), F.coalesce(F.col(own), F.lit(1))).cast("int")
         each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
-        rows = rows.join(hot, block, "left").select("id", "v", *block, part.alias(f"{own}p"), each.alias(f"{other}p"))
+        rows = parted(rows).select("id", "v", *block, part.alias(f"{own}p"), each.alias(f"{other}p"))
         return rows.select(*block, "_lp", "_rp", F.lit(side).alias("side"), "id", "v")
 
     def run(batches):
@@ -68,6 +84,8 @@ def _products(left: DataFrame, right: DataFrame, block: list[str], emit, schema:
     names = [f.split()[0] for f in schema.split(", ")]
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = placed(left, "_l", "_r", 0).unionByName(placed(right, "_r", "_l", 1))
+    if half:
+        both = both.where("_lp <= _rp")
     return both.repartition(n, *block, "_lp", "_rp").sortWithinPartitions(*block, "_lp", "_rp", "side").mapInArrow(run, schema)
 
 
@@ -83,12 +101,15 @@ def similar_pairs(vectors: DataFrame, least: float, block: list[str]) -> DataFra
 
         scores = vx @ vy.T
         i, j = np.nonzero(scores >= least)
-        keep = [k for k, (p, q) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if x[p] < y[q]]
+        # a part with itself has each pair twice, two parts have it once, in either order
+        own = sorted(x) == sorted(y)
+        keep = [k for k, (p, q) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if (x[p] < y[q] if own else x[p] != y[q])]
         i, j = i[keep], j[keep]
-        return [x[k] for k in i], [y[k] for k in j], scores[i, j]
+        a, b = [x[k] for k in i], [y[k] for k in j]
+        return [min(p) for p in zip(a, b, strict=True)], [max(p) for p in zip(a, b, strict=True)], scores[i, j]
 
     v, kind = _unit(vectors, "unit_id", block), dict(vectors.dtypes)["unit_id"]
-    return _products(v, v, block, emit, f"a {kind}, b {kind}, score double")
+    return _products(v, v, block, emit, f"a {kind}, b {kind}, score double", half=True)
 
 
 def duplicates_of(candidates: DataFrame, vectors: DataFrame, block: list[str], k: int, least: float) -> DataFrame:
@@ -158,10 +179,13 @@ def fuzzy_names(names: DataFrame, block: list[str], most: int) -> DataFrame:
     """a, b: for each entity the earliest one of its block whose name is within some edits.
 
     A name cut into one piece more than there may be edits keeps one piece
-    whole, at most so many places away. Names meet at pieces, and only those
-    that do are compared.
+    whole, at most so many places away. Distinct names meet at pieces of the
+    longer than ``most`` ones, and only those that do are compared; names no
+    longer than that are all within the edits of each other, so the earliest of
+    them stands for all.
     """
     n = names.select("id", *block, t.entity_key(F.col("name")).alias("k"))
+    keys = written(n.groupBy(*block, "k").agg(F.min("id").alias("id")), "fuzzy-keys")
     count = most + 1
     at = lambda size, i: F.floor(size * i / count).cast("int")
     own = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(F.length("k").alias("n"), i.alias("i"), F.substring("k", at(F.length("k"), i) + 1, at(F.length("k"), i + 1) - at(F.length("k"), i)).alias("piece")))
@@ -172,12 +196,16 @@ def fuzzy_names(names: DataFrame, block: list[str], most: int) -> DataFrame:
         found = F.transform(F.sequence(low, F.greatest(low, high)), lambda p: F.struct(size.alias("n"), i.alias("i"), F.substring("k", p + 1, width).alias("piece")))
         return F.when(high >= low, found).otherwise(F.slice(found, 1, 0))
 
-    sizes = F.sequence(F.greatest(F.lit(0), F.length("k") - most), F.length("k") + most)
-    met = F.array_distinct(F.flatten(F.transform(sizes, lambda size: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: places(size, i))))))
-    x = n.select(F.col("id").alias("a"), *block, F.col("k").alias("ka"), F.explode(met).alias("m"))
-    y = n.select(F.col("id").alias("b"), *block, F.col("k").alias("kb"), F.explode(own).alias("m"))
-    near = x.join(y, [*block, "m"]).where("a > b").where(F.levenshtein("ka", "kb") <= most)
-    return near.groupBy("a").agg(F.min("b").alias("b"))
+    sizes = F.sequence(F.greatest(F.lit(count), F.length("k") - most), F.length("k") + most)
+    met = F.when(F.length("k") + most >= count, F.array_distinct(F.flatten(F.transform(sizes, lambda size: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: places(size, i)))))))
+    x = keys.select(*block, F.col("k").alias("ka"), F.col("id").alias("ia"), F.explode(met).alias("m"))
+    y = keys.where(F.length("k") > most).select(*block, F.col("k").alias("kb"), F.col("id").alias("ib"), F.explode(own).alias("m"))
+    near = x.join(y, [*block, "m"]).where(F.levenshtein("ka", "kb") <= most).select(*block, "ka", "ia", "kb", "ib")
+    short = keys.where(F.length("k") <= most)
+    least = short.join(short.groupBy(*block).agg(F.min("id").alias("b")), block).select(*block, "k", "b") if block else short.crossJoin(F.broadcast(short.agg(F.min("id").alias("b")))).select("k", "b")
+    either = near.select(*block, F.col("ka").alias("k"), F.col("ib").alias("b")).unionByName(near.select(*block, F.col("kb").alias("k"), F.col("ia").alias("b"))).unionByName(least)
+    best = either.groupBy(*block, "k").agg(F.min("b").alias("b"))
+    return n.join(best, [*block, "k"]).where(F.col("id") > F.col("b")).select(F.col("id").alias("a"), "b")
 
 
 def role_step(frontier: DataFrame, edges: DataFrame, rules: DataFrame, depth: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Composed retrieval, ingest, evolution and blocked joins: cases that the queries' tables do not have."""
 
+import math
 import random
 
 import pytest
@@ -158,3 +159,38 @@ def test_personal_lists_and_neighbours(spark):
     got = [(x.unit_id, x.rank) for x in recall.knn(v, q, 5).orderBy("rank").collect()]
     cos = {k: a[0] / sum(x * x for x in a) ** 0.5 for k, a in rows}
     assert got == [(k, i) for i, k in enumerate(sorted(cos, key=lambda k: (-round(cos[k], 12), k))[:5])] and got[0][0] == "10x"
+
+
+@pytest.mark.parametrize("most", [0, 1, 2])
+def test_fuzzy_names_with_many_short_ones(spark, most):
+    rng = random.Random(most)
+    names = ["".join(rng.choice("abc") for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 8]))) for _ in range(250)]
+    rows = [(k, f"b{k % 2}", x) for k, x in enumerate(names)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row = following(row, c, b, i)
+        return row[-1]
+
+    def following(row, c, b, i):
+        out = [i]
+        for j, d in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (c != d)))
+        return out
+
+    want = sorted((k, min(j for j, g, y in rows if g == b and j < k and distance(x, y) <= most)) for k, b, x in rows if any(g == b and j < k and distance(x, y) <= most for j, g, y in rows))
+    got = link.fuzzy_names(spark.createDataFrame(rows, "id long, block string, name string"), ["block"], most)
+    assert sorted((r.a, r.b) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("hot", [0, 1, 100])
+def test_similar_pairs_over_parts(spark, monkeypatch, hot):
+    monkeypatch.setattr(link, "CHUNK", 16)
+    monkeypatch.setattr(link, "HOT_BLOCKS", hot)
+    rng = random.Random(hot)
+    rows = [(f"u{k:03d}", "b" if k % 5 else f"s{k % 3}", [rng.gauss(0, 1) for _ in range(3)]) for k in range(150)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = sorted((a, b) for a, g, v in rows for b, h, w in rows if a < b and g == h and cos(v, w) >= 0.9)
+    got = link.similar_pairs(spark.createDataFrame(rows, "unit_id string, block string, vector array<double>"), 0.9, ["block"])
+    assert sorted((r.a, r.b) for r in got.collect()) == want
