@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and candidates that boosted trees decide on.
 
 Generators with high recall propose overlapping spans: every stretch of whole
-digit groups, account numbers, spelt-out mail addresses. Trees see each candidate's form and the
-words around it; a cut for each generator, set on held-out rows for its
+digit groups, names of letters and digits, account numbers, dates with a month's
+name, spelt-out mail addresses. Trees see each candidate's form and the words
+around it; a cut for each generator, set on held-out rows for its
 precision, selects what is added to the fixed patterns' spans. The trees are
 trained on made-up labelled sentences, a bounded number (TRAIN).
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from memspark.llm.secret_scan import digest
 from memspark.llm.trees import Boosted, boost, calibrated
 
-KINDS = ("email", "ip", "card", "phone", "number", "account", "spelt")
+KINDS = ("email", "ip", "card", "phone", "number", "account", "spelt", "code", "date")
 BASE = KINDS[:4]
 TRAIN = 6000
 PRECISION = 0.98
@@ -37,29 +38,47 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A whole run of digits, and what may stand between two of one number.
 GROUP = re.compile(r"\(?[0-9]++\)?")
 BETWEEN = re.compile(r"[\x20./-]{0,2}")
-#: Digits of a number.
-FEWEST, MOST = 6, 16
+#: Digits of a number, and groups: the longest personal numbers have 16 digits, and eight groups at most.
+FEWEST, MOST, GROUPS = 6, 16, 8
+#: Candidates that are scored at a time.
+BLOCK = 1 << 15
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-SPELT = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._-]{2,40}\x20?[(\[]?\x20?at\x20?[)\]]?\x20?[A-Za-z0-9-]{2,40}(?:\x20?[(\[]?\x20?(?:dot|\.)\x20?[)\]]?\x20?[A-Za-z]{2,12}){1,2}(?![A-Za-z0-9])", re.I | re.A)
-GENERATORS = ("number", "account", "spelt")
+#: Local parts of an address have 64 characters at most, labels 63.
+SPELT = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._-]{2,64}(?:\x20[(\[]?dot[)\]]?\x20[A-Za-z0-9_-]{1,63}){0,2}\x20?[(\[]?\x20?at\x20?[)\]]?\x20?[A-Za-z0-9-]{2,63}(?:\x20?[(\[]?\x20?(?:dot|\.)\x20?[)\]]?\x20?[A-Za-z]{2,63}){1,2}(?![A-Za-z0-9])", re.I | re.A)
+#: Capitals and digits in one word, with three digits at least.
+CODE = re.compile(r"(?<![A-Za-z0-9-])(?=[0-9]*[A-Z])(?=(?:[A-Z]*[0-9]){3})[A-Z0-9]{6,14}(?:-[A-Z0-9])?(?![A-Za-z0-9])")
+#: The months' names of the tables' languages.
+MONTHS = (
+    "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec "
+    "januar februar märz mai juni juli oktober dezember enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre "
+    "janvier février mars avril juin juillet août septembre octobre novembre décembre"
+)
+_MONTH = "(?:" + "|".join(sorted(MONTHS.split(), key=len, reverse=True)) + ")"
+DATE = re.compile(rf"(?<![\w])(?:[0-9]{{1,2}}(?:\.|st|nd|rd|th)?\x20(?:de\x20)?{_MONTH}\.?,?\x20(?:de\x20)?[0-9]{{4}}|{_MONTH}\.?\x20[0-9]{{1,2}}(?:st|nd|rd|th)?,?\x20[0-9]{{4}})(?!\w)", re.I)
+GENERATORS = ("number", "account", "spelt", "code", "date")
 
 #: Words that stand near each kind of data, or near numbers that are none.
 CUES = (
     "phone phones tel telephone call mobile cell fax whatsapp sms dial contact reach "
-    "telefon telefonnummer handy rufnummer mobil anrufen teléfono teléfonos tfno móvil llamar llame celular téléphone portable appeler appelez",
-    "ssn ssns social security sin passport license tax id steuernummer steuer-id ausweis reisepass sozialversicherungsnummer dni nif nie pasaporte seguridad passeport fiscal sécurité siret",
+    "office home work line hotline direct büro privat casa oficina trabajo fijo bureau domicile fixe "
+    "telefon telefonnummer handy rufnummer mobil anrufen teléfono teléfonos tfno móvil llamar llame llámame llámeme celular téléphone portable appeler appelez",
+    "ssn ssns social security sin insurance passport license licence driver's driver tax id ein vat identity national führerschein permiso permis nss idnr steuernummer steuer-id ausweis reisepass sozialversicherungsnummer dni nif nie pasaporte seguridad passeport fiscal sécurité siret",
     "iban account bank bic swift transfer konto kontonummer überweisung cuenta banco transferencia compte banque virement",
     "email mail write e-mail mailto schreiben correo escribir escriba courriel écrire écrivez",
     "born birth birthday dob geboren geburtstag geburtsdatum nacido nacida nacimiento né née naissance",
     "order invoice version isbn price total page pages chapter figure table row rows line lines year years item sku part ticket case build release score room "
     "bestellung rechnung preis seite seiten kapitel zeile zeilen jahr jahre pedido factura precio página páginas capítulo fila año años commande facture prix chapitre ligne lignes année années",
+    "number numbers nr no nummer número numéro num",
     "my his her your our their me him mein meine sein ihr ihre unser mi su tu nuestro mon ma son sa votre notre",
 )
 CUE_SETS = tuple(frozenset(c.split()) for c in CUES)
 AROUND = 60
 WORD = re.compile(r"(?:[^\W\d_]|-)+")
+MASKS: dict[str, int] = {}
+for _k, _words in enumerate(CUE_SETS):
+    for _w in _words:
+        MASKS[_w] = MASKS.get(_w, 0) | 1 << _k
 LOOSE_AT = re.compile(r"[\x20(\[]at[\x20)\]]", re.I)
-BREAK = re.compile(r"(?<=[0-9)])[\x20./-]*(?=[0-9(])")
 BEFORE_GROUP = re.compile(r"([0-9]+)\)?([\x20./-]{0,2})$")
 AFTER_GROUP = re.compile(r"()([\x20./-]{0,2})\(?([0-9]+)")
 
@@ -107,18 +126,20 @@ def _mod97(text: str) -> bool:
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Whole numbers about a candidate's form and the words near it."""
+    """Whole numbers about a candidate's form and the words near it. stretches() works out the same for numbers, many at a time."""
     body = text[start:end]
     groups = re.findall(r"[0-9]+", body)
     digits = "".join(groups)
     sizes = [len(g) for g in groups[:4]] + [0] * 4
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    near = [w.lower() for w in WORD.findall(before)]
-    words = [set(near[-4:]), set(near) | {w.lower() for w in WORD.findall(after)}]
+    near = [MASKS.get(w.lower(), 0) for w in WORD.findall(before)]
+    close, all_ = _or(near[-4:]), _or(near) | _or(MASKS.get(w.lower(), 0) for w in WORD.findall(after))
     compact = re.sub(r"[^A-Za-z0-9]", "", body).upper()
     # where further groups touch: what lies between, and whether the candidate's own groups are parted in the same way
-    inner = set(BREAK.findall(body)) if kind == "number" else set()
+    parts = [m.span() for m in GROUP.finditer(body)] if kind == "number" else []
+    inner = {body[a:b] for (_, a), (b, _) in zip(parts, parts[1:])}
     left, right = (BEFORE_GROUP.search(before), AFTER_GROUP.match(after)) if kind == "number" else (None, None)
+    letters = sum(c.isalpha() for c in body) if kind == "code" else 0
     return [
         GENERATORS.index(kind),
         len(digits),
@@ -139,7 +160,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         before[-1:] in ("$", "€", "£", "#", "="),
         before.rstrip()[-1:] == ":",
         after[:1] == "%",
-        *(bool(c & w) for w in words for c in CUE_SETS),
+        *(mask >> k & 1 for mask in (close, all_) for k in range(len(CUES))),
         bool(LOOSE_AT.search(body)) if kind == "spelt" else 0,
         body.count("-") + body.count("_") + body.count(".") if kind == "spelt" else 0,
         before[-1:] in (".", "_", "-"),
@@ -147,27 +168,138 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         *(v for m in (left, right) for v in ((1 + "-./ ".find(m[2][:1]) if m[2] else 5, m[2] in inner, len(m[1] if m is left else m[3])) if m else (-1, 0, 0))),
         len(groups[-1]) if groups else 0,
         any(c.isdigit() for c in before[-12:]),
+        _year(groups[-1]) if groups else 0,
+        _year(groups[0]) if groups else 0,
+        int(groups[0]) if groups and len(groups[0]) < 3 else 100,
+        digits[:2] == "00",
+        letters,
+        kind == "code" and body[:1].isalpha(),
+        kind == "code" and body[-1:].isalpha(),
     ]
 
 
+def _or(masks: Iterable[int]) -> int:
+    out = 0
+    for m in masks:
+        out |= m
+    return out
+
+
+def _year(group: str) -> bool:
+    return len(group) == 4 and 1900 <= int(group) <= 2012
+
+
+def _free(text: str, start: int) -> bool:
+    """Whether a number may begin here, if no group is near before it."""
+    before = text[start - 1 : start]
+    return not (before in (".", "+") or (before.isascii() and before.isalnum()))
+
+
+class Stretches:
+    """Every stretch of whole groups of digits, near each other, within the bounds; they overlap. Arrays over all groups of a text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = [m.span() for m in GROUP.finditer(text)]
+        n = len(found)
+        self.start, self.end = (np.array([f[k] for f in found], np.int64).reshape(-1) for k in (0, 1))
+        bodies = [text[a:b] for a, b in found]
+        self.digits = [x.strip("()") for x in bodies]
+        self.size = np.array([len(x) for x in self.digits], np.int64)
+        self.gap = [text[a:b] if b - a <= 2 else None for (_, a), (b, _) in zip(found, found[1:])]
+        joined = [g is not None and BETWEEN.fullmatch(g) is not None for g in self.gap]
+        good = [s <= MOST for s in self.size]
+        # groups of one number lie in one run
+        self.run = np.cumsum([0] + [not (j and a and b) for j, a, b in zip(joined, good, good[1:])])[:n]
+        self.free = np.array([(k > 0 and self.run[k] == self.run[k - 1]) or _free(text, a) for k, (a, _) in enumerate(found)], bool)
+        self.closed = np.array([not (text[b : b + 1].isascii() and text[b : b + 1].isalnum()) for _, b in found], bool)
+
+    def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First and last groups of the stretches, by their number of groups."""
+        n = len(self.size)
+        total = np.concatenate([[0], np.cumsum(np.minimum(self.size, MOST + 1))])
+        for length in range(1, GROUPS + 1):
+            i = np.arange(n - length + 1)
+            j = i + length - 1
+            digits = total[j + 1] - total[i]
+            ok = (self.run[i] == self.run[j]) & (digits >= FEWEST) & (digits <= MOST) & self.free[i] & self.closed[j]
+            yield i[ok], j[ok]
+
+    def ready(self) -> None:
+        """What features() needs of each group and of the words around."""
+        text, n = self.text, len(self.size)
+        at = [m.start() for m in WORD.finditer(text)]
+        words = [m.group() for m in WORD.finditer(text)]
+        ends = np.array([a + len(w) for a, w in zip(at, words, strict=True)], np.int64)
+        at = np.array(at, np.int64)
+        lower = [w.lower() for w in words]
+        mask = np.array([MASKS.get(w, 0) for w in lower], np.int64)
+        bits = mask[:, None] >> np.arange(len(CUES)) & 1 if len(mask) else np.zeros((0, len(CUES)), np.int64)
+        sums = np.concatenate([np.zeros((1, len(CUES)), np.int64), np.cumsum(bits, 0)])
+        low, high = self.start - AROUND, self.end + AROUND
+
+        def whole(first, last):
+            return sums[last] - sums[np.minimum(first, last)] > 0
+
+        # words cut by the window's edge are read as they stand in it, so those two are looked up apart
+        upto = np.searchsorted(at, self.start, "left")
+        from_ = np.searchsorted(ends, low, "right")
+        cut = np.array([MASKS.get(lower[k][low[g] - at[k] :], 0) if k < len(at) and at[k] < low[g] < ends[k] else -1 for g, k in enumerate(from_)], np.int64)
+        inside = from_ + (cut >= 0)
+        edge = np.where(cut >= 0, cut, 0)[:, None] >> np.arange(len(CUES)) & 1 == 1
+        self.all_before = whole(inside, upto) | edge
+        self.close_before = whole(np.maximum(inside, upto - 4), upto) | (edge & (upto - inside < 4)[:, None])
+        first = np.searchsorted(at, self.end, "left")
+        last = np.searchsorted(ends, high, "right")
+        tail = np.array([MASKS.get(lower[k][: high[g] - at[k]], 0) if k < len(at) and at[k] < high[g] < ends[k] else 0 for g, k in enumerate(last)], np.int64)
+        self.all_after = whole(first, last) | (tail[:, None] >> np.arange(len(CUES)) & 1 == 1)
+        codes: dict[str, int] = {}
+        self.gap_code = np.array([codes.setdefault(g, len(codes)) if g is not None and BETWEEN.fullmatch(g) and self.run[k] == self.run[k + 1] else -1 for k, g in enumerate(self.gap)] + [-1], np.int64)
+        self.gap_mask = np.where(self.gap_code >= 0, 1 << np.maximum(self.gap_code, 0), 0)
+        counts = lambda c: np.concatenate([[0], np.cumsum([g.count(c) if g else 0 for g in self.gap] + [0] * (n > 0))])
+        self.marks = {c: counts(c) for c in "-./ "}
+        self.opens = np.concatenate([[0], np.cumsum([text[a] == "(" for a in self.start])])
+        self.kinds = np.array([_or(1 << int(c) for c in x[:MOST]) for x in self.digits], np.int64)
+        before = [text[a - 1 : a] for a in self.start]
+        left = [BEFORE_GROUP.search(text[max(0, a - AROUND) : a]) for a in self.start]
+        right = [AFTER_GROUP.match(text[b : b + AROUND]) for b in self.end]
+        place = lambda m: 1 + "-./ ".find(m[2][:1]) if m and m[2] else 5 if m else -1
+        self.left = np.array([(place(m), 1 << codes[m[2]] if m and m[2] in codes else 0, len(m[1]) if m else 0) for m in left], np.int64).reshape(-1, 3)
+        self.right = np.array([(place(m), 1 << codes[m[2]] if m and m[2] in codes else 0, len(m[3]) if m else 0) for m in right], np.int64).reshape(-1, 3)
+        self.head = np.array([(c in ("$", "€", "£", "#", "="), text[max(0, a - AROUND) : a].rstrip()[-1:] == ":", c in (".", "_", "-"), any(x.isdigit() for x in text[max(0, a - 12) : a]), x[:1] == "0", _year(x), int(x) if len(x) < 3 else 100) for c, a, x in zip(before, self.start.tolist(), self.digits, strict=True)], np.int64).reshape(-1, 7)
+        self.tail = np.array([(text[b : b + 1] == "%", _year(x)) for b, x in zip(self.end.tolist(), self.digits, strict=True)], np.int64).reshape(-1, 2)
+        self.zeros = np.array([(x[:2] == "00") or (x == "0" and k + 1 < n and self.digits[k + 1][:1] == "0") for k, x in enumerate(self.digits)], np.int64)
+
+    def features(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """features() of the stretches from group i to group j, as rows."""
+        length = j - i + 1
+        total = np.concatenate([[0], np.cumsum(self.size)])
+        sizes = [np.where(k < length, self.size[np.minimum(i + k, len(self.size) - 1)], 0) for k in range(4)]
+        kinds, gaps = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        for k in range(GROUPS):
+            own = np.minimum(i + k, j)
+            kinds |= self.kinds[own]
+            gaps |= np.where(i + k < j, self.gap_mask[np.minimum(i + k, j)], 0)
+        ones = lambda v: np.bitwise_count(v).astype(np.int64)
+        three = length == 3
+        within = lambda c: self.marks[c][j] - self.marks[c][i]
+        zero = np.zeros(len(i), np.int64)
+        single = (length == 1) & (self.size[i] == 1)
+        columns = [
+            zero, total[j + 1] - total[i], length, *sizes, within("-"), within("."), within("/"), within(" "), self.opens[j + 1] - self.opens[i], self.head[i, 4], ones(kinds),
+            three & (sizes[0] == 3) & (sizes[1] == 2) & (sizes[2] == 4), three & (sizes[0] == 3) & (sizes[1] == 3) & (sizes[2] == 4), zero, zero, zero, self.head[i, 0], self.head[i, 1], self.tail[j, 0],
+            *self.close_before[i].T, *(self.all_before[i] | self.all_after[j]).T, zero, zero, self.head[i, 2], ones(gaps),
+            self.left[i, 0], (self.left[i, 1] & gaps) > 0, self.left[i, 2], self.right[j, 0], (self.right[j, 1] & gaps) > 0, self.right[j, 2], self.size[j], self.head[i, 3],
+            self.tail[j, 1], self.head[i, 5], self.head[i, 6], self.zeros[i] & ~single, zero, zero, zero,
+        ]
+        return np.stack([np.asarray(c, np.float32) for c in columns], 1)
+
+
 def numbers(text: str) -> Iterator[tuple[int, int]]:
-    """Every stretch of whole groups of two and more digits, near each other, within the bounds; they overlap."""
-    held: list[tuple[int, int, bool]] = []  # start, digits, whether a number may begin here
-    end = -1
-    for m in GROUP.finditer(text):
-        start, size = m.start(), len(m[0].strip("()"))
-        if end < 0 or not BETWEEN.fullmatch(text, end, start):
-            held.clear()
-        end = m.end()
-        if size < 2 or size > MOST:
-            held.clear()
-            continue
-        before = text[start - 1 : start]
-        held.append((start, 0, bool(held) or not (before in (".", "+") or (before.isascii() and before.isalnum()))))
-        held[:] = [(a, n + size, free) for a, n, free in held if n + size <= MOST]
-        after = text[end : end + 1]
-        if not (after.isascii() and after.isalnum()):
-            yield from ((a, end) for a, n, free in held if free and n >= FEWEST)
+    """The spans of all stretches."""
+    all_ = Stretches(text)
+    for i, j in all_.spans():
+        yield from zip(all_.start[i].tolist(), all_.end[j].tolist(), strict=True)
 
 
 def _overlapping(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
@@ -187,16 +319,65 @@ def accounts(text: str) -> Iterator[tuple[int, int]]:
                 yield m.start(), end
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
+def others(text: str) -> list[tuple[str, int, int]]:
+    """Candidates that are no plain numbers."""
     found = []
     if re.search("[0-9]", text):
-        found += [("number", a, b) for a, b in numbers(text)]
         found += [("account", a, b) for a, b in accounts(text)]
+        found += [("code", *m.span()) for m in CODE.finditer(text)]
+        found += [("date", *m.span()) for m in DATE.finditer(text)]
     if "at" in text.lower():
         found += [("spelt", *m.span()) for m in _overlapping(SPELT, text)]
     return found
 
 
+def candidates(text: str) -> list[tuple[str, int, int]]:
+    found = [("number", a, b) for a, b in numbers(text)] if re.search("[0-9]", text) else []
+    return found + others(text)
+
+
+def chosen(texts: list[str], judge: tuple[Boosted, dict[str, float]]) -> list[list[tuple[float, tuple[str, int, int]]]]:
+    """For each text the candidates that reach their cut, with their scores. Rows of several texts are scored together, BLOCK at a time, so memory does not grow with a text's candidates."""
+    trees, cuts = judge
+    out: list[list[tuple[float, tuple[str, int, int]]]] = [[] for _ in texts]
+    rows, names, held = [], [], 0
+
+    def flush() -> None:
+        nonlocal rows, names, held
+        if held:
+            scores = trees.score(np.concatenate(rows))
+            at = 0
+            for part, (t, kind, starts, ends) in zip(rows, names, strict=True):
+                own = scores[at : at + len(part)]
+                at += len(part)
+                for k in np.flatnonzero(own >= cuts[kind] if isinstance(kind, str) else own >= np.array([cuts[x] for x in kind])):
+                    out[t].append((float(own[k]), (kind if isinstance(kind, str) else kind[k], int(starts[k]), int(ends[k]))))
+        rows, names, held = [], [], 0
+
+    for t, text in enumerate(texts):
+        if re.search("[0-9]", text):
+            all_, ready = Stretches(text), False
+            for i, j in all_.spans():
+                for first in range(0, len(i), BLOCK):
+                    if not ready:
+                        all_.ready()
+                        ready = True
+                    a, b = i[first : first + BLOCK], j[first : first + BLOCK]
+                    rows.append(all_.features(a, b))
+                    names.append((t, "number", all_.start[a], all_.end[b]))
+                    held += len(a)
+                    if held >= BLOCK:
+                        flush()
+        if more := others(text):
+            rows.append(np.array([features(text, *c) for c in more], np.float32))
+            names.append((t, [c[0] for c in more], [c[1] for c in more], [c[2] for c in more]))
+            held += len(more)
+            if held >= BLOCK:
+                flush()
+    flush()
+    return out
+
+
 def _iban(rng: random.Random) -> str:
     country = rng.choice(["DE", "GB", "FR", "ES", "NL"])
     body = "".join(rng.choice("0123456789") for _ in range(rng.choice([14, 16, 18, 20])))
@@ -216,8 +397,26 @@ def labelled(n: int = TRAIN, seed: int = 11) -> Iterator[tuple[str, str, int, in
     long_phone = lambda: rng.choice(["0{} {}", "0{}/{}", "0{} {} {}"]).format(digit(3), digit(4), digit(3))
     cue = lambda k: rng.choice([w for w in CUES[k].split()])
     lead = lambda k: rng.choice(["{}: ", "{} ", "my {} is ", "{} number ", "the {} no. ", "meine {} ist ", "{} Nr. ", "mi {} es ", "{} número ", "ma {} est ", "{} numéro "]).format(cue(k))
+    year = lambda: f"19{rng.randint(30, 99)}"
+    day, month = lambda: rng.randint(1, 28), lambda: rng.randint(1, 12)
+    named = lambda: rng.choice(["{m} {d}, {y}", "{d} {m} {y}", "{d}. {m} {y}", "{d} de {m} de {y}", "{d}th {m}, {y}"]).format(m=rng.choice([w.title() if rng.random() < 0.7 else w for w in MONTHS.split()]), d=day(), y=year())
+    capital = lambda k: "".join(rng.choice("ABCDEFGHJKLMNPRSTVWXYZ") for _ in range(k))
+    more_phone = lambda: rng.choice([lambda: f"1-{digit(3)}-{digit(3)}-{digit(4)}", lambda: f"00{digit(2)} {digit(2)} {digit(6)}", lambda: f"06.{digit(2)}.{digit(2)}.{digit(2)}.{digit(2)}", lambda: f"0{digit(1)} {digit(2)} {digit(2)} {digit(2)} {digit(2)}", lambda: f"6{digit(2)} {digit(3)} {digit(3)}", lambda: f"6{digit(2)}-{digit(2)}-{digit(2)}-{digit(2)}", lambda: f"9{digit(2)} {digit(2)} {digit(2)} {digit(2)}"])()
+    identity = lambda: rng.choice([lambda: digit(9), lambda: f"{digit(2)}/{digit(3)}/{digit(5)}", lambda: f"{digit(2)} {digit(3)} {digit(3)} {digit(3)}", lambda: f"{digit(2)}-{digit(7)}", lambda: f"{rng.choice('12')} {digit(2)} {digit(2)} {digit(2)} {digit(3)} {digit(3)} {digit(2)}", lambda: digit(8), lambda: digit(11)])()
+    code = lambda: rng.choice([lambda: digit(8) + capital(1), lambda: capital(1) + digit(7) + capital(1), lambda: capital(1) + digit(2) + capital(1) + digit(2) + capital(1) + digit(2), lambda: capital(1) + digit(rng.choice([7, 8, 9, 12])), lambda: capital(2) + digit(7)])()
+    born = lambda: rng.choice([lead(4), "born on ", "geboren am ", "nacido el ", "nacida el ", "né le ", "née le ", "date of birth: ", "fecha de nacimiento: ", "date de naissance : ", "Geburtsdatum: "])
+    numeric = lambda: rng.choice([f"{day()}.{month()}.{year()}", f"{day():02d}/{month():02d}/{year()}", f"{day()}/{month()}/{year()}", f"{year()}-{month():02d}-{day():02d}", f"{day():02d}.{month():02d}.{year()}"])
+    number_lead = lambda: rng.choice(["my {} number is ", "{} number: ", "{} number ", "{} no. ", "{} {} "]).format(cue(1), cue(1))
     positive = [
-        lambda: (lead(0), phone()),
+        *[lambda: (lead(0), more_phone())] * 2,
+        lambda: (rng.choice(["", "reach us on ", "also ", "or "]), rng.choice([f"({digit(3)}) {digit(3)}-{digit(4)}", f"06.{digit(2)}.{digit(2)}.{digit(2)}.{digit(2)}", f"1-800-{digit(3)}-{digit(4)}"])),
+        *[lambda: (rng.choice([lead(1), number_lead()]), identity())] * 2,
+        *[lambda: (rng.choice([lead(1), number_lead()]), code())] * 2,
+        *[lambda: (born(), numeric())] * 2,
+        *[lambda: (born(), named())] * 2,
+        lambda: (rng.choice([lead(2), f"{cue(2)} number "]), digit(rng.choice([8, 9, 10, 12]))),
+        lambda: (rng.choice([lead(3), "", "at "]), f"{rng.choice(['john', 'ana', 'max', 'marie'])} dot {rng.choice(['smith', 'lopez', 'berg', 'roy'])} at {rng.choice(['example', 'mail', 'post'])} dot {rng.choice(['com', 'org', 'de'])}"),
+        *[lambda: (lead(0), phone())] * 3,
         lambda: (lead(0), long_phone()),
         lambda: (lead(0), digit(rng.choice([8, 9, 10]))[:3] + " " + digit(rng.choice([4, 5]))),
         lambda: (lead(1), f"{digit(3)}-{digit(2)}-{digit(4)}"),
@@ -225,9 +424,18 @@ def labelled(n: int = TRAIN, seed: int = 11) -> Iterator[tuple[str, str, int, in
         lambda: (lead(4), f"{rng.randint(1, 28):02d}.{rng.randint(1, 12):02d}.19{digit(2)}"),
         lambda: (rng.choice([lead(2), "", "to "]), _iban(rng)),
         lambda: (rng.choice([lead(3), "", "via "]), f"{name()} {rng.choice(['(at)', '[at]', 'at'])} {rng.choice(['example', 'mail', 'post'])} {rng.choice(['dot', '(dot)'])} com"),
-        lambda: (rng.choice([lead(3), ""]), f"{name()}{rng.choice(['(at)', ' (at) ', ' ( at ) ', '[at]', ' [ at ] '])}{rng.choice(['example', 'mail', 'post', 'web-haus'])}.{rng.choice(['org', 'de', 'es', 'fr', 'com'])}"),
+        *[lambda: (rng.choice([lead(3), ""]), f"{name()}{rng.choice(['(at)', ' (at) ', ' ( at ) ', '[at]', ' [ at ] '])}{rng.choice(['example', 'mail', 'post', 'web-haus'])}.{rng.choice(['org', 'de', 'es', 'fr', 'com'])}")] * 3,
     ]
     negative = [
+        lambda: (rng.choice([lead(5), ""]), code()),
+        lambda: (rng.choice(["part ", "model ", "flight ", "error ", "key ", ""]), capital(rng.choice([2, 3])) + digit(rng.choice([3, 4, 5, 6])) + rng.choice(["", capital(1)])),
+        lambda: (rng.choice([lead(5), "", "id of the table "]) if rng.random() < 0.8 else "", identity()),
+        lambda: (lead(5), more_phone()),
+        lambda: ("", " ".join(digit(rng.choice([1, 2, 2, 3])) for _ in range(rng.randint(4, 14)))),
+        lambda: (rng.choice(["is ", "about ", ""]), f"{digit(1)}.{digit(rng.choice([5, 6, 7]))}"),
+        lambda: (rng.choice(["on ", "since ", "until ", "am ", "el ", "le ", "published ", "", "built on "]), rng.choice([numeric, named])()),
+        lambda: (rng.choice(["at ", "from "]), f"{digit(2)}:{digit(2)} {digit(2)}.{digit(2)}.{digit(4)}"),
+        lambda: (lead(5), digit(rng.choice([8, 9, 10, 12]))),
         lambda: ("", digit(rng.choice([4, 5])) + digit(rng.choice([0, 2, 5])) + " " + digit(4)),
         lambda: ("", f"{digit(4)} {digit(4)} {digit(4)} {digit(4)}"),
         lambda: ("", digit(rng.randint(8, 16))),
@@ -245,7 +453,7 @@ def labelled(n: int = TRAIN, seed: int = 11) -> Iterator[tuple[str, str, int, in
         lambda: ("", f"{rng.choice(syllables)}{rng.choice(syllables)}at{rng.choice(syllables)}{rng.choice(['.', '. ', ' . '])}{rng.choice(syllables)}{rng.choice(syllables)}"),
         lambda: ("", f"{rng.choice(['looking', 'the'])} at the dot {rng.choice(['matrix', 'on', 'that'])}"),
     ]
-    more = positive[:6]
+    more = [*positive[:2], *positive[3:5], *positive[13:20]]
     gap = lambda: rng.choice([" ", " ", "  ", ", ", ". ", "/", " / ", "; ", " or ", " and "])
     beside = lambda: f"{digit(2)} {rng.choice(['hours', 'days', 'months', 'times', 'and', 'er', 'on'])}"
     for _ in range(n):
@@ -266,7 +474,7 @@ def labelled(n: int = TRAIN, seed: int = 11) -> Iterator[tuple[str, str, int, in
                 text += rng.choice([" ", ", "]) + beside()
         text = f"{text}{rng.choice(['', '.', ','])} {filler()}"
         for kind, start, end in candidates(text):
-            if kind == "number":
+            if kind in ("number", "code", "date"):
                 hit = any(abs(start - a) <= 1 and abs(end - b) <= 1 for a, b in true)
             else:
                 hit = any(start <= a and end >= b - 1 and end <= b + 1 for a, b in true)
@@ -277,7 +485,7 @@ def labelled(n: int = TRAIN, seed: int = 11) -> Iterator[tuple[str, str, int, in
 def model() -> tuple[Boosted, dict[str, float]]:
     """Trees fitted to three quarters of the made-up rows; cuts set on the rest."""
     rows = [*labelled()]
-    x = np.array([features(t, k, a, b) for t, k, a, b, _ in rows], float)
+    x = np.array([features(t, k, a, b) for t, k, a, b, _ in rows], np.float32)
     y = np.array([r[4] for r in rows], float)
     kinds = np.array([r[1] for r in rows])
     held = np.arange(len(rows)) % 4 == 3
@@ -287,17 +495,23 @@ def model() -> tuple[Boosted, dict[str, float]]:
 
 
 def spans(text: str | None, judge: tuple[Boosted, dict[str, float]]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by start, then kind, then end: all fixed ones, and the candidates selected that lie outside them and each other.
+    """spans_of() for one text."""
+    return spans_of([text], judge)[0]
+
+
+def spans_of(texts: list[str | None], judge: tuple[Boosted, dict[str, float]]) -> list[list[tuple[str, int, int]]]:
+    """For each text (kind, start, end) by start, then kind, then end: all fixed ones, and the candidates selected that lie outside them and each other.
 
     The higher score goes first; of equal ones the earlier kind in the alphabet,
     then the earlier start, then the earlier end.
     """
-    if not text:
-        return []
+    whole = [x or "" for x in texts]
+    return [_selected(text, found) if text else [] for text, found in zip(whole, chosen(whole, judge), strict=True)]
+
+
+def _selected(text: str, found: list[tuple[float, tuple[str, int, int]]]) -> list[tuple[str, int, int]]:
     out = base_spans(text)
-    if found := candidates(text):
-        trees, cuts = judge
-        scores = trees.score(np.array([features(text, *c) for c in found], float))
+    if found:
         starts, ends = [], []  # of disjoint stretches taken, in order
         for a, b in sorted((a, b) for _, a, b in out):
             if starts and a < ends[-1]:
@@ -305,7 +519,7 @@ def spans(text: str | None, judge: tuple[Boosted, dict[str, float]]) -> list[tup
             else:
                 starts.append(a)
                 ends.append(b)
-        for _, (kind, a, b) in sorted((-s, c) for s, c in zip(scores.tolist(), found, strict=True) if s >= cuts[c[0]]):
+        for _, (kind, a, b) in sorted((-s, c) for s, c in found):
             k = bisect(ends, a)  # the first stretch that ends after the candidate begins
             if k == len(starts) or starts[k] >= b:
                 out.append((kind, a, b))
@@ -328,7 +542,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(text.as_py(), judge)] for text in batch.column(1)]
+            found = [[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in spans_of(batch.column(1).to_pylist(), judge)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
@@ -360,9 +574,9 @@ def redact_stage(docs: DataFrame) -> DataFrame:
             names = batch.schema.names
             at = names.index("text")
             texts, sizes = [], batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
-            for k, text in enumerate(batch.column(at)):
-                text = text.as_py()
-                if text and (found := spans(text, judge)):
+            before = batch.column(at).to_pylist()
+            for k, (text, found) in enumerate(zip(before, spans_of(before, judge), strict=True)):
+                if text and found:
                     text = redacted(text, found)
                     if sizes:
                         sizes[k] = len(text)

@@ -128,7 +128,7 @@ def test_selection_against_brute_force():
         found = pii.candidates(text)
         taken = pii.base_spans(text)
         if found:
-            scores = trees.score(np.array([pii.features(text, *c) for c in found], float)).tolist()
+            scores = trees.score(np.array([pii.features(text, *c) for c in found], np.float32)).tolist()
             for _, c in sorted(((-s, c) for s, c in zip(scores, found, strict=True) if s >= cuts[c[0]])):
                 if all(c[2] <= a or b <= c[1] for _, a, b in taken):
                     taken.append(c)
