@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,17 @@ class AllChannelsFailed(ValueError):
     """No channel gave a plan."""
 
 
+#: What a channel's store or job may raise; anything else is a fault of the program and is not caught.
+FAILURES = (PySparkException, Py4JError, OSError, ValueError, RuntimeError)
+
+
 def recalled(channels: dict[str, Callable[[], DataFrame]], asked: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, str, str]]]:
-    """The bag of hits of the channels asked for (all by default), and (channel, error, message) of those whose plan could not be made.
+    """The bag of hits of the channels asked for (all by default), and (channel, error, message) of those that failed.
 
-    A channel that fails when its plan is analysed leaves the others alone; if
-    all fail, so does the recall. An empty list of channels is an error. What
-    fails while a plan runs fails the query, as in any job.
+    Each channel's hits, the best few that it brings, are written before they
+    meet the others', so a channel that fails when its plan is made or while its
+    tasks run leaves the others alone; if all fail, so does the recall. The bag
+    is computed once, whatever reads it. An empty list of channels is an error.
     """
     if asked is not None and not asked:
         raise ValueError("no channel")
@@ -45,7 +52,8 @@ def recalled(channels: dict[str, Callable[[], DataFrame]], asked: list[str] | No
     for name in chosen:
         try:
             own = channels[name]().select("unit_id", F.col("score").cast("double").alias("score"), F.lit(name).alias("channel"))
-        except Exception as e:  # noqa: BLE001  whatever a channel raises is reported
+            own = recall.written(own, f"channel-{name}")
+        except FAILURES as e:
             errors.append((name, type(e).__name__, str(e)))
             continue
         hits = own if hits is None else hits.unionByName(own)
@@ -103,6 +111,7 @@ class Pipeline:
         """unit_id, score, position (from 0) of the best top_k, and the channels that failed."""
         if self.order not in ORDERS:
             raise ValueError(f"order is one of {ORDERS}")
+        self.steps.clear()  # a run's stages are its own
         hits, errors = recalled(self.channels, asked)
         self._step("recall", hits)
         good = self.truth.where(self.keep).select("unit_id")
@@ -128,7 +137,7 @@ class Pipeline:
         return out, errors
 
     def trajectory(self) -> DataFrame:
-        """stage, channel (of the recall), candidate_count, at (the stage's place) of the stages of run()."""
+        """stage, channel (of the recall), candidate_count, at (the stage's place) of the stages of the last run(). The recall's bag was written by that run; later stages are small."""
         out = None
         for k, (stage, rows) in enumerate(self.steps):
             if stage == "recall":

@@ -12,7 +12,7 @@ from memspark.functions import text as t
 from memspark.operators import evolve, fuse, govern, ingest, plugins, recall, relations, retrieve
 from memspark.plans.jobs import engine
 from memspark.plans.registry import query
-from memspark.plans.retrieval import _COS, _QV, _VEC, KEYWORD_SQL, RANKED_SQL, TOKENS_SQL, WORDS, _best, channels, edges
+from memspark.plans.retrieval import _COS, _QV, _VEC, CHANNELS_SQL, KEYWORD_SQL, RANKED_SQL, TOKENS_SQL, WORDS, _best, channels, edges
 from memspark.sources import connectors
 from memspark.sources.scratch import folder, written
 from memspark.sources.tables import EPOCH, STEP, UNITS_SQL, table, units
@@ -146,6 +146,19 @@ def p03(spark, sf_dir):
     return good.unionByName(bad)
 
 
+@query("P03_isolated_channels", f"WITH {CHANNELS_SQL} SELECT unit_id, channel, round(score, 6) AS score FROM hits")
+def p03_isolated(spark, sf_dir):
+    """Two sound channels, one whose plan cannot be made and one that fails in its tasks."""
+    u = units(spark, sf_dir)
+    sound = written(channels(spark, sf_dir), "channels")
+    own = lambda name: lambda: sound.where(F.col("channel") == name).drop("channel")
+    broken = lambda: u.select("unit_id", F.when(F.col("n_chars") >= 0, F.raise_error(F.lit("the store is away"))).cast("double").alias("score"))
+    hits, errors = retrieve.recalled({"graph": broken, "keyword": own("keyword"), "entity": lambda: u.select("no_such_column"), "bm25": own("bm25")})
+    if [e[0] for e in errors] != ["graph", "entity"]:
+        raise AssertionError(errors)
+    return hits.select("unit_id", "channel", F.round("score", 6).alias("score"))
+
+
 _GOOD = "lifecycle = 'active' AND tier <> 'working'"
 _KEPT = f"{RANKED_SQL}, kept AS (SELECT channel, hits.unit_id, score, row_number() OVER (PARTITION BY channel ORDER BY round(score, 12) DESC, hits.unit_id) - 1 AS rank FROM hits JOIN units u ON u.unit_id = hits.unit_id WHERE {_GOOD}), f1 AS (SELECT unit_id, sum(1.0 / (61 + rank)) AS score FROM kept GROUP BY unit_id), f2 AS (SELECT r.unit_id, sum(1.0 / (61 + rank)) AS score FROM r JOIN units u ON u.unit_id = r.unit_id WHERE {_GOOD} GROUP BY r.unit_id)"
 

@@ -9,6 +9,7 @@ from memspark.functions import scopes as s
 from memspark.functions import text as t
 from memspark.operators import fuse, govern, link, plugins, recall
 from memspark.operators import temporal as tm
+from memspark.operators.views import bounded_view
 from memspark.plans.registry import query
 from memspark.plans.retrieval import KEYWORD_SQL, TOKENS_SQL, WORDS
 from memspark.sources import connectors as c
@@ -243,6 +244,19 @@ def j31(spark, sf_dir):
     return link.role_view(seeds, edges, rules, 3).select("node", F.array_join("duties", ",").alias("duties"), "hops")
 
 
+@query("J31_bounded_view", "WITH s AS (SELECT conv_id, turn, bool_and(turn = 0 OR role = 'user' OR role = 'assistant') OVER w AS own, bool_and(turn = 0 OR role = 'user' OR role = 'system') OVER w AS see FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) SELECT conv_id || '/0' AS root, turn::bigint AS position, conv_id || '/' || turn AS node, concat_ws(',', CASE WHEN own THEN 'own' END, CASE WHEN see THEN 'see' END) AS duties, turn::int AS hops FROM s WHERE turn BETWEEN 1 AND 4 AND (own OR see)")
+def j31_bounded(spark, sf_dir):
+    """Six turns deep, but five nodes and four edges at most."""
+    conv = table(spark, sf_dir, "conversations")
+    node = lambda k: F.concat_ws("/", F.col("conv_id").cast("string"), k.cast("string"))
+    turn = F.col("turn")
+    seeds = conv.where("turn = 0").select(node(turn).alias("root"), F.lit(0).alias("pos"), node(turn).alias("node"), F.array(F.lit("see"), F.lit("own")).alias("duties"))
+    edges = conv.where("turn > 0").select(node(turn).alias("edge_id"), node(turn - 1).alias("src"), node(turn).alias("dst"), F.col("role").alias("edge_type"), F.lit(True).alias("confirmed"))
+    rules = spark.sql("SELECT * FROM VALUES ('own', 'user', 1), ('own', 'assistant', 1), ('see', 'user', 1), ('see', 'system', 2) AS r(duty, edge_type, priority)")
+    paths, _ = bounded_view(seeds, edges, rules, 6, 5, 4)
+    return paths.select("root", "position", "node", F.array_join("duties", ",").alias("duties"), "hops")
+
+
 @query("J03_oversampled", f"WITH {KEYWORD_SQL}, r AS (SELECT unit_id, score FROM kw WHERE score > 0 ORDER BY score DESC, unit_id LIMIT 40) SELECT unit_id, round(score, 9) AS score FROM r JOIN units USING (unit_id) WHERE lifecycle = 'active' ORDER BY r.score DESC, unit_id LIMIT 10")
 def j03(spark, sf_dir):
     x = units(spark, sf_dir)

@@ -194,3 +194,25 @@ def test_similar_pairs_over_parts(spark, monkeypatch, hot):
     want = sorted((a, b) for a, g, v in rows for b, h, w in rows if a < b and g == h and cos(v, w) >= 0.9)
     got = link.similar_pairs(spark.createDataFrame(rows, "unit_id string, block string, vector array<double>"), 0.9, ["block"])
     assert sorted((r.a, r.b) for r in got.collect()) == want
+
+
+def test_a_channel_that_fails_in_a_task(spark):
+    good = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "unit_id string, score double")
+    broken = lambda: good.select("unit_id", F.when(F.col("score") > 1, F.raise_error(F.lit("gone"))).cast("double").alias("score"))
+    hits, errors = retrieve.recalled({"y": broken, "x": lambda: good})
+    assert sorted(r.unit_id for r in hits.collect()) == ["a", "b"] and [e[0] for e in errors] == ["y"] and "gone" in errors[0][2]
+
+    def fault():
+        raise TypeError("a fault of the program")
+
+    with pytest.raises(TypeError):
+        retrieve.recalled({"x": lambda: good, "z": fault})
+
+
+def test_the_stages_of_a_run_are_its_own(spark):
+    good = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "unit_id string, score double")
+    p = retrieve.Pipeline({"x": lambda: good}, good, F.lit(True))
+    p.run()
+    first = [r.stage for r in p.trajectory().orderBy("at").collect()]
+    p.run()
+    assert [r.stage for r in p.trajectory().orderBy("at").collect()] == first
