@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import scopes as s
 from memspark.functions import text as t
-from memspark.operators import fuse, govern, link, plugins, recall
+from memspark.operators import continuity, fuse, govern, link, plugins, recall
 from memspark.operators import temporal as tm
 from memspark.operators.views import bounded_view
 from memspark.plans.registry import query
@@ -257,6 +257,30 @@ def j31_bounded(spark, sf_dir):
     return paths.select("root", "position", "node", F.array_join("duties", ",").alias("duties"), "hops")
 
 
+_BLOCKED = """WITH RECURSIVE u AS (SELECT 'd' || doc_id AS unit_id, doc_id, source, CASE WHEN doc_id % 3 <> 0 THEN 'd' || (doc_id // 4) END AS cites FROM documents),
+b AS (SELECT unit_id FROM u WHERE source IN ('src3', 'src11') UNION SELECT u.unit_id FROM u JOIN b ON u.cites = b.unit_id)"""
+
+
+@query("G14_quarantine_release", f"""{_BLOCKED}, t AS (SELECT doc_id, CASE WHEN doc_id % 100 = 50 THEN 'closed' ELSE 'open' END AS state FROM u WHERE doc_id % 50 = 0), g AS (SELECT t.doc_id, k, 'd' || (t.doc_id + k) AS ref FROM t, (VALUES (1), (2), (3)) AS v(k)),
+m AS (SELECT doc_id, count(*) AS n, bool_or(k < 3) AS hard FROM g JOIN t USING (doc_id) WHERE state = 'open' AND (ref IN (SELECT unit_id FROM b) OR ref NOT IN (SELECT unit_id FROM u)) GROUP BY doc_id)
+SELECT 'unit' AS kind, unit_id AS id, 'blocked' AS status FROM b UNION ALL SELECT 'relation', unit_id, CASE WHEN unit_id IN (SELECT unit_id FROM b) OR cites IN (SELECT unit_id FROM b) THEN 'unavailable' ELSE 'confirmed' END FROM u WHERE cites IS NOT NULL
+UNION ALL SELECT 'task', 't' || doc_id, CASE WHEN state = 'closed' THEN 'closed' WHEN hard THEN 'blocked' WHEN n > 0 THEN 'partial' ELSE 'ready' END FROM t LEFT JOIN m USING (doc_id)""")
+def g14(spark, sf_dir):
+    """Three sources quarantined in two steps, one released: blocked units, relations and tasks."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("unit_id"), "source")
+    cites = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 4).cast("long"))
+    units_ = d.withColumn("provenance", F.when(F.col("doc_id") % 3 != 0, F.array(cites)).otherwise(F.array().cast("array<string>")))
+    keys = lambda *ks: spark.createDataFrame([(k, "reported") for k in ks], "source_key string, reason string")
+    state = continuity.quarantine(continuity.blocked(units_, keys("src3", "src5")), units_, keys("src11"))
+    state = continuity.release(state, units_, keys("src5"), keys("src3", "src11"))
+    rel = units_.where(F.size("provenance") > 0).select(F.col("unit_id").alias("relation_id"), F.col("unit_id").alias("source"), F.col("provenance")[0].alias("target"), F.lit(None).cast("array<string>").alias("evidence"), F.lit("confirmed").alias("status"))
+    back = F.array(*(F.struct(F.concat(F.lit("d"), F.col("doc_id") + k).alias("ref"), F.lit(k < 3).alias("required")) for k in (1, 2, 3)))
+    tasks = d.where("doc_id % 50 = 0").select(F.concat(F.lit("t"), "doc_id").alias("task_id"), F.when(F.col("doc_id") % 100 == 50, "closed").otherwise("open").alias("state"), back.alias("background"))
+    out = state.select(F.lit("unit").alias("kind"), F.col("unit_id").alias("id"), F.lit("blocked").alias("status"))
+    out = out.unionByName(continuity.relation_states(rel, state).select(F.lit("relation").alias("kind"), F.col("relation_id").alias("id"), "status"))
+    return out.unionByName(continuity.task_states(tasks, units_, state).select(F.lit("task").alias("kind"), F.col("task_id").alias("id"), "status"))
+
+
 @query("J03_oversampled", f"WITH {KEYWORD_SQL}, r AS (SELECT unit_id, score FROM kw WHERE score > 0 ORDER BY score DESC, unit_id LIMIT 40) SELECT unit_id, round(score, 9) AS score FROM r JOIN units USING (unit_id) WHERE lifecycle = 'active' ORDER BY r.score DESC, unit_id LIMIT 10")
 def j03(spark, sf_dir):
     x = units(spark, sf_dir)
