@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from memspark.functions import scopes as s
 from memspark.functions import text as t
-from memspark.operators import continuity, fuse, govern, link, plugins, recall
+from memspark.operators import continuity, fuse, govern, link, plugins, recall, relocate
 from memspark.operators import temporal as tm
 from memspark.operators.views import bounded_view
 from memspark.plans.registry import query
 from memspark.plans.retrieval import KEYWORD_SQL, TOKENS_SQL, WORDS
 from memspark.sources import connectors as c
+from memspark.sources.manifest import Manifest
+from memspark.sources.scratch import folder
 from memspark.sources.tables import EPOCH, STEP, UNITS_SQL, table, units
 
 U = f"WITH {UNITS_SQL}"
@@ -281,6 +283,36 @@ def g14(spark, sf_dir):
     return out.unionByName(continuity.task_states(tasks, units_, state).select(F.lit("task").alias("kind"), F.col("task_id").alias("id"), "status"))
 
 
+@query("S17_relocation", "SELECT 'd' || doc_id AS unit_id, source AS content, n_chars::bigint AS at, CASE WHEN source IN ('src1', 'src2') AND n_chars > 500 THEN 'cold' ELSE coalesce(lang, '') END AS shard FROM documents")
+def s17(spark, sf_dir):
+    """Units of two sources moved to a shard of their own: all rows afterwards, each once, with the shard that counts."""
+    d = table(spark, sf_dir, "documents")
+    u = d.select(F.concat(F.lit("d"), "doc_id").alias("unit_id"), F.col("source").alias("content"), F.col("n_chars").cast("long").alias("at"), "lang")
+    shards = relocate.Shards(Manifest(spark, folder(spark, "shards")), "unit_id string, content string, at long")
+    shards.load(u, F.coalesce("lang", F.lit("")))
+    shards.move(F.col("content").isin("src1", "src2") & (F.col("at") > 500), "cold")
+    return shards.rows().select("unit_id", "content", "at", "shard")
+
+
+@query("S31_privacy_store", "SELECT 'd' || doc_id AS token, source || '/' || n_chars AS value FROM documents WHERE lang = 'fr' AND doc_id % 4 <= 2 AND doc_id % 7 <> 3")
+def s31(spark, sf_dir):
+    """Two transactions of fragments, a third that loses; what a scope may read up to a level."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("lang").alias("scope"), F.concat(F.lit("d"), "doc_id").alias("token"), F.concat_ws("/", "source", "n_chars").alias("value"), (F.col("doc_id") % 4).alias("level"), "doc_id").where("scope is not null")
+    store = relocate.PrivacyStore(Manifest(spark, folder(spark, "privacy")), "0123456789abcdef")
+    part = lambda k: rows.where(k).drop("doc_id")
+    first = store.begin()
+    late = store.begin()
+    store.stage_fragments(first, part("doc_id % 7 < 3"))
+    store.stage_fragments(late, part("doc_id % 7 = 3"))
+    done = [store.commit(first), store.commit(late)]
+    second = store.begin()
+    store.stage_fragments(second, part("doc_id % 7 > 3"))
+    if [*done, store.commit(second)] != [True, False, True]:
+        raise AssertionError(done)
+    return store.opened("fr", 2)
+
+
 @query("J03_oversampled", f"WITH {KEYWORD_SQL}, r AS (SELECT unit_id, score FROM kw WHERE score > 0 ORDER BY score DESC, unit_id LIMIT 40) SELECT unit_id, round(score, 9) AS score FROM r JOIN units USING (unit_id) WHERE lifecycle = 'active' ORDER BY r.score DESC, unit_id LIMIT 10")
 def j03(spark, sf_dir):
     x = units(spark, sf_dir)
