@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memspark.functions import text as t
-from memspark.operators import cells, fuse, postings, recall
+from memspark.operators import cells, fuse, postings, recall, rerank
 from memspark.plans.registry import query
 from memspark.sources.scratch import written
 from memspark.sources.tables import EPOCH, STEP, UNITS_SQL, engine_units, table, units
@@ -366,3 +366,31 @@ def w25(spark, sf_dir):
 def a49(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("unit_id"), F.coalesce("text", F.lit("")).alias("content"))
     return _r(recall.bm25(c, ["que", "the"]), "unit_id", "score")
+
+
+def labelled_hits(spark, sf_dir):
+    """Labelled documents as hits of one query for each language, with their features and whether they are good."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("quality is not null and lang is not null")
+    own = rerank.hit_features(F.coalesce("text", F.lit("")), WORDS)
+    return d.select(F.col("lang").alias("query_id"), "doc_id", F.col("quality").cast("int").alias("quality"), *(c.alias(n) for n, c in own.items()))
+
+
+_FEATURES = ("length", "distinct", "symbols", "overlap")
+_W = ", ".join(f"coalesce(sum(m * p_{f} - p * m_{f}) / nullif(sum(m * pp_{f} + p * mm_{f} - 2 * p_{f} * m_{f}), 0), 0) AS w_{f}" for f in _FEATURES)
+_S = ", ".join(f"sum({f} * quality) AS p_{f}, sum({f} * (1 - quality)) AS m_{f}, sum({f} * {f} * quality) AS pp_{f}, sum({f} * {f} * (1 - quality)) AS mm_{f}" for f in _FEATURES)
+
+
+@query("P07_learned_rerank", f"""WITH t AS (SELECT lang AS query_id, doc_id, quality::int AS quality, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z]+|[\\x{{4e00}}-\\x{{9fff}}]') AS toks FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND lang IS NOT NULL),
+x AS (SELECT query_id, doc_id, quality, ln(1 + len(toks)) AS length, len(list_distinct(toks)) / greatest(len(toks), 1) AS "distinct", (length(text) - length(regexp_replace(text, '[#*$%&|<>!]', '', 'g'))) / greatest(length(text), 1) AS symbols, CASE WHEN len(toks) = 0 THEN 0 ELSE len(list_filter(toks, lambda x: list_contains({_SET}, x))) / len(toks) END AS overlap FROM t),
+q AS (SELECT query_id, sum(quality) AS p, count(*) - sum(quality) AS m, {_S.replace('distinct ', '"distinct" ').replace('(distinct', '("distinct"')} FROM x WHERE doc_id % 2 = 1 GROUP BY query_id), w AS (SELECT {_W} FROM q),
+s AS (SELECT query_id, doc_id, quality, w_length * length + w_distinct * "distinct" + w_symbols * symbols + w_overlap * overlap AS score FROM x, w WHERE doc_id % 2 = 0)
+SELECT query_id, doc_id, quality, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 20""")
+def p07(spark, sf_dir):
+    """Weights from the labelled hits of odd ids, the best 20 of each query among the others."""
+    from pyspark.sql import Window
+
+    rows = labelled_hits(spark, sf_dir)
+    weights = rerank.fit(rows.where("doc_id % 2 = 1"), "query_id", F.col("quality"), list(_FEATURES))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    best = rerank.scored(rows.where("doc_id % 2 = 0"), weights).withColumn("_r", F.row_number().over(w)).where("_r <= 20")
+    return best.select("query_id", "doc_id", "quality", F.round("score", 6).alias("score"))
