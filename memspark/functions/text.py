@@ -386,6 +386,60 @@ def time_window(text: Column, anchor: Column) -> Column:
     return out
 
 
+#: Phrases of questions with their unit of the calendar, how many of it the window begins from the anchor's own, and how many it has; without a number it lasts until the anchor.
+ASKED = (
+    (("前天",), "day", -2, 1),
+    (("昨天", "昨日"), "day", -1, 1),
+    (("今天", "今日"), "day", 0, 1),
+    (("上周", "上星期"), "week", -1, 1),
+    (("本周", "这周", "这星期"), "week", 0, None),
+    (("上个月", "上月"), "month", -1, 1),
+    (("本月", "这个月"), "month", 0, None),
+    (("去年",), "year", -1, 1),
+    (("今年",), "year", 0, None),
+)
+#: Spans until now, months of a named year, and questions about what something is, which ask for no time.
+RECENT = r"(最近|过去|近)\s*([0-9]+)\s*(天|日|周|星期)"
+YEAR_MONTH = r"(去年|今年|明年)\s*([0-9]{1,2})\s*月"
+ATTRIBUTE = "多大|几岁|多少岁|爱好|是谁|叫什么|名字|住址|住哪|住在哪|地址|生日|年龄|岁数"
+
+
+def moved(start: Column, unit: str, n: int) -> Column:
+    """The beginning of a calendar unit n units on."""
+    days = {"day": 1, "week": 7}
+    out = F.date_add(start, n * days[unit]) if unit in days else F.add_months(start, n * (12 if unit == "year" else 1))
+    return out.cast("timestamp")
+
+
+def question_window(text: Column, anchor: Column) -> Column:
+    """struct(start, end) that a question asks about, half-open; null if it asks for no time or for what something is.
+
+    A span until now comes first, then named days, weeks, months, a month of a
+    named year, years, and a date at last, with the anchor's year if it has
+    none; then the English phrases of time_window(). A span that would begin
+    before the calendar does, and a month that there is not, count for nothing.
+    """
+    window = lambda a, b: F.struct(a.cast("timestamp").alias("start"), b.cast("timestamp").alias("end"))
+    now = anchor.cast("timestamp")
+    digits = F.regexp_extract(text, RECENT, 2)
+    days = F.when((digits != "") & (F.length(F.ltrim(digits, F.lit("0"))) <= 7), digits.cast("decimal(38,0)").cast("long") * F.when(F.regexp_extract(text, RECENT, 3).isin("周", "星期"), 7).otherwise(1))
+    begin = F.unix_micros(now) - days * 86_400_000_000
+    out = F.when(text.rlike(ATTRIBUTE), None).when(begin >= -62_135_596_800_000_000, window(F.timestamp_micros(begin), now))
+    year, month = F.regexp_extract(text, YEAR_MONTH, 1), F.try_to_number(F.regexp_extract(text, YEAR_MONTH, 2), F.lit("99")).cast("int")
+    first = F.add_months(F.trunc(now, "year"), F.when(year == "去年", -12).when(year == "明年", 12).otherwise(0) + month - 1)
+    for phrases, unit, offset, length in ASKED:
+        if unit == "year" and offset == -1:
+            out = out.when(month.between(1, 12), window(first, F.add_months(first, 1)))
+        own = F.date_trunc(unit, now)
+        start = moved(own, unit, offset)
+        said = any_word(text, phrases)
+        out = out.when(said, window(start, moved(start, unit, length) if length else now))
+    short = [F.regexp_extract(text, "([0-9]{1,2})月([0-9]{1,2})[日号]", k).try_cast("int") for k in (1, 2)]
+    day = F.coalesce(first_date(text), F.try_make_timestamp(F.year(now), short[0], short[1], F.lit(0), F.lit(0), F.lit(0)))
+    out = out.when(day.isNotNull(), window(day, day + F.expr("interval 1 day")))
+    return out.otherwise(time_window(text, anchor))
+
+
 def widened(window: Column, least_seconds: int) -> Column:
     """A window made long enough, evenly on both sides."""
     a, b = F.unix_micros(window["start"]), F.unix_micros(window["end"])

@@ -25,6 +25,20 @@ def x08(spark, sf_dir):
     return w.select("event_id", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"))
 
 
+_PHRASES = ("最近3天发生了什么", "过去 2 周", "昨日的会议", "上星期谁来了", "这周", "上个月", "去年12月的事", "今年13月", "他的生日是昨天吗", "6月8日见面", "没有时间", "what happened yesterday")
+_LIST = "['" + "', '".join(_PHRASES) + "']"
+
+
+@query("X08_question_windows", f"""WITH e AS (SELECT event_id, ts, date_trunc('day', ts) AS d, date_trunc('week', ts) AS w, date_trunc('month', ts) AS m, date_trunc('year', ts) AS y, event_id % {len(_PHRASES)} AS k FROM events),
+x AS (SELECT event_id, CASE k WHEN 0 THEN ts - INTERVAL 3 DAY WHEN 1 THEN ts - INTERVAL 14 DAY WHEN 2 THEN d - INTERVAL 1 DAY WHEN 3 THEN w - INTERVAL 7 DAY WHEN 4 THEN w WHEN 5 THEN m - INTERVAL 1 MONTH WHEN 6 THEN y - INTERVAL 1 MONTH WHEN 7 THEN y WHEN 9 THEN y + INTERVAL 5 MONTH + INTERVAL 7 DAY WHEN 11 THEN d - INTERVAL 1 DAY END AS a,
+CASE k WHEN 0 THEN ts WHEN 1 THEN ts WHEN 2 THEN d WHEN 3 THEN w WHEN 4 THEN ts WHEN 5 THEN m WHEN 6 THEN y WHEN 7 THEN ts WHEN 9 THEN y + INTERVAL 5 MONTH + INTERVAL 8 DAY WHEN 11 THEN d END AS b, {_LIST}[k + 1] AS asked FROM e)
+SELECT event_id, asked, epoch_us(a::timestamp) AS start_us, epoch_us(b::timestamp) AS end_us FROM x""")
+def x08_question(spark, sf_dir):
+    asked = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("event_id") % len(_PHRASES) + 1).cast("int"))
+    w = table(spark, sf_dir, "events").select("event_id", asked.alias("asked"), t.question_window(asked, F.col("ts")).alias("w"))
+    return w.select("event_id", "asked", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"))
+
+
 @query("X09_least_window", "SELECT event_id, epoch_us(ts) - 1800000000 AS start_us, epoch_us(ts) + 1800000000 AS end_us FROM events")
 def x09(spark, sf_dir):
     w = table(spark, sf_dir, "events").select("event_id", t.widened(F.struct(F.col("ts").alias("start"), F.col("ts").alias("end")), 3600).alias("w"))

@@ -84,3 +84,18 @@ def test_plugins_and_channels(spark):
     assert channels_of(None, None, ("bm25",)) == ("bm25",) and channels_of(("keyword", "keyword"), ("bm25",), ()) == ("keyword",)
     with pytest.raises(ValueError):
         channels_of((), ("bm25",), ("bm25",))
+
+
+def test_question_windows(spark):
+    now = datetime(2024, 3, 13, 15, 30)  # a Wednesday
+    day = lambda *x: datetime(*x)
+    cases = {
+        "最近10天": (day(2024, 3, 3, 15, 30), now), "近2星期": (day(2024, 2, 28, 15, 30), now), "前天": (day(2024, 3, 11), day(2024, 3, 12)), "今日": (day(2024, 3, 13), day(2024, 3, 14)),
+        "上周": (day(2024, 3, 4), day(2024, 3, 11)), "本周": (day(2024, 3, 11), now), "上月": (day(2024, 2, 1), day(2024, 3, 1)), "本月": (day(2024, 3, 1), now),
+        "去年": (day(2023, 1, 1), day(2024, 1, 1)), "今年": (day(2024, 1, 1), now), "明年1月": (day(2025, 1, 1), day(2025, 2, 1)), "今年3月": (day(2024, 3, 1), day(2024, 4, 1)),
+        "今年13月": (day(2024, 1, 1), now), "最近1000000000天": None, "最近99999999999999999999999999天": None, "2023年6月8日": (day(2023, 6, 8), day(2023, 6, 9)), "6月8号": (day(2024, 6, 8), day(2024, 6, 9)), "2月30日": None,
+        "他叫什么名字,昨天": None, "": None, "last month": (day(2024, 2, 1), day(2024, 3, 1)), "最近3天,昨天": (day(2024, 3, 10, 15, 30), now),
+    }
+    df = spark.createDataFrame([(q, now) for q in cases], "q string, now timestamp")
+    got = {r.q: r.w and (r.w.start, r.w.end) for r in df.select("q", t.question_window(F.col("q"), F.col("now")).alias("w")).collect()}
+    assert got == cases
