@@ -279,10 +279,11 @@ def seconds(clock: Column) -> Column:
 IMPORTANCE = {"identity": 0.95, "rule": 0.90, "preference": 0.85, "knowledge": 0.80, "relation": 0.75, "default": 0.50, "transient": 0.30}
 #: Fields that hold ids of units, the only values that a log may show.
 UNIT_ID_FIELDS = (
-    "candidate_id candidate_ids child_clm_source_ids created_id created_ids dedup_merged_from dedup_superseded existing_unit_id existing_unit_ids "
-    "forgotten_id forgotten_ids memory_unit_id memory_unit_ids new_id new_ids old_id old_ids provenance source_id source_ids source_unit_id "
-    "source_unit_ids superseded_id superseded_ids target_id target_ids target_unit_id target_unit_ids unit_id unit_ids updated_id updated_ids"
-).split()
+    "candidate_id", "candidate_ids", "child_clm_source_ids", "created_id", "created_ids", "dedup_merged_from", "dedup_superseded",
+    "existing_unit_id", "existing_unit_ids", "forgotten_id", "forgotten_ids", "memory_unit_id", "memory_unit_ids", "new_id", "new_ids", "old_id",
+    "old_ids", "provenance", "source_id", "source_ids", "source_unit_id", "source_unit_ids", "superseded_id", "superseded_ids", "target_id",
+    "target_ids", "target_unit_id", "target_unit_ids", "unit_id", "unit_ids", "updated_id", "updated_ids",
+)
 #: Words that tell a unit's tier, category and topic.
 SEMANTIC_WORDS = ("喜欢", "偏好", "讨厌", "习惯", "总是", "喜爱")
 PROCEDURAL_WORDS = ("步骤", "流程", "先", "然后", "如何", "怎么", "方法")

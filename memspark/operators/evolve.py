@@ -160,68 +160,104 @@ def routed(units: DataFrame, classes: list[dict], coords: dict[str, Column], all
     )
 
 
-#: Patterns of relative times with their kinds; where they overlap the earlier place counts, then the longer.
+#: The words of relative times. Beside each what it means: the unit and how many of it to move (null: as the phrase says, back or on), how a day is picked there, how much of it is known, and what else a given time may be: its month, a day of that month which the text states, or a day of that week or weekend.
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+_DAYS = "|".join(WEEKDAYS)
 RELATIVE = (
-    ("week_day", rf"(?i)\b(?:last|next) week(?:\s+on)?\s+(?:{'|'.join(WEEKDAYS)})\b|(?:上周|上个星期|下周|下个星期)[一二三四五六日天]"),
-    ("last_weekday", rf"(?i)\blast\s+(?:{'|'.join(WEEKDAYS)})\b"),
-    ("last_weekend", r"(?i)\blast weekend\b|上周末|上个星期末"),
-    ("next_weekend", r"(?i)\bnext weekend\b|下周末|下个星期末"),
-    ("month_day", r"(?:上个月|下个月)\s*[0-9]{1,2}[号日]"),
-    ("today", r"(?i)\bjust now\b|\btoday\b|刚刚|刚才|今天"),
-    ("yesterday", r"(?i)\byesterday\b|昨天"),
-    ("tomorrow", r"(?i)\btomorrow\b|明天"),
-    ("last_week", r"(?i)\blast week\b|(?:上周|上个星期)(?![一二三四五六日天末])"),
-    ("next_week", r"(?i)\bnext week\b|(?:下周|下个星期)(?![一二三四五六日天末])"),
-    ("last_month", r"(?i)\blast month\b|上个月"),
-    ("next_month", r"(?i)\bnext month\b|下个月"),
-    ("last_year", r"(?i)\blast year\b|去年"),
-    ("next_year", r"(?i)\bnext year\b|明年"),
+    ("weekday of week", rf"\b(?:last|next) week(?:\s+on)?\s+(?:{_DAYS})\b|(?:上周|上个星期|下周|下个星期)[一二三四五六日天]", "week", None, "weekday", 10, "month"),
+    ("weekday before", rf"\blast\s+(?:{_DAYS})\b", "day", 0, "before", 10, "month"),
+    ("weekend before", r"\blast weekend\b|上周末|上个星期末", "week", -1, "saturday", 7, "weekend"),
+    ("weekend after", r"\bnext weekend\b|下周末|下个星期末", "week", 1, "saturday", 7, "weekend"),
+    ("day of month", r"(?:上个月|下个月)\s*[0-9]{1,2}[号日]", "month", None, "number", 10, "month"),
+    ("this day", r"\bjust now\b|\btoday\b|刚刚|刚才|今天", "day", 0, "day", 10, ""),
+    ("day before", r"\byesterday\b|昨天", "day", -1, "day", 10, ""),
+    ("day after", r"\btomorrow\b|明天", "day", 1, "day", 10, ""),
+    ("week before", r"\blast week\b|(?:上周|上个星期)(?![一二三四五六日天末])", "week", -1, "day", 7, "week"),
+    ("week after", r"\bnext week\b|(?:下周|下个星期)(?![一二三四五六日天末])", "week", 1, "day", 7, "week"),
+    ("month before", r"\blast month\b|上个月", "month", -1, "day", 7, "stated"),
+    ("month after", r"\bnext month\b|下个月", "month", 1, "day", 7, "stated"),
+    ("year before", r"\blast year\b|去年", "year", -1, "day", 4, ""),
+    ("year after", r"\bnext year\b|明年", "year", 1, "day", 4, ""),
 )
 #: A date or time of its own in a property's value.
 TIME_TOKEN = r"(?<![0-9-])([0-9]{4}-[0-9]{2}-[0-9]{2}(?:[Tt ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})?)?|[0-9]{4}-[0-9]{2}|[0-9]{4})(?![0-9-])"
 
 
+def relative_mentions(text: Column) -> Column:
+    """Array of struct(kind, phrase): a text's relative times in their order, none within another; of two at one place the more particular kind, which stands before the other in RELATIVE."""
+    every = "|".join(f"(?i:{pattern})" for _, pattern, *_ in RELATIVE)
+    kind = lambda x: F.coalesce(*(F.when(x.rlike(f"^(?i:{pattern})$"), F.lit(name)) for name, pattern, *_ in RELATIVE))
+    return F.transform(F.regexp_extract_all(text, F.lit(every), F.lit(0)), lambda x: F.struct(kind(x).alias("kind"), x.alias("phrase")))
+
+
 def relative_mention(text: Column) -> Column:
     """struct(kind, phrase) of a text's first relative time; null without one."""
-    found = []
-    for kind, pattern in RELATIVE:
-        at = F.regexp_instr(text, F.lit(pattern))
-        phrase = F.regexp_substr(text, F.lit(pattern))
-        found.append(F.when(at > 0, F.struct(at.alias("at"), (-F.length(phrase)).alias("longest"), F.lit(kind).alias("kind"), phrase.alias("phrase"))))
-    first = F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return F.when(first.isNotNull(), F.struct(first["kind"].alias("kind"), first["phrase"].alias("phrase")))
+    return F.get(relative_mentions(text), F.lit(0))
+
+
+def _meaning(kind: Column) -> Column:
+    """What a kind of relative time means, as a row of RELATIVE."""
+    rows = [(F.lit(name), F.struct(F.lit(unit).alias("unit"), F.lit(steps).cast("int").alias("steps"), F.lit(pick).alias("pick"), F.lit(shown).alias("shown"), F.lit(also).alias("also"))) for name, _, unit, steps, pick, shown, also in RELATIVE]
+    return F.try_element_at(F.create_map(*(x for row in rows for x in row)), kind)
+
+
+def _meant(mention: Column, said: Column) -> tuple[Column, Column, Column]:
+    """The meaning of a mention, the place that it moves to from the day on which it was said, and the day that it picks there (null if there is none)."""
+    phrase, day, own = mention["phrase"], said.cast("date"), _meaning(mention["kind"])
+    on = F.when(F.lower(phrase).rlike("^(?:last|上)"), -1).otherwise(1)
+    n = F.coalesce(own["steps"], on)
+    place = F.when(own["unit"] == "day", F.date_add(day, n)).when(own["unit"] == "week", F.date_add(day, 7 * n)).when(own["unit"] == "month", F.add_months(F.trunc(day, "month"), n)).otherwise(F.add_months(day, 12 * n))
+    # the weekday that the phrase ends with, from 0
+    word, last = F.lower(F.regexp_substr(phrase, F.lit("[A-Za-z]+$"))), F.right(phrase, F.lit(1))
+    wanted = (F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, WEEKDAYS)), word), F.lit(0)), F.nullif(F.position(last, F.lit("一二三四五六日")), F.lit(0)), F.lit(7)) - 1).cast("int")
+    monday = F.date_sub(place, F.weekday(place))
+    number = F.regexp_extract(phrase, "([0-9]{1,2})[号日]$", 1).try_cast("int")
+    picked = (
+        F.when(own["pick"] == "weekday", F.date_add(monday, wanted))
+        .when(own["pick"] == "before", F.date_sub(day, 1 + F.pmod(F.weekday(day) - 1 - wanted, F.lit(7))))
+        .when(own["pick"] == "saturday", F.date_add(monday, 5))
+        .when(own["pick"] == "number", F.when(number.between(1, F.dayofmonth(F.last_day(place))), F.date_add(place, number - 1)))
+        .otherwise(place)
+    )
+    return own, monday, picked
 
 
 def relative_anchor(mention: Column, said: Column) -> Column:
     """The date that a relative time means, seen from the day on which it was said, as far as it is known: a day, a month or a year; null for a day that is not there."""
-    kind, phrase, day = mention["kind"], mention["phrase"], said.cast("date")
-    monday = F.date_sub(day, F.weekday(day))
-    english = F.lower(F.regexp_substr(phrase, F.lit(r"[A-Za-z]+$")))
-    chinese = F.when(F.right(phrase, F.lit(1)) == "天", 6).otherwise(F.position(F.right(phrase, F.lit(1)), F.lit("一二三四五六日")) - 1)
-    place = F.array_position(F.array(*map(F.lit, WEEKDAYS)), english)
-    wanted = F.when(place > 0, place - 1).otherwise(chinese).cast("int")
-    back = F.lower(phrase).startswith("last") | phrase.startswith("上")
-    iso, month, year = (lambda d: F.date_format(d, "yyyy-MM-dd")), (lambda d: F.date_format(d, "yyyy-MM")), (lambda d: F.date_format(d, "yyyy"))
-    moved = F.add_months(F.trunc(day, "month"), F.when(back, -1).otherwise(1))
-    number = F.regexp_extract(phrase, r"([0-9]{1,2})[号日]$", 1).try_cast("int")
-    days_back = F.pmod(F.weekday(day) - wanted, F.lit(7))
-    return (
-        F.when(kind == "last_weekend", month(F.date_add(monday, -2)))
-        .when(kind == "next_weekend", month(F.date_add(monday, 12)))
-        .when(kind == "week_day", iso(F.date_add(monday, F.when(back, -7).otherwise(7) + wanted)))
-        .when(kind == "last_weekday", iso(F.date_sub(day, F.when(days_back == 0, 7).otherwise(days_back))))
-        .when(kind == "month_day", F.when((number >= 1) & (number <= F.dayofmonth(F.last_day(moved))), iso(F.date_add(moved, number - 1))))
-        .when(kind == "today", iso(day))
-        .when(kind == "yesterday", iso(F.date_sub(day, 1)))
-        .when(kind == "tomorrow", iso(F.date_add(day, 1)))
-        .when(kind == "last_week", month(F.date_sub(day, 7)))
-        .when(kind == "next_week", month(F.date_add(day, 7)))
-        .when(kind == "last_month", month(F.add_months(F.trunc(day, "month"), -1)))
-        .when(kind == "next_month", month(F.add_months(F.trunc(day, "month"), 1)))
-        .when(kind == "last_year", year(F.add_months(day, -12)))
-        .when(kind == "next_year", year(F.add_months(day, 12)))
+    own, _, picked = _meant(mention, said)
+    return F.left(F.date_format(picked, "yyyy-MM-dd"), own["shown"])
+
+
+def relative_fit(given: Column, mention: Column, said: Column, text: Column) -> Column:
+    """Whether a property's given time can be what a mention in its text means.
+
+    It can be the anchor itself; beside that, by the mention's kind: the month
+    of a known day; a day of a known month, if the text states it; a day of a
+    week that the text states, or of a weekend, one that the text states if it
+    states any; a month of a day which the text states there, or a weekend's.
+    """
+    own, monday, picked = _meant(mention, said)
+    anchor, own_time = relative_anchor(mention, said), F.trim(given)
+    stated = F.filter(F.regexp_extract_all(text, F.lit(TIME_TOKEN), F.lit(1)), lambda x: F.length(x) == 10)
+    begin = F.when(own["also"] == "weekend", picked).otherwise(monday)
+    within = lambda x: F.coalesce((x.try_cast("date") >= begin) & (x.try_cast("date") < F.date_add(monday, 7)), F.lit(False))
+    there = F.filter(stated, within)
+    n, some = F.length(own_time), F.size(there) > 0
+    month = F.date_format(picked, "yyyy-MM")
+    days = (
+        F.when((n == 10) & (own["also"] == "week"), within(own_time) & F.array_contains(there, own_time))
+        .when(n == 10, within(own_time) & (~some | F.array_contains(there, own_time)))
+        .when((n == 7) & some, F.exists(there, lambda x: x.startswith(own_time)))
+        .when((n == 7) & (own["also"] == "weekend"), (own_time == month) | (own_time == F.date_format(F.date_add(picked, 1), "yyyy-MM")))
+        .otherwise(own_time == anchor)
     )
+    other = F.when((own["also"] == "month") & (n == 7), anchor.startswith(own_time)).when((own["also"] == "stated") & (n == 10), own_time.startswith(anchor) & F.array_contains(stated, own_time)).otherwise(False)
+    return F.coalesce(F.when(own["also"].isin("week", "weekend"), days).otherwise((own_time == anchor) | other), F.lit(False))
+
+
+def relative_times_fit(given: Column, text: Column, said: Column) -> Column:
+    """Whether a given time fits all relative times of its text; true for a text without any."""
+    return F.forall(relative_mentions(text), lambda m: relative_fit(given, m, said, text))
 
 
 def time_precision(value: Column) -> Column:

@@ -319,7 +319,7 @@ def v16(spark, sf_dir):
     return evolve.routed(u, _ROUTES, {"user": F.col("user"), "team": F.col("team")}, allowed)
 
 
-@query("X39_relative_anchors", """WITH e AS (SELECT event_id, event_id % 9 AS k, ts::date AS d, date_trunc('week', ts)::date AS m FROM events) SELECT event_id, CASE k WHEN 0 THEN 'yesterday' WHEN 1 THEN 'week_day' WHEN 2 THEN 'last_weekday' WHEN 3 THEN 'last_month' WHEN 4 THEN 'next_year' WHEN 5 THEN 'week_day' WHEN 6 THEN 'last_weekend' WHEN 7 THEN 'month_day' END AS kind,
+@query("X39_relative_anchors", """WITH e AS (SELECT event_id, event_id % 9 AS k, ts::date AS d, date_trunc('week', ts)::date AS m FROM events) SELECT event_id, CASE k WHEN 0 THEN 'day before' WHEN 1 THEN 'weekday of week' WHEN 2 THEN 'weekday before' WHEN 3 THEN 'month before' WHEN 4 THEN 'year after' WHEN 5 THEN 'weekday of week' WHEN 6 THEN 'weekend before' WHEN 7 THEN 'day of month' END AS kind,
 CASE k WHEN 0 THEN strftime(d - 1, '%Y-%m-%d') WHEN 1 THEN strftime(m - 7 + 2, '%Y-%m-%d') WHEN 2 THEN strftime(d - (CASE (isodow(d) - 1 - 4 + 7) % 7 WHEN 0 THEN 7 ELSE (isodow(d) - 1 - 4 + 7) % 7 END)::int, '%Y-%m-%d') WHEN 3 THEN strftime(d - INTERVAL 1 MONTH, '%Y-%m') WHEN 4 THEN strftime(d + INTERVAL 1 YEAR, '%Y') WHEN 5 THEN strftime(m + 7 + 6, '%Y-%m-%d') WHEN 6 THEN strftime(m - 2, '%Y-%m') WHEN 7 THEN strftime(date_trunc('month', d) - INTERVAL 1 MONTH + INTERVAL 4 DAY, '%Y-%m-%d') END AS anchor FROM e""")
 def x39(spark, sf_dir):
     said = F.array(*map(F.lit, ("we met Yesterday or last year", "it was last week on Wednesday", "on last friday", "last month, today", "maybe next year", "下周日见", "last weekend was fine", "上个月 5号", "no time at all")))
@@ -327,6 +327,17 @@ def x39(spark, sf_dir):
     return e.select("event_id", "m.kind", evolve.relative_anchor(F.col("m"), F.col("ts")).alias("anchor"))
 
 
+@query("X39_compatible_times", """WITH e AS (SELECT event_id, event_id % 6 AS k, ts::date AS d, date_trunc('week', ts)::date AS m FROM events), g AS (SELECT *, left(strftime(CASE WHEN k < 3 THEN d - 1 ELSE m - 2 END, '%Y-%m-%d'), CASE WHEN k IN (2, 5) THEN 7 ELSE 10 END) AS given FROM e)
+SELECT event_id, given, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN given = strftime(date_trunc('month', d) - INTERVAL 1 MONTH, '%Y-%m') WHEN 3 THEN true WHEN 4 THEN false ELSE true END AS fits FROM g""")
+def x39_fits(spark, sf_dir):
+    """Given times beside one and two relative times of their texts."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("event_id") % 6).cast("int").alias("k"))
+    monday = F.date_sub(F.to_date("ts"), F.weekday(F.to_date("ts")))
+    given = F.left(F.date_format(F.when(F.col("k") < 3, F.date_sub(F.to_date("ts"), 1)).otherwise(F.date_sub(monday, 2)), "yyyy-MM-dd"), F.when(F.col("k").isin(2, 5), 7).otherwise(10))
+    said = F.element_at(F.array(*map(F.lit, ("we met yesterday", "it was today, not yesterday", "in the last month", "it was last weekend", "last weekend or last year", "上周末见"))), F.col("k") + 1)
+    return e.select("event_id", given.alias("given"), evolve.relative_times_fit(given, said, F.col("ts")).alias("fits"))
+
+
 @query("X40_property_time", """SELECT event_id, CASE event_id % 8 WHEN 0 THEN '2024-05-06' WHEN 1 THEN '2024-05' WHEN 7 THEN '2023' ELSE '' END AS time, CASE event_id % 8 WHEN 2 THEN 'several times' WHEN 3 THEN 'no time' WHEN 4 THEN 'empty time' WHEN 5 THEN 'invalid time' WHEN 6 THEN 'inconsistent time' END AS error FROM events""")
 def x40(spark, sf_dir):
     k = (F.col("event_id") % 8 + 1).cast("int")

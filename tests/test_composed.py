@@ -75,15 +75,15 @@ def test_route_tables_are_checked(wrong):
 
 def test_relative_times(spark):
     cases = {
-        "see you next week on Monday or today": ("week_day", "2024-03-18"),
-        "last Friday": ("last_weekday", "2024-03-08"),
-        "上个星期天": ("week_day", "2024-03-10"),
-        "上个月31号": ("month_day", None),
-        "下个月 30日": ("month_day", "2024-04-30"),
-        "上周末": ("last_weekend", "2024-03"),
-        "just now": ("today", "2024-03-15"),
-        "next week": ("next_week", "2024-03"),
-        "去年": ("last_year", "2023"),
+        "see you next week on Monday or today": ("weekday of week", "2024-03-18"),
+        "last Friday": ("weekday before", "2024-03-08"),
+        "上个星期天": ("weekday of week", "2024-03-10"),
+        "上个月31号": ("day of month", None),
+        "下个月 30日": ("day of month", "2024-04-30"),
+        "上周末": ("weekend before", "2024-03"),
+        "just now": ("this day", "2024-03-15"),
+        "next week": ("week after", "2024-03"),
+        "去年": ("year before", "2023"),
         "nothing": (None, None),
     }
     df = spark.createDataFrame([(q,) for q in cases], "q string").withColumn("m", evolve.relative_mention(F.col("q")))
@@ -216,3 +216,20 @@ def test_the_stages_of_a_run_are_its_own(spark):
     first = [r.stage for r in p.trajectory().orderBy("at").collect()]
     p.run()
     assert [r.stage for r in p.trajectory().orderBy("at").collect()] == first
+
+
+def test_all_relative_times_of_a_text_are_judged(spark):
+    # said on Friday 2024-03-15
+    cases = [
+        ("met yesterday", "2024-03-14", True), ("met yesterday", "2024-03-15", False), ("met yesterday", "2024-03", False),
+        ("last friday", "2024-03", True), ("last friday", "2024-03-08", True), ("last friday", "2024-02", False),
+        ("last month", "2024-02", True), ("last month on 2024-02-07", "2024-02-07", True), ("last month", "2024-02-07", False),
+        ("last week", "2024-03-05", False), ("last week, 2024-03-05", "2024-03-05", True), ("last week, 2024-03-25", "2024-03-25", False), ("last week", "2024-03", True),
+        ("last weekend", "2024-03-09", True), ("last weekend", "2024-03-08", False), ("last weekend, 2024-03-10", "2024-03-09", False), ("next weekend", "2024-03", True),
+        ("last year", "2023", True), ("last year", "2024", False), ("yesterday or last year", "2024-03-14", False), ("tomorrow and 明天", "2024-03-16", True), ("no time", "2001", True), ("上个月31号", "2024-02", False),
+    ]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, text string, given string")
+    got = {r.k: r.fits for r in df.select("k", evolve.relative_times_fit(F.col("given"), F.col("text"), F.lit("2024-03-15").cast("date")).alias("fits")).collect()}
+    assert [(a, b, got[k]) for k, (a, b, _) in enumerate(cases)] == cases
+    two = spark.range(1).select(evolve.relative_mentions(F.lit("last week on Wednesday, 上个月5号 and Last Week")).alias("m")).first().m
+    assert [(x.kind, x.phrase) for x in two] == [("weekday of week", "last week on Wednesday"), ("day of month", "上个月5号"), ("week before", "Last Week")]
