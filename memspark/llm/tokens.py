@@ -38,6 +38,10 @@ def _byte_letters() -> str:
     return "".join(chr(b) if b in shown else chr(next(spare)) for b in range(256))
 
 
+#: Packers of short lists of ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, without the end id."""
 
@@ -55,7 +59,7 @@ class Encoder:
 
     def _spelt(self, spelt: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(spelt)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else self._pack(ids)
 
     def _plain(self, chunk: bytes) -> bytes | None:
         """A chunk of Latin letters is one word for the vocabulary's splitter, and lower case is all that its normaliser changes."""
@@ -75,7 +79,9 @@ class Encoder:
         for chunk in chunks:
             ids = before.get(chunk)
             if ids is None:
-                if m := _WORD_AND_MARKS.match(chunk):
+                if chunk.isalpha() and chunk.islower():
+                    ids = self._spelt(chunk.decode())
+                elif m := _WORD_AND_MARKS.match(chunk):
                     # a head has letters alone, so what is remembered for it was made by _plain
                     word, tail = m.groups()
                     head = now.get(word) or before.get(word) or heads.get(word)
@@ -85,10 +91,11 @@ class Encoder:
                     if tail not in now:
                         marks[tail] = None
                     continue
-                ids = self._plain(chunk)
-                if ids is None:
-                    hard[chunk] = None
-                    continue
+                else:
+                    ids = self._plain(chunk)
+                    if ids is None:
+                        hard[chunk] = None
+                        continue
             now[chunk] = ids
         ask = [*marks, *hard]
         for chunk, got in zip(ask, self.tokenizer.encode_batch([c.decode() for c in ask], add_special_tokens=False), strict=True):

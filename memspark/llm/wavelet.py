@@ -41,10 +41,11 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
     z = zstandard.ZstdCompressor(level=LEVEL)
     n = len(ids)
     bits = max(1, int(ids.max()).bit_length()) if n else 1
-    now = ids.astype(np.uint32)
+    # two bytes hold the ids of most vocabularies, which halves what is moved about
+    now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     zeros, ranks, sizes, body = [], [], [], []
     for level in range(bits - 1, -1, -1):
-        one = (now >> level & 1).astype(bool)
+        one = (now & now.dtype.type(1 << level)).astype(bool)
         zeros.append(int(n - one.sum()))
         counts = np.add.reduceat(one, np.arange(0, n, BLOCK), dtype=np.int64) if n else np.zeros(0, np.int64)
         ranks.append(np.concatenate([[0], np.cumsum(counts)])[:-1] if n else counts)
@@ -53,7 +54,8 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
             frame = z.compress(packed[k : k + BLOCK // 8].tobytes())
             sizes.append(len(frame))
             body.append(frame)
-        now = np.concatenate([now[~one], now[one]])
+        if level:
+            now = np.concatenate([np.compress(~one, now), np.compress(one, now)])
     docs = z.compress(np.array([x if x is not None else 0 for x in doc_ids], "<i8").tobytes() + np.array([x is None for x in doc_ids], "u1").tobytes() + np.array(lengths, "<i8").tobytes())
     index = z.compress(np.array(sizes, "<u4").tobytes() + np.concatenate([*ranks, np.zeros(0, np.int64)]).astype("<u4").tobytes())
     head = json.dumps({"n": n, "bits": bits, "block": BLOCK, "zeros": zeros, "docs": len(doc_ids), "docs_bytes": len(docs), "index_bytes": len(index)}).encode()
@@ -162,16 +164,17 @@ class Shard:
     @cached_property
     def ids(self) -> np.ndarray:
         """All ids. The deal into the last plane is undone plane by plane."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for plane in range(self.bits - 1, -1, -1):
             first = plane * self.per
             raw = b"".join(self.z.decompress(bytes(self.data[self.starts[k] : self.starts[k + 1]])) for k in range(first, first + self.per))
             one = np.unpackbits(np.frombuffer(raw, np.uint8))[: self.n].astype(bool)
-            back = np.empty(self.n, np.uint32)
+            back = np.empty(self.n, kind)
             back[~one] = values[: self.zeros[plane]]
-            back[one] = values[self.zeros[plane] :] | np.uint32(1 << (self.bits - 1 - plane))
+            back[one] = values[self.zeros[plane] :] | kind(1 << (self.bits - 1 - plane))
             values = back
-        return values
+        return values.astype(np.uint32)
 
 
 def _store(folder: str):
