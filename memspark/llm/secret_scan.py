@@ -8,7 +8,9 @@ secret even where no fixed pattern knows its form, and an easy one
 the whole words of a tokenizer's vocabulary file, which stand by frequency.
 Repeats of a unit over SPAN characters are counted as brute force: such a unit
 is over STRONG by itself unless it is made of words. After a bare space, where prose goes on
-("the token bucket"), only values with a digit are weighed.
+("the token bucket"), only values with a digit are weighed. A value in quotes is
+read to its closing quote on the line. Links, paths, calls, dotted names of
+letters and references to variables are no values.
 """
 
 from __future__ import annotations
@@ -32,12 +34,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The runs of 32 and more are the matches of [0-9a-f]+ that are long enough.
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: A credential's name, longest first; within a word it begins at a capital after a small letter.
-NAME = r"""(?:(?i:api|access|private|secret|auth)[ _-]?(?i:key)|(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|pass|bearer|authorization))"""
+NAME = (
+    r"""(?:(?i:api|access|private|secret|auth|ssh|encryption|signing)[ _-]?(?i:key)|(?i:pass(?:word|wd|phrase|code|wort)|pwd|secret|token|credentials?|pass|bearer|authorization|auth"""
+    r"""|kennwort|zugangscode|geheimnis|contraseña|contrasena|clave|mot[ _-]de[ _-]passe|mdp|jeton))"""
+)
 CONTEXT = re.compile(rf"""(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])){NAME}""", re.A)
 #: What may stand between a name and its value, and the value. A name right after a name is read as its own context.
-VALUE = re.compile(r"""["']?(\x20{0,4}(?:[:=]>?|->)\x20{0,4}|\x20is:?\x20|\x20)(?:(?i:bearer|basic)\x20)?["'`]?([^\s"'`<>]+)""", re.A)
+#: A name may go on before a sign (client_secret_value=), and a value may stand on the next line, indented, or in the element that the name makes.
+VALUE = re.compile(
+    r"""((?:[_-][A-Za-z0-9]{1,20}){0,2}["']?[ \t]{0,4}(?:[:=]>?|->)[ \t]{0,4}(?:\r?\n[ \t]{1,16})?|>|["']?\x20is:?\x20|["']?\x20)(?:(?i:bearer|basic)\x20)?(["'`]?)([^\s"'`<>]+)""", re.A
+)
+QUOTED = re.compile(r"""(["'`])([^"'`\r\n]{8,128})\1""")
+#: What stands in code and settings in the place of a value.
+ELSEWHERE = re.compile(r"""[a-z][a-z0-9+.-]*://|www\.|\.{0,2}/[\w./-]+$|\$|%[sd({]|\{\{?|[A-Za-z_]+(?:\.[A-Za-z_]+)+(?:$|[\[(])|[A-Za-z_][\w.:]*\(|[A-Za-z_]\w*\[""", re.I | re.A)
 NAMED = re.compile(rf"""{NAME}(?:["']?(?:[:=]+>?|->)?[.,;!?)\]}}]*)""", re.A)
-HINTS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"key", b"bearer", b"authorization")
+HINTS = (b"pass", b"pwd", b"auth", b"kennwort", b"zugangscode", b"geheimnis", "contraseña".encode(), "contraseÑa".encode(), b"contrasena", b"clave", b"mdp", b"jeton", b"secret", b"token", b"credential", b"key", b"bearer")
 ASSIGN_HINTS = (b"passw", b"secret", b"token", b"api")
 SHORTEST = 8
 #: Decimal logarithm of guesses from which a value counts as a secret.
@@ -175,15 +186,18 @@ def spans(text: str | None, vocabulary: str | None = None) -> list[tuple[str, in
             # the search goes on right after each name, and beyond values that have been weighed
             if name.start() < done or not (m := VALUE.match(text, name.end())):
                 continue
-            value = m[2].rstrip(".,;:!?)]}")
-            assigned = m[1] != " "
+            assigned = m[1].strip("\"'") != " "
+            if m[1] == ">" and text[name.start() - 1 : name.start()] != "<":
+                continue
+            value, start = m[3].rstrip(".,;:!?)]}"), m.start(3)
             # an assigned value may end in = as base64 does; after a bare space a word that does is a name
-            if NAMED.fullmatch(m[2]) or (not assigned and m[2][-1] in ":="):
+            if NAMED.fullmatch(m[3]) or (not assigned and m[3][-1] in ":="):
                 continue
-            if len(value) < SHORTEST or not (assigned or any(c.isdigit() for c in value)):
+            if assigned and m[2] and (q := QUOTED.match(text, m.start(2))):
+                value = q[2]
+            if len(value) < SHORTEST or not (assigned or any(c.isdigit() for c in value)) or ELSEWHERE.match(value):
                 continue
             # parts of a value are no stronger than the whole, so each is weighed once
-            start = m.start(2)
             done = end = start + len(value)
             known = any(a <= start and end <= b for _, a, b in out)
             if not known and guess_cost(value, vocabulary) >= STRONG:

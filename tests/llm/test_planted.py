@@ -146,3 +146,31 @@ def test_long_and_null_texts_in_the_stage(spark):
         assert "555" not in text
         assert n == (None if doc_id == 4 else len(text))
     assert pii.redact_stage(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+STRONG_VALUE = "Zx9#kL2m!Qw8"
+SAID = ("auth: {}", "client_secret_value={}", "password:\n  {}", "password\t=\t{}", "<password>{}</password>", "ssh_key {}", "contraseña: {}", "Passwort: {}", "mot de passe : {}", "clave = {}", "Kennwort -> {}", '"db_password": "{}"', "mdp={}", "API_KEY='{}'")
+CODE = (
+    "token: https://example.com/docs/page.html", "token = request.headers.get(name)", "password = os.environ['DB_PASSWORD']", "secret: ${VAULT_SECRET_NAME}", "api_key = config.service.api.key",
+    "const token = generateSecureToken(32)", "password: {{ vault_password }}", "auth = HTTPBasicAuth(user, password)", "token_url = https://login.example.org/oauth2", "private_key = load_pem_private_key(data)",
+    "secret_path: /var/lib/service/secrets", "pass  # nothing to do here at all", "if token is None: raise ValueError", "credentials = service.default.credentials", "def set_password(self, password): ...",
+    "the token bucket limits requests", "password must not be empty or short", "auth.login(username)", "token = tokens[position]", "Authorization header is missing",
+)
+
+
+@pytest.mark.parametrize("form", SAID)
+def test_contexts_of_values(form):
+    text = f"before it. {form.format(STRONG_VALUE)} and after"
+    start = text.index(STRONG_VALUE)
+    assert any(a <= start and start + len(STRONG_VALUE) <= b for _, a, b in secret_scan.spans(text))
+
+
+def test_a_quoted_phrase_is_one_value():
+    text = 'passphrase = "seven blue otters juggle 41 lanterns" # note'
+    assert [text[a:b] for k, a, b in secret_scan.spans(text) if k == "guess"] == ["seven blue otters juggle 41 lanterns"]
+
+
+def test_code_without_values_gives_no_guess():
+    false = [line for line in CODE if any(k == "guess" for k, *_ in secret_scan.spans(line))]
+    hits = sum(bool(secret_scan.spans(form.format(STRONG_VALUE))) for form in SAID)
+    assert hits / (hits + len(false)) >= 0.9 and not false
