@@ -106,14 +106,23 @@ class Encoder:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """One value for each text, in order; a null text has none."""
         split = [(t.split() if any(s in t for s in _SPECIAL) else t.lower().split()) if t else [] for t in texts]
-        new = set().union(*split) - self.now.keys()
-        if new:
+        get = self.now.get
+        found = [[*map(get, chunks)] for chunks in split]
+        # each chunk is looked up once; only gaps are learned and filled
+        gaps = []
+        for chunks, parts in zip(split, found, strict=True):
+            k = -1
+            for _ in range(parts.count(None)):
+                k = parts.index(None, k + 1)
+                gaps.append((parts, k, chunks[k]))
+        if gaps:
             if len(self.now) > MEMORY:
                 self.before, self.now = self.now, {}
-                new = set().union(*split)
-            self._learn(new)
-        get = self.now.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+            self._learn({chunk for _, _, chunk in gaps})
+            now = self.now
+            for parts, k, chunk in gaps:
+                parts[k] = now[chunk]
+        return [b"".join(parts) for parts in found]
 
 
 @lru_cache(maxsize=2)
