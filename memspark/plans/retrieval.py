@@ -286,12 +286,7 @@ def j11(spark, sf_dir):
 
 @query("J14_jaccard_pairs", f"WITH {_PT}, n AS (SELECT unit_id, count(*) AS n FROM pt GROUP BY unit_id), c AS (SELECT a.unit_id AS a, b.unit_id AS b, count(*) AS common FROM pt a JOIN pt b ON a.p_brand = b.p_brand AND a.tok = b.tok AND a.unit_id < b.unit_id GROUP BY 1, 2 HAVING count(*) >= 3) SELECT a, b, round(common / (x.n + y.n - common), 6) AS score FROM c JOIN n x ON x.unit_id = a JOIN n y ON y.unit_id = b WHERE common / (x.n + y.n - common) >= 0.6")
 def j14(spark, sf_dir):
-    u = _part_units(spark, sf_dir)
-    pairs = recall.token_pairs(u, t.tokens(F.col("content")), 3, ["p_brand"])
-    n = u.select("unit_id", F.size(F.array_distinct(t.tokens(F.col("content")))).alias("n"))
-    j = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
-    score = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return j.where(score >= 0.6).select("a", "b", F.round(score, 6).alias("score"))
+    return recall.token_pairs(_part_units(spark, sf_dir), t.tokens(F.col("content")), 3, ["p_brand"], share=0.6).withColumn("score", F.round("score", 6))
 
 
 SEARCH_SQL = f"WITH {RANKED_SQL}, f AS (SELECT unit_id, sum(1.0 / (61 + rank)) AS score FROM r GROUP BY unit_id), g AS (SELECT f.unit_id, score, lifecycle, tier, content FROM f JOIN units u ON u.unit_id = f.unit_id WHERE lifecycle = 'active' AND tier <> 'working'), h AS (SELECT *, max(score) OVER () AS top FROM g) SELECT unit_id, round(score, 9) AS score, tier, left(content, 120) AS snippet FROM h WHERE score >= top * 0.2 ORDER BY round(score, 12) DESC, unit_id LIMIT 10"
