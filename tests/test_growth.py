@@ -24,3 +24,23 @@ def same_as_sql(spark, folder, name, tables):
 @pytest.mark.parametrize("text", ["estèpa", "réno il", "no", "a_no", "İno", "ño", "NO."])
 def test_negation_ends_at_ascii_word_bounds(spark, tmp_path, text):
     same_as_sql(spark, tmp_path, "X36_negation", {"conversations": f"SELECT 1 AS conv_id, 0 AS turn, '{text}' AS text"})
+
+
+COPIES = "SELECT p.* REPLACE (p_partkey + 100000 * i AS p_partkey) FROM '/root/testdata/sf0.001/part.parquet' p, range({n}) r(i)"
+
+
+@pytest.mark.parametrize("name", ["J11_keyword_association", "V03_V09_echo_and_pairs", "J14_jaccard_pairs"])
+def test_pairs_of_copies_are_whole_and_never_shuffled(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr("memspark.operators.link.TOKEN_CHUNK", 16)  # blocks of many parts
+    assert same_as_sql(spark, tmp_path, name, {"part": COPIES.format(n=9)})
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan.split("MapInArrow")[1]
+    assert not [s for s in ("Join", "Aggregate", "Repartition", "Sort") if s in plan.split("MapInArrow")[0]]
+
+
+def test_coreference_of_large_entities_is_whole_and_never_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("memspark.operators.link.CHUNK", 16)
+    orders = "SELECT o_custkey, o_orderpriority, o_orderstatus, o_orderdate, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice + 400000 END AS o_totalprice FROM '/root/testdata/sf0.001/orders.parquet'"
+    assert same_as_sql(spark, tmp_path, "J12_coreference", {"orders": orders})
+    plan = QUERIES["J12_coreference"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [s for s in ("Join", "Aggregate", "Repartition", "Sort") if s in plan.split("MapInArrow")[0]]
