@@ -42,35 +42,36 @@ def consolidated(units: DataFrame, actions: DataFrame, by: list[str], least: int
     known = each.join(members.select(*by, "unit_id"), [*by, "unit_id"], "left_semi").groupBy(*by, "seq").agg(F.array_sort(F.collect_list(F.struct("_pos", "unit_id"))).alias("_k"))
     rows = named.drop("_ids").join(known, [*by, "seq"]).select(*by, "seq", F.lower("type").alias("type"), F.trim(F.coalesce("content", F.lit(""))).alias("content"), F.transform("_k", lambda x: x["unit_id"]).alias("ids"))
 
-    def run(pdf):
-        import pandas as pd
-
-        retired: set[str] = set()
-        out = []
-
-        def retire(unit):
-            retired.add(unit)
-            out.append(("retire", unit, None, []))
-
-        for r in pdf.sort_values("seq").itertuples():
-            ids = list(r.ids)
-            if r.type == "create" and r.content:
-                out.append(("addition", None, r.content, ids))
-            elif r.type == "merge" and r.content and len(ids) > 1 and not retired.intersection(ids):
-                for unit in ids:
-                    retire(unit)
-                out.append(("addition", None, r.content, ids))
-            elif r.type == "update" and r.content and ids[0] not in retired:
-                retire(ids[0])
-                out.append(("replacement", ids[0], r.content, ids))
-            elif r.type == "archive" and ids[0] not in retired:
-                retire(ids[0])
-        keys = {c: [pdf[c].iloc[0]] * len(out) for c in by}
-        return pd.DataFrame(keys | {name: [o[k] for o in out] for k, name in enumerate(("op", "unit_id", "content", "sources"))})
+    width = len(by)
+    names = [*by, "op", "unit_id", "content", "sources"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for *key, actions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                retired: set[str] = set()
+                for a in actions:
+                    kind, content, ids = a["type"], a["content"], a["ids"]
+                    gone = ids if kind == "merge" else ids[:1] if kind in ("update", "archive") else []
+                    if (kind != "archive" and not content) or (kind == "merge" and len(ids) < 2) or retired.intersection(gone):
+                        continue
+                    retired.update(gone)
+                    out.extend((*key, "retire", unit, None, []) for unit in gone)
+                    if kind in ("create", "merge"):
+                        out.append((*key, "addition", None, content, ids))
+                    elif kind == "update":
+                        out.append((*key, "replacement", ids[0], content, ids))
+            types = [*(batch.schema.field(k).type for k in range(width)), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     kinds = dict(units.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "op string, unit_id string, content string, sources array<string>"])
-    planned = rows.groupBy(*by).applyInPandas(run, schema)
+    # a row for each cluster, many in a batch: a call of Python for each would cost more than its work
+    clusters = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "type", "content", "ids"))).alias("_actions"))
+    planned = clusters.mapInArrow(run, schema)
     gone = repeats.select(*by, F.lit("retire").alias("op"), "unit_id", F.lit(None).cast("string").alias("content"), F.array().cast("array<string>").alias("sources"))
     return gone.unionByName(planned)
 

@@ -44,3 +44,11 @@ def test_coreference_of_large_entities_is_whole_and_never_shuffled(spark, tmp_pa
     assert same_as_sql(spark, tmp_path, "J12_coreference", {"orders": orders})
     plan = QUERIES["J12_coreference"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert not [s for s in ("Join", "Aggregate", "Repartition", "Sort") if s in plan.split("MapInArrow")[0]]
+
+
+def test_conflict_plan_of_many_clusters_streams(spark, tmp_path):
+    orders = "SELECT o.* REPLACE (o_orderkey + 1000000 * i AS o_orderkey, o_custkey + 100000 * (i % 3) AS o_custkey) FROM '/root/testdata/sf0.001/orders.parquet' o, range(9) r(i)"
+    got = same_as_sql(spark, tmp_path, "V11_conflict_plan", {"orders": orders})
+    plan = QUERIES["V11_conflict_plan"](spark, str(tmp_path))
+    assert plan.groupBy().count().first()[0] == len(got) > 0
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().optimizedPlan().toString()
