@@ -53,7 +53,7 @@ def time_spans(stream: DataFrame, seconds: float, settle: float, watermark: str
 
 
 SETTLED = "user_id long, start double, end double, n long, closed_by string"
-#: Length of a slice of event time, and rows of one slice that are kept together, in the state of settled_spans().
+#: Length of a slice of event time, and rows of one user that are kept together, in the state of settled_spans().
 SLICE, PART = 600, 1000
 
 
@@ -62,10 +62,12 @@ def settled_spans(stream: DataFrame, seconds: float, settle: float, watermark: s
 
     A span closes when the session changes or a row lies more than ``seconds``
     after its start (closed_by next), or when no row comes within ``settle``
-    seconds of its last one (closed_by settled). Rows wait in slices of event
-    time; a timer for each slice folds it once the watermark has passed it, so
-    rows of a task or batch are never held together: the state of a user has
-    the open span, and a worker reads one slice of one user at a time. Rows
+    seconds of its last one (closed_by settled). Rows wait in one value of
+    their user, of PART rows at most; what is beyond it waits in slices of event
+    time. A user has one timer, at the end of the first slice with rows, and
+    folds the slices that the watermark has passed, so rows of a task or batch
+    are never held together: the state of a user has the open span, and a
+    worker reads that value and one slice of one user at a time. Rows
     older than the watermark are dropped by the engine and told of by
     late_rows(). What is folded does not depend on how rows fall into batches.
     Rows without a time wait for ever, so they are left out; the session sets
@@ -77,41 +79,70 @@ def settled_spans(stream: DataFrame, seconds: float, settle: float, watermark: s
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     size = SLICE * 1000
 
+    def slice_of(row: tuple) -> int:
+        return int(row[0] * 1000 // size)
+
     class Spans(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
             self.open = handle.getValueState("open", "start double, last double, session string, n long")
+            # due: when the user's timer fires; sliced: whether rows wait in slices as well
+            self.waiting = handle.getValueState("waiting", "due long, sliced boolean, ats array<double>, ids array<long>, sessions array<string>")
             self.parts = handle.getMapState("parts", "slice long", "n int")
             self.held = handle.getMapState("held", "slice long, part int", "ats array<double>, ids array<long>, sessions array<string>")
 
         def handleInputRows(self, key, rows, timerValues):
-            waiting: dict[int, list] = {}
+            due, sliced, own = self.read()
+            first = None
             for r in rows:
-                own = waiting.setdefault(int(r.at * 1000 // size), [])
                 own.append((r.at, r.unit_id, r.session))
-                if len(own) >= PART:
-                    self.put(waiting, int(r.at * 1000 // size))
-            for k in [*waiting]:
-                self.put(waiting, k)
+                k = slice_of(own[-1])
+                first = k if first is None or k < first else first
+                if len(own) > PART:
+                    self.put(own)
+                    sliced, own = True, []
+            if first is not None:
+                if due is None or (first + 1) * size < due:
+                    due = (first + 1) * size
+                    self.handle.registerTimer(due)
+                self.keep(due, sliced, own)
             return iter(())
 
-        def put(self, waiting: dict, k: int) -> None:
-            rows = waiting.pop(k)
-            n = self.parts.getValue((k,))[0] if self.parts.containsKey((k,)) else 0
-            if not n:
-                self.handle.registerTimer((k + 1) * size)
-            self.held.updateValue((k, n), tuple(map(list, zip(*rows, strict=True))))
-            self.parts.updateValue((k,), (n + 1,))
+        def read(self) -> tuple[int | None, bool, list]:
+            found = self.waiting.get()
+            return (found[0], found[1], [*zip(*found[2:], strict=True)]) if found else (None, False, [])
+
+        def keep(self, due: int, sliced: bool, rows: list) -> None:
+            self.waiting.update((due, sliced, *(map(list, zip(*rows, strict=True)) if rows else ([], [], []))))
+
+        def put(self, rows: list) -> None:
+            by_slice: dict[int, list] = {}
+            for r in rows:
+                by_slice.setdefault(slice_of(r), []).append(r)
+            for k, own in by_slice.items():
+                n = self.parts.getValue((k,))[0] if self.parts.containsKey((k,)) else 0
+                self.held.updateValue((k, n), tuple(map(list, zip(*own, strict=True))))
+                self.parts.updateValue((k,), (n + 1,))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            due, sliced, waiting = self.read()
+            if due is None or due > expiredTimerInfo.getExpiryTimeInMs():
+                return  # a timer that an earlier one has stood in for
             past = timerValues.getCurrentWatermarkInMs() // size  # slices before this one are whole
-            start, last, session, n = self.open.get() if self.open.exists() else (0.0, 0.0, None, 0)
-            for k in sorted(k for (k,) in self.parts.keys() if k < past):
-                rows = []
-                for part in range(self.parts.getValue((k,))[0]):
-                    rows += zip(*self.held.getValue((k, part)), strict=True)
-                    self.held.removeKey((k, part))
-                self.parts.removeKey((k,))
+            start, last, session, n = self.open.get() or (0.0, 0.0, None, 0)
+            whole: dict[int, list] = {}
+            for r in waiting:
+                if slice_of(r) < past:
+                    whole.setdefault(slice_of(r), []).append(r)
+            waiting = [r for r in waiting if slice_of(r) >= past]
+            slices = [k for (k,) in self.parts.keys()] if sliced else []
+            for k in sorted({*whole, *(k for k in slices if k < past)}):
+                rows = whole.pop(k, [])
+                if k in slices:
+                    for part in range(self.parts.getValue((k,))[0]):
+                        rows += zip(*self.held.getValue((k, part)), strict=True)
+                        self.held.removeKey((k, part))
+                    self.parts.removeKey((k,))
                 for at, _, own in sorted(rows, key=lambda r: r[:2]):
                     if n and at - last >= settle:
                         yield Row(user_id=key[0], start=start, end=last, n=n, closed_by="settled")
@@ -123,11 +154,18 @@ def settled_spans(stream: DataFrame, seconds: float, settle: float, watermark: s
             if n and (last + settle) * 1000 <= past * size:
                 yield Row(user_id=key[0], start=start, end=last, n=n, closed_by="settled")
                 n = 0
+            left = [k for k in slices if k >= past]
+            ends = [(k + 1) * size for k in (*left, *map(slice_of, waiting))]
             if n:
                 self.open.update((start, last, session, n))
-                self.handle.registerTimer(int(-(-(last + settle) * 1000 // size)) * size)
+                ends.append(int(-(-(last + settle) * 1000 // size)) * size)
             else:
                 self.open.clear()
+            if ends:
+                self.handle.registerTimer(min(ends))
+                self.keep(min(ends), bool(left), waiting)
+            else:
+                self.waiting.clear()
 
         def close(self) -> None:
             pass

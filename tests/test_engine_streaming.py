@@ -162,3 +162,17 @@ def test_settled_spans_do_not_depend_on_batches(spark, tmp_path, files, monkeypa
     exact = [(u, s, int(at * 1_000_000) / 1e6, k) for u, s, at, k in rows]
     want = plain_settled(exact, 1800, 300, (int((base + 60_000) * 1000) - 3_600_000) // 1000 // jobs.SLICE)
     assert got == [(u, round(a, 4), round(b, 4), n, why) for u, a, b, n, why in want] and len(got) > 50
+
+
+def test_settled_spans_keep_one_timer_for_a_user(spark, tmp_path):
+    """Rows of a user that lie far apart share a value and a timer; they once had one of each for every slice."""
+    rows = [(u, "a", 1_704_067_200 + 7200 * k + u, 1000 * u + k) for u in range(5) for k in range(40)]
+    spark.createDataFrame(rows, "user_id long, session string, at long, unit_id long").withColumn("ts", F.timestamp_seconds("at")).drop("at").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id long, session string, unit_id long, ts timestamp").parquet(str(tmp_path / "in"))
+    out, check = folder(spark, "test-timers"), folder(spark, "test-check")
+    q = jobs.settled_spans(stream, 86_400, 3600).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    q.awaitTermination()
+    timers = [int(o.customMetrics["numRegisteredTimers"]) for p in q.recentProgress for o in p.stateOperators]
+    assert timers[0] == 5 and sum(timers) <= 10
+    # the watermark has passed all but each user's last two rows, and for user 0 the settling of the one before the last
+    assert spark.read.schema(jobs.SETTLED).parquet(out).count() == 5 * 38 + 1
