@@ -30,8 +30,8 @@ from memspark.sources.scratch import folder as new_folder
 
 #: Places of a range as a power of two; postings that a worker holds; folders of terms; ranges that are read first; ranges up to which they are named in the scan's filter.
 SPAN_BITS, HELD, BUCKETS, FIRST, NAMED = 10, 1 << 18, 32, 8, 1000
-#: Shares of one bucket's blocks that are written apart, so that a frequent term is no single task.
-SALT = 8
+#: Bytes of texts that a task sorts, or whose blocks it sorts, at most about: more texts make more tasks, not larger ones.
+SHARE = 16 << 20
 BLOCK = "term string, range long, n int, tf_sum long, sky_tf array<int>, sky_dl array<int>, places array<long>, tfs array<int>, dls array<int>"
 
 
@@ -89,27 +89,45 @@ def bucket_of(term: Column) -> Column:
     return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
-def build(units: DataFrame, order: tuple[str, ...] = (), path: str | None = None) -> TextIndex:
+def text_bytes(texts: DataFrame, column: str = "content") -> int:
+    """Bytes of a column of texts."""
+    return texts.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).cast("long")).first()[0]
+
+
+def shares(spark: SparkSession, size: int) -> int:
+    """Tasks for texts of so many bytes: the session's, or as many as keep each to SHARE."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
+
+
+def build(units: DataFrame, order: tuple[str, ...] = (), path: str | None = None, size: int | None = None) -> TextIndex:
     """Write the index of units (unit_id, content and any other columns) and open it.
 
     Units in the order of ``order``, then unit_id; texts are read twice, and
     only blocks are shuffled after. A null content has no tokens; repeated rows
-    count each; an empty table gives an index that finds nothing.
+    count each; an empty table gives an index that finds nothing. ``size`` has
+    the texts' bytes if they are known: tasks are as many as keep what one of
+    them sorts in memory, and so are the shares (by range) in which a bucket's
+    blocks are written, so that a frequent term is no single task.
     """
     spark = units.sparkSession
     path = path or new_folder(spark, "text-index")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = text_bytes(units) if size is None else size
+    parts = shares(spark, size)
     keys = [*order, "unit_id"]
     dl = F.coalesce(F.regexp_count(F.lower("content"), F.lit(t.TOKEN)), F.lit(0))
-    dealt = units.withColumn("dl", dl).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    # lengths after the sort: bounds of the ranges are taken without them
+    dealt = units.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("dl", dl)
     dealt.withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{path}/texts")
     texts = spark.read.parquet(f"{path}/texts")
     blocks = blocks_of(texts.select("place", "dl", F.lower("content").alias("low"))).withColumn("bucket", bucket_of(F.col("term")))
-    salted = blocks.repartition(parts, "bucket", F.pmod("range", F.lit(SALT))).sortWithinPartitions("bucket", "term", "range")
+    salt = max(1, -(-size // (SHARE * BUCKETS)))
+    # a place has its task's number above bit 33: ranges of one task, and of different ones, go to different shares
+    share = F.pmod(F.xxhash64("range"), F.lit(salt))
+    salted = blocks.repartitionById(BUCKETS * salt, (F.col("bucket") * salt + share).cast("int")).sortWithinPartitions("bucket", "term", "range")
     salted.write.partitionBy("bucket").parquet(f"{path}/blocks")
     heads = spark.read.schema(f"{BLOCK}, bucket int").parquet(f"{path}/blocks")
     terms = heads.groupBy("bucket", "term").agg(F.sum("n").cast("long").alias("df"), F.sum("tf_sum").alias("tf"))
-    terms.repartition(parts, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    terms.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("dl")).write.parquet(f"{path}/sums")
     return open_index(spark, path)
 

@@ -51,7 +51,8 @@ def indexed(spark, sf_dir) -> postings.TextIndex:
         path = hadoop.Path(f"{_indexes[key].path}/sums")
         if path.getFileSystem(conf).exists(path):
             return _indexes[key]
-    _indexes[key] = postings.build(engine_units(spark, sf_dir), ("space", "user_id"))
+    size = postings.text_bytes(table(spark, sf_dir, "documents"), "text")
+    _indexes[key] = postings.build(engine_units(spark, sf_dir, postings.shares(spark, size)), ("space", "user_id"), size=size)
     return _indexes[key]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.engine import Engine
 from memspark.operators import postings, recall
+from memspark.sources import tables
 
 WORDS = ["alpha", "beta", "rare", "中", "alpha", "none"]
 
@@ -99,3 +100,23 @@ def test_sky():
         pairs = [(rng.randint(1, 9), rng.randint(1, 40)) for _ in range(rng.randint(1, 30))]
         want = sorted({p for p in pairs if not any(q != p and q[0] >= p[0] and q[1] <= p[1] for q in pairs)})
         assert sorted(postings.sky(pairs)) == want
+
+
+def test_tasks_and_shares_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    """What a task sorts is bounded: twice the bytes are twice the tasks, and a bucket's blocks more files."""
+    rows = [(f"u{k:05}", "s", " ".join(f"w{(k * 7 + j) % 50}" for j in range(20))) for k in range(3000)]
+    own = spark.createDataFrame(rows, "unit_id string, space string, content string").repartition(4)
+    size = postings.text_bytes(own)
+    monkeypatch.setattr(postings, "SHARE", size // 128)
+    index = postings.build(own, ("space",), str(tmp_path / "index"))
+    assert size == sum(len(r[2]) for r in rows) and postings.shares(spark, size) >= 128
+    held = [r.n for r in index.texts().groupBy(F.input_file_name()).agg(F.count("*").alias("n")).select("n").collect()]
+    assert len(held) > 64 and max(held) < 3000 // 32
+    files = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "index" / "blocks").glob("bucket=*")]
+    assert max(files) > 1
+    assert index.terms(["w3"]).select("df").first()[0] == sum("w3" in r[2].split() for r in rows)
+
+
+def test_texts_meet_labels_unsorted(spark):
+    plan = tables.engine_units(spark, "/root/testdata/sf0.001", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
