@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.operators.govern import top_by
+from memspark.operators.recall import sliced
 from memspark.sources.scratch import folder as new_folder
 
 #: Rows that the centres are fitted to (those of the least hash), steps of the fit, most cells, queries of a block, shares in which a cell is written.
@@ -149,7 +150,7 @@ class CellIndex:
                 import pyarrow as pa
 
                 ids, q, looked = held.value
-                for batch in batches:
+                for batch in sliced(batches, len(ids)):
                     cell = batch.column(2).to_numpy(zero_copy_only=False)
                     who = np.flatnonzero(looked[:, np.unique(cell)].any(1))
                     if not len(who):

@@ -76,3 +76,14 @@ def test_nothing(spark):
     some = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>")
     assert none.search(some, 3).count() == 0
     assert cells.build(spark.createDataFrame([("a", [1.0, 0.0])], "unit_id string, vector array<double>")).search(some.limit(0), 3).count() == 0
+
+
+def test_scores_at_once_are_bounded():
+    """However many rows an Arrow batch has and queries a block, a worker makes PRODUCT scores at once; all rows are seen once, in their order."""
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array(range(k, k + n))], ["x"]) for k, n in ((0, 10_000), (10_000, 0), (10_000, 777))]
+    for n in (1, 2048, 2 * recall.PRODUCT):
+        cut = [*recall.sliced(batches, n)]
+        assert max(map(len, cut)) <= max(1, recall.PRODUCT // n) and min(map(len, cut)) > 0
+        assert [x for b in cut for x in b.column(0).to_pylist()] == [*range(10_777)]
