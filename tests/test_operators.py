@@ -277,3 +277,23 @@ def test_snapshot_token_ignores_order(spark):
     df = spark.range(200).withColumn("v", F.col("id") * 2)
     tokens = {govern.snapshot_token(df.repartition(n), ["id", "v"]).first().token for n in (1, 5)}
     assert len(tokens) == 1 and govern.snapshot_token(df.where("id > 0"), ["id", "v"]).first().token not in tokens
+
+
+def test_pairs_by_blocks_are_those_of_the_join(spark, monkeypatch):
+    """Broadcast or dealt out, with nulls and repeated rows; a key of all rows is no single task."""
+    left = spark.createDataFrame([(k, None if k % 50 == 0 else 1 if k < 900 else k % 7) for k in range(1000)] + [(3, 1)], "a long, x int")
+    right = spark.createDataFrame([(None if k % 40 == 0 else k, None if k % 30 == 7 else k % 5) for k in range(400)] + [(2, 2)], "b long, y int")
+    pairs = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = pairs(left.join(right, F.col("x") == F.col("y")).select("a", "b"))
+    monkeypatch.setattr(link, "CHUNK", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for held in (link.HELD, 0):
+            monkeypatch.setattr(link, "HELD", held)
+            met = link.by_blocks(left, right, "x", "y")
+            assert pairs(met.select("a", F.inline("block"))) == want
+            tasks = met.where("x = 1").select(F.spark_partition_id().alias("task")).collect()
+            assert len({r.task for r in tasks}) > 1
+            assert max(r.n for r in met.select(F.size("block").alias("n")).collect()) < 50
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
