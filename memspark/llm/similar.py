@@ -1,11 +1,13 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles.
 
-Texts are sets of shingle hashes. Minima of the set under HASHES multipliers are
-hashed in bands; sets that share a band are candidates (a pair at the limit of
-0.8 shares none of the 24 bands in 7 of 100,000 cases, a closer one more
-seldom). Distinct sets are compared, exactly, in two steps. First each with its
-bands' smallest set: that settles pairs and ties most of a large group of
-copies. Then only bands whose sets are not all tied are left. Their groups,
+Texts are sets of shingle hashes. Each set has a SimHash fingerprint; those
+that the trie self-join of simhash.py links are candidates. Two bits are far
+tighter than the limit, so for the rest minima of the set under HASHES
+multipliers are hashed in bands; sets that share a band are candidates too (a
+pair at the limit of 0.8 shares none of the 24 bands in 7 of 100,000 cases, a
+closer one more seldom). Distinct sets are compared, exactly, in two steps.
+First each with the sets that the trie gives and with its bands' smallest set:
+that settles pairs and ties most of a large group of copies. Then only bands whose sets are not all tied are left. Their groups,
 closed under shared bands, are compared within but for pairs that are tied; of
 a group over CHUNK sets, blocks of the sets outside its largest tied part meet
 blocks of that part and each other, so no task holds more than two blocks.
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from memspark.llm.graph import components, met
 from memspark.llm.shared import written
+from memspark.llm.simhash import links
 
 SEED = 42
 SHINGLE = 5
@@ -86,6 +89,13 @@ def banded(sets: list[np.ndarray]) -> list[list[int]]:
     return out
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The set's SimHash fingerprint, as a signed number: a bit is 1 if it is set in over half the hashes."""
+    each = (np.unpackbits(own[k : k + SHINGLES].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1) for k in range(0, len(own), SHINGLES))
+    sums = sum((bits.sum(0, dtype=np.int32) for bits in each), np.zeros(64, np.int64))
+    return int(np.packbits(2 * sums > len(own)).view(">i8")[0])
+
+
 def set_hash(own: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -130,7 +140,7 @@ def _binary(texts):
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), fp (a hash of its set) and bands of every row."""
+    """doc_id, key (a hash of the text), fp (a hash of its set), sim (its fingerprint) and bands of every row."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -139,10 +149,11 @@ def marked(docs: DataFrame) -> DataFrame:
             texts = _binary(batch.column(2))
             for k in range(0, len(texts), 256):
                 sets = [shingled(t) for t in texts.slice(k, 256).to_pylist()]
-                fp, bands = pa.array([set_hash(s) for s in sets], pa.int64()), pa.array(banded(sets), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 256), batch.column(1).slice(k, 256), fp, bands], ["doc_id", "key", "fp", "bands"])
+                fp, sim = (pa.array([of(s) for s in sets], pa.int64()) for of in (set_hash, fingerprint))
+                bands = pa.array(banded(sets), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 256), batch.column(1).slice(k, 256), fp, sim, bands], ["doc_id", "key", "fp", "sim", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, fp long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, fp long, sim long, bands array<long>")
 
 
 def _dealt(texts: DataFrame, *more: str) -> DataFrame:
@@ -222,11 +233,24 @@ def _blocks(sets: DataFrame, n_rows: int) -> DataFrame:
     return placed.select("fp", "part", F.when(F.col("mains") == 0, whole).when(F.col("part") == F.col("main"), main).otherwise(rest).alias("places"))
 
 
+def by_trie(sets: DataFrame) -> DataFrame:
+    """a, fp: of sets (fp, sim) those of one fingerprint with its smallest set, and the smallest sets of fingerprints that the trie self-join links."""
+    sets = written(sets, "set-fingerprints")
+    least = written(sets.groupBy("sim").agg(F.min("fp").alias("a"), F.count("*").alias("n")), "distinct-fingerprints")
+    same = met(sets, least.where("n > 1"), "sim", sets.count()).where("fp <> a").select("a", "fp")
+    near = written(links(least.select(F.col("sim").alias("fp"))).distinct(), "fingerprint-links")
+    left, right = (least.select(F.col("sim").alias(end), F.col("a").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    ends = near.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("fp"))
+    return same.unionByName(ends.where("fp <> a"))
+
+
 def _tied_twice(docs: DataFrame, each: DataFrame, first: DataFrame) -> DataFrame:
     """node, root: a set with the smallest one that similar pairs tie it to, for sets tied to any."""
     n_each = each.count()
     least = each.groupBy("band").agg(F.min("fp").alias("a"), F.count("*").alias("n"))
-    stars = written(met(each, least.where("n > 1"), "band", n_each).where("fp <> a").select("a", "fp").distinct(), "stars")
+    in_bands = met(each, least.where("n > 1"), "band", n_each).where("fp <> a").select("a", "fp")
+    tried = by_trie(first.where(F.size("bands") > 0).select("fp", "sim"))
+    stars = written(tried.unionByName(in_bands).distinct(), "stars")
     rays = stars.groupBy("a").agg(F.count("*").alias("n"))
     rays = rays.select("a", "n", F.ceil(F.col("n") / RAYS).cast("int").alias("cuts"))
     ends = met(stars, rays, "a", n_each).select("fp", F.struct(F.col("a").alias("group"), F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int").alias("x"), F.lit(0).alias("y")).alias("p"))
@@ -265,8 +289,8 @@ def rooted(docs: DataFrame) -> DataFrame:
     """
     marks = written(marked(docs), "shingle-sets")
     # of each set one row stands for all
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "bands"))
-    first = written(marks.groupBy("fp").agg(least.alias("r"), F.count("*").alias("n")).select("fp", "r.doc_id", "r.key", "r.bands", "n"), "distinct-sets")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "bands", "sim"))
+    first = written(marks.groupBy("fp").agg(least.alias("r"), F.count("*").alias("n")).select("fp", "r.doc_id", "r.key", "r.bands", "r.sim", "n"), "distinct-sets")
     n_rows = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     each = written(first.select("fp", F.explode("bands").alias("band")), "bands")
     ties = _tied_twice(docs, each, first)

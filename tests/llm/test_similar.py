@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from tests.llm.test_simhash import least, rows_and_choice
 
-from memspark.llm import similar
+from memspark.llm import simhash, similar
 
 
 def plain(text):
@@ -82,3 +83,18 @@ def test_a_group_over_many_blocks(spark, monkeypatch):
     assert next(r.root for r in found if r.doc_id is None) == root[4]
     pairs = {(root[k], want[k]) for k in range(len(texts))}
     assert len(pairs) == len({a for a, _ in pairs}) == len(set(want)) > 1
+
+
+def test_the_trie_gives_candidates(spark):
+    """Fingerprints of five-word shingles, linked within two bits by the trie of op5; the bands come after."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, n)).encode() for n in (3, 40, 300)] + [b"one"]
+    sets = [similar.shingled(t) for t in texts]
+    assert [similar.fingerprint(s) % (1 << 64) for s in sets] == simhash.fingerprints(texts, similar.SHINGLE).tolist()
+    base = int(rng.integers(0, 1 << 62))
+    rows = [(1, base), (2, base), (3, base ^ 1), (4, base ^ (1 << 40) ^ (1 << 9)), (5, base ^ 0b1111 << 20), (6, ~base)]
+    got = {(r.a, r.fp) for r in similar.by_trie(spark.createDataFrame(rows, "fp long, sim long")).collect()}
+    seen = {1}
+    for _ in rows:
+        seen |= {y for pair in got for y in pair if set(pair) & seen}
+    assert seen == {1, 2, 3, 4} and not any({5, 6} & set(pair) for pair in got)
