@@ -187,7 +187,7 @@ _LINKS = f"{KEYWORD_SQL}, ent AS (SELECT DISTINCT unit_id, e FROM (SELECT unit_i
 @query("A09_J06_entity_expansion", f"WITH {_LINKS}, df AS (SELECT e, count(*) AS df FROM ent GROUP BY e), want AS (SELECT DISTINCT e FROM ent SEMI JOIN seeds USING (unit_id)), raw AS (SELECT unit_id, sum(1 / ln(1 + df)) AS raw FROM ent JOIN df USING (e) WHERE e IN (SELECT e FROM want) AND unit_id NOT IN (SELECT unit_id FROM seeds) GROUP BY unit_id), c AS (SELECT * FROM raw ORDER BY round(raw, 9) DESC, unit_id LIMIT 20), a AS (SELECT count(*) AS n, max(score) AS top, median(score) AS mid FROM seeds) SELECT unit_id, round(least(raw, top / CASE WHEN n < 3 THEN top * 0.5 ELSE mid END) * CASE WHEN n < 3 THEN top * 0.5 ELSE mid END, 6) AS score FROM c, a")
 def a09(spark, sf_dir):
     u = units(spark, sf_dir)
-    seeds = _best(recall.keyword(u, WORDS), 10)
+    seeds = written(_best(recall.keyword(u, WORDS), 10), "seeds")
     return _r(recall.expand_entities(seeds, recall.entity_links(u), seeds, seeds), "unit_id", "score")
 
 

@@ -297,3 +297,14 @@ def test_pairs_by_blocks_are_those_of_the_join(spark, monkeypatch):
             assert max(r.n for r in met.select(F.size("block").alias("n")).collect()) < 50
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_entity_links_are_filtered_before_their_shuffle(spark):
+    """Links of other entities than the seeds' are dropped where they are made; they once were all made one first."""
+    u = spark.createDataFrame([(f"u{k}", f"alpha w{k:03} w{k % 7:03}") for k in range(60)], "unit_id string, content string")
+    links, wanted = recall.entity_links(u), spark.createDataFrame([("x",)], "entity_hash string")
+    plan = links.join(recall.few(wanted), "entity_hash", "left_semi")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("BroadcastHashJoin") and plan.rindex("HashAggregate") < plan.index("BroadcastHashJoin")
+    seeds = spark.createDataFrame([("u1", 1.0), ("u2", 0.5), ("u3", 0.25)], "unit_id string, score double")
+    got = {r.unit_id for r in recall.expand_entities(seeds, links, seeds, seeds, 100).collect()}
+    assert got == {f"u{k}" for k in range(60)} - {"u1", "u2", "u3"}
