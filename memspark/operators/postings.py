@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,51 +37,67 @@ SHARE = 16 << 20
 BLOCK = "term string, range long, n int, tf_sum long, sky_tf array<int>, sky_dl array<int>, places array<long>, tfs array<int>, dls array<int>"
 
 
+def skies(code: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+    """Of postings with a term's code, frequency and length the places of those that no other of the term beats in both; a term's in the order of lengths."""
+    order = np.lexsort((-tf, dl, code))
+    # codes ascend: the highest key so far is the term's highest frequency so far
+    key = (code[order].astype(np.int64) << 32) | tf[order].astype(np.int64)
+    kept = np.ones(len(key), bool)
+    kept[1:] = key[1:] > np.maximum.accumulate(key)[:-1]
+    return order[kept]
+
+
 def sky(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Of (frequency, length) pairs those that none beats in both: more frequent and no longer."""
-    out: list[tuple[int, int]] = []
-    for tf, dl in sorted(set(pairs), key=lambda p: (p[1], -p[0])):
-        if not out or tf > out[-1][0]:
-            out.append((tf, dl))
-    return out
+    own = np.array(list(pairs), np.int64).reshape(-1, 2)
+    return [(int(tf), int(dl)) for tf, dl in own[skies(np.zeros(len(own), np.int64), own[:, 0], own[:, 1])]]
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
-    """BLOCK rows from place, dl and low (the lower-case text), in the order in which places are read. A range is cut where a worker holds HELD postings: it may have several blocks of a term."""
+    """BLOCK rows from place, dl and low (the lower-case text), in the order in which places are read, a range's in the order of terms. A range is cut where a worker holds HELD postings: it may have several blocks of a term."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         token = re.compile("[0-9a-z]+|[一-鿿]")  # TOKEN of texts, after JVM lower case
         names = [c.split()[0] for c in BLOCK.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        held: dict[str, tuple[list[int], list[int], list[int]]] = {}
-        size, where = 0, None
-
-        def flush():
-            columns: list[list] = [[] for _ in names]
-            for term, (places, tfs, dls) in held.items():
-                best = sky(zip(tfs, dls, strict=True))
-                for c, v in zip(columns, (term, where, len(places), sum(tfs), [x for x, _ in best], [y for _, y in best], places, tfs, dls), strict=True):
-                    c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        # a text's distinct terms with their frequencies, text after text; of each text its place, length and number of terms
+        words: list[str] = []
+        tfs: list[int] = []
+        texts: list[tuple[int, int, int]] = []
+        where = None
+
+        def lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, kind))
+
+        def flush() -> pa.RecordBatch:
+            coded = pa.array(words, pa.string()).dictionary_encode()
+            order = pc.sort_indices(coded.dictionary)
+            rank = np.empty(len(order), np.int64)
+            rank[order.to_numpy()] = np.arange(len(order))
+            code, tf = rank[coded.indices.to_numpy()], np.array(tfs, np.int64)
+            own = np.array(texts, np.int64)
+            place, dl = np.repeat(own[:, 0], own[:, 2]), np.repeat(own[:, 1], own[:, 2])
+            by, n, best = np.argsort(code, kind="stable"), np.bincount(code, minlength=len(order)), skies(code, tf, dl)
+            tops, total = np.bincount(code[best], minlength=len(order)), np.add.reduceat(tf[by], np.cumsum(n) - n)
+            columns = [coded.dictionary.take(order), pa.array(np.full(len(order), where), pa.int64()), pa.array(n, pa.int32()), pa.array(total, pa.int64())]
+            columns += [lists(tops, tf[best], pa.int32()), lists(tops, dl[best], pa.int32())]
+            columns += [lists(n, place[by], pa.int64()), lists(n, tf[by], pa.int32()), lists(n, dl[by], pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             for place, dl, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if held and (place >> SPAN_BITS != where or size >= HELD):
+                if words and (place >> SPAN_BITS != where or len(words) >= HELD):
                     yield flush()
-                    held, size = {}, 0
+                    words, tfs, texts = [], [], []
                 where = place >> SPAN_BITS
-                own: dict[str, int] = {}
-                for m in token.finditer(low or ""):
-                    own[m.group()] = own.get(m.group(), 0) + 1
-                for term, tf in own.items():
-                    places, tfs, dls = held.setdefault(term, ([], [], []))
-                    places.append(place)
-                    tfs.append(tf)
-                    dls.append(dl)
-                size += len(own)
-        if held:
+                own = Counter(token.findall(low or ""))
+                if own:
+                    words.extend(own)
+                    tfs.extend(own.values())
+                    texts.append((place, dl, len(own)))
+        if words:
             yield flush()
 
     return rows.select("place", "dl", "low").mapInArrow(run, BLOCK)

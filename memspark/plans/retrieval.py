@@ -52,7 +52,7 @@ def indexed(spark, sf_dir) -> postings.TextIndex:
         if path.getFileSystem(conf).exists(path):
             return _indexes[key]
     size = postings.text_bytes(table(spark, sf_dir, "documents"), "text")
-    _indexes[key] = postings.build(engine_units(spark, sf_dir, postings.shares(spark, size)), ("space", "user_id"), size=size)
+    _indexes[key] = postings.build(engine_units(spark, sf_dir, postings.shares(spark, size), few=True), ("space", "user_id"), size=size)
     return _indexes[key]
 
 

@@ -120,3 +120,32 @@ def test_tasks_and_shares_grow_with_the_texts(spark, tmp_path, monkeypatch):
 def test_texts_meet_labels_unsorted(spark):
     plan = tables.engine_units(spark, "/root/testdata/sf0.001", 4)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_few_labels_meet_texts_where_they_lie(spark, monkeypatch):
+    """The index build's texts are moved once, into their order; beyond the bound they meet labels as before, with the same rows."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = tables.engine_units(spark, "/root/testdata/sf0.001", 4, few=True)
+    assert "BroadcastHashJoin" in plan(few) and "hashpartitioning" not in plan(few)
+    monkeypatch.setattr(tables, "FEW_LABELS", 3)
+    many = tables.engine_units(spark, "/root/testdata/sf0.001", 4, few=True)
+    assert "ShuffledHashJoin" in plan(many) and "BroadcastHashJoin" not in plan(many)
+    assert few.exceptAll(many).count() == many.exceptAll(few).count() == 0
+
+
+def test_blocks_of_a_range_come_in_the_order_of_terms(spark, monkeypatch):
+    """So that the sort after the shuffle only merges runs; heads and postings are those of a plain count."""
+    monkeypatch.setattr(postings, "SPAN_BITS", 5)
+    rng = random.Random(7)
+    texts = [(p, " ".join(rng.choice(["b", "aa", "zz9", "中", "c", "x"]) for _ in range(rng.randint(0, 30)))) for p in range(100)]
+    rows = spark.createDataFrame([(p, len(x.split()), x or None) for p, x in texts], "place long, dl int, low string").coalesce(1).sortWithinPartitions("place")
+    got = postings.blocks_of(rows).collect()
+    assert [(b.range, b.term) for b in got] == sorted((b.range, b.term) for b in got)
+    want = {}
+    for p, x in texts:
+        for w in set(x.split()):
+            want.setdefault((p >> 5, w), []).append((p, x.split().count(w), len(x.split())))
+    assert {(b.range, b.term): list(zip(b.places, b.tfs, b.dls, strict=True)) for b in got} == want
+    for b in got:
+        assert b.n == len(b.places) and b.tf_sum == sum(b.tfs)
+        assert list(zip(b.sky_tf, b.sky_dl, strict=True)) == [(tf, dl) for dl, tf in sorted((d, t) for t, d in set(zip(b.tfs, b.dls, strict=True)) if not any(q != (t, d) and q[0] >= t and q[1] <= d for q in zip(b.tfs, b.dls, strict=True)))]
