@@ -116,7 +116,8 @@ def index_tables(units: DataFrame) -> dict[str, DataFrame]:
 
     own = units.select("unit_id", F.coalesce("content", F.lit("")).alias("content"))
     vectors = own.where(F.lower("content").rlike(t.TOKEN)).select("unit_id", t.embedded(F.col("content")).alias("vector"))
-    return {"forward": units, "fulltext": recall.postings(own), "vector": vectors, "entity": recall.entity_links(own)}
+    parts = recall.parted(own)
+    return {"forward": units, "fulltext": recall.postings(own, parts), "vector": vectors, "entity": recall.unit_entities(own, parts)}
 
 
 def upserted(index: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:

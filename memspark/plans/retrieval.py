@@ -193,7 +193,7 @@ def a09(spark, sf_dir):
 
 @query("S24_entity_links", f"WITH {_LINKS} SELECT sha256(e) AS entity_hash, count(*) AS n FROM ent GROUP BY e")
 def s24(spark, sf_dir):
-    return recall.entity_links(units(spark, sf_dir)).groupBy("entity_hash").agg(F.count("*").alias("n"))
+    return recall.unit_entities(units(spark, sf_dir)).groupBy("entity_hash").agg(F.count("*").alias("n"))
 
 
 @query("L01_top_k", f"WITH {KEYWORD_SQL} SELECT unit_id, round(score, 9) AS score FROM kw WHERE score > 0 ORDER BY round(score, 12) DESC, unit_id LIMIT 10")

@@ -52,3 +52,27 @@ def test_conflict_plan_of_many_clusters_streams(spark, tmp_path):
     plan = QUERIES["V11_conflict_plan"](spark, str(tmp_path))
     assert plan.groupBy().count().first()[0] == len(got) > 0
     assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+ODD_DOCUMENTS = """SELECT * FROM (VALUES (1, 'b aa b 中中 x9y', 'en', 's', 10), (1, 'aa zz zz', 'en', 's', 8), (1, 'aa zz zz', 'en', 's', 8), (NULL, 'aa Aa bcd', 'de', 's', 9),
+(NULL, 'bcd q', NULL, 's', 5), (2, NULL, 'en', NULL, 0), (3, '', 'en', 's', 0), (4, '?!', 'en', 's', 2), (5, 'ééé one', 'fr', 's', 7)) v(doc_id, text, lang, source, n_chars)"""
+NO_LABELS = "SELECT 9 AS doc_id, 0 AS quality, 0 AS toxic"
+
+
+@pytest.mark.parametrize("name", ["V15_index_tables", "S28_index_tables", "S24_entity_links"])
+def test_index_tables_of_rows_that_share_an_id(spark, tmp_path, name):
+    """Rows of one id are one unit for postings and links; a row of its own for lengths."""
+    assert same_as_sql(spark, tmp_path, name, {"documents": ODD_DOCUMENTS, "labels": NO_LABELS})
+
+
+def test_index_tables_shuffle_no_terms(spark):
+    def shuffled(df):
+        return [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x and ("term" in x or "unit_id" in x)]
+
+    from memspark.operators import ingest
+    from memspark.sources.tables import units
+
+    tables = ingest.index_tables(units(spark, "/root/testdata/sf0.001"))
+    assert not shuffled(tables["fulltext"]) and not shuffled(tables["entity"]) and not shuffled(QUERIES["S28_index_tables"](spark, "/root/testdata/sf0.001"))
+    got = tables["fulltext"].groupBy("unit_id").sum("tf").count()
+    assert got == tables["vector"].count() > 0
