@@ -12,15 +12,21 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
+
+import numpy as np
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Chunks remembered by a worker, in each of two generations.
 MEMORY = 350_000
 #: Bytes of text that are looked up together.
-BLOCK = 1 << 21
+BLOCK = 1 << 23
 
-_SPECIAL = (b"<|",)
+_SPECIAL = "<|"
 #: Small and Latin-1 letters (not the signs for times and divided by), then ASCII marks but for the apostrophe.
 _WORD_AND_MARKS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)\Z")
 
@@ -76,15 +82,17 @@ class Encoder:
         marks: dict[bytes, None] = {}
         heads: dict[bytes, bytes] = {}
         joined: list[tuple[bytes, bytes, bytes]] = []
+        tokenize, last, match = self.model.tokenize, before.get, _WORD_AND_MARKS.match
         for chunk in chunks:
-            ids = before.get(chunk)
+            ids = last(chunk)
             if ids is None:
                 if chunk.isalpha() and chunk.islower():
-                    ids = self._spelt(chunk.decode())
-                elif m := _WORD_AND_MARKS.match(chunk):
+                    own = [t.id for t in tokenize(chunk.decode())]
+                    ids = _PACK[len(own)](*own) if len(own) < len(_PACK) else self._pack(own)
+                elif m := match(chunk):
                     # a head has letters alone, so what is remembered for it was made by _plain
                     word, tail = m.groups()
-                    head = now.get(word) or before.get(word) or heads.get(word)
+                    head = now.get(word) or last(word) or heads.get(word)
                     if head is None:
                         head = heads[word] = self._plain(word)
                     joined.append((chunk, head, tail))
@@ -105,24 +113,34 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """One value for each text, in order; a null text has none."""
-        split = [(t.split() if any(s in t for s in _SPECIAL) else t.lower().split()) if t else [] for t in texts]
-        get = self.now.get
-        found = [[*map(get, chunks)] for chunks in split]
-        # each chunk is looked up once; only gaps are learned and filled
-        gaps = []
-        for chunks, parts in zip(split, found, strict=True):
-            k = -1
-            for _ in range(parts.count(None)):
-                k = parts.index(None, k + 1)
-                gaps.append((parts, k, chunks[k]))
+        import pyarrow as pa
+
+        return self.encode_array(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """encode() of an Arrow array: chunks are split and told apart by Arrow, only distinct ones are looked up. A slice is not cast to long offsets: Arrow 23 misreads it."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        low, special = pc.ascii_lower(texts), pc.match_substring(texts, _SPECIAL)
+        split = pc.ascii_split_whitespace(pc.if_else(special, texts, low) if pc.any(special).as_py() else low)
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        found = [*map(self.now.get, chunks)]
+        gaps = [k for k, ids in enumerate(found) if ids is None]
         if gaps:
             if len(self.now) > MEMORY:
                 self.before, self.now = self.now, {}
-            self._learn({chunk for _, _, chunk in gaps})
+            # white space at an end leaves an empty chunk
+            self._learn([chunks[k] for k in gaps if chunks[k]])
             now = self.now
-            for parts, k, chunk in gaps:
-                parts[k] = now[chunk]
-        return [b"".join(parts) for parts in found]
+            for k in gaps:
+                found[k] = now[chunks[k]] if chunks[k] else b""
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+        ends = at[np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())].tolist()
+        data = ids.buffers()[2].to_pybytes() if at[-1] else b""
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
@@ -144,6 +162,5 @@ def encoded(batches: Iterable, vocabulary: str, text: str = "text") -> Iterator[
         for k, size in enumerate(sizes):
             total += size or 0
             if total >= BLOCK or k == len(sizes) - 1:
-                part = values.slice(first, k + 1 - first).cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary())
-                yield batch, first, own.encode(part.to_pylist())
+                yield batch, first, own.encode_array(values.slice(first, k + 1 - first))
                 first, total = k + 1, 0

@@ -196,3 +196,37 @@ def test_a_folder_without_a_scheme_is_where_spark_has_it(spark, tmp_path):
         wavelet.save("/bare/path", "x", b"")
     path = wavelet.save(f"file:{tmp_path}", "x", wavelet.build(np.array([3, 1, 3]), [1], [3]))
     assert wavelet.load(path).ids.tolist() == [3, 1, 3]
+
+
+def test_distinct_chunks_of_a_block_are_looked_up_once(monkeypatch):
+    """A text's repeated chunks cost no look-up of their own; white space at the ends, null and odd texts keep the library's ids."""
+    own = tokens.Encoder(tokens.default_vocabulary())
+    seen = []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda chunks: (seen.append(list(chunks)), learn(seen[-1]))[1])
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return dict.get(self, *a)
+
+    own.now = Counted()
+    texts = ["ab cd " * 500, " \tab\n", None, "", " ", "AB <|x|> Cd", "cd\x0b\x0cab\r", "a\xa0b c\x1cd\x85e"]
+    got = own.encode([x.encode() if x is not None else None for x in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain_ids(x) if x else [] for x in texts]
+    assert sorted(seen[0]) == sorted({c for x in texts if x for c in (x if "<|" in x else x.lower()).encode().split()}) and Counted.asked < 40
+    assert own.encode([]) == [] and own.encode([None, b" "]) == [b"", b""]
+
+
+def test_slices_of_a_batch_keep_their_texts(monkeypatch):
+    """Blocks are slices of an Arrow batch, also of one that is a slice itself."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "BLOCK", 64)
+    texts = [None if k % 7 == 3 else f"Größe {k} 中文 <|{k}|> Ab" if k % 5 == 0 else f"é{k} ñandú  wörter " * (k % 4) for k in range(200)]
+    for kind in (pa.string(), pa.large_string()):
+        for batch in (pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["text"]), pa.RecordBatch.from_arrays([pa.array(["x y", *texts], kind)], ["text"]).slice(1)):
+            got = [x for _, _, ids in tokens.encoded([batch], tokens.default_vocabulary()) for x in ids]
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain_ids(x) if x else [] for x in texts]
